@@ -188,7 +188,7 @@ def _unpacked(group: pa.Table) -> list[np.ndarray]:
     return [p[fresh] for p in parts]
 
 
-def _possible(a: slice | np.ndarray, b: slice | np.ndarray | int, count: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+def _possible(a: np.ndarray, b: np.ndarray, count: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of entries of one column whose sizes and places leave enough overlap."""
     ca, cb = count[a].astype(np.int64), count[b].astype(np.int64)
     left = np.minimum(ca - place[a], cb - place[b])
@@ -201,17 +201,14 @@ def hub_pairs(post: DataFrame, percent: int) -> DataFrame:
 
     def paired(key: tuple, group: pa.Table) -> pa.Table:
         column, sid, count, place, weight = _unpacked(group)
-        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1]))) if len(column) else np.empty(0, int)
-        lengths = np.diff(np.append(starts, len(column)))
-        a, b = [], []
-        for s, m in zip(starts[lengths > 1], lengths[lengths > 1], strict=True):
-            e = s + m
-            hub = s + int(np.argmax(weight[s:e] / count[s:e]))
-            ok = _possible(slice(s, e), hub, count, place, percent)
-            ok[hub - s] = False
-            a.append(sid[s:e][ok])
-            b.append(np.full(int(ok.sum()), sid[hub]))
-        return _distinct(a, b)
+        order = np.lexsort((sid, -(weight / count), column))
+        column, sid, count, place = column[order], sid[order], count[order], place[order]
+        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+        hub = np.repeat(starts, np.diff(np.append(starts, len(column))))
+        member = np.flatnonzero(np.arange(len(column)) != hub)
+        hub = hub[member]
+        ok = _possible(member, hub, count, place, percent)
+        return _distinct([sid[member[ok]]], [sid[hub[ok]]])
 
     return post.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
 
@@ -236,26 +233,26 @@ def cross_pairs(post: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             at = np.minimum(np.searchsorted(ids, sid), len(ids) - 1)
             component = np.where(ids[at] == sid, labels[at], sid)
         starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        ends = np.append(starts[1:], len(column))
-        a, b = [], []
-        for s, e in zip(starts, ends, strict=True):
-            if e - s < 2 or (component[s:e] == component[s]).all():
-                continue
-            by_size = s + np.argsort(count[s:e], kind="stable")
-            sizes = count[by_size].astype(np.int64)
-            for i in range(len(by_size) - 1):  # partners: no smaller, and no larger than the sizes allow
-                stop = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
-                rest = by_size[i + 1 : stop]
-                rest = rest[component[rest] != component[by_size[i]]]
-                if len(rest):
-                    rest = rest[_possible(rest, by_size[i], count, place, percent)]
-                if len(rest):
-                    x, y = np.full(len(rest), sid[by_size[i]]), sid[rest]
-                    a.append(np.minimum(x, y))
-                    b.append(np.maximum(x, y))
-            if sum(map(len, a)) > 2_000_000:
+        differ = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        keep = np.flatnonzero(np.repeat(differ, np.diff(np.append(starts, len(column)))))
+        keep = keep[np.lexsort((count[keep], column[keep]))]
+        column, sid, count, place, component = (x[keep] for x in (column, sid, count, place, component))
+        size = count.astype(np.int64)
+        a, b, held, first, lag = [], [], 0, np.arange(len(column)), 0
+        while len(first):  # each entry with the next, the one after it, ..., as far as column and sizes allow
+            lag += 1
+            first = first[first + lag < len(column)]
+            first = first[(column[first] == column[first + lag]) & (100 * size[first] >= percent * size[first + lag])]
+            other = first + lag
+            ok = (component[first] != component[other]) & _possible(first, other, count, place, percent)
+            x, y = sid[first[ok]], sid[other[ok]]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+            held += len(x)
+            if held > 2_000_000:
                 done = _distinct(a, b)
                 a, b = [done.column("a").to_numpy()], [done.column("b").to_numpy()]
+                held = 0
         return _distinct(a, b)
 
     # the labels that each bucket's sets have: sent to those buckets only
@@ -313,7 +310,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
+                run = np.concatenate((p, q))
+                run.sort(kind="stable")  # two sorted runs: one merge
+                both = int((run[1:] == run[:-1]).sum())
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -53,7 +54,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str, per: str | None = None) -> DataFrame:
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of literals that the driver holds."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{schema}>>"))))
+
+
+def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in the order of ``order``, without one task seeing all rows.
 
     Rows are range partitioned and sorted; the written partitions are counted,
@@ -68,8 +74,7 @@ def dense_ids(df: DataFrame, order: list[str], name: str, per: str | None = None
     for p, n in sizes:
         starts[p] = start
         start += n
-    spark = df.sparkSession
-    offsets = spark.createDataFrame(list(starts.items()) or [(0, 0)], "_p long, _start long")  # a row for each partition
+    offsets = small_table(df.sparkSession, [{"_p": p, "_start": s} for p, s in starts.items()], "_p:long,_start:long")  # a row for each partition
     return (
         placed.join(F.broadcast(offsets), "_p")
         .withColumn(name, F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))

@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cipherscape.llm.common import (
     FILTER_BITS,
@@ -48,6 +49,7 @@ from cipherscape.llm.common import (
     binary_rows,
     bucket_of,
     by_bucket,
+    mixed,
     power_of_two,
     rest_of,
     stage,
@@ -135,9 +137,21 @@ def column_filters(docs: DataFrame, n: int, text: str, buckets: int) -> tuple[Ha
     return HashFilter.gathered(((b, s) for b, s, _ in rows), buckets), HashFilter.gathered(((b, f) for b, _, f in rows), buckets)
 
 
-def postings(docs: DataFrame, n: int, percent: int, text: str, buckets: int, filters: tuple[HashFilter, HashFilter]) -> DataFrame:
-    """The first block of the incidence matrix: (part, columns, and for each its set's id, size, place, weight)."""
+PARTS = ("columns", "sids", "counts", "places", "weights")
+
+
+def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets: int, filters: tuple[HashFilter, HashFilter]) -> DataFrame:
+    """Rows of two kinds from one pass over the texts.
+
+    With a bucket: the first block of the incidence matrix, as columns and, for each
+    entry, its set's id, size, place and number of frequent columns.  Without: a
+    document's id, n_shingles and sid.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    kind = docs.schema[id].dataType
+    id_type = to_arrow_type(kind)
+    names = ["bucket", *PARTS, id, "n_shingles", "sid"]
+    types = [pa.int32(), *[pa.binary()] * 5, id_type, pa.int64(), pa.int64()]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_two, frequent = shared.value
@@ -151,35 +165,66 @@ def postings(docs: DataFrame, n: int, percent: int, text: str, buckets: int, fil
             column, place, (sid, count, weight) = column[order], place[order], [f[order] for f in fields]
             out = []
             for b, s in by_bucket(column, buckets):
-                out.append((b, column[s].tobytes(), sid[s].tobytes(), count[s].astype(np.int32).tobytes(), place[s].astype(np.int32).tobytes(), weight[s].astype(np.int32).tobytes()))
-            return binary_rows(["bucket", "columns", "sid", "count", "place", "weight"], [pa.int32()] + [pa.binary()] * 5, out)
+                parts = (column[s], sid[s], count[s].astype(np.int32), place[s].astype(np.int32), weight[s].astype(np.int32))
+                out.append((b, *(x.tobytes() for x in parts), None, None, None))
+            return binary_rows(names, types, out)
 
         for batch in batches:
-            for value in batch.column(0):
+            sizes, keys = [], []
+            for value in batch.column(1):
                 shingles = shingle_set(value.as_py(), n, words)
-                if not len(shingles) or (key := set_id(shingles)) in seen:
+                key = set_id(shingles) if len(shingles) else None
+                sizes.append(len(shingles))
+                keys.append(key)
+                if key is None or key in seen:
                     continue
                 seen.add(key)
                 late = frequent.maybe(shingles)
                 first = np.concatenate((shingles[~late], shingles[late]))[: prefix_length(len(shingles), percent)]
-                place = np.arange(len(first))
                 keep = in_two.maybe(first)
                 if keep.any():
-                    rows.append((first[keep], key, len(shingles), place[keep], int(late.sum())))
+                    rows.append((first[keep], key, len(shingles), np.flatnonzero(keep), int(late.sum())))
                     size += int(keep.sum())
-                if size >= PACK // 4:
-                    yield packed()
-                    seen, rows, size = set(), [], 0
+            none = [pa.nulls(len(batch), t) for t in types[:6]]
+            yield pa.RecordBatch.from_arrays([*none, batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=names)
+            if size >= PACK // 4:
+                yield packed()
+                seen, rows, size = set(), [], 0
         if rows:
             yield packed()
 
-    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(
-        sent, "bucket int, columns binary, sid binary, count binary, place binary, weight binary"
+    fields = ", ".join(f"{p} binary" for p in PARTS)
+    return docs.select(id, F.col(text).cast("binary").alias("t")).mapInArrow(
+        sent, f"bucket int, {fields}, `{id}` {kind.simpleString()}, n_shingles long, sid long"
     )
 
 
+def shared_columns(post: DataFrame) -> DataFrame:
+    """The postings of columns that two sets or more hold, merged: (bucket, column, sid, size, place, hub).
+
+    hub is the column's set with most frequent columns for its size, and null on
+    its own row.
+    """
+
+    def merged(key: tuple, group: pa.Table) -> pa.Table:
+        column, sid, count, place, weight = _unpacked(group)
+        order = np.lexsort((sid, -(weight / count), column))
+        column, sid, count, place = column[order], sid[order], count[order], place[order]
+        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+        lengths = np.diff(np.append(starts, len(column)))
+        hub, many = np.repeat(starts, lengths), np.repeat(lengths > 1, lengths)
+        keep = np.flatnonzero(many)
+        return pa.table({
+            "bucket": pa.array(np.full(len(keep), key[0].as_py(), np.int32)), "column": pa.array(column[keep].view(np.int64)), "sid": pa.array(sid[keep]),
+            "size": pa.array(count[keep]), "place": pa.array(place[keep]), "hub": pa.array(sid[hub[keep]], mask=keep == hub[keep]),
+            "hub_size": pa.array(count[hub[keep]]), "hub_place": pa.array(place[hub[keep]]),
+        })
+
+    return post.groupBy("bucket").applyInArrow(merged, "bucket int, column long, sid long, size int, place int, hub long, hub_size int, hub_place int")
+
+
 def _unpacked(group: pa.Table) -> list[np.ndarray]:
-    kinds = (("columns", np.uint64), ("sid", np.int64), ("count", np.int32), ("place", np.int32), ("weight", np.int32))
+    kinds = zip(PARTS, (np.uint64, np.int64, np.int32, np.int32, np.int32), strict=True)
     parts = [np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)]) for name, kind in kinds]
     order = np.lexsort((parts[1], parts[0]))
     parts = [p[order] for p in parts]
@@ -191,26 +236,15 @@ def _unpacked(group: pa.Table) -> list[np.ndarray]:
 def _possible(a: np.ndarray, b: np.ndarray, count: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of entries of one column whose sizes and places leave enough overlap."""
     ca, cb = count[a].astype(np.int64), count[b].astype(np.int64)
-    left = np.minimum(ca - place[a], cb - place[b])
     need = needed(ca, cb, percent)
-    return (left >= need) & (np.minimum(ca, cb) >= need)
+    return (np.minimum(ca - place[a], cb - place[b]) >= need) & (np.minimum(ca, cb) >= need)
 
 
-def hub_pairs(post: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every set of a column with the column's hub, the set with most frequent columns for its size."""
-
-    def paired(key: tuple, group: pa.Table) -> pa.Table:
-        column, sid, count, place, weight = _unpacked(group)
-        order = np.lexsort((sid, -(weight / count), column))
-        column, sid, count, place = column[order], sid[order], count[order], place[order]
-        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        hub = np.repeat(starts, np.diff(np.append(starts, len(column))))
-        member = np.flatnonzero(np.arange(len(column)) != hub)
-        hub = hub[member]
-        ok = _possible(member, hub, count, place, percent)
-        return _distinct([sid[member[ok]]], [sid[hub[ok]]])
-
-    return post.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
+def hub_pairs(columns: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every set of a column with the column's hub, where sizes and places allow a link."""
+    need = F.ceil((F.col("size") + F.col("hub_size")) * percent / (100 + percent))
+    left = F.least(F.col("size") - F.col("place"), F.col("hub_size") - F.col("hub_place"))
+    return columns.filter(F.col("hub").isNotNull() & (left >= need)).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
@@ -218,20 +252,13 @@ def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def cross_pairs(post: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(columns: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): all possible pairs of sets of one column whose components differ."""
 
-    def paired(key: tuple, group: pa.Table, known: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return _distinct([], [])
-        column, sid, count, place, _ = _unpacked(group)
-        component = sid.copy()
-        ids, labels = known.column("sid").to_numpy(), known.column("label").to_numpy()
-        if len(ids):
-            order = np.argsort(ids)
-            ids, labels = ids[order], labels[order]
-            at = np.minimum(np.searchsorted(ids, sid), len(ids) - 1)
-            component = np.where(ids[at] == sid, labels[at], sid)
+    def paired(key: tuple, group: pa.Table) -> pa.Table:
+        column, sid, count, place, component = (group.column(c).to_numpy() for c in ("column", "sid", "size", "place", "label"))
+        order = np.argsort(column, kind="stable")
+        column, sid, count, place, component = (x[order] for x in (column, sid, count, place, component))
         starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
         differ = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
         keep = np.flatnonzero(np.repeat(differ, np.diff(np.append(starts, len(column)))))
@@ -255,17 +282,8 @@ def cross_pairs(post: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 held = 0
         return _distinct(a, b)
 
-    # the labels that each bucket's sets have: sent to those buckets only
-    wanted = post.select("bucket", "sid").mapInArrow(_bucket_sids, "bucket int, sid long").distinct()
-    known = wanted.join(labels, "sid").select("bucket", "sid", "label")
-    return post.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(paired, "a long, b long").distinct()
-
-
-def _bucket_sids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sids = np.unique(np.frombuffer(packed.as_py(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sids), bucket, np.int32)), pa.array(sids)], names=["bucket", "sid"])
+    known = columns.join(labels, "sid", "left").select("bucket", "column", "sid", "size", "place", F.coalesce("label", "sid").alias("label"))
+    return known.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
 
 
 def candidate_sets(docs: DataFrame, n: int, text: str, sids: DataFrame, buckets: int = 64) -> DataFrame:
@@ -297,8 +315,6 @@ def candidate_sets(docs: DataFrame, n: int, text: str, sids: DataFrame, buckets:
 
 
 def _sid_hash(sid: np.ndarray) -> np.ndarray:
-    from cipherscape.llm.common import mixed
-
     return mixed(sid.astype(np.int64).view(np.uint64))
 
 
@@ -347,37 +363,22 @@ def jaccard_classes(
     sid names the row's set of n-grams (null when it is empty).
     """
     buckets = power_of_two(approximate_words(docs, text) / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 12))
-    post = stage(postings(docs, n, percent, text, buckets, column_filters(docs, n, text, buckets)), "postings")
+    once = stage(read_once(docs, n, percent, id, text, buckets, column_filters(docs, n, text, buckets)), "incidence")
+    columns = stage(shared_columns(once.filter("bucket is not null").select("bucket", *PARTS)), "columns")
+    sids = stage(columns.select("sid").distinct(), "candidates")
+    sets = stage(candidate_sets(docs, n, text, sids), "sets")
 
-    pairs = stage(hub_pairs(post, percent), "pairs")
-    edges = _tested(docs, pairs, n, percent, text)
+    edges = stage(linked(stage(hub_pairs(columns, percent), "pairs"), sets, percent), "links")
     labels = components(edges)
-    pairs = stage(cross_pairs(post, labels, percent), "pairs")
+    pairs = stage(cross_pairs(columns, labels, percent), "pairs")
     if not pairs.isEmpty():
-        more = _tested(docs, pairs, n, percent, text)
+        more = stage(linked(pairs, sets, percent), "links")
         if not more.isEmpty():
             labels = components(labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).filter("a <> b").union(more))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(v.as_py(), n, words) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
-                names=[id, "n_shingles", "sid"],
-            )
-
-    kind = docs.schema[id].dataType.simpleString()
-    rows = stage(docs.select(id, F.col(text).cast("binary").alias("t")).mapInArrow(keyed, f"`{id}` {kind}, n_shingles long, sid long"), "sets")
+    rows = once.filter("bucket is null").select(id, "n_shingles", "sid")
     # one row for each class of equal sets, then one for each component: both summed before they are sent
     first = rows.filter("sid is not null").groupBy("sid").agg(F.min(id).alias("first"))
     first = first.join(labels, "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
     least = first.groupBy("label").agg(F.min("first").alias("component_id"))
     known = first.join(least, "label").select("sid", "component_id")
     return rows.join(known, "sid", "left").select(id, "n_shingles", "sid", F.expr(f"if(sid is null, `{id}`, component_id)").alias("component_id"))
-
-
-def _tested(docs: DataFrame, pairs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    sids = stage(pairs.select("a").union(pairs.select("b")).toDF("sid").distinct(), "candidates")
-    sets = stage(candidate_sets(docs, n, text, sids), "sets")
-    return stage(linked(pairs, sets, percent), "links")

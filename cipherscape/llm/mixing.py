@@ -1,14 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame functions only.
 
 Every document of a source is to be copied ``target / source_size`` times.  The
-whole part is certain; the fractions are rounded dependently.  Two documents
-meet, and one gives copy probability to the other, in words, until a probability
-is 0 or 1.  The direction is random such that each expectation stays what it
-was, and the expected words of the pair stay the same in each step, so a source
-ends within one document of its target.
-
-Documents are dealt to blocks by a hash; within a block they meet in order of
-falling size, and one residual document remains.  The residuals of all blocks
+whole part is certain; the fractions are rounded dependently.  Two sides meet, and
+one gives copy probability to the other, in words, until one side is integral.
+The direction is random such that each expectation stays what it was, and the
+expected words of both together stay the same in each step.
+
+Documents are dealt to blocks by a hash; within a block each, from the largest
+on, meets the pool of the smaller ones after it, whose probabilities move alike,
+so a large document is settled at once and the residual that remains is small:
+a source ends within about one small document of its target.  The residuals of all blocks
 meet in blocks again: a reduction tree whose every level has a ``block``-th of the
 rows before, so a source that holds a third of the corpus is many small tasks.
 Random numbers are hashes of the document, so reruns agree.
@@ -65,26 +66,38 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def _met(done: Column, x: Column) -> Column:
-    """One meeting: the residual document of ``done`` and the next document x."""
+    """One meeting: document x and the pool of the smaller documents after it trade words.
 
-    def moved(t: Column) -> Column:
-        a, b = t["a"], t["b"]
-        up = F.least(1 - a["p"], b["p"] * b["size"] / a["size"])  # what a can take
-        down = F.least(a["p"], (1 - b["p"]) * b["size"] / a["size"])  # what a can give
-        return F.struct(a.alias("a"), b.alias("b"), up.alias("up"), down.alias("down"))
-
-    def turned(t: Column) -> Column:
-        a, b, up, down = t["a"], t["b"], t["up"], t["down"]
-        rises = b["u"] * (up + down) < down
-        pa = F.when(rises, a["p"] + up).otherwise(a["p"] - down)
-        pb = F.when(rises, b["p"] - up * a["size"] / b["size"]).otherwise(b["p"] + down * a["size"] / b["size"])
-        a_ends = F.when(rises, up >= 1 - a["p"]).otherwise(down >= a["p"])
-        fixed = F.when(a_ends, a.withField("p", F.round(pa))).otherwise(b.withField("p", F.round(pb)))
-        left = F.when(a_ends, b.withField("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), pb)))).otherwise(a.withField("p", pa))
-        return F.struct(F.concat(t["fixed"], F.array(fixed)).alias("fixed"), left.alias("left"))
+    The pool's probabilities are ``a + b * p``; it holds ``size`` words, ``mass`` of
+    them expected.
+    """
 
-    pair = F.struct(done["left"].alias("a"), x.alias("b"))
-    return _let(pair, lambda t: _let(moved(t), lambda m: turned(F.struct(m["a"].alias("a"), m["b"].alias("b"), m["up"].alias("up"), m["down"].alias("down"), done["fixed"].alias("fixed")))))
+    def offered(t: Column) -> Column:
+        p = t["a"] + t["b"] * t["x"]["p"]
+        size = t["size"] - t["x"]["size"]
+        return F.struct(t["x"].alias("x"), t["a"].alias("a"), t["b"].alias("b"), p.alias("p"), size.alias("size"), (t["mass"] - p * t["x"]["size"]).alias("mass"))
+
+    def weighed(t: Column) -> Column:
+        own, mass, room = t["x"]["size"], F.greatest(t["mass"], F.lit(0.0)), F.greatest(t["size"] - t["mass"], F.lit(0.0))
+        up, down = F.least((1 - t["p"]) * own, mass), F.least(t["p"] * own, room)  # words that x can take, and give
+        # such that no expectation changes; a probability of 1 stays
+        rises = (t["x"]["u"] * (up + down) < down) | (t["p"] >= 1)
+        ends = F.when(rises, up >= (1 - t["p"]) * own).otherwise(down >= t["p"] * own)
+        left = 1 - F.when(rises, F.when(mass > 0, up / mass).otherwise(0.0)).otherwise(F.when(room > 0, down / room).otherwise(0.0))
+        return F.struct(
+            t["x"].withField("p", F.when(ends, F.when(rises, 1.0).otherwise(0.0)).otherwise(F.when(rises, t["p"] + up / own).otherwise(t["p"] - down / own))).alias("x"),
+            ends.alias("ends"), F.when(rises, t["a"] * left).otherwise(1 - left + t["a"] * left).alias("a"), (t["b"] * left).alias("b"),
+            t["size"].alias("size"), F.when(rises, t["mass"] - up).otherwise(t["mass"] + down).alias("mass"),
+        )
+
+    def settled(t: Column) -> Column:
+        return F.struct(
+            F.when(t["ends"], F.concat(done["fixed"], F.array(t["x"]))).otherwise(done["fixed"]).alias("fixed"),
+            F.when(t["ends"], done["residual"]).otherwise(t["x"]).alias("residual"), *[t[c].alias(c) for c in ("a", "b", "size", "mass")],
+        )
+
+    start = F.struct(x.alias("x"), *[done[c].alias(c) for c in ("a", "b", "size", "mass")])
+    return _let(start, lambda t: _let(offered(t), lambda o: _let(weighed(o), settled)))
 
 
 def rounded(rows: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
@@ -103,11 +116,22 @@ def rounded(rows: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
         random = F.shiftrightunsigned(F.xxhash64(F.col("key"), F.lit(seed), F.lit(2 * level + 1)), 11) / float(1 << 53)
         item = F.struct((-F.col("size")).alias("order"), random.alias("u"), F.col("row"), F.col("key"), F.col("size"), F.col("p"))
         groups = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(item)).alias("items"), F.max(blocks).alias("n"))
-        start = F.struct(F.slice("items", 1, 0).alias("fixed"), F.element_at("items", 1).alias("left"))
-        folded = groups.select("source", "n", F.aggregate(F.expr("slice(items, 2, size(items))"), start, _met).alias("r"))
+        nothing = F.expr("if(false, items[0], null)")
+        size = F.aggregate("items", F.lit(0.0), lambda t, x: t + x["size"])
+        mass = F.aggregate("items", F.lit(0.0), lambda t, x: t + x["p"] * x["size"])
+        start = F.struct(
+            F.slice("items", 1, 0).alias("fixed"), nothing.alias("residual"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), size.alias("size"), mass.alias("mass")
+        )
+        # the last document of a block has no pool; it is the residual unless one was left before
+        folded = groups.select("source", "n", F.element_at("items", -1).alias("last"), F.aggregate(F.expr("slice(items, 1, size(items) - 1)"), start, _met).alias("r"))
         folded = stage(folded, "mixed")
-        parts.append(folded.select(F.explode("r.fixed").alias("x")).select("x.row", F.col("x.p").cast("int").alias("extra")))
-        now = folded.select("r.left.row", "source", "r.left.key", "r.left.size", "r.left.p", "n")
+        last = F.col("last").withField("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("r.a") + F.col("r.b") * F.col("last.p"))))
+        folded = folded.select(
+            "source", "n", F.when(F.col("r.residual").isNull(), F.col("r.fixed")).otherwise(F.concat("r.fixed", F.array(last))).alias("fixed"),
+            F.coalesce("r.residual", last).alias("left"),
+        )
+        parts.append(folded.select(F.explode("fixed").alias("x")).select("x.row", F.round("x.p").cast("int").alias("extra")))
+        now = folded.select("left.row", "source", "left.key", "left.size", "left.p", "n")
         level += 1
         if largest <= block:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherscape.llm import jaccard, lines, mixing, packing, quality, substring, warc
+from cipherscape.llm import html_crf, jaccard, licenses, lines, mixing, packing, quality, substring, topk, warc
 from cipherscape.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("paragraph")
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.line_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -48,6 +52,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = pages.withColumn("text", html_crf.extracted(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.substring_digest(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -55,11 +69,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
+        "op2_topk": op2_topk,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
+        "op8_licenses": op8_licenses,
         "op9_line_rules": op9_line_rules,
         "op10_jaccard_join": op10_jaccard_join,
     }

@@ -83,7 +83,7 @@ class WarcWriter(DataSourceArrowWriter):
             for row in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
                 if out is None:
                     names.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, size = store.open_output_stream(f"{root}/{names[-1]}"), 0
+                    out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 key, url, kind, payload, n, sha1, refers_to = (x.as_py() for x in row)
                 pack = zlib.compressobj(3, zlib.DEFLATED, 31)
                 member = pack.compress(record(key or "", url or "", kind, payload or b"", n, sha1, refers_to, self.date)) + pack.flush()

@@ -1,6 +1,7 @@
 """The corpus pipeline: documents filtered, deduplicated, mixed and packed in stages.
 
-Each stage is written as Parquet and read again as the next one's documents.
+Each stage is written as Parquet and read again as the next one's documents; all
+but the last return the columns of documents.  ``run`` applies them in order.
 """
 
 from __future__ import annotations
@@ -8,10 +9,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from cipherscape.llm import jaccard, mixing, packing, quality, substring
+from cipherscape.llm.common import stage, table
+from cipherscape.llm.queries import vocabulary
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good; it learns from the labels of rows that aren't held out."""
+    found = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
+    return found.filter("predicted = 1").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked texts, the one with the smallest id; texts without words are no class."""
+    classes = jaccard.jaccard_classes(docs).select("doc_id", "sid", "component_id").distinct()
+    dropped = classes.filter("sid is not null and doc_id <> component_id").select("doc_id")
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    # rows that repeat an id and its text are copies too
+    again = kept.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    single = kept.join(again, "doc_id", "left_anti")
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that also start in a document with a smaller id."""
+    cut = substring.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return packing.packed(docs, vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("repeated passages", substring_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: SQL has no tokenizer, no classifier training and no dependent rounding; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

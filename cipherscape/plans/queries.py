@@ -1,15 +1,601 @@
-"""The registered queries of the inventory and the SQL that checks them."""
+"""The registered queries of the inventory and the SQL that checks them.
+
+Two honest inputs stand in for source repositories, which the test tables don't
+hold: the templated corpus (a snippet for each row of ``part``, with observations
+written by hand) and synthetic observations, jobs, reviews and scans laid out over
+the keys of ``lineitem``, ``events``, ``orders`` and ``customer``.  The SQL repeats a
+query's meaning in its own words.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cipherscape.functions import vocab
+from cipherscape.operators import derive, discovery, lifecycle, parse, persist, resolve, rules
+from cipherscape.plans import read
+from cipherscape.sources import templates
+from cipherscape.streaming import replay
+
+REPOSITORY = "github/Example/Repo"
+N = len(templates.TEMPLATES)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- the templated corpus ------------------------------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.corpus(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+
+
+def _parsed(spark: SparkSession, sf_dir: str, *wanted: str, lines: bool = False) -> DataFrame:
+    """Parsed once and kept, as several joins read it."""
+    return parse.parse_files(discovery.supported(_files(spark, sf_dir)), wanted or ("imports", "symbols", "calls", "names", "assignments", "annotations"), lines).persist()
+
+
+_PATH = "'pkg' || (p_partkey % 7) || '/mod_' || p_partkey || '.py'"
+_EXPECTED = f"SELECT {_PATH} AS path, 'pkg' || (p_partkey % 7) || '.mod_' || p_partkey AS module, e.* FROM part JOIN {templates.expected_sql()} ON p_partkey % {N} = e.template"
+
+
+def _matches(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = rules.REGISTRY[rule](rules.Context(_parsed(spark, sf_dir)))
+        return found.select(
+            "path", F.col("loc.start_line").cast("long").alias("line"), "algorithm", "api", "operation", "confidence", "evidence_basis",
+            F.col("enclosing_function").alias("fn"), F.col("enclosing_class").alias("cls"),
+        )
+
+    return query
+
+
+def _matches_sql(rule: str) -> str:
+    return f"SELECT path, CAST(line AS BIGINT) AS line, algorithm, api, operation, confidence, evidence_basis, fn, cls FROM ({_EXPECTED}) WHERE rule_id = '{rule}'"
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _parsed(spark, sf_dir, lines=True)
+    return derive.findings(rules.matches(parsed), parsed, F.lit(REPOSITORY))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by algorithm, role and review path."""
+    return _findings(spark, sf_dir).groupBy("algorithm", "role", "review_path").agg(F.count("*").alias("n"))
+
+
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select(
+        "path", "rule_id", F.col("start_line").cast("long").alias("line"), "api", "role", "review_path", "is_migration_candidate", "fingerprint", "priority",
+        F.col("priority_score").cast("long").alias("priority_score"), F.col("node_count").cast("long").alias("node_count"),
+    )
+
+
+_ROLE = """CASE WHEN {p} = 'HASH' THEN 'HASH' WHEN upper(trim({a})) IN ('AES','CHACHA20','3DES','DES','CAMELLIA') THEN 'SYMMETRIC_ENCRYPTION'
+ WHEN {o} IN ('SIGN','VERIFY') THEN 'DIGITAL_SIGNATURE' WHEN {o} = 'KEY_ESTABLISHMENT' THEN 'KEY_ESTABLISHMENT'
+ WHEN {o} IN ('ENCRYPT','DECRYPT') AND upper(trim({a})) = 'RSA' THEN 'KEY_ESTABLISHMENT'
+ WHEN {o} = 'KEY_GENERATION' AND upper(trim({a})) IN ('ECDSA','ED25519','ED448') THEN 'DIGITAL_SIGNATURE'
+ WHEN {o} = 'KEY_GENERATION' AND upper(trim({a})) IN ('ECDH','X25519','X448','DH','DIFFIE-HELLMAN') THEN 'KEY_ESTABLISHMENT' ELSE 'UNKNOWN' END"""
+_PQC = """CASE WHEN role = 'DIGITAL_SIGNATURE' AND upper(trim(algorithm)) IN ('RSA','ECDSA','ED25519','ED448','DSA') THEN 'ML-DSA / SLH-DSA'
+ WHEN role = 'KEY_ESTABLISHMENT' AND upper(trim(algorithm)) IN ('RSA','ECDH','X25519','X448','DH','DIFFIE-HELLMAN') THEN 'ML-KEM'
+ WHEN role = 'SYMMETRIC_ENCRYPTION' AND upper(trim(algorithm)) IN ('AES','CHACHA20','3DES','DES','CAMELLIA') THEN 'KEY / IMPLEMENTATION REVIEW'
+ WHEN role = 'HASH' THEN 'HASH / POLICY REVIEW' ELSE 'MANUAL REVIEW' END"""
+_SCORE = """(CASE WHEN upper(trim(algorithm)) IN ('ML-KEM','ML-DSA','SLH-DSA','KYBER','DILITHIUM','FALCON','SPHINCS+','XMSS','LMS') THEN
+   (CASE confidence WHEN 'HIGH' THEN 30 WHEN 'MEDIUM' THEN 15 WHEN 'LOW' THEN 5 ELSE 0 END)
+  ELSE (CASE confidence WHEN 'HIGH' THEN 30 WHEN 'MEDIUM' THEN 15 WHEN 'LOW' THEN 5 ELSE 0 END)
+  + (CASE WHEN upper(trim(algorithm)) IN ('RSA','DSA','ECDSA','ECDH','ED25519','ED448','EDDSA','X25519','X448','DH','DIFFIE-HELLMAN','ECC','ELGAMAL') THEN 40
+     WHEN upper(trim(algorithm)) IN ('SHA-1','MD5','MD4') THEN 25
+     WHEN upper(trim(algorithm)) IN ('SHA-224','SHA-256','SHA-384','SHA-512','SHA-3','SHA3-224','SHA3-256','SHA3-384','SHA3-512','SHAKE128','SHAKE256','SM3','BLAKE2B','BLAKE2S') THEN 15
+     WHEN upper(trim(algorithm)) IN ('AES','CHACHA20','3DES','DES','BLOWFISH','RC4','ARC4') THEN 15 ELSE 10 END)
+  + greatest(CASE WHEN operation IN ('SIGN','VERIFY','KEY_GENERATION','KEY_ESTABLISHMENT') THEN 30 WHEN operation IN ('ENCRYPT','DECRYPT') THEN 25
+     WHEN operation IN ('CONSTRUCTION','HASH') THEN 10 ELSE 0 END, CASE WHEN role IN ('DIGITAL_SIGNATURE','KEY_ESTABLISHMENT') THEN 30 ELSE 0 END)
+  + (CASE WHEN node_count >= 5 THEN 10 ELSE 0 END) END)"""
+_MODERN = "upper(trim(algorithm)) IN ('ML-KEM','ML-DSA','SLH-DSA','KYBER','DILITHIUM','FALCON','SPHINCS+','XMSS','LMS')"
+_BAND = f"CASE WHEN {_MODERN} THEN 'LOW' WHEN priority_score >= 80 THEN 'HIGH' WHEN priority_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def _fingerprint_sql(path: str, fn: str, cls: str) -> str:
+    parts = (
+        "'repository=' || lower('github/Example/Repo')", f"'file_path=' || {path}", "'rule_id=' || rule_id", "'algorithm=' || upper(algorithm)", "'api=' || api",
+        "'operation=' || upper(operation)", f"'function=' || coalesce({fn}, '')", f"'class=' || coalesce({cls}, '')",
+    )
+    return f"sha256(concat_ws(chr(31), {', '.join(parts)}))"
+
+
+_DERIVED = f"""WITH m AS ({_EXPECTED}), r AS (SELECT *, {_ROLE.format(p="CASE WHEN rule_id = 'PY-CRYPTO-HASH' THEN 'HASH' ELSE algorithm END", a="algorithm", o="operation")} AS role,
+ 4 + (CASE WHEN fn IS NULL THEN 0 ELSE 1 END) + (CASE WHEN cls IS NULL THEN 0 ELSE 1 END) AS node_count FROM m),
+ q AS (SELECT *, {_PQC} AS review_path, {_SCORE} AS priority_score FROM r)"""
+
+
+def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    return parse.parse_summary(_parsed(spark, sf_dir), discovery.classify(files))
+
+
+def parse_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda c: F.size(c).cast("long").alias(c)
+    return _parsed(spark, sf_dir).select("path", "module_path", F.col("error.error_type").alias("error_type"), size("imports"), size("symbols"), size("calls"))
+
+
+def import_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.import_index(_parsed(spark, sf_dir, "imports")).select("path", "local_name", "qualified_name")
+
+
+_IMPORTS = [
+    # written by hand: template, local name, what it refers to
+    ("rsa_forms", "cryptography", "cryptography"), ("rsa_forms", "r", "asymmetric.rsa"), ("rsa_forms", "rsa", "asymmetric.rsa"), ("rsa_forms", "gen", "asymmetric.rsa.generate_private_key"),
+    ("rsa_annotated", "rsa", "asymmetric.rsa"), ("rsa_annotated", "RSAPrivateKey", "asymmetric.rsa.RSAPrivateKey"), ("rsa_annotated", "Pub", "asymmetric.rsa.RSAPublicKey"),
+    ("rsa_constructed", "rsa", "asymmetric.rsa"), ("rsa_alias_order", "RSAPrivateKey", "asymmetric.rsa.RSAPrivateKey"), ("rsa_erased", "rsa", "asymmetric.rsa"),
+    ("rsa_scopes", "rsa", "asymmetric.rsa"), ("rsa_class_call", "RSAPrivateKey", "asymmetric.rsa.RSAPrivateKey"), ("rsa_class_call", "RSAPublicKey", "asymmetric.rsa.RSAPublicKey"),
+    ("ed25519", "Ed25519PrivateKey", "asymmetric.ed25519.Ed25519PrivateKey"), ("ed25519", "Ed25519PublicKey", "asymmetric.ed25519.Ed25519PublicKey"), ("x25519", "x25519", "asymmetric.x25519"),
+    ("ecdsa", "hashes", "hashes"), ("ecdsa", "ec", "asymmetric.ec"), ("ecdsa", "curves", "asymmetric.ec"), ("ecdh", "ec", "asymmetric.ec"),
+    ("aes", "Cipher", "ciphers.Cipher"), ("aes", "algorithms", "ciphers.algorithms"), ("aes", "modes", "ciphers.modes"), ("aes", "AESGCM", "ciphers.aead.AESGCM"),
+    ("hashes", "hashes", "hashes"), ("hashes", "B", "hashes.BLAKE2b"), ("hashes", "Hash", "hashes.Hash"), ("repeated", "hashes", "hashes"),
+]
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + f") AS v({columns})"
+
+
+_PLACE = {t.name: k for k, t in enumerate(templates.TEMPLATES)}
+_SHAPES = _values([(k, *(t.shape or (0, 0, 0)), None if t.shape else "SYNTAX_ERROR") for k, t in enumerate(templates.TEMPLATES)], "template, imports, symbols, calls, error_type")
+_INDEX = _values([(_PLACE[t], n, q if q == "cryptography" else vocab.ROOT + q) for t, n, q in _IMPORTS], "template, local_name, qualified_name")
+
+
+def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names provably hold, after annotations, constructors, derivations and aliases."""
+    context = rules.Context(_parsed(spark, sf_dir))
+    return context.bindings.select("path", "rule_id", "scope", "name", "kind", "basis", "confidence")
+
+
+_BINDINGS = [
+    # written by hand: template, rule, scope, name, kind, basis, confidence
+    ("rsa_forms", "RSA", "", "a", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"), ("rsa_forms", "RSA", "", "b", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"),
+    ("rsa_forms", "RSA", "", "c", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"), ("rsa_forms", "RSA", "", "d", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"),
+    ("rsa_annotated", "RSA", "f", "k", "PRIVATE", "CLASS_ANNOTATION", "HIGH"), ("rsa_annotated", "RSA", "f", "p", "PUBLIC", "CLASS_ANNOTATION", "HIGH"),
+    ("rsa_annotated", "RSA", "g", "k", "PRIVATE", "CLASS_ANNOTATION", "HIGH"), ("rsa_constructed", "RSA", "f", "k", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"),
+    ("rsa_constructed", "RSA", "f", "p", "PUBLIC", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"), ("rsa_constructed", "RSA", "f", "q", "PRIVATE", "ESTABLISHED_ALIAS", "MEDIUM"),
+    ("rsa_alias_order", "RSA", "alias", "k", "PRIVATE", "CLASS_ANNOTATION", "HIGH"), ("rsa_alias_order", "RSA", "alias", "a", "PRIVATE", "ESTABLISHED_ALIAS", "MEDIUM"),
+    ("rsa_alias_order", "RSA", "alias_then_unknown", "k", "PRIVATE", "CLASS_ANNOTATION", "HIGH"), ("rsa_alias_order", "RSA", "unknown_then_alias", "k", "PRIVATE", "CLASS_ANNOTATION", "HIGH"),
+    ("rsa_alias_order", "RSA", "unknown_then_alias", "a", "PRIVATE", "ESTABLISHED_ALIAS", "MEDIUM"), ("rsa_alias_order", "RSA", "two_hops", "k", "PRIVATE", "CLASS_ANNOTATION", "HIGH"),
+    ("rsa_alias_order", "RSA", "two_hops", "b", "PRIVATE", "ESTABLISHED_ALIAS", "MEDIUM"), ("rsa_scopes", "RSA", "", "KEY", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"),
+    ("rsa_scopes", "RSA", "outer", "k", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"), ("ed25519", "ED25519", "f", "k", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"),
+    ("ed25519", "ED25519", "f", "v", "PUBLIC", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"), ("ed25519", "ED25519", "f", "w", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"),
+    ("x25519", "X25519", "f", "k", "PRIVATE", "CLASS_ANNOTATION", "HIGH"), ("x25519", "X25519", "f", "p", "PUBLIC", "CLASS_ANNOTATION", "HIGH"),
+    ("x25519", "X25519", "f", "n", "PRIVATE", "CONSTRUCTOR_ASSIGNMENT", "MEDIUM"),
+]
+_BOUND = _values([(_PLACE[b[0]], "PY-CRYPTO-" + b[1], *b[2:]) for b in _BINDINGS], "template, rule_id, scope, name, kind, basis, confidence")
+
+
+def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source shown for hash observations."""
+    parsed = _parsed(spark, sf_dir, lines=True)
+    found = derive.findings(rules.hash_rule(rules.Context(parsed)), parsed, F.lit(REPOSITORY))
+    return found.select("path", F.col("start_line").cast("long").alias("line"), "api", "source_excerpt", "truncated")
+
+
+# -- discovery ------------------------------------------------------------------------
+
+_TREE = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'src/a' WHEN 1 THEN '.git/hooks' WHEN 2 THEN 'a-b' WHEN 3 THEN 'a' ELSE 'lib/_x' END || '/f' || p_partkey
+ || (CASE p_partkey % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.PY' ELSE '.py' END) AS path,
+ CASE p_partkey % 4 WHEN 0 THEN 'x = 1' WHEN 1 THEN 'nul' ELSE p_name END AS text, CASE WHEN p_partkey % 6 = 0 THEN 5242881 WHEN p_partkey % 6 = 1 THEN 5242880 ELSE 10 END AS size FROM part"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    rows = spark.sql(_TREE)
+    content = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.encode("text", "utf-8"), F.lit(b"\x00"))).when(F.col("p_partkey") % 28 == 2, F.lit(b"\xff\xfe")).otherwise(F.encode("text", "utf-8"))
+    return rows.select(F.lit("s").alias("snapshot_id"), "path", F.col("size").cast("long").alias("size"), content.alias("content"))
+
+
+_SKIP = """CASE WHEN path LIKE '.git/%' THEN 'IGNORED_PATH' WHEN path NOT LIKE '%.py' THEN 'UNSUPPORTED_LANGUAGE' WHEN size > 5242880 THEN 'TOO_LARGE'
+ WHEN p_partkey % 4 = 1 THEN 'BINARY_FILE' WHEN p_partkey % 28 = 2 THEN 'INVALID_ENCODING' END"""
+
+
+def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.classify(_tree(spark, sf_dir)).drop("snapshot_id")
+
+
+def skip_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.summary(discovery.classify(_tree(spark, sf_dir))).select("total_files", "analyzed_files", "skipped_files", F.explode("skipped_reasons").alias("skip_reason", "n"))
+
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 5).cast("string").alias("snapshot_id"), F.concat(F.lit("d/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.encode("p_name", "utf-8").alias("content")
+    )
+    return discovery.content_hash(rows)
+
+
+_URLS = """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'https://github.com/own' || c_custkey || '/re.po' WHEN 1 THEN ' https://github.com/a-b/c_d.git ' WHEN 2 THEN 'http://github.com/a/b'
+ WHEN 3 THEN 'https://github.com/a' WHEN 4 THEN 'https://user@github.com/a/b' WHEN 5 THEN 'https://github.com/a/b?x=1' WHEN 6 THEN 'https://github.com/a/b/c' ELSE 'https://github.com/O' || c_custkey || '/R/' END AS url,
+ CASE c_custkey % 5 WHEN 0 THEN ' ABCDEF0123 ' WHEN 1 THEN 'abcdef' WHEN 2 THEN '0123456789abcdef0123456789abcdef01234567' WHEN 3 THEN 'xyz1234' ELSE 'abc' || (c_custkey % 10) || 'def0' END AS ref FROM customer"""
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(_URLS)
+
+
+def repo_url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refs(spark, sf_dir).withColumn("r", discovery.repository_columns(F.col("url"))).select("c_custkey", "r.owner", "r.name", "r.canonical_url")
+
+
+def sha_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _refs(spark, sf_dir).withColumn("sha", discovery.commit_sha(F.col("ref")))
+    full = F.lit("abcdef0123" + "0" * 30)
+    return found.select("c_custkey", "sha", F.coalesce(discovery.is_full_sha(F.col("sha")), F.lit(False)).alias("is_full"), F.coalesce(discovery.extends(full, F.col("ref")), F.lit(False)).alias("matches"))
+
+
+# -- synthetic observations ------------------------------------------------------------
+
+_OBSERVED = """SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS BIGINT) AS ln, 'scan' || (l_orderkey % 4) AS scan_id,
+ CASE (l_orderkey + l_linenumber) % 11 WHEN 0 THEN 'RSA' WHEN 1 THEN 'ECDSA' WHEN 2 THEN 'Ed25519' WHEN 3 THEN 'X25519' WHEN 4 THEN 'ECDH' WHEN 5 THEN 'AES' WHEN 6 THEN 'SHA-256'
+  WHEN 7 THEN 'SHA-1' WHEN 8 THEN 'BLAKE2b' WHEN 9 THEN 'ML-KEM' ELSE 'FOO' END AS algorithm,
+ CASE WHEN (l_orderkey + l_linenumber) % 11 IN (6, 7, 8) THEN 'HASH' ELSE 'KEYED' END AS primitive,
+ CASE l_partkey % 8 WHEN 0 THEN 'SIGN' WHEN 1 THEN 'VERIFY' WHEN 2 THEN 'KEY_GENERATION' WHEN 3 THEN 'KEY_ESTABLISHMENT' WHEN 4 THEN 'ENCRYPT' WHEN 5 THEN 'DECRYPT' WHEN 6 THEN 'CONSTRUCTION' ELSE 'HASH' END AS operation,
+ CASE l_suppkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'UNKNOWN' END AS confidence,
+ CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'f' || (l_partkey % 5) END AS fn, CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE 'C' || (l_suppkey % 3) END AS cls,
+ CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 'pkg.m' || (l_partkey % 20) END AS module, 'pkg/m' || (l_partkey % 20) || '.py' AS path, 'api' || (l_partkey % 8) AS api,
+ 'R' || ((l_orderkey + l_linenumber) % 11) AS rule_id, CAST(l_linenumber * 10 + l_partkey % 7 AS BIGINT) AS start_line FROM lineitem"""
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql(_OBSERVED)
+
+
+def _with_role(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("role", derive.role(F.col("primitive"), F.col("algorithm"), F.col("operation")))
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("nodes", derive.impact_nodes(*[F.col(c) for c in ("algorithm", "api", "fn", "cls", "module", "path", "confidence")]))
+
+
+def role_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_role(_observed(spark, sf_dir)).select("k", "ln", "role")
+
+
+def pqc_review_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = derive.review_path(F.col("role"), F.col("algorithm"))
+    return _with_role(_observed(spark, sf_dir)).groupBy("algorithm", "role", path.alias("review_path"), derive.is_candidate(path).alias("is_candidate")).agg(F.count("*").alias("n"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nodes(_with_role(_observed(spark, sf_dir))).withColumn("node_count", F.size("nodes"))
+    rows = rows.withColumn("p", derive.priority(F.col("confidence"), F.lit("CLASS_IMPORT"), F.col("algorithm"), F.col("operation"), F.col("role"), F.col("node_count")))
+    return rows.withColumn("priority_score", F.col("p.score").cast("long")).withColumn("priority", F.col("p.level"))
+
+
+_ROLES = f"SELECT *, {_ROLE.format(p='primitive', a='algorithm', o='operation')} AS role, 3 + (CASE WHEN fn IS NULL THEN 0 ELSE 1 END) + (CASE WHEN cls IS NULL THEN 0 ELSE 1 END) + (CASE WHEN module IS NULL THEN 0 ELSE 1 END) AS node_count FROM ({_OBSERVED})"
+_SCORED = f"SELECT *, {_BAND} AS priority FROM (SELECT *, CAST({_SCORE} AS BIGINT) AS priority_score FROM ({_ROLES}))"
+
+
+def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("k", "ln", "priority_score", "priority", F.size("p.reasons").cast("long").alias("reasons"))
+
+
+def impact_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nodes(_observed(spark, sf_dir)).select("k", "ln", F.posexplode("nodes").alias("place", "n"))
+    return rows.select("k", "ln", F.col("place").cast("long").alias("place"), "n.id", "n.relationship")
+
+
+def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nodes(_observed(spark, sf_dir)).select("k", "ln", F.explode(derive.impact_edges(F.col("nodes"))).alias("e"))
+    return rows.select("k", "ln", "e.source", "e.target", "e.relationship")
+
+
+_CHAIN = f"""SELECT k, ln, unnest(nodes) AS x, generate_subscripts(nodes, 1) - 1 AS place, nodes FROM (SELECT k, ln, list_filter([
+ {{'kind': 'ALGORITHM', 'id': 'ALGORITHM:' || algorithm, 'rel': NULL}}, {{'kind': 'API', 'id': 'API:' || api, 'rel': 'USES'}}, {{'kind': 'FUNCTION', 'id': 'FUNCTION:' || fn, 'rel': 'CALLS'}},
+ {{'kind': 'CLASS', 'id': 'CLASS:' || cls, 'rel': 'CONTAINS'}}, {{'kind': 'MODULE', 'id': 'MODULE:' || module, 'rel': 'CONTAINS'}}, {{'kind': 'FILE', 'id': 'FILE:' || path, 'rel': 'DEFINED_IN'}}], lambda n: n.id IS NOT NULL) AS nodes FROM ({_OBSERVED}))"""
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("path", "rule_id", "algorithm", "api", "operation", "fn", "cls")
+    rows = _scored(spark, sf_dir).withColumn("fingerprint", derive.fingerprint(F.lit(REPOSITORY), *[F.col(c) for c in names]))
+    return rows
+
+
+_IDENTIFIED = f"SELECT *, {_fingerprint_sql('path', 'fn', 'cls')} AS fingerprint FROM ({_SCORED})"
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _identified(spark, sf_dir).select("k", "ln", "fingerprint")
+
+
+def scan_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _refs(spark, sf_dir)
+    owner = F.concat(F.lit(" Own"), F.col("c_custkey").cast("string"))
+    digest = derive.scan_identity(F.lit("GitHub"), owner, F.lit("Repo"), F.col("ref"), F.lit(vocab.PARSER_VERSION), F.lit(vocab.RULESET_VERSION), F.lit(vocab.PQC_VERSION))
+    return rows.select("c_custkey", digest.alias("digest"))
+
+
+_FIRST = ["path", "start_line", "rule_id", "api", "operation", "k", "ln"]
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.first_per_fingerprint(_identified(spark, sf_dir), _FIRST, "scan_id")
+
+
+_UNIQUE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, fingerprint ORDER BY path, start_line, rule_id, api, operation, k, ln) AS rn FROM ({_IDENTIFIED})) WHERE rn = 1"
+
+
+def dedup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unique(spark, sf_dir).select("scan_id", "fingerprint", "k", "ln", "start_line")
+
+
+def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.observation_counts(_identified(spark, sf_dir), "scan_id")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique findings with the columns of the persisted table."""
+    return _unique(spark, sf_dir).withColumn("id", persist.row_id("scan_id", "fingerprint")).withColumn("file_path", F.col("path")).withColumn("status", F.lit("ACTIVE"))
+
+
+_STORED = f"SELECT *, sha256(concat_ws(chr(31), scan_id, fingerprint)) AS id, path AS file_path FROM ({_UNIQUE})"
+_RANK_P = "CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFORMATIONAL' THEN 4 ELSE 9 END"
+_RANK_C = "CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 9 END"
+
+
+def findings_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.findings_page(_stored(spark, sf_dir), "scan1", page=2, size=50, confidence="HIGH").items.select("fingerprint", "file_path", "start_line", "priority", "review_path")
+
+
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = read.findings_page(_stored(spark, sf_dir), "scan1", page=1, size=50, role="HASH").meta
+    return meta.select(F.col("page").cast("long").alias("page"), F.col("page_size").cast("long").alias("page_size"), "total", "pages")
+
+
+def _reviews(findings: DataFrame) -> DataFrame:
+    status = F.when(F.col("k") % 3 == 0, "OPEN").when(F.col("k") % 3 == 1, "IN_REVIEW").otherwise("REVIEWED")
+    return findings.select(persist.row_id("id", F.lit("review")).alias("id"), F.col("id").alias("finding_id"), status.alias("status"), F.lit(None).cast("string").alias("assigned_to"), F.lit(None).cast("string").alias("note"))
+
+
+_QUEUE = f"SELECT *, sha256(concat_ws(chr(31), id, 'review')) AS review_id, CASE k % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_REVIEW' ELSE 'REVIEWED' END AS review_status FROM ({_STORED})"
+
+
+def review_queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = _stored(spark, sf_dir)
+    page = read.queue_page(_reviews(findings), findings, page=1, size=100, review_status="OPEN", algorithm="Ed25519")
+    return page.items.select("review_id", "finding_id", "review_status", "priority", "file_path", "start_line")
+
+
+def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = _stored(spark, sf_dir)
+    return read.review_queue(_reviews(findings), findings).groupBy("scan_id", "review_status", "priority").agg(F.count("*").alias("n"))
+
+
+def engine_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _identified(spark, sf_dir).filter("scan_id = 'scan2'")
+    return rows.orderBy(F.col("priority_score").desc(), "path", "start_line", "rule_id", "api", "operation", "k", "ln").limit(200).select("k", "ln", "priority_score")
+
+
+def finding_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = _stored(spark, sf_dir)
+    evidence = findings.select(F.col("id").alias("finding_id"), F.concat(F.lit("line "), F.col("start_line").cast("string")).alias("source_excerpt"), "rule_id", F.lit("p").alias("parser_version"), F.lit("r").alias("ruleset_version"))
+    nodes = findings.select(F.col("id").alias("finding_id"), F.explode(F.filter("nodes", lambda n: n["node_type"] != "ALGORITHM")).alias("n")).select("finding_id", "n.*").drop("id")
+    findings = findings.drop("nodes", "node_count")
+    shown = read.details(findings.drop("rule_id").withColumns({c: F.lit(None).cast("int") for c in ("end_line", "start_column", "end_column")} | {"library": F.lit(vocab.LIBRARY)}), evidence, nodes, _reviews(findings))
+    return shown.select(
+        "finding_id", F.col("observed.enclosing_function").alias("fn"), F.col("observed.enclosing_class").alias("cls"), F.col("observed.source_excerpt").alias("excerpt"),
+        F.col("impact.node_count").alias("node_count"), F.col("migration.review_path").alias("review_path"), F.col("review.status").alias("review_status"),
+    )
+
+
+def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stored(spark, sf_dir)
+    return read.diff(rows.filter("scan_id = 'scan0'"), rows.filter("scan_id = 'scan1'")).groupBy("change").agg(F.count("*").alias("n"))
+
+
+# -- lifecycle --------------------------------------------------------------------------
+
+_JOBS = """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 4 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+ CAST(o_orderkey % 4 AS INT) AS attempt_count, 3 AS max_attempts, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 > 0 THEN o_orderdate END AS locked_at, CASE WHEN o_orderkey % 4 = 1 THEN 'w' END AS locked_by,
+ CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate END AS started_at, CAST(NULL AS TIMESTAMP) AS completed_at, CAST(NULL AS VARCHAR) AS last_error, o_orderdate AS created_at FROM orders"""
+_NOW = "2030-01-01 00:00:00"
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_JOBS.replace("VARCHAR", "STRING"))
+
+
+def job_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lifecycle.claim(_jobs(spark, sf_dir), "me", F.lit(_NOW).cast("timestamp"))
+    return found.filter("locked_by = 'me'").select("id", "status", F.col("attempt_count").cast("long").alias("attempt_count"))
+
+
+def stale_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lifecycle.reclaim(_jobs(spark, sf_dir), F.expr("timestamp'1995-06-01 00:00:00'"))
+    return found.groupBy("status", F.col("locked_by").isNull().alias("unlocked")).agg(F.count("*").alias("n"), F.sum(F.col("attempt_count").cast("long")).alias("attempts"))
+
+
+def job_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = _jobs(spark, sf_dir)
+    outcomes = jobs.filter("cast(id as bigint) % 5 < 3").select("id", F.when(F.col("id").cast("long") % 5 == 0, F.lit(None).cast("string")).otherwise("boom").alias("error"))
+    found = lifecycle.finish(jobs, outcomes, F.lit(_NOW).cast("timestamp"))
+    return found.groupBy("status", "last_error", F.col("completed_at").isNotNull().alias("closed")).agg(F.count("*").alias("n"))
+
+
+_MOVES = """SELECT event_id, user_id AS key, CASE event_id % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'COMPLETED' ELSE 'QUEUED' END AS job_move,
+ CASE event_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_REVIEW' WHEN 2 THEN 'REVIEWED' END AS review_move, CASE WHEN event_id % 3 = 0 THEN 'a' || (event_id % 7) END AS who, CASE WHEN event_id % 5 = 0 THEN 'n' || (event_id % 9) END AS note FROM events"""
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(_MOVES)
+
+
+def job_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lifecycle.replay_jobs(_moves(spark, sf_dir).select(F.col("key").alias("job_id"), F.col("event_id").alias("seq"), F.col("job_move").alias("wanted")))
+    return found.select("job_id", "status", F.col("attempt_count").cast("long").alias("attempt_count"), F.col("rejected").cast("long").alias("rejected"))
+
+
+def review_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _moves(spark, sf_dir).select(F.col("key").alias("review_id"), F.col("event_id").alias("seq"), F.col("review_move").alias("status"), F.col("who").alias("assigned_to"), "note")
+    return lifecycle.replay_reviews(requests).select("review_id", "status", "assigned_to", "note", F.col("rejected").cast("long").alias("rejected"), F.size("audit").cast("long").alias("audited"))
+
+
+def review_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _moves(spark, sf_dir).filter("review_move is not null")
+    current = F.when(F.col("key") % 3 == 0, "OPEN").when(F.col("key") % 3 == 1, "IN_REVIEW").otherwise("REVIEWED")
+    found = lifecycle.with_validity(rows.select(current.alias("current"), F.col("review_move").alias("wanted")), vocab.REVIEW_MOVES, True)
+    return found.groupBy("current", "wanted", "is_valid").agg(F.count("*").alias("n"))
+
+
+_FOLD = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY event_id) AS rn FROM ({moves})),
+ s AS ({start} UNION ALL {step}) {result}"""
+_JOB_FOLD = _FOLD.format(
+    moves=_MOVES,
+    start="SELECT DISTINCT key, 0::BIGINT AS pos, 'QUEUED' AS status, 0::BIGINT AS attempts, 0::BIGINT AS rejected FROM e",
+    step="""SELECT key, pos + 1, CASE WHEN ok THEN wanted ELSE status END, attempts + (CASE WHEN ok AND wanted = 'RUNNING' THEN 1 ELSE 0 END), rejected + (CASE WHEN ok THEN 0 ELSE 1 END) FROM (
+ SELECT s.*, CASE WHEN e.job_move = 'FAILED' AND attempts < 3 THEN 'QUEUED' ELSE e.job_move END AS wanted,
+ status || '>' || (CASE WHEN e.job_move = 'FAILED' AND attempts < 3 THEN 'QUEUED' ELSE e.job_move END) IN ('QUEUED>RUNNING','QUEUED>CANCELLED','RUNNING>COMPLETED','RUNNING>FAILED','RUNNING>QUEUED','RUNNING>CANCELLED') AS ok
+ FROM s JOIN e ON e.key = s.key AND e.rn = s.pos + 1)""",
+    result="SELECT key AS job_id, arg_max(status, pos) AS status, max(attempts) AS attempt_count, max(rejected) AS rejected FROM s GROUP BY key",
+)
+_REVIEW_FOLD = _FOLD.format(
+    moves=_MOVES,
+    start="SELECT DISTINCT key, 0::BIGINT AS pos, 'OPEN' AS status, NULL::VARCHAR AS assigned_to, NULL::VARCHAR AS note, 0::BIGINT AS rejected, 0::BIGINT AS audited FROM e",
+    step="""SELECT key, pos + 1, CASE WHEN ok THEN wanted ELSE status END, CASE WHEN ok THEN coalesce(who, assigned_to) ELSE assigned_to END, CASE WHEN ok THEN coalesce(new_note, note) ELSE note END,
+ rejected + (CASE WHEN ok THEN 0 ELSE 1 END), audited + (CASE WHEN ok AND wanted <> status AND wanted <> 'OPEN' THEN 1 ELSE 0 END) FROM (
+ SELECT s.*, e.who, e.note AS new_note, coalesce(e.review_move, s.status) AS wanted, coalesce(e.review_move, s.status) = s.status
+  OR s.status || '>' || e.review_move IN ('OPEN>IN_REVIEW','IN_REVIEW>REVIEWED','IN_REVIEW>OPEN','REVIEWED>IN_REVIEW') AS ok FROM s JOIN e ON e.key = s.key AND e.rn = s.pos + 1)""",
+    result="SELECT key AS review_id, status, assigned_to, note, rejected, audited FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1",
+)
+
+_REPOS = "SELECT 'repo' || s_suppkey AS id, 'github' AS provider, 'own' || (s_suppkey % 30) AS owner, 'r' || s_suppkey AS name FROM supplier"
+_SCANS = """SELECT 'scan' || o_orderkey AS id, 'repo' || (o_orderkey % 20 + 1) AS repository_id, CASE WHEN o_orderkey % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, 'LIVE' AS source_state,
+ 'c' || (o_orderkey % 40) AS commit_sha, 'p' AS parser_version, 'r' || (o_orderkey % 2) AS ruleset_version, 'q' AS pqc_ruleset_version, o_orderdate AS created_at FROM orders"""
+_ASKED = """SELECT 'q' || c_custkey AS request_id, 'github' AS provider, 'own' || ((c_custkey % 25 + 1) % 30) AS owner, 'r' || (c_custkey % 25 + 1) AS name, 'c' || (c_custkey % 50) AS commit_sha,
+ 'p' AS parser_version, 'r1' AS ruleset_version, 'q' AS pqc_ruleset_version FROM customer"""
+
+
+def _cache_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    for name in ("supplier", "orders", "customer"):
+        _table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(_ASKED), spark.sql(_SCANS), spark.sql(_REPOS)
+
+
+def scan_cache_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.cache_hits(*_cache_input(spark, sf_dir)).select("request_id", "cached_scan_id")
+
+
+_HITS = f"""SELECT a.request_id, arg_min(s.id, (s.created_at, s.id)) AS cached_scan_id FROM ({_ASKED}) a LEFT JOIN (SELECT s.*, r.provider, r.owner, r.name FROM ({_SCANS}) s JOIN ({_REPOS}) r ON s.repository_id = r.id WHERE s.status = 'COMPLETED') s
+ USING (provider, owner, name, commit_sha, parser_version, ruleset_version, pqc_ruleset_version) GROUP BY a.request_id"""
+
+
+def create_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after, _ = lifecycle.create_scans(*_cache_input(spark, sf_dir))
+    return after.groupBy("status", "source_state").agg(F.count("*").alias("n"))
+
+
+def get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, _, repositories = _cache_input(spark, sf_dir)
+    return lifecycle.get_or_create(asked, repositories).select("provider", "owner", "name")
+
+
+def integrity_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = _stored(spark, sf_dir)
+    evidence = findings.filter("k % 10 > 0").select(F.col("id").alias("finding_id"))
+    return lifecycle.missing_evidence(findings, evidence).select("id", "k")
+
+
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, scans, repositories = _cache_input(spark, sf_dir)
+    left = repositories.filter("id <> 'repo3'")
+    gone = lifecycle.cascade(left, scans, "repository_id").groupBy("repository_id").agg(F.count("*").alias("n"))
+    nulled = lifecycle.cascade(left, scans, "repository_id", "SET NULL").groupBy("repository_id").agg(F.count("*").alias("n"))
+    return gone.withColumn("rule", F.lit("CASCADE")).unionByName(nulled.withColumn("rule", F.lit("SET NULL")))
+
+
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.windowed_counts(_table(spark, sf_dir, "events"), width="1 hour")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches(r) for r, _, _ in vocab.RULES}
+    own = (
+        flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation,
+        role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, page_meta,
+        review_queue_page, queue_counts, engine_queue, finding_detail, findings_diff, job_claim, stale_reclaim, job_finish, job_retry, review_fold, review_transitions,
+        scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
+    )
+    return found | {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stored = f"({_STORED})"
+    review_path = f"{_PQC} AS review_path"
+    return {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches_sql(r) for r, _, _ in vocab.RULES} | {
+        "flagship": f"{_DERIVED} SELECT algorithm, role, review_path, count(*) AS n FROM q GROUP BY ALL",
+        "all_findings": f"""{_DERIVED} SELECT path, rule_id, CAST(line AS BIGINT) AS line, api, role, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_migration_candidate,
+ {_fingerprint_sql("path", "fn", "cls")} AS fingerprint, {_BAND} AS priority, CAST(priority_score AS BIGINT) AS priority_score, CAST(node_count AS BIGINT) AS node_count FROM q""",
+        "parse_summary": f"SELECT count_if(error_type IS NULL) AS parsed_files, count_if(error_type IS NOT NULL) AS failed_files, count(*) AS total_files, count(*) AS analyzed_files, 0::BIGINT AS skipped_files FROM part JOIN {_SHAPES} ON p_partkey % {N} = template",
+        "parse_shapes": f"SELECT {_PATH} AS path, 'pkg' || (p_partkey % 7) || '.mod_' || p_partkey AS module_path, error_type, imports::BIGINT AS imports, symbols::BIGINT AS symbols, calls::BIGINT AS calls FROM part JOIN {_SHAPES} ON p_partkey % {N} = template",
+        "import_index": f"SELECT {_PATH} AS path, local_name, qualified_name FROM part JOIN {_INDEX} ON p_partkey % {N} = template",
+        "bindings": f"SELECT {_PATH} AS path, rule_id, scope, name, kind, basis, confidence FROM part JOIN {_BOUND} ON p_partkey % {N} = template",
+        "evidence_excerpt": f"SELECT {_PATH} AS path, CAST(line AS BIGINT) AS line, api, excerpt AS source_excerpt, false AS truncated FROM part JOIN {_excerpts()} ON p_partkey % {N} = template",
+        "discover_files": f"""SELECT path, CASE WHEN skip_reason IN ('IGNORED_PATH', 'UNSUPPORTED_LANGUAGE') THEN NULL ELSE 'python' END AS language, size::BIGINT AS size, coalesce(skip_reason = 'BINARY_FILE', false) AS is_binary,
+ skip_reason IS NULL AS is_supported, skip_reason FROM (SELECT *, {_SKIP} AS skip_reason FROM ({_TREE}))""",
+        "skip_histogram": f"""WITH d AS (SELECT {_SKIP} AS skip_reason FROM ({_TREE})) SELECT t.*, skip_reason, n FROM (SELECT skip_reason, count(*) AS n FROM d WHERE skip_reason IS NOT NULL GROUP BY 1),
+ (SELECT count(*) AS total_files, count_if(skip_reason IS NULL) AS analyzed_files, count_if(skip_reason IS NOT NULL) AS skipped_files FROM d) t""",
+        "content_hash": """SELECT CAST(p_partkey % 5 AS VARCHAR) AS snapshot_id, sha256(string_agg('d/' || p_partkey || '.py' || chr(0) || sha256(p_name) || chr(10), '' ORDER BY 'd/' || p_partkey || '.py')) AS content_hash,
+ count(*) AS file_count FROM part GROUP BY 1""",
+        "repo_url_parse": f"""SELECT c_custkey, o AS owner, n AS name, 'https://github.com/' || o || '/' || n AS canonical_url FROM (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'own' || c_custkey WHEN 1 THEN 'a-b' WHEN 7 THEN 'O' || c_custkey END AS o,
+ CASE c_custkey % 8 WHEN 0 THEN 're.po' WHEN 1 THEN 'c_d' WHEN 7 THEN 'R' END AS n FROM ({_URLS}))""",
+        "sha_validation": f"""SELECT c_custkey, sha, coalesce(length(sha) = 40, false) AS is_full, coalesce(starts_with('abcdef0123' || repeat('0', 30), sha), false) AS matches
+ FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 2, 4) THEN lower(trim(ref)) END AS sha FROM ({_URLS}))""",
+        "role_classification": f"SELECT k, ln, role FROM ({_ROLES})",
+        "pqc_review_path": f"SELECT algorithm, role, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_candidate, count(*) AS n FROM (SELECT *, {review_path} FROM ({_ROLES})) GROUP BY ALL",
+        "priority_score": f"""SELECT k, ln, priority_score, priority, CAST(CASE WHEN {_MODERN} THEN 2 ELSE 3 + (CASE WHEN role = 'UNKNOWN' THEN 0 ELSE 1 END) + (CASE WHEN node_count >= 5 THEN 1 ELSE 0 END) END AS BIGINT) AS reasons FROM ({_SCORED})""",
+        "impact_nodes": f"SELECT k, ln, place::BIGINT AS place, x.id AS id, x.rel AS relationship FROM ({_CHAIN})",
+        "impact_edges": f"""SELECT k, ln, CASE WHEN x.kind = 'FILE' THEN nodes[place].id ELSE x.id END AS source, CASE WHEN x.kind = 'FILE' THEN x.id ELSE nodes[place].id END AS target, x.rel AS relationship
+ FROM ({_CHAIN}) WHERE place > 0""",
+        "fingerprints": f"SELECT k, ln, fingerprint FROM ({_IDENTIFIED})",
+        "scan_identity": f"SELECT c_custkey, sha256(concat_ws(chr(31), 'github', 'own' || c_custkey, 'repo', lower(trim(ref)), 'python-ast-1', '0.3.0', '0.2.0')) AS digest FROM ({_URLS})",
+        "dedup_findings": f"SELECT scan_id, fingerprint, k, ln, start_line FROM ({_UNIQUE})",
+        "duplicate_counts": f"SELECT scan_id, count(*) AS observations, count(DISTINCT fingerprint) AS unique_findings, count(*) - count(DISTINCT fingerprint) AS duplicates FROM ({_IDENTIFIED}) GROUP BY 1",
+        "findings_page": f"SELECT fingerprint, file_path, start_line, priority, {review_path} FROM {stored} WHERE scan_id = 'scan1' AND confidence = 'HIGH' ORDER BY {_RANK_P}, {_RANK_C}, file_path, start_line, fingerprint LIMIT 50 OFFSET 50",
+        "page_meta": f"SELECT 1::BIGINT AS page, 50::BIGINT AS page_size, count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM {stored} WHERE scan_id = 'scan1' AND role = 'HASH'",
+        "review_queue_page": f"""SELECT review_id, id AS finding_id, review_status, priority, file_path, start_line FROM ({_QUEUE}) WHERE review_status = 'OPEN' AND algorithm = 'Ed25519'
+ ORDER BY {_RANK_P}, {_RANK_C}, file_path, start_line, review_id LIMIT 100""",
+        "queue_counts": f"SELECT scan_id, review_status, priority, count(*) AS n FROM ({_QUEUE}) GROUP BY ALL",
+        "engine_queue": f"SELECT k, ln, priority_score FROM ({_SCORED}) WHERE scan_id = 'scan2' ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln LIMIT 200",
+        "finding_detail": f"SELECT id AS finding_id, fn, cls, 'line ' || start_line AS excerpt, node_count::BIGINT - 1 AS node_count, {review_path}, review_status FROM ({_QUEUE})",
+        "findings_diff": f"""SELECT CASE WHEN a.fingerprint IS NULL THEN 'NEW' WHEN b.fingerprint IS NULL THEN 'RESOLVED' ELSE 'UNCHANGED' END AS change, count(*) AS n
+ FROM (SELECT fingerprint FROM {stored} WHERE scan_id = 'scan0') a FULL JOIN (SELECT fingerprint FROM {stored} WHERE scan_id = 'scan1') b ON a.fingerprint = b.fingerprint GROUP BY 1""",
+        "job_claim": f"SELECT id, 'RUNNING' AS status, attempt_count::BIGINT + 1 AS attempt_count FROM ({_JOBS}) WHERE status = 'QUEUED' ORDER BY created_at, id LIMIT 1",
+        "stale_reclaim": f"""SELECT CASE WHEN old THEN 'QUEUED' ELSE status END AS status, CASE WHEN old THEN NULL ELSE locked_by END IS NULL AS unlocked, count(*) AS n, sum(attempt_count)::BIGINT AS attempts
+ FROM (SELECT *, coalesce(status = 'RUNNING' AND locked_at < TIMESTAMP '1995-05-31 23:45:00', false) AS old FROM ({_JOBS})) GROUP BY 1, 2""",
+        "job_finish": f"""SELECT status, last_error, closed, count(*) AS n FROM (SELECT CASE WHEN NOT hit THEN status WHEN bad AND attempt_count < max_attempts THEN 'QUEUED' WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+ CASE WHEN hit AND bad THEN 'boom' END AS last_error, hit AND NOT (bad AND attempt_count < max_attempts) AS closed
+ FROM (SELECT *, status = 'RUNNING' AND id::BIGINT % 5 < 3 AS hit, id::BIGINT % 5 > 0 AS bad FROM ({_JOBS}))) GROUP BY ALL""",
+        "job_retry": _JOB_FOLD,
+        "review_fold": _REVIEW_FOLD,
+        "review_transitions": f"""SELECT current, wanted, current = wanted OR current || '>' || wanted IN ('OPEN>IN_REVIEW','IN_REVIEW>REVIEWED','IN_REVIEW>OPEN','REVIEWED>IN_REVIEW') AS is_valid, count(*) AS n
+ FROM (SELECT CASE key % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_REVIEW' ELSE 'REVIEWED' END AS current, review_move AS wanted FROM ({_MOVES}) WHERE review_move IS NOT NULL) GROUP BY ALL""",
+        "scan_cache_hit": _HITS,
+        "create_scan": f"""WITH h AS ({_HITS}) SELECT status, source_state, count(*) AS n FROM (SELECT status, CASE WHEN id IN (SELECT cached_scan_id FROM h WHERE cached_scan_id IS NOT NULL) THEN 'CACHED_REAL' ELSE source_state END AS source_state FROM ({_SCANS})
+ UNION ALL SELECT 'QUEUED', 'UNAVAILABLE' FROM h WHERE cached_scan_id IS NULL) GROUP BY ALL""",
+        "get_or_create": f"SELECT provider, owner, name FROM ({_REPOS}) UNION SELECT provider, owner, name FROM ({_ASKED})",
+        "integrity_guard": f"SELECT id, k FROM {stored} WHERE k % 10 = 0",
+        "cascade_delete": f"""WITH s AS (SELECT s.repository_id AS asked, r.id AS there FROM ({_SCANS}) s LEFT JOIN ({_REPOS}) r ON s.repository_id = r.id AND r.id <> 'repo3')
+ SELECT there AS repository_id, count(*) AS n, 'CASCADE' AS rule FROM s WHERE there IS NOT NULL GROUP BY 1 UNION ALL SELECT there, count(*), 'SET NULL' FROM s GROUP BY 1""",
+        "windowed_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    }
+
+
+def _excerpts() -> str:
+    """The line of each hash observation: hand-written line numbers, cut from the snippet's text."""
+    rows = [(k, e[1], e[3], t.source.split("\n")[e[1] - 1]) for k, t in enumerate(templates.TEMPLATES) for e in t.expected if e[0] == "HASH"]
+    return _values(rows, "template, line, api, excerpt")

@@ -13,13 +13,16 @@ formed in blocks:
    columns come last in ours.  Only these columns are multiplied.  Pairs whose
    sizes, or whose places in the order, leave less than the needed overlap are
    dropped at once.
-3. *Remaining blocks.*  The full overlap of a surviving pair is accumulated
+3. *Bounds by block.*  Every set counts its columns in small blocks.  Two sets share
+   at most the smaller count in each block, so pairs whose sum of these is below the
+   needed overlap are dropped.
+4. *Remaining blocks.*  The full overlap of a surviving pair is accumulated
    from both sets, and the exact test decides.
 
-Equal sets are one vertex from the start.  A column that thousands of near
-copies share isn't expanded into all pairs: first every set is tested against
-one hub of its column; pairs within one component need no further test, and a
-second round tests every remaining pair across components.  So no link between
+Equal sets are one vertex from the start.  A column of many sets (a passage, a
+group of near copies) isn't expanded into all pairs: first every set is tested
+against one hub of its column; pairs within one component need no further test, and
+a second round tests every remaining pair across components.  So no link between
 different components is lost, and no cap is set anywhere.
 
 Edge cases: a null or wordless text has the empty set and links with nothing;
@@ -137,6 +140,9 @@ def column_filters(docs: DataFrame, n: int, text: str, buckets: int) -> tuple[Ha
     return HashFilter.gathered(((b, s) for b, s, _ in rows), buckets), HashFilter.gathered(((b, f) for b, _, f in rows), buckets)
 
 
+#: A column of more sets than this goes by way of a hub first.
+SHORT = 24
+
 PARTS = ("columns", "sids", "counts", "places", "weights")
 
 
@@ -145,13 +151,13 @@ def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets
 
     With a bucket: the first block of the incidence matrix, as columns and, for each
     entry, its set's id, size, place and number of frequent columns.  Without: a
-    document's id, n_shingles and sid.
+    document's id, n_shingles, sid and counts by block.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     kind = docs.schema[id].dataType
     id_type = to_arrow_type(kind)
-    names = ["bucket", *PARTS, id, "n_shingles", "sid"]
-    types = [pa.int32(), *[pa.binary()] * 5, id_type, pa.int64(), pa.int64()]
+    names = ["bucket", *PARTS, id, "n_shingles", "sid", "blocks"]
+    types = [pa.int32(), *[pa.binary()] * 5, id_type, pa.int64(), pa.int64(), pa.binary()]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_two, frequent = shared.value
@@ -166,16 +172,17 @@ def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets
             out = []
             for b, s in by_bucket(column, buckets):
                 parts = (column[s], sid[s], count[s].astype(np.int32), place[s].astype(np.int32), weight[s].astype(np.int32))
-                out.append((b, *(x.tobytes() for x in parts), None, None, None))
+                out.append((b, *(x.tobytes() for x in parts), None, None, None, None))
             return binary_rows(names, types, out)
 
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, counts = [], [], []
             for value in batch.column(1):
                 shingles = shingle_set(value.as_py(), n, words)
                 key = set_id(shingles) if len(shingles) else None
                 sizes.append(len(shingles))
                 keys.append(key)
+                counts.append(block_counts(shingles).tobytes())
                 if key is None or key in seen:
                     continue
                 seen.add(key)
@@ -186,7 +193,7 @@ def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets
                     rows.append((first[keep], key, len(shingles), np.flatnonzero(keep), int(late.sum())))
                     size += int(keep.sum())
             none = [pa.nulls(len(batch), t) for t in types[:6]]
-            yield pa.RecordBatch.from_arrays([*none, batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*none, batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary())], names=names)
             if size >= PACK // 4:
                 yield packed()
                 seen, rows, size = set(), [], 0
@@ -195,15 +202,45 @@ def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets
 
     fields = ", ".join(f"{p} binary" for p in PARTS)
     return docs.select(id, F.col(text).cast("binary").alias("t")).mapInArrow(
-        sent, f"bucket int, {fields}, `{id}` {kind.simpleString()}, n_shingles long, sid long"
+        sent, f"bucket int, {fields}, `{id}` {kind.simpleString()}, n_shingles long, sid long, blocks binary"
     )
 
 
+def block_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many columns of a set lie in each of about a quarter as many blocks of the range of hashes."""
+    bits = max(0, (len(shingles) // 4).bit_length() - 1)
+    if not bits:
+        return np.array([len(shingles)], np.uint16)
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def most_shared(p: np.ndarray, q: np.ndarray) -> int:
+    """The most columns that sets with these counts can share; the finer counts are summed up to the coarser."""
+    if len(p) > len(q):
+        p, q = q, p
+    return int(np.minimum(p, q.reshape(len(p), -1).sum(1)).sum())
+
+
+def bounded(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the counts by block leave possible."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
+                keep.append(most_shared(p, q) >= needed(int(p.sum()), int(q.sum()), percent))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(counts.toDF("a", "pa"), "a").join(counts.toDF("b", "pb"), "b")
+    return both.select("a", "b", "pa", "pb").mapInArrow(kept, "a long, b long")
+
+
 def shared_columns(post: DataFrame) -> DataFrame:
-    """The postings of columns that two sets or more hold, merged: (bucket, column, sid, size, place, hub).
+    """The postings of columns that two sets or more hold, merged: (bucket, column, sid, size, place, length, hub).
 
-    hub is the column's set with most frequent columns for its size, and null on
-    its own row.
+    length is the number of the column's sets; hub is its set with most frequent
+    columns for its size, and null on its own row.
     """
 
     def merged(key: tuple, group: pa.Table) -> pa.Table:
@@ -216,11 +253,11 @@ def shared_columns(post: DataFrame) -> DataFrame:
         keep = np.flatnonzero(many)
         return pa.table({
             "bucket": pa.array(np.full(len(keep), key[0].as_py(), np.int32)), "column": pa.array(column[keep].view(np.int64)), "sid": pa.array(sid[keep]),
-            "size": pa.array(count[keep]), "place": pa.array(place[keep]), "hub": pa.array(sid[hub[keep]], mask=keep == hub[keep]),
+            "size": pa.array(count[keep]), "place": pa.array(place[keep]), "length": pa.array(np.repeat(lengths, lengths)[keep].astype(np.int32)), "hub": pa.array(sid[hub[keep]], mask=keep == hub[keep]),
             "hub_size": pa.array(count[hub[keep]]), "hub_place": pa.array(place[hub[keep]]),
         })
 
-    return post.groupBy("bucket").applyInArrow(merged, "bucket int, column long, sid long, size int, place int, hub long, hub_size int, hub_place int")
+    return post.groupBy("bucket").applyInArrow(merged, "bucket int, column long, sid long, size int, place int, length int, hub long, hub_size int, hub_place int")
 
 
 def _unpacked(group: pa.Table) -> list[np.ndarray]:
@@ -241,10 +278,10 @@ def _possible(a: np.ndarray, b: np.ndarray, count: np.ndarray, place: np.ndarray
 
 
 def hub_pairs(columns: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every set of a column with the column's hub, where sizes and places allow a link."""
+    """(a, b): every set of a long column with the column's hub, where sizes and places allow a link."""
     need = F.ceil((F.col("size") + F.col("hub_size")) * percent / (100 + percent))
     left = F.least(F.col("size") - F.col("place"), F.col("hub_size") - F.col("hub_place"))
-    return columns.filter(F.col("hub").isNotNull() & (left >= need)).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    return columns.filter((F.col("length") > SHORT) & F.col("hub").isNotNull() & (left >= need)).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
@@ -252,8 +289,12 @@ def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def cross_pairs(columns: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all possible pairs of sets of one column whose components differ."""
+def cross_pairs(columns: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): all possible pairs of sets of one column whose components differ.
+
+    Without labels: of the short columns, each set a component of its own.  With
+    labels: of the long ones.
+    """
 
     def paired(key: tuple, group: pa.Table) -> pa.Table:
         column, sid, count, place, component = (group.column(c).to_numpy() for c in ("column", "sid", "size", "place", "label"))
@@ -282,7 +323,11 @@ def cross_pairs(columns: DataFrame, labels: DataFrame, percent: int) -> DataFram
                 held = 0
         return _distinct(a, b)
 
-    known = columns.join(labels, "sid", "left").select("bucket", "column", "sid", "size", "place", F.coalesce("label", "sid").alias("label"))
+    fields = ("bucket", "column", "sid", "size", "place")
+    if labels is None:
+        known = columns.filter(F.col("length") <= SHORT).select(*fields, F.col("sid").alias("label"))
+    else:
+        known = columns.filter(F.col("length") > SHORT).join(labels, "sid", "left").select(*fields, F.coalesce("label", "sid").alias("label"))
     return known.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
 
 
@@ -311,7 +356,7 @@ def candidate_sets(docs: DataFrame, n: int, text: str, sids: DataFrame, buckets:
             yield binary_rows(["sid", "shingles"], [pa.int64(), pa.binary()], [(k, v.tobytes()) for k, v in seen.items()])
 
     sets = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(found, "sid long, shingles binary")
-    return sets.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+    return sets.groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
 def _sid_hash(sid: np.ndarray) -> np.ndarray:
@@ -365,16 +410,22 @@ def jaccard_classes(
     buckets = power_of_two(approximate_words(docs, text) / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 12))
     once = stage(read_once(docs, n, percent, id, text, buckets, column_filters(docs, n, text, buckets)), "incidence")
     columns = stage(shared_columns(once.filter("bucket is not null").select("bucket", *PARTS)), "columns")
-    sids = stage(columns.select("sid").distinct(), "candidates")
-    sets = stage(candidate_sets(docs, n, text, sids), "sets")
-
-    edges = stage(linked(stage(hub_pairs(columns, percent), "pairs"), sets, percent), "links")
-    labels = components(edges)
-    pairs = stage(cross_pairs(columns, labels, percent), "pairs")
-    if not pairs.isEmpty():
-        more = stage(linked(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).filter("a <> b").union(more))
+    counts = stage(once.filter("sid is not null and bucket is null").groupBy("sid").agg(F.first("blocks").alias("blocks")), "counts")
+
+    def tested(pairs: DataFrame) -> DataFrame | None:
+        """The links among pairs; None where no pair is possible."""
+        pairs = stage(bounded(pairs, counts, percent), "pairs")
+        if pairs.isEmpty():
+            return None
+        sids = stage(pairs.select("a").union(pairs.select("b")).toDF("sid").distinct(), "candidates")
+        return stage(linked(pairs, stage(candidate_sets(docs, n, text, sids), "sets"), percent), "links")
+
+    links = tested(cross_pairs(columns, None, percent).union(hub_pairs(columns, percent)).distinct())
+    none = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    labels = components(none if links is None else links)
+    more = tested(cross_pairs(columns, labels, percent))
+    if more is not None:
+        labels = components(labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).filter("a <> b").union(more))
     rows = once.filter("bucket is null").select(id, "n_shingles", "sid")
     # one row for each class of equal sets, then one for each component: both summed before they are sent
     first = rows.filter("sid is not null").groupBy("sid").agg(F.min(id).alias("first"))

@@ -9,9 +9,10 @@ wordings held out from the fit, turn scores into probabilities and send the
 uncertain to the class 'unknown'.  A family counts as confirmed when enough of the
 n-grams of one of its templates stand in the paragraph.
 
-Scanning is a join with the model, whose size is fixed.  A paragraph without any
-word of the model can only be unknown, so such lines are left out before n-grams
-are formed; that changes no result.
+Scanning is a join with the model, whose size is fixed.  The intercept of 'unknown'
+is the largest, so a paragraph can be something else only if it has an n-gram that
+weighs more for a family than for 'unknown'.  Lines without a word of such n-grams
+are left out before n-grams are formed; that changes no result.
 
 Edge cases: null and empty texts and empty lines have no licence and no row;
 repeated rows give repeated findings; null ids stay null; a very long line is a
@@ -30,7 +31,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherscape.llm.common import small_table
+from cipherscape.llm.common import small_table, stage
 
 UNKNOWN = "unknown"
 
@@ -160,7 +161,8 @@ def labelled_paragraphs(seed: int = 5, ordinary: int = 240) -> list[dict]:
 
 def trained(spark: SparkSession) -> tuple[DataFrame, DataFrame, float, float]:
     """(weights by n-gram and family, intercepts, temperature, threshold)."""
-    rows = small_table(spark, labelled_paragraphs(), "text:string,family:string,held:boolean").withColumn("ngrams", ngrams(words(F.col("text")))).cache()
+    rows = small_table(spark, labelled_paragraphs(), "text:string,family:string,held:boolean").withColumn("tokens", words(F.col("text")))
+    rows = stage(rows, "paragraphs").withColumn("ngrams", ngrams(F.col("tokens"))).cache()
     families = [*sorted(TEMPLATES), UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
     vectors = CountVectorizer(inputCol="ngrams", outputCol="features", minDF=2, binary=True).fit(rows)
@@ -188,6 +190,17 @@ def trained(spark: SparkSession) -> tuple[DataFrame, DataFrame, float, float]:
     return weights, bias, temperature, threshold
 
 
+def telling_words(weights: DataFrame, bias: DataFrame) -> list[str] | None:
+    """Words of the n-grams that weigh more for some family than for 'unknown'; None if the intercepts alone can decide."""
+    known = {r["family"]: r["bias"] for r in bias.collect()}
+    if max(known.values()) > known[UNKNOWN]:
+        return None
+    own = F.max(F.when(F.col("family") != UNKNOWN, F.col("w")).otherwise(0.0))
+    grams = weights.groupBy("ngram").agg(own.alias("f"), F.sum(F.when(F.col("family") == UNKNOWN, F.col("w")).otherwise(0.0)).alias("u")).filter("greatest(f, 0) > u")
+    found = grams.select(F.explode(F.split("ngram", " ")).alias("w")).distinct().filter(~F.col("w").isin(*FUNCTION_WORDS))
+    return sorted(r["w"] for r in found.collect())
+
+
 def scored(paragraphs: DataFrame, keys: list[str], weights: DataFrame, bias: DataFrame) -> DataFrame:
     """keys and scores, a map of family to score; weights and bias are small by construction."""
     sums = (
@@ -217,19 +230,23 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", confirm: float
     """(id, line, family, probability, similarity, confirmed, paragraph): every line that declares a licence."""
     spark = docs.sparkSession
     weights, bias, temperature, threshold = trained(spark)
-    telling = [r["w"] for r in weights.select(F.explode(F.split("ngram", " ")).alias("w")).distinct().filter(~F.col("w").isin(*FUNCTION_WORDS)).collect()]
+    telling = telling_words(weights, bias)
 
     row = F.monotonically_increasing_id()
     lines = docs.filter(F.col(text).isNotNull()).select(row.alias("row"), F.col(id), F.posexplode(F.split(F.col(text), "\n")).alias("line", "paragraph"))
-    lines = lines.withColumn("tokens", words(F.col("paragraph"))).filter(F.exists("tokens", lambda w: w.isin(*telling)))
-    lines = lines.withColumn("ngrams", ngrams(F.col("tokens")))
-    found = scored(lines, ["row", id, "line", "paragraph"], weights, bias)
+    lines = lines.withColumn("tokens", words(F.col("paragraph")))
+    if telling is not None:
+        lines = lines.filter(F.exists("tokens", lambda w: w.isin(*telling)))
+    # written before n-grams are formed, or each of them would cut the line into words again
+    lines = stage(lines, "lines")
+    found = scored(lines.withColumn("ngrams", ngrams(F.col("tokens"))), ["row", id, "line", "paragraph"], weights, bias)
     found = found.withColumn("best", best_family(probabilities(F.col("scores"), temperature)))
     found = found.filter((F.col("best.family") != UNKNOWN) & (F.col("best.p") >= threshold))
+    found = stage(found.select(id, "line", "paragraph", "best", words(F.col("paragraph")).alias("tokens")), "licences")
     templates = small_table(spark, [{"family": f, "t": t} for f, ts in TEMPLATES.items() for t in ts], "family:string,t:string")
-    templates = templates.groupBy("family").agg(F.collect_list(ngrams(words(F.col("t")))).alias("templates"))
+    templates = stage(templates.withColumn("t", words(F.col("t"))), "templates").groupBy("family").agg(F.collect_list(ngrams(F.col("t"))).alias("templates"))
     found = found.join(F.broadcast(templates), F.col("best.family") == F.col("family"))
-    own = ngrams(words(F.col("paragraph")))
+    own = ngrams(F.col("tokens"))
     found = found.withColumn("similarity", F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, own)) / F.size(t))))
     return found.select(
         id, F.col("line").cast("int").alias("line"), F.col("best.family").alias("family"), F.col("best.p").alias("probability"), "similarity",

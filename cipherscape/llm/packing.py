@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherscape.llm.common import dense_ids
+from cipherscape.llm.common import dense_ids, stage
 
 #: Words whose ids a worker keeps; at this number the half met longest ago goes.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_500_000
 
 _encoders: dict[tuple[str, str], WordIds] = {}
 
@@ -125,5 +125,6 @@ def packed(
     cuts = docs.select(id, F.col(text).cast("binary").alias("t")).mapInArrow(
         cut, f"`{id}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     )
-    numbered = dense_ids(cuts, ["length", id, "start", "ids_crc32"], "sequence_id")
+    # written first: finding the ranges and dealing the rows out would each read the texts
+    numbered = dense_ids(stage(cuts, "pieces"), ["length", id, "start", "ids_crc32"], "sequence_id")
     return numbered.withColumn("offset", F.lit(0).cast("long"))

@@ -143,13 +143,13 @@ def rounded(rows: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
 
 
 def mixed(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, row: str | None = None
 ) -> DataFrame:
     """(row, id, size, source, source_size, target, copies): how often each row of ``docs`` is taken.
 
-    ``row`` is the column of that name if docs has one, else a number of our own.
+    ``row`` names a column that numbers the rows; without it they are numbered here.
     """
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row) if row else F.monotonically_increasing_id()
     rows = stage(docs.select(row.alias("row"), F.col(id), F.col(source).cast("string").alias("source"), text_size(text).alias("size")), "sizes")
     targets = stage(source_targets(rows, weights, share, most), "targets")
     named = targets.withColumnRenamed("source", "s").drop("n")
@@ -166,6 +166,6 @@ def mixed(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The rows of ``docs``, each as often as the mix takes it."""
     columns = docs.columns
-    rows = stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    copies = mixed(rows, **options).filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
-    return rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    copies = mixed(rows, row="__row", **options).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
+    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)

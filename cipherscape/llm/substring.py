@@ -210,14 +210,14 @@ def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
 
 
 def with_repeats(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (its columns untouched) and places, one binary for each bucket that found some."""
+    """The rows of ``docs`` (its columns untouched) and __places, one binary for each bucket that found some."""
     words = approximate_words(docs, text)
     anchors = power_of_two(words / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 12))
     hits = anchor_filter(docs, width, text, anchors)
     found = stage(repeated_windows(docs, hits, width, id, text, power_of_two(words / 2 / PER_BUCKET, least=16)), "windows")
     # one short row for each document and bucket
-    places = found.groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_key")).agg(F.collect_list("places").alias("places"))
-    return docs.join(places, (docs[id] == F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_key")), "left").drop("_id", "_key")
+    places = found.groupBy(F.col(id).alias("__id"), F.col("text_hash").alias("__key")).agg(F.collect_list("places").alias("__places"))
+    return docs.join(places, (docs[id] == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__key")), "left").drop("__id", "__key")
 
 
 def substring_digest(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,7 +240,7 @@ def substring_digest(docs: DataFrame, width: int = 13, id: str = "doc_id", text:
             )
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = with_repeats(docs.select(id, text), width, id, text).select(id, F.col(text).cast("binary").alias("t"), "places")
+    rows = with_repeats(docs.select(id, text), width, id, text).select(id, F.col(text).cast("binary").alias("t"), "__places")
     return rows.mapInArrow(digest, f"`{id}` {kind}, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,stop:int>>")
 
 
@@ -272,4 +272,4 @@ def without_repeats(docs: DataFrame, width: int = 13, id: str = "doc_id", text:
             out.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode())
         return pd.Series(out, dtype=object)
 
-    return with_repeats(docs, width, id, text).withColumn(text, cut(F.col(text), F.col("places"))).select(*columns)
+    return with_repeats(docs, width, id, text).withColumn(text, cut(F.col(text), F.col("__places"))).select(*columns)

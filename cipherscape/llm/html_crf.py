@@ -307,17 +307,18 @@ def _named(r: random.Random, *names: str) -> str:
 def _page(r: random.Random) -> tuple[str, list[str]]:
     w = _Writer(r)
     w.parts.append(r.choice(["<!DOCTYPE html>", ""]) + f"<html><head><meta charset='utf-8'><title>{_words(r, 2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>")
-    if r.random() < 0.35:
+    bare = r.random() < 0.15  # nothing but the article
+    if not bare and r.random() < 0.35:
         _notice(w)
-    wrapped = r.random() < 0.4
+    wrapped = not bare and r.random() < 0.4
     if wrapped:
         w.parts.append("<header" + (_named(r, "site-header", "masthead", "top") if r.random() < 0.5 else "") + ">")
         w.element(r.choice(["h1", "div", "p", "span"]), _words(r, 1, 4), False)
-    if r.random() < 0.85:
+    if not bare and r.random() < 0.85:
         w.links(r.randint(2, 9), *r.choice([("nav", ""), ("nav", ""), ("div", _named(r, "menu", "navbar", "nav main-menu", "navigation", "topnav")), ("div", ' role="navigation"')]))
     if wrapped:
         w.parts.append("</header>")
-    for _ in range(r.choice([0, 1, 1, 2])):
+    for _ in range(0 if bare else r.choice([0, 1, 1, 2])):
         r.choice([_advert, _advert, _crumbs, _side, _form, _notice])(w)
     opening, closing = r.choice([
         ("<article>", "</article>"), ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"),
@@ -370,9 +371,9 @@ def _page(r: random.Random) -> tuple[str, list[str]]:
     if early and r.random() < 0.7:
         _comments(w)
     w.parts.append(closing)
-    for _ in range(r.choice([0, 1, 1, 2])):
+    for _ in range(0 if bare else r.choice([0, 1, 1, 2])):
         r.choice([_side, _related, _advert, _form, _comments, _comments, _share, _notice])(w)
-    if r.random() < 0.85:
+    if not bare and r.random() < 0.85:
         _foot(w)
     w.parts.append(r.choice(["</body></html>", "</body></html>", ""]))
     return "".join(w.parts), w.content

@@ -106,10 +106,18 @@ class Ftrl:
         self.bias -= 0.1 * gb / np.sqrt(1e-9 + self.bias_n)
 
 
-def trained(labelled: DataFrame, label: str, text: str = "text", rows: int = TRAIN_ROWS, bits: int = BITS, passes: int = 6, key: str = "doc_id") -> tuple[np.ndarray, float]:
-    """(weights, intercept) from at most ``rows`` rows, both classes weighing the same."""
-    once = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.max(label).alias("y"), F.max(text).alias("t"))
-    sample = once.orderBy(F.xxhash64(key), key).limit(rows).select("y", F.col("t").cast("binary").alias("t")).toPandas()
+def trained(
+    docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, bits: int = BITS, passes: int = 6
+) -> tuple[np.ndarray, float]:
+    """(weights, intercept) from the texts of at most ``rows`` labels, both classes weighing the same.
+
+    The labels are chosen before any text is read, and their number is the bound of
+    what is broadcast, so no text is shuffled.
+    """
+    chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
+    chosen = chosen.orderBy(F.xxhash64(key), key).limit(rows)
+    found = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), key)
+    sample = found.toPandas().sort_values([key, "t"]).drop_duplicates(key)
     features, model = Features(bits), Ftrl(bits)
     vectors = [features.of(bytes(t)) for t in sample.t]
     y = sample.y.to_numpy(dtype=int) if len(sample) else np.empty(0, int)
@@ -151,7 +159,6 @@ def held_out(id: str = "doc_id") -> Column:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with held_out, score and predicted."""
-    training = labels.filter(~held_out(id)).select(id, label).join(docs.select(id, text), id)
-    model = trained(training, label, text, key=id)
+    model = trained(docs, labels.filter(~held_out(id)).select(id, label), label, text, id)
     found = docs.withColumn("held_out", held_out(id)).withColumn("score", scored(docs, model, text))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -128,6 +128,9 @@ class Damaged(Exception):
     pass
 
 
+_FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):([^\x00-\x08\x0a-\x1f\x7f]*)")
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """(fields, block, length with the closing lines) of the record at the start of ``data``."""
     if not re.match(rb"WARC/1\.[01]\r\n", data):
@@ -137,9 +140,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("header")
     fields: dict[str, str] = {}
     for line in data[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+        found = _FIELD.fullmatch(line)
+        if found is None:  # else junk before a record would swallow what lies between
             raise Damaged("header")
+        name, value = found[1], found[2]
         fields[name.decode("ascii", "replace").lower()] = value.strip().decode(errors="replace")
     if not fields.get("content-length", "").isdecimal():
         raise Damaged("length")

@@ -82,5 +82,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_OP2 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+_OP3 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM p), m AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+ x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM g JOIN m USING (k) WHERE first < doc_id),
+ r AS (SELECT doc_id, list(j) AS gone FROM x GROUP BY doc_id), f AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id)),
+ u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+ kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.j) AS t FROM u LEFT JOIN x ON u.doc_id = x.doc_id AND u.j = x.j WHERE x.j IS NULL GROUP BY u.doc_id)
+ SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM f LEFT JOIN kept ON f.doc_id = kept.doc_id"""
+
+_OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, octet_length(encode(coalesce(html, ''))) AS b FROM pages),
+ f AS (SELECT *, CASE WHEN b >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+ SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, s AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+_OP9 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+ again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+ l AS (SELECT doc_id, source, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+ n AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS norm FROM l WHERE len(lw) > 0),
+ same AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n GROUP BY doc_id),
+ often AS (SELECT source, norm FROM n GROUP BY source, norm HAVING count(DISTINCT doc_id) > 100),
+ gone AS (SELECT doc_id, sum(len(lw)) AS n FROM n WHERE EXISTS (SELECT 1 FROM often o WHERE o.norm = n.norm AND o.source IS NOT DISTINCT FROM n.source) GROUP BY doc_id),
+ b AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(same.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN again USING (doc_id) LEFT JOIN same USING (doc_id) LEFT JOIN gone USING (doc_id))
+ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+ n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, removed_words,
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= n_words * 0.3 AND n_words > removed_words AS kept FROM b"""
+
+_OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d)),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+ ab AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ c AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT ab.b, c.r FROM c JOIN ab ON ab.a = c.v WHERE c.r < ab.b)
+ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, m.r) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(r) AS r FROM c GROUP BY v) m ON m.v = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL expresses; the other operators are compared with brute force, round trips and held-out labels."""
+    return {"op2_topk": _OP2, "op3_substring_dedup": _OP3, "op6_warc": _OP6, "op9_line_rules": _OP9, "op10_jaccard_join": _OP10}

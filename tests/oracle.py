@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,10 +22,18 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    rows = []
-    for row in df.itertuples(index=False):
-        rows.append(tuple(None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else round(v, 6) if isinstance(v, float) else str(v) if hasattr(v, "year") else int(v) if hasattr(v, "item") and float(v).is_integer() and not isinstance(v, bool) else v for v in row))
-    return sorted(rows, key=repr)
+    return sorted((tuple(map(_value, row)) for row in df.itertuples(index=False)), key=repr)
+
+
+def _value(v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+        return None
+    if isinstance(v, bool | np.bool_):
+        return bool(v)
+    if isinstance(v, int | float | np.number):
+        return int(v) if float(v).is_integer() else round(float(v), 6)
+    return str(v) if hasattr(v, "year") else v
+
 
 
 def difference(spark, query, sql: str, sf_dir: str) -> str | None:

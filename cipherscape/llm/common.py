@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 #: A word is a run of code points other than the six ASCII white-space
 #: characters.  ``bytes.split()`` cuts UTF-8 at exactly these bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-MASK64 = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +45,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The files are compressed, every executor sees them, and a lost executor
-    costs no recomputation.
+    costs no recomputation.  They lie in a folder of the application's own, which
+    may go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -219,9 +219,3 @@ def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 def binary_rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
-    """The UTF-8 of each text, one at a time; None for null."""
-    for value in column:
-        yield value.as_py()

@@ -412,20 +412,16 @@ def jaccard_classes(
     columns = stage(shared_columns(once.filter("bucket is not null").select("bucket", *PARTS)), "columns")
     counts = stage(once.filter("sid is not null and bucket is null").groupBy("sid").agg(F.first("blocks").alias("blocks")), "counts")
 
-    def tested(pairs: DataFrame) -> DataFrame | None:
-        """The links among pairs; None where no pair is possible."""
-        pairs = stage(bounded(pairs, counts, percent), "pairs")
-        if pairs.isEmpty():
-            return None
-        sids = stage(pairs.select("a").union(pairs.select("b")).toDF("sid").distinct(), "candidates")
-        return stage(linked(pairs, stage(candidate_sets(docs, n, text, sids), "sets"), percent), "links")
-
-    links = tested(cross_pairs(columns, None, percent).union(hub_pairs(columns, percent)).distinct())
-    none = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    labels = components(none if links is None else links)
-    more = tested(cross_pairs(columns, labels, percent))
-    if more is not None:
-        labels = components(labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).filter("a <> b").union(more))
+    pairs = stage(bounded(cross_pairs(columns, None, percent).union(hub_pairs(columns, percent)).distinct(), counts, percent), "pairs")
+    # the second round's pairs are of long columns; with their sets fetched now, the texts are read once for both
+    sids = pairs.select("a").union(pairs.select("b")).union(columns.filter(F.col("length") > SHORT).select("sid")).toDF("sid")
+    sets = stage(candidate_sets(docs, n, text, stage(sids.distinct(), "candidates")), "sets")
+    labels = components(stage(linked(pairs, sets, percent), "links"))
+    pairs = stage(bounded(cross_pairs(columns, labels, percent), counts, percent), "pairs")
+    if not pairs.isEmpty():
+        more = stage(linked(pairs, sets, percent), "links")
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).filter("a <> b").union(more))
     rows = once.filter("bucket is null").select(id, "n_shingles", "sid")
     # one row for each class of equal sets, then one for each component: both summed before they are sent
     first = rows.filter("sid is not null").groupBy("sid").agg(F.min(id).alias("first"))

@@ -90,7 +90,8 @@ def extends(resolved: Column, requested: Column) -> Column:
     return F.startswith(resolved, commit_sha(requested))
 
 
-_OWNER, _NAME = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})", r"[A-Za-z0-9._-]{1,100}"
+# The shape of the host's names.
+_OWNER, _NAME = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?", r"[A-Za-z0-9._-]{1,100}"
 
 
 def repository_columns(url: Column) -> Column:
@@ -100,17 +101,17 @@ def repository_columns(url: Column) -> Column:
     credentials, port, query or fragment.
     """
     clean = F.regexp_replace(url, r"^\s+|\s+$", "")
-    pattern = f"^(?i:https)://(?i:github\\.com)/({_OWNER})/({_NAME}?)(?:\\.git)?/?$"
+    pattern = f"^(?i:https)://(?i:github\\.com)/+({_OWNER})/+({_NAME}?)(?:\\.git)?/*$"
     owner, name = F.regexp_extract(clean, pattern, 1), F.regexp_extract(clean, pattern, 2)
     found = F.struct(F.lit("github").alias("provider"), owner.alias("owner"), name.alias("name"), F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name).alias("canonical_url"))
-    return F.when(clean.rlike(pattern) & ~name.isin("", ".", ".."), found)
+    return F.when(clean.rlike(pattern) & ~name.isin("", ".", "..", ".git"), found)
 
 
 def parse_repository(url: str) -> tuple[str, str]:
     """(owner, name) on the driver; ValueError for anything else."""
     parts = urlsplit(url.strip())
-    match = re.fullmatch(rf"/({_OWNER})/({_NAME}?)(?:\.git)?/?", parts.path)
+    match = re.fullmatch(rf"/+({_OWNER})/+({_NAME}?)(?:\.git)?/*", parts.path)
     plain = parts.scheme == "https" and parts.netloc.lower() == "github.com" and not parts.query and not parts.fragment
-    if not plain or match is None or match[2] in ("", ".", ".."):
+    if not plain or match is None or match[2] in ("", ".", "..", ".git"):
         raise ValueError("INVALID_REPOSITORY_URL")
     return match[1], match[2]

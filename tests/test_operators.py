@@ -135,13 +135,20 @@ def test_zip_source(spark, tmp_path):
         list(sources.zip_rows(str(good), "s"))
 
 
-@pytest.mark.parametrize("url", ["http://github.com/a/b", "https://github.com/a", "https://u@github.com/a/b", "https://github.com:1/a/b", "https://github.com/a/b?c", "https://x.org/a/b", "https://github.com/-a/b"])
+@pytest.mark.parametrize("url", ["http://github.com/a/b", "https://github.com/a", "https://u@github.com/a/b", "https://github.com:1/a/b", "https://github.com/a/b?c", "https://x.org/a/b", "https://github.com/-a/b", "https://github.com/a-/b", "https://github.com/a/..", "https://github.com/a/.git"])
 def test_bad_repositories(spark, url):
     with pytest.raises(ValueError):
         discovery.parse_repository(url)
     assert spark.range(1).select(discovery.repository_columns(F.lit(url)).alias("r")).first().r is None
 
 
+def test_good_repositories(spark):
+    for url, want in {"https://github.com/A-b/c.d_e.git": ("A-b", "c.d_e"), " HTTPS://GitHub.com//own//repo/ ": ("own", "repo"), "https://github.com/a/b.git.git": ("a", "b.git")}.items():
+        assert discovery.parse_repository(url) == want
+        row = spark.range(1).select(discovery.repository_columns(F.lit(url)).alias("r")).first().r
+        assert (row.owner, row.name, row.canonical_url) == (*want, f"https://github.com/{want[0]}/{want[1]}")
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "snapshot_id string, path string, size bigint, content binary")
     parsed = parse.parse_files(empty)

@@ -157,6 +157,12 @@ def held_out(id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more; their columns stay as they are."""
+    model = trained(docs, labels.filter(~held_out(id)).select(id, label), label, text, id)
+    return docs.filter(scored(docs, model, text) >= 0.5)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with held_out, score and predicted."""
     model = trained(docs, labels.filter(~held_out(id)).select(id, label), label, text, id)

@@ -18,8 +18,7 @@ from cipherscape.llm.queries import vocabulary
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good; it learns from the labels of rows that aren't held out."""
-    found = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return found.filter("predicted = 1").select(*docs.columns)
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that also start in a document with a smaller id."""
-    cut = substring.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    cut = substring.without_repeats(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 

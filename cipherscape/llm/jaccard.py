@@ -187,7 +187,10 @@ def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets
                     continue
                 seen.add(key)
                 late = frequent.maybe(shingles)
-                first = np.concatenate((shingles[~late], shingles[late]))[: prefix_length(len(shingles), percent)]
+                length = prefix_length(len(shingles), percent)
+                first = first_columns(shingles[~late], length)
+                if len(first) < length:
+                    first = np.concatenate((first, first_columns(shingles[late], length - len(first))))
                 keep = in_two.maybe(first)
                 if keep.any():
                     rows.append((first[keep], key, len(shingles), np.flatnonzero(keep), int(late.sum())))
@@ -206,6 +209,15 @@ def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets
     )
 
 
+def first_columns(shingles: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` columns in an order of all columns that has nothing to do with their buckets."""
+    place = shingles * np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so no two columns have one place
+    if length < len(place):
+        some = np.argpartition(place, length - 1)[:length] if length else np.empty(0, np.int64)
+        return shingles[some[np.argsort(place[some])]]
+    return shingles[np.argsort(place)]
+
+
 def block_counts(shingles: np.ndarray) -> np.ndarray:
     """How many columns of a set lie in each of about a quarter as many blocks of the range of hashes."""
     bits = max(0, (len(shingles) // 4).bit_length() - 1)

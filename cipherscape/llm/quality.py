@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The most labelled texts that training reads.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 BITS = 20
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-z\xdf-\xff]{2,}"), re.compile(r"[a-z\xdf-\xff]+"), re.compile(r"\d+")
@@ -116,20 +116,35 @@ def trained(
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(rows)
-    found = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), key)
-    sample = found.toPandas().sort_values([key, "t"]).drop_duplicates(key)
-    features, model = Features(bits), Ftrl(bits)
-    vectors = [features.of(bytes(t)) for t in sample.t]
-    y = sample.y.to_numpy(dtype=int) if len(sample) else np.empty(0, int)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(bits)
+        for batch in batches:
+            found = [features.of(v.as_py()) for v in batch.column(1)]
+            columns = [[x.astype(kind).tobytes() for x in part] for part, kind in zip(zip(*found, strict=True), (np.int32, np.float32), strict=True)] if found else [[], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in columns)], names=[key, "y", "places", "shares"])
+
+    # the driver gets vectors and no texts
+    kind = docs.schema[key].dataType.simpleString()
+    texts = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).cast("binary").alias("t"))
+    made = texts.join(F.broadcast(chosen), key).select(key, "t", F.col("y").cast("int")).mapInArrow(vectors, f"`{key}` {kind}, y int, places binary, shares binary")
+    once = {r[0]: r[1:] for r in sorted(map(tuple, made.collect()), reverse=True)}  # of a repeated id, the least
+    rows_of = [once[k] for k in sorted(once)]
+    y = np.array([r[0] for r in rows_of], int)
+    ends = np.cumsum([0, *(len(r[1]) // 4 for r in rows_of)])
+    places = np.frombuffer(b"".join(bytes(r[1]) for r in rows_of), np.int32)
+    shares = np.frombuffer(b"".join(bytes(r[2]) for r in rows_of), np.float32)
+    del once, rows_of
     share = np.bincount(np.clip(y, 0, 1), minlength=2)
     if not share.all():
         bias = 0.0 if not len(y) else (4.0 if share[1] else -4.0)
         return np.zeros(1 << bits, np.float32), bias
-    balance = len(y) / (2 * share)
+    balance, model = len(y) / (2 * share), Ftrl(bits)
     order = np.random.default_rng(7)
     for _ in range(passes):
         for i in order.permutation(len(y)):
-            model.learn(*vectors[i], int(y[i]), float(balance[y[i]]))
+            own = slice(ends[i], ends[i + 1])
+            model.learn(places[own], shares[own].astype(float), int(y[i]), float(balance[y[i]]))
     return model.weights().astype(np.float32), float(model.bias)
 
 

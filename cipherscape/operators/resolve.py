@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherscape.functions import vocab
-from cipherscape.operators.parse import import_map, relation  # noqa: F401
+from cipherscape.operators.parse import import_map
 
 FILE = ["snapshot_id", "path"]
 

@@ -63,7 +63,7 @@ from cipherscape.llm.common import (
 FREQUENT = 12
 #: n-grams gathered before a partition sends its columns.
 PACK = 1_500_000
-#: n-grams a bucket meets, about; from it follows the number of buckets.
+#: n-grams a bucket meets, about, up to 2**17 buckets; 100 TB of text fill those with 1 GB each.
 PER_BUCKET = 4_000_000
 
 
@@ -419,7 +419,7 @@ def jaccard_classes(
 
     sid names the row's set of n-grams (null when it is empty).
     """
-    buckets = power_of_two(approximate_words(docs, text) / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 12))
+    buckets = power_of_two(approximate_words(docs, text) / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 10))
     once = stage(read_once(docs, n, percent, id, text, buckets, column_filters(docs, n, text, buckets)), "incidence")
     columns = stage(shared_columns(once.filter("bucket is not null").select("bucket", *PARTS)), "columns")
     counts = stage(once.filter("sid is not null and bucket is null").groupBy("sid").agg(F.first("blocks").alias("blocks")), "counts")

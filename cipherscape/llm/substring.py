@@ -49,7 +49,7 @@ from cipherscape.llm.common import (
 
 #: Words gathered before a partition sends what it has.
 PACK = 1_500_000
-#: Hashes a bucket meets, about.
+#: Hashes a bucket meets, about, up to 2**17 buckets; 100 TB of text fill those with 1 GB each.
 PER_BUCKET = 4_000_000
 
 
@@ -212,7 +212,7 @@ def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
 def with_repeats(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` (its columns untouched) and __places, one binary for each bucket that found some."""
     words = approximate_words(docs, text)
-    anchors = power_of_two(words / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 12))
+    anchors = power_of_two(words / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 10))
     hits = anchor_filter(docs, width, text, anchors)
     found = stage(repeated_windows(docs, hits, width, id, text, power_of_two(words / 2 / PER_BUCKET, least=16)), "windows")
     # one short row for each document and bucket

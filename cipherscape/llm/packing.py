@@ -8,7 +8,8 @@ have one shape.  Sequences are numbered bucket by bucket.
 
 Tokenising is the cost: a vocabulary file's ids of a text are those of its words
 one after another (nothing in it reaches over white space), so each worker keeps
-the ids of the words it has met and encodes only new ones, in batches.
+the ids of the words it has met and encodes only new ones, in batches.  Spark uses
+its workers again for other work, so a worker lets the words go once it is idle.
 
 Edge cases: a null or empty text is one piece, the end mark alone; repeated rows
 are packed once each; a null id is packed like any other; a very long text is
@@ -19,6 +20,7 @@ ignored by name.
 from __future__ import annotations
 
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +32,8 @@ from cipherscape.llm.common import dense_ids, stage
 
 #: Words whose ids a worker keeps; at this number the half met longest ago goes.
 KEPT_WORDS = 1_500_000
+#: Seconds without a packing task after which a worker drops its words.
+IDLE_SECONDS = 20.0
 
 _encoders: dict[tuple[str, str], WordIds] = {}
 
@@ -46,6 +50,28 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.lock, self.timer, self.tasks = threading.Lock(), None, 0
+
+    def __enter__(self) -> WordIds:
+        with self.lock:
+            self.tasks += 1
+            if self.timer is not None:
+                self.timer.cancel()
+                self.timer = None
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        with self.lock:
+            self.tasks -= 1
+            if not self.tasks:
+                self.timer = threading.Timer(IDLE_SECONDS, self.forget)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def forget(self) -> None:
+        with self.lock:
+            if not self.tasks:
+                self.new, self.old = {}, {}
 
     def text_ids(self, text: bytes) -> bytes:
         words = text.split()
@@ -100,26 +126,27 @@ def packed(
         raise ValueError("longest must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mark = encoder(vocabulary), end.to_bytes(4, "little")
-        for batch in batches:
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, value in enumerate(batch.column(1)):
-                blob = words.text_ids(value.as_py() or b"") + mark
-                n = len(blob) // 4
-                for s, m in pieces(n, longest):
-                    part = blob[4 * s : 4 * (s + m)]
-                    row.append(k)
-                    start.append(s)
-                    length.append(m)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    if with_ids:
-                        ids.append(memoryview(part).cast("I").tolist())
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))]
-            names = [id, "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        mark = end.to_bytes(4, "little")
+        with encoder(vocabulary) as words:
+            for batch in batches:
+                row, start, length, crc, total, ids = [], [], [], [], [], []
+                for k, value in enumerate(batch.column(1)):
+                    blob = words.text_ids(value.as_py() or b"") + mark
+                    n = len(blob) // 4
+                    for s, m in pieces(n, longest):
+                        part = blob[4 * s : 4 * (s + m)]
+                        row.append(k)
+                        start.append(s)
+                        length.append(m)
+                        crc.append(zlib.crc32(part))
+                        total.append(n)
+                        if with_ids:
+                            ids.append(memoryview(part).cast("I").tolist())
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))]
+                names = [id, "start", "length", "ids_crc32", "doc_tokens"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id].dataType.simpleString()
     cuts = docs.select(id, F.col(text).cast("binary").alias("t")).mapInArrow(

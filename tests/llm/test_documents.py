@@ -235,6 +235,19 @@ def test_word_ids_forget_without_harm(monkeypatch):
     assert words.text_ids(text) == words.text_ids(text) and len(words.new) <= 8
 
 
+def test_idle_workers_drop_their_words(monkeypatch):
+    monkeypatch.setattr(packing, "IDLE_SECONDS", 0.05)
+    words = packing.WordIds(vocabulary())
+    with words:
+        first = words.text_ids(b"one two three")
+        words.forget()
+        assert len(words.new) == 3  # not while a task runs
+    words.timer.join()
+    assert not words.new and not words.old
+    with words:
+        assert words.text_ids(b"one two three") == first
+
+
 def test_quality_separates_held_out_rows(spark):
     r = random.Random(1)
     rows, labels = [], []

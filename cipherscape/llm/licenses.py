@@ -1,7 +1,14 @@
 """Licence scan: a trained paragraph classifier, in DataFrame and SQL functions only.
 
-Paragraphs are the lines of a text.  Their words (lower case, letters and digits)
-form n-grams of one to three words; n-grams of function words alone are left out.
+Each line of a text is classified, and each paragraph of several lines, joined: a
+run of lines with words, up to a line without any (an empty line, a bare comment
+sign).  So a notice wrapped over several lines is seen whole.  Where a line confirms
+the paragraph's family, the lines are reported; otherwise the paragraph is, at its
+first line.  A line that is unconfirmed, or of another family, and has no n-gram of its
+family's templates beyond those of the family its paragraph confirms is a piece of that
+notice ('version 3' may stand on the next line) and not reported.
+
+Words (lower case, letters and digits) form n-grams of one to three words; n-grams of function words alone are left out.
 A multinomial logistic regression with an L1 penalty, fitted by Spark ML on a
 fixed, bounded set of licence wordings and of ordinary paragraphs, gives each
 n-gram a weight for each family.  A temperature and a threshold, chosen on
@@ -11,12 +18,13 @@ n-grams of one of its templates stand in the paragraph.
 
 Scanning is a join with the model, whose size is fixed.  The intercept of 'unknown'
 is the largest, so a paragraph can be something else only if it has an n-gram that
-weighs more for a family than for 'unknown'.  Lines without a word of such n-grams
-are left out before n-grams are formed; that changes no result.
+weighs more for a family than for 'unknown'.  Lines and paragraphs without a word of
+such n-grams are left out before n-grams are formed, and n-grams with a word that
+neither the model nor a template has are not formed; that changes no result.
 
 Edge cases: null and empty texts and empty lines have no licence and no row;
-repeated rows give repeated findings; null ids stay null; a very long line is a
-paragraph like others; an empty table gives an empty result; further columns are
+repeated rows give repeated findings; null ids stay null; a very long line or
+paragraph is one like others; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -28,7 +36,7 @@ import random
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cipherscape.llm.common import small_table, stage
@@ -142,6 +150,54 @@ def ngrams(tokens: Column) -> Column:
     return F.array_distinct(F.transform(telling, lambda g: F.array_join(g, " ")))
 
 
+def known_ngrams(tokens: Column, known: list[str]) -> Column:
+    """Of the n-grams of one to three words, those whose words are all in ``known``, each once."""
+
+    def of(one: Column) -> Column:  # null stands for other words, and for what lies past the end
+        after = lambda k: F.slice(one, k + 1, F.size(one))
+        two = F.zip_with(one, after(1), lambda a, b: F.concat(a, F.lit(" "), b))
+        three = F.zip_with(two, after(2), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.array_compact(F.concat(one, two, three)))
+
+    return _let(F.transform(tokens, lambda w: F.when(w.isin(*known), w)), of)
+
+
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def units(text: Column, known: list[str], telling: list[str] | None) -> Column:
+    """Structs (start, line, n, paragraph, ngrams): the lines with words, and the paragraphs of n > 1 such lines.
+
+    start is the first line of the paragraph.  Without a telling word a line or paragraph is left out.
+    """
+
+    def tells(tokens: Column) -> Column:
+        return F.lit(True) if telling is None else F.exists(tokens, lambda w: w.isin(*telling))
+
+    def unit(start: Column, line: Column, n: Column, paragraph: Column, tokens: Column) -> Column:
+        return F.struct(start.alias("start"), line.alias("line"), n.alias("n"), paragraph.alias("paragraph"), known_ngrams(tokens, known).alias("ngrams"))
+
+    def of(run: Column) -> Column:
+        lines, start = run["lines"], run["start"]
+        placed = F.transform(lines, lambda x, k: F.struct(x["text"].alias("text"), x["tokens"].alias("tokens"), (start + k).alias("line")))
+        single = F.transform(F.filter(placed, lambda x: tells(x["tokens"])), lambda x: unit(start, x["line"], F.lit(1), x["text"], x["tokens"]))
+        # made only where it is wanted
+        wanted = F.filter(F.array(lines), lambda x: (F.size(x) > 1) & F.exists(x, lambda y: tells(y["tokens"])))
+        return F.concat(single, F.transform(wanted, lambda x: unit(start, start, F.size(x), F.array_join(x["text"], " "), F.flatten(x["tokens"]))))
+
+    def runs(lines: Column) -> Column:
+        breaks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.size(F.get(lines, k)["tokens"]) == 0)
+        cut = _let(breaks, lambda b: F.zip_with(
+            F.concat(F.array(F.lit(-1)), b), F.concat(b, F.array(F.size(lines))),
+            lambda s, e: F.struct((s + 1).alias("start"), F.slice(lines, s + 2, e - s - 1).alias("lines")),
+        ))
+        return F.flatten(F.transform(F.filter(cut, lambda r: F.size(r["lines"]) > 0), of))
+
+    return _let(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("text"), words(x).alias("tokens"))), runs)
+
+
 def labelled_paragraphs(seed: int = 5, ordinary: int = 240) -> list[dict]:
     """(text, family, held): the templates in several settings, and ordinary paragraphs; a bounded number."""
     r = random.Random(seed)
@@ -227,28 +283,32 @@ def best_family(p: Column) -> Column:
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", confirm: float = 0.6) -> DataFrame:
-    """(id, line, family, probability, similarity, confirmed, paragraph): every line that declares a licence."""
+    """(id, line, family, probability, similarity, confirmed, paragraph): every line or paragraph that declares a licence."""
     spark = docs.sparkSession
     weights, bias, temperature, threshold = trained(spark)
     telling = telling_words(weights, bias)
+    templates = small_table(spark, [{"family": f, "t": t} for f, ts in TEMPLATES.items() for t in ts], "family:string,t:string")
+    templates = stage(templates.withColumn("t", words(F.col("t"))), "templates").withColumn("t", ngrams(F.col("t"))).cache()
+    known = weights.select(F.col("ngram")).union(templates.select(F.explode("t"))).select(F.explode(F.split("ngram", " ")).alias("w")).distinct()
+    known = sorted(r["w"] for r in known.collect())  # of a fixed size, as the model
 
+    key = ["row", "line", "n"]
     row = F.monotonically_increasing_id()
-    lines = docs.filter(F.col(text).isNotNull()).select(row.alias("row"), F.col(id), F.posexplode(F.split(F.col(text), "\n")).alias("line", "paragraph"))
-    lines = lines.withColumn("tokens", words(F.col("paragraph")))
-    if telling is not None:
-        lines = lines.filter(F.exists("tokens", lambda w: w.isin(*telling)))
-    # written before n-grams are formed, or each of them would cut the line into words again
-    lines = stage(lines, "lines")
-    found = scored(lines.withColumn("ngrams", ngrams(F.col("tokens"))), ["row", id, "line", "paragraph"], weights, bias)
+    read = docs.filter(F.col(text).isNotNull()).select(row.alias("row"), F.col(id), F.col(text).alias("text"))
+    # numbered before lines come apart, as they share their text's number
+    read = stage(read.select("row", id, F.inline(units(F.col("text"), known, telling))), "lines")
+    found = scored(read, key, weights, bias)
     found = found.withColumn("best", best_family(probabilities(F.col("scores"), temperature)))
-    found = found.filter((F.col("best.family") != UNKNOWN) & (F.col("best.p") >= threshold))
-    found = stage(found.select(id, "line", "paragraph", "best", words(F.col("paragraph")).alias("tokens")), "licences")
-    templates = small_table(spark, [{"family": f, "t": t} for f, ts in TEMPLATES.items() for t in ts], "family:string,t:string")
-    templates = stage(templates.withColumn("t", words(F.col("t"))), "templates").groupBy("family").agg(F.collect_list(ngrams(F.col("t"))).alias("templates"))
-    found = found.join(F.broadcast(templates), F.col("best.family") == F.col("family"))
-    own = ngrams(F.col("tokens"))
-    found = found.withColumn("similarity", F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, own)) / F.size(t))))
-    return found.select(
-        id, F.col("line").cast("int").alias("line"), F.col("best.family").alias("family"), F.col("best.p").alias("probability"), "similarity",
-        (F.col("similarity") >= confirm).alias("confirmed"), "paragraph",
-    )
+    found = found.filter((F.col("best.family") != UNKNOWN) & (F.col("best.p") >= threshold)).select(*key, "best")
+    found = read.join(found, key).join(F.broadcast(templates.groupBy("family").agg(F.collect_list("t").alias("templates"))), F.col("best.family") == F.col("family"))
+    found = found.withColumn("similarity", F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("ngrams"))) / F.size(t))))
+    found = found.withColumn("confirmed", F.col("similarity") >= confirm).withColumn("says", F.array_intersect(F.flatten("templates"), F.col("ngrams")))
+    # a paragraph and its lines: windows of one paragraph
+    whole, own, same = F.col("n") > 1, Window.partitionBy("row", "start"), Window.partitionBy("row", "start", "family")
+    notice = F.struct(F.flatten("templates").alias("ngrams"), F.col("family").alias("of"))
+    found = found.withColumn("notice", F.max(F.when(whole & F.col("confirmed"), notice)).over(own))
+    found = found.withColumn("by_line", F.max(F.when(~whole, F.col("confirmed").cast("int"))).over(same))
+    piece = (~F.col("confirmed") | (F.col("family") != F.col("notice.of"))) & (F.size(F.array_except("says", "notice.ngrams")) == 0)
+    doubled = F.col("by_line").isNotNull() & ((F.col("by_line") == 1) | ~F.col("confirmed"))
+    found = found.filter(F.when(whole, ~doubled).otherwise(F.col("notice").isNull() | ~piece))
+    return found.select(id, F.col("line").cast("int").alias("line"), "family", F.col("best.p").alias("probability"), "similarity", "confirmed", "paragraph")

@@ -324,3 +324,26 @@ def test_licences_are_found_and_lookalikes_are_not(spark):
     assert {(r.doc_id, r.family, r.confirmed) for r in got if r.confirmed} == {(k, f, True) for k, (f, _) in good.items()}
     assert sum(r.doc_id == 1 for r in got) == 2 and {r.line for r in got if r.doc_id == 3} == {2}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_wrapped_licences_are_found_whole(spark):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use and copy"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    rows, want = [], set()
+    for k, (family, notice) in enumerate([("MIT", mit), ("GPL-3.0", gpl), ("BSD", bsd)]):
+        wrapped = {w: textwrap.wrap(notice, w) for w in (80, 60)}
+        rows += [(10 * k, "\n".join(["Some words.", "", *wrapped[80], "", "more words"])), (10 * k + 1, "\n".join(wrapped[60]))]
+        rows += [(10 * k + 2, "/*\n * A title\n *\n" + "".join(f" * {x}\n" for x in wrapped[80]) + " */\r\n\r\ncode = 1"), (10 * k + 3, notice)]
+        want |= {(10 * k, 2, family), (10 * k + 1, 0, family), (10 * k + 2, 3, family), (10 * k + 3, 0, family)}
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line, r.family) for r in got if r.confirmed} == want and len(got) == len(want)
+    assert {r.paragraph for r in got if r.doc_id % 10 == 1} == {mit, gpl, bsd}
+
+
+def test_lines_and_paragraphs_of_a_text(spark):
+    rows = spark.createDataFrame([("a b\n\n--\nc\nb x a\n",), ("",), ("\n\na",)], "text string")
+    got = [[(u.start, u.line, u.n, u.paragraph, u.ngrams) for u in r[0]] for r in rows.select(licenses.units(F.col("text"), ["a", "b"], ["a"])).collect()]
+    assert got == [[(0, 0, 1, "a b", ["a", "b", "a b"]), (3, 4, 1, "b x a", ["b", "a"]), (3, 3, 2, "c b x a", ["b", "a"])], [], [(2, 2, 1, "a", ["a"])]]

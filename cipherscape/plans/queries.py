@@ -375,8 +375,18 @@ def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _identified(spark, sf_dir).filter("scan_id = 'scan2'")
-    return rows.orderBy(F.col("priority_score").desc(), "path", "start_line", "rule_id", "api", "operation", "k", "ln").limit(200).select("k", "ln", "priority_score")
+    """The head of one scan's queue; engine_queue_ranks has all of it."""
+    return read.engine_queue(_spans(spark, sf_dir).filter("scan_id = 'scan2'")).limit(200).select("k", "ln", "priority_score")
+
+
+def engine_queue_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole queue of every scan."""
+    return read.engine_ranks(_spans(spark, sf_dir)).select("scan_id", "rank", "k", "ln", "priority_score")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored observations with a span; k and ln make up its end, so no two rows tie."""
+    return _scored(spark, sf_dir).withColumns({"start_column": F.lit(0), "end_line": F.col("k"), "end_column": F.col("ln")})
 
 
 def finding_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,7 +537,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation,
         role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, page_meta,
-        review_queue_page, queue_counts, engine_queue, finding_detail, findings_diff, job_claim, stale_reclaim, job_finish, job_retry, review_fold, review_transitions,
+        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, findings_diff, job_claim, stale_reclaim, job_finish, job_retry, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
     )
     return found | {f.__name__: f for f in own}
@@ -571,6 +581,8 @@ def oracle_sql() -> dict[str, str]:
  ORDER BY {_RANK_P}, {_RANK_C}, file_path, start_line, review_id LIMIT 100""",
         "queue_counts": f"SELECT scan_id, review_status, priority, count(*) AS n FROM ({_QUEUE}) GROUP BY ALL",
         "engine_queue": f"SELECT k, ln, priority_score FROM ({_SCORED}) WHERE scan_id = 'scan2' ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln LIMIT 200",
+        "engine_queue_ranks": f"""SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln) AS rank, k, ln, priority_score
+ FROM ({_SCORED})""",
         "finding_detail": f"SELECT id AS finding_id, fn, cls, 'line ' || start_line AS excerpt, node_count::BIGINT - 1 AS node_count, {review_path}, review_status FROM ({_QUEUE})",
         "findings_diff": f"""SELECT CASE WHEN a.fingerprint IS NULL THEN 'NEW' WHEN b.fingerprint IS NULL THEN 'RESOLVED' ELSE 'UNCHANGED' END AS change, count(*) AS n
  FROM (SELECT fingerprint FROM {stored} WHERE scan_id = 'scan0') a FULL JOIN (SELECT fingerprint FROM {stored} WHERE scan_id = 'scan1') b ON a.fingerprint = b.fingerprint GROUP BY 1""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherscape.functions import vocab
@@ -84,9 +84,29 @@ def queue_page(reviews: DataFrame, findings: DataFrame, page: int = 1, size: int
     return paged(filtered(review_queue(reviews, findings), **filters), queue_order(), page, size)
 
 
+def engine_order() -> list[Column]:
+    return [F.col("priority_score").desc(), *map(F.col, ("path", "start_line", "start_column", "rule_id", "api", "operation", "end_line", "end_column"))]
+
+
 def engine_queue(found: DataFrame) -> DataFrame:
     """Derived findings by falling score, then place."""
-    return found.orderBy(F.col("priority_score").desc(), "path", "start_line", "start_column", "rule_id", "api", "operation", "end_line", "end_column")
+    return found.orderBy(*engine_order())
+
+
+def engine_ranks(found: DataFrame, scan: str = "scan_id") -> DataFrame:
+    """Every finding with its place (rank, from 1) in the engine's queue of its scan.
+
+    Rows are range partitioned, so no task sees all rows of a scan; a row's rank is
+    its place in its partition and the scan's rows in the partitions before.
+    """
+    order = [F.col(scan).asc(), *engine_order()]
+    placed = found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist()  # numbered once
+    part = F.shiftright("_m", 33)
+    parts = placed.groupBy(F.col(scan).alias("_scan"), part.alias("_p")).agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))  # a scan's rows are neighbours
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_scan").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_before", before)
+    rows = placed.join(parts, F.col(scan).eqNullSafe(F.col("_scan")) & (part == F.col("_p")))
+    return rows.withColumn("rank", F.col("_before") + F.col("_m") - F.col("_first") + 1).select(*found.columns, "rank")
 
 
 def details(findings: DataFrame, evidence: DataFrame, nodes: DataFrame, reviews: DataFrame, scans: DataFrame | None = None, repositories: DataFrame | None = None) -> DataFrame:

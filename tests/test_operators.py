@@ -185,3 +185,14 @@ def test_stream_equals_batch(spark, tmp_path):
     replay.stream_replay(stream, f"{tmp_path}/log", lifecycle.replay_reviews, f"{tmp_path}/check").awaitTermination()
     order = lambda df: sorted(map(str, df.collect()))
     assert order(replay.state(spark, f"{tmp_path}/log", lifecycle.replay_reviews)) == order(lifecycle.replay_reviews(table))
+
+
+def test_every_finding_has_its_place_in_the_queue(spark):
+    columns = "scan_id string, priority_score int, path string, start_line int, start_column int, rule_id string, api string, operation string, end_line int, end_column int"
+    rows = [("a" if k % 5 else "b" if k % 2 else None, k * 37 % 11, f"p{k * 7 % 3}", k % 4, k % 2, "R", "x", "SIGN", k, 0) for k in range(1500)]
+    got = read.engine_ranks(spark.createDataFrame(rows, columns).repartition(6)).collect()
+    want = set()
+    for scan in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == scan), key=lambda r: (-r[1], *r[2:]))
+        want |= {(*r, place) for place, r in enumerate(own, 1)}
+    assert len(got) == len(rows) and set(map(tuple, got)) == want

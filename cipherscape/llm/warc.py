@@ -7,7 +7,8 @@ record as a gzip member of its own, in archives of bounded size, in the folder
 given by any URI that pyarrow knows; only files named in the commit count.
 
 *Reading.*  Spark lists and reads the archives as binary files.  In each the reader
-checks a record's member, version line, length and block digest.  After a failed
+checks a record's member, version line, length and block digest; a member may hold
+several records, and those of a damaged one that are whole are read.  After a failed
 check it searches for the next place where a whole valid record starts, be it a
 gzip member or a bare version line, and goes on from there; the bytes between
 are logged as a gap with the reason.  Nothing is guessed from damaged bytes.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -128,18 +130,19 @@ class Damaged(Exception):
     pass
 
 
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):([^\x00-\x08\x0a-\x1f\x7f]*)")
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(fields, block, length with the closing lines) of the record at the start of ``data``."""
-    if not re.match(rb"WARC/1\.[01]\r\n", data):
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(fields, block, length with the closing lines) of the record at ``at``."""
+    if not _VERSION.match(data, at):
         raise Damaged("version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("header")
     fields: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         found = _FIELD.fullmatch(line)
         if found is None:  # else junk before a record would swallow what lies between
             raise Damaged("header")
@@ -155,48 +158,84 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     want = fields.get("warc-block-digest", "")
     if want.startswith("sha1:") and base64.b32encode(hashlib.sha1(block).digest()).decode() != want[5:]:
         raise Damaged("digest")
-    return fields, block, stop + 4
+    return fields, block, stop + 4 - at
 
 
-def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """As parse, for the gzip member or the bare record that starts at ``at``; the length is in the file."""
-    if data[at : at + 2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-        try:
-            whole = unpack.decompress(memoryview(data)[at:])
-        except zlib.error as e:
-            raise Damaged("member") from e
-        if not unpack.eof:
-            raise Damaged("member cut short")
-        fields, block, n = parse(whole)
-        if n != len(whole):
-            raise Damaged("length")
-        return fields, block, len(data) - at - len(unpack.unused_data)
-    # a bare record: take no more than its header says
+def member_at(data: bytes, at: int) -> tuple[bytes, int]:
+    """(content, length in the file) of the gzip member that starts at ``at``."""
+    unpack = zlib.decompressobj(31)
+    try:
+        whole = unpack.decompress(memoryview(data)[at:])
+    except zlib.error as e:
+        raise Damaged("member") from e
+    if not unpack.eof:
+        raise Damaged("member cut short")
+    return whole, len(data) - at - len(unpack.unused_data)
+
+
+def bare_record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """As parse, for the bare record that starts at ``at``; takes no more than its header says."""
     head = data.find(b"\r\n\r\n", at, at + (1 << 20))
     size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at : head + 4]) if head >= 0 else None
     return parse(data[at : head + 8 + int(size[1])] if size else data[at : at + 16])
 
 
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|" + _VERSION.pattern)
+
+
+def inside(whole: bytes) -> Iterator[tuple[str, object]]:
+    """('record', (fields, block)) and ('gap', reason) over the content of a member."""
+    at, bad = 0, None
+    while at < len(whole):
+        try:
+            fields, block, n = parse(whole, at)
+        except Damaged as e:
+            bad = bad or str(e)
+            found = _VERSION.search(whole, at + 1)
+            at = found.start() if found else len(whole)
+            continue
+        if bad is not None:
+            yield "gap", bad
+            bad = None
+        yield "record", (fields, block)
+        at += n
+    if bad is not None:
+        yield "gap", bad
 
 
 def salvaged(data: bytes) -> Iterator[tuple[int, int, str, object]]:
-    """(offset, length, 'record', (fields, block)) and (offset, length, 'gap', reason) over a whole archive."""
+    """(offset, length, 'record', (fields, block)) and (offset, length, 'gap', reason) over a whole archive.
+
+    Records and gaps of one gzip member all have the member's offset and length.  A
+    member without any valid record is no start: the search goes on behind its first byte.
+    """
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
-            fields, block, n = record_at(data, at)
+            if data[at : at + 2] == b"\x1f\x8b":
+                whole, n = member_at(data, at)
+                found, head = inside(whole), []  # records come one after another and are not held
+                for x in found:
+                    head.append(x)
+                    if x[0] == "record":
+                        break
+                else:
+                    raise Damaged(head[0][1] if head else "version line")
+                found = itertools.chain(head, found)
+            else:
+                fields, block, n = bare_record_at(data, at)
+                found = [("record", (fields, block))]
         except Damaged as e:
             if bad is None:
                 bad, reason = at, str(e)
-            found = _START.search(data, at + 1)
-            at = found.start() if found else len(data)
+            start = _START.search(data, at + 1)
+            at = start.start() if start else len(data)
             continue
         if bad is not None:
             yield bad, at - bad, "gap", reason
             bad = None
-        yield at, n, "record", (fields, block)
+        for kind, what in found:
+            yield at, n, kind, what
         at += n
     if bad is not None:
         yield bad, len(data) - bad, "gap", reason
@@ -221,7 +260,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         out.append((file, offset, n, kind, what, *[None] * 7))
                     else:
                         out.append((file, offset, n, kind, None, *_read(*what, payloads)))
-                        size += n
+                        size += len(what[1])
                     if size > 8 << 20:
                         yield _batch(out, names, kinds)
                         out, size = [], 0

@@ -1,5 +1,6 @@
 """Main text, archives and vector search."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -128,6 +129,23 @@ def test_damaged_archives_are_read_by_spark(spark, tmp_path):
     assert len(gap) == 1 and gap[0].length == 5 and gap[0].offset == sum(map(len, parts[:10]))
 
 
+def test_a_member_of_several_records_is_read(spark, tmp_path):
+    raw = []
+    for k in range(6):
+        payload = random.Random(k).randbytes(300)
+        raw.append(warc.record(str(k), "http://x", "response", payload, len(payload), hashlib.sha1(payload).hexdigest(), None, "2000-01-01T00:00:00Z"))
+    hurt = raw[2].replace(b"HTTP/1.1 200", b"HTTP/1.1 299")
+    stream, broken = gzip.compress(b"".join(raw)), gzip.compress(b"".join([*raw[:2], hurt, *raw[3:]]))
+    (tmp_path / "a.warc.gz").write_bytes(stream)
+    (tmp_path / "b.warc.gz").write_bytes(broken + gzip.compress(raw[2]))
+    rows = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    a, b = ([r for r in rows if r.file.endswith(f"{x}.warc.gz")] for x in "ab")
+    assert [(r.kind, r.key, r.payload_bytes, r.offset, r.length) for r in a] == [("record", str(k), 300, 0, len(stream)) for k in range(6)]
+    assert [(r.kind, r.reason, r.key, r.offset) for r in b] == [
+        *[("record", None, str(k), 0) for k in (0, 1)], ("gap", "digest", None, 0), *[("record", None, str(k), 0) for k in (3, 4, 5)], ("record", None, "2", len(broken)),
+    ]
+
+
 # -- top-k -----------------------------------------------------------------------------
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # -- written stages -----------------------------------------------------------
 
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset, on a local master, one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="cipherscape-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(own)
@@ -45,15 +50,40 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The files are compressed, every executor sees them, and a lost executor
-    costs no recomputation.  They lie in a folder of the application's own, which
-    may go when the application has ended.
+    costs no recomputation.  They lie in a folder of the application's own; ``scratch``
+    removes those that a finished step leaves behind.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at its end, the folders that ``stage`` wrote inside, but for the last one before each call of what it gives."""
+    kept: list[str] = []
+    _scopes.append([])
+
+    def keep(staged: DataFrame) -> DataFrame:
+        kept.append(_scopes[-1].pop())
+        return staged
+
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of literals that the driver holds."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{schema}>>"))))
@@ -113,17 +143,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)]
+#: Odd numbers whose powers weigh the words of a window; each gives a hash of its own.
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+def windows(hashes: np.ndarray, width: int, base: int = FIRST) -> np.ndarray:
     """A hash of every run of ``width`` consecutive words; empty when there are fewer."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out += hashes[k : k + n] * np.uint64(_POWERS[k])
+        out += hashes[k : k + n] * np.uint64(pow(base, k + 1, 1 << 64))
     return mixed(out)
 
 
@@ -132,12 +163,6 @@ def ascii_lower(text: bytes) -> bytes:
     return text.lower()
 
 
-def approximate_words(docs: DataFrame, text: str = "text") -> int:
-    """Sixths of the bytes of all texts, from which numbers of buckets follow; never a result."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"]
-    return int(total or 0) // 6
-
-
 def power_of_two(n: float, least: int = 1, most: int = 1 << 20) -> int:
     k = least
     while k < n and k < most:
@@ -145,54 +170,7 @@ def power_of_two(n: float, least: int = 1, most: int = 1 << 20) -> int:
     return k
 
 
-# -- sets of 64-bit hashes as filters of fixed size ----------------------------------
-
-#: log2 of the bits of a filter. Its size never depends on the data: 16 MB.
-FILTER_BITS = 27
-
-
-class HashFilter:
-    """Two bits a hash, both in the segment that the top bits of the hash name.
-
-    Segments are made where the hashes of a bucket meet and put together on the
-    driver; the whole always has 2**FILTER_BITS bits.  A full filter answers
-    'maybe' more often, which costs time and never changes a result.
-    """
-
-    def __init__(self, bits: np.ndarray, buckets: int):
-        self.bits, self.buckets = bits, buckets
-
-    @staticmethod
-    def slots(rest: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two places within the bucket's segment, from the 32 bits below the bucket's own."""
-        drop = np.uint64(32 - (FILTER_BITS - (buckets.bit_length() - 1)))
-        wide = rest.astype(np.uint64)
-        return wide >> drop, ((wide * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) >> drop
-
-    @classmethod
-    def segment(cls, rest: np.ndarray, buckets: int) -> bytes:
-        """The bits of one bucket, whose hashes are given by ``rest_of``."""
-        flags = np.zeros((1 << FILTER_BITS) // buckets, bool)
-        for s in cls.slots(rest, buckets):
-            flags[s] = True
-        return np.packbits(flags, bitorder="little").tobytes()
-
-    @classmethod
-    def gathered(cls, rows: Iterator, buckets: int) -> HashFilter:
-        """From (bucket, segment) rows; a bucket without a row is empty."""
-        size = (1 << FILTER_BITS) // buckets // 8
-        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-        for bucket, segment in rows:
-            bits[bucket * size : (bucket + 1) * size] = np.frombuffer(segment, np.uint8)
-        return cls(bits, buckets)
-
-    def maybe(self, h: np.ndarray) -> np.ndarray:
-        base = bucket_of(h, self.buckets).astype(np.uint64) * np.uint64((1 << FILTER_BITS) // self.buckets)
-        found = np.ones(len(h), bool)
-        for s in self.slots(rest_of(h, self.buckets), self.buckets):
-            s = s + base
-            found &= (self.bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-        return found
+# -- hashes by bucket ------------------------------------------------------------
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:

@@ -5,9 +5,9 @@ distinct n-grams (ASCII letters lowered).  The overlaps are entries of the
 product of the sparse document x n-gram incidence matrix with its transpose,
 formed in blocks:
 
-1. *Document frequencies.*  Every n-gram column is counted over all documents
-   (each partition sends each of its columns once, 4 bytes).  Two filters of a
-   fixed size tell columns that more than one set holds, and frequent columns.
+1. *Document frequencies.*  Every n-gram column is counted over all documents: a pack of
+   texts (see ``packs``) asks once for each of its columns, 4 bytes each, and gets two bits
+   back, whether more than one set holds it and whether it is frequent.
 2. *First block.*  A size-derived bound says that two linked sets share one of
    their first ``n - ceil(t n) + 1`` columns in any common order; frequent
    columns come last in ours.  Only these columns are multiplied.  Pairs whose
@@ -22,49 +22,37 @@ formed in blocks:
 Equal sets are one vertex from the start.  A column of many sets (a passage, a
 group of near copies) isn't expanded into all pairs: first every set is tested
 against one hub of its column; pairs within one component need no further test, and
-a second round tests every remaining pair across components.  So no link between
-different components is lost, and no cap is set anywhere.
+a second round tests every remaining pair across components, block of rows against
+block of rows.  So no link between different components is lost, and no cap is set
+anywhere.  Nothing is broadcast and nothing gathered on the driver; a hot column's
+rows are never one group, only counted by partial aggregates and joined.
 
 Edge cases: a null or wordless text has the empty set and links with nothing;
 fewer words than ``n`` make one shorter n-gram; repeated rows get equal results;
 rows with a null id take part and get their class's smallest id (null if it has
-none); an empty table gives an empty result; further columns are ignored.
-Sets and n-grams are compared by 64-bit hashes.
+none); a very long text is a pack of its own and one set like others; an empty table
+gives an empty result; further columns are ignored, whatever their names.  Sets and
+n-grams are compared by 64-bit hashes: among 3e10 different sets some 24 pairs are
+expected to share one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from cipherscape.llm.common import (
-    FILTER_BITS,
-    HashFilter,
-    WordHashes,
-    approximate_words,
-    ascii_lower,
-    binary_rows,
-    bucket_of,
-    by_bucket,
-    mixed,
-    power_of_two,
-    rest_of,
-    stage,
-    windows,
-)
+from cipherscape.llm.common import WordHashes, ascii_lower, binary_rows, bucket_of, stage, windows
+from cipherscape.llm.packs import ANSWER, answers, buckets_for, by_pack, marks, packed, short_hashes, text_column, unpacked
 
 #: A column of more sets than this comes last in the order of columns.
 FREQUENT = 12
-#: n-grams gathered before a partition sends its columns.
-PACK = 1_500_000
-#: n-grams a bucket meets, about, up to 2**17 buckets; 100 TB of text fill those with 1 GB each.
-PER_BUCKET = 4_000_000
 
 
 def shingle_set(text: bytes | None, n: int, words: WordHashes) -> np.ndarray:
@@ -92,130 +80,114 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-n * percent // 100)) + 1
 
 
-def column_filters(docs: DataFrame, n: int, text: str, buckets: int) -> tuple[HashFilter, HashFilter]:
-    """Filters of the columns that occur in two sets or more, and of those in over FREQUENT."""
+def column_marks(packs: DataFrame, n: int, text: str, buckets: int) -> DataFrame:
+    """(pack, bucket, bits): of each pack's columns, those that two sets or more hold, and those that over FREQUENT hold."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, held, size = WordHashes(), set(), [], 0
-
-        def packed() -> pa.RecordBatch:
-            columns, counts = np.unique(np.concatenate(held), return_counts=True)
-            rows = []
-            for b, s in by_bucket(columns, buckets):
-                rest, count = rest_of(columns[s], buckets), counts[s]
-                more = np.flatnonzero(count > 1)
-                rows.append((b, rest.tobytes(), rest[more].tobytes(), np.minimum(count[more] - 1, 1 << 30).astype(np.uint32).tobytes()))
-            return binary_rows(["bucket", "columns", "more", "counts"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()], rows)
-
+        words = WordHashes()
         for batch in batches:
-            for value in batch.column(0):
-                shingles = shingle_set(value.as_py(), n, words)
-                if not len(shingles) or (key := set_id(shingles)) in seen:
-                    continue
-                seen.add(key)
-                held.append(shingles)
-                size += len(shingles)
-                if size >= PACK:
-                    yield packed()
-                    seen, held, size = set(), [], 0
-        if held:
-            yield packed()
+            for pack, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sets = distinct_sets(text_column(unpacked(data.as_buffer()), text), n, words)
+                columns, counts = np.unique(np.concatenate([NO_COLUMN, *sets.values()]), return_counts=True)
+                rows = []
+                for b, s, rest in short_hashes(columns, buckets):
+                    more = np.flatnonzero(counts[s] > 1)
+                    rows.append((pack, b, rest, more.astype(np.uint32).tobytes(), counts[s][more].astype(np.uint32).tobytes()))
+                yield binary_rows(["pack", "bucket", "columns", "more", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], rows)
 
     def counted(key: tuple, group: pa.Table) -> pa.Table:
-        ones = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("columns")])
-        more = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("more")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")])
-        columns, total = np.unique(ones, return_counts=True)
-        np.add.at(total, np.searchsorted(columns, more), counts)
-        return pa.table({
-            "bucket": pa.array([key[0].as_py()], pa.int32()),
-            "shared": pa.array([HashFilter.segment(columns[total > 1], buckets)], pa.binary()),
-            "frequent": pa.array([HashFilter.segment(columns[total > FREQUENT], buckets)], pa.binary()),
-        })
-
-    sent_rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(sent, "bucket int, columns binary, more binary, counts binary")
-    found = sent_rows.groupBy("bucket").applyInArrow(counted, "bucket int, shared binary, frequent binary")
-    # as many bytes as the filters have, whatever the input
-    rows = [(r["bucket"], r["shared"], r["frequent"]) for r in found.toLocalIterator()]
-    return HashFilter.gathered(((b, s) for b, s, _ in rows), buckets), HashFilter.gathered(((b, f) for b, _, f in rows), buckets)
+        columns, counts = [], []
+        for x, y, z in zip(group.column("columns"), group.column("more"), group.column("counts"), strict=True):
+            columns.append(np.frombuffer(x.as_py(), np.uint32))
+            counts.append(np.ones(len(columns[-1]), np.int64))
+            counts[-1][np.frombuffer(y.as_py(), np.uint32)] = np.frombuffer(z.as_py(), np.uint32)
+        _, of = np.unique(np.concatenate(columns), return_inverse=True)
+        total = np.bincount(of, np.concatenate(counts))[of]
+        return answers(group.column("pack").to_pylist(), key[0].as_py(), [len(c) for c in columns], total > 1, total > FREQUENT)
+
+    asked = packs.select("pack", "data").mapInArrow(sent, "pack long, bucket int, columns binary, more binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(counted, ANSWER)
+
+
+NO_COLUMN = np.empty(0, np.uint64)
+
+
+def distinct_sets(texts: Iterable[bytes], n: int, words: WordHashes) -> dict[int, np.ndarray]:
+    """The different sets of a pack by id."""
+    out = {}
+    for t in texts:
+        shingles = shingle_set(t, n, words)
+        if len(shingles):
+            out.setdefault(set_id(shingles), shingles)
+    return out
 
 
 #: A column of more sets than this goes by way of a hub first.
 SHORT = 24
-
-PARTS = ("columns", "sids", "counts", "places", "weights")
+#: Rows of a long column that meet as many others in one task.
+BLOCK_ROWS = 4096
 
 
-def read_once(docs: DataFrame, n: int, percent: int, id: str, text: str, buckets: int, filters: tuple[HashFilter, HashFilter]) -> DataFrame:
-    """Rows of two kinds from one pass over the texts.
+def read_once(packs: DataFrame, n: int, percent: int, id: str, text: str, id_type: DataType, buckets: int) -> DataFrame:
+    """Rows of two kinds from one pass over the packs.
 
-    With a bucket: the first block of the incidence matrix, as columns and, for each
-    entry, its set's id, size, place and number of frequent columns.  Without: a
-    document's id, n_shingles, sid and counts by block.
+    With a column: an entry of the first block of the incidence matrix, as its column and its
+    set's id, size, place and number of frequent columns.  Without: a row of the input, as its
+    pack and place, id, n_shingles, sid and counts by block.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    kind = docs.schema[id].dataType
-    id_type = to_arrow_type(kind)
-    names = ["bucket", *PARTS, id, "n_shingles", "sid", "blocks"]
-    types = [pa.int32(), *[pa.binary()] * 5, id_type, pa.int64(), pa.int64(), pa.binary()]
+    names = ["pack", "at", id, "n_shingles", "blocks", "sid", "column", "size", "place", "weight"]
+    kinds = [pa.int64(), pa.int32(), to_arrow_type(id_type), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_two, frequent = shared.value
-        words, seen, rows, size = WordHashes(), set(), [], 0
-
-        def packed() -> pa.RecordBatch:
-            column = np.concatenate([r[0] for r in rows])
-            fields = [np.repeat(np.array([r[k] for r in rows], np.int64), [len(r[0]) for r in rows]) for k in (1, 2, 4)]
-            place = np.concatenate([r[3] for r in rows])
-            order = np.argsort(column, kind="stable")
-            column, place, (sid, count, weight) = column[order], place[order], [f[order] for f in fields]
-            out = []
-            for b, s in by_bucket(column, buckets):
-                parts = (column[s], sid[s], count[s].astype(np.int32), place[s].astype(np.int32), weight[s].astype(np.int32))
-                out.append((b, *(x.tobytes() for x in parts), None, None, None, None))
-            return binary_rows(names, types, out)
-
+        words = WordHashes()
         for batch in batches:
-            sizes, keys, counts = [], [], []
-            for value in batch.column(1):
-                shingles = shingle_set(value.as_py(), n, words)
-                key = set_id(shingles) if len(shingles) else None
-                sizes.append(len(shingles))
-                keys.append(key)
-                counts.append(block_counts(shingles).tobytes())
-                if key is None or key in seen:
-                    continue
-                seen.add(key)
-                late = frequent.maybe(shingles)
-                length = prefix_length(len(shingles), percent)
-                first = first_columns(shingles[~late], length)
-                if len(first) < length:
-                    first = np.concatenate((first, first_columns(shingles[late], length - len(first))))
-                keep = in_two.maybe(first)
-                if keep.any():
-                    rows.append((first[keep], key, len(shingles), np.flatnonzero(keep), int(late.sum())))
-                    size += int(keep.sum())
-            none = [pa.nulls(len(batch), t) for t in types[:6]]
-            yield pa.RecordBatch.from_arrays([*none, batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary())], names=names)
-            if size >= PACK // 4:
-                yield packed()
-                seen, rows, size = set(), [], 0
-        if rows:
-            yield packed()
-
-    fields = ", ".join(f"{p} binary" for p in PARTS)
-    return docs.select(id, F.col(text).cast("binary").alias("t")).mapInArrow(
-        sent, f"bucket int, {fields}, `{id}` {kind.simpleString()}, n_shingles long, sid long, blocks binary"
-    )
+            for pack, data, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own, sets, keys, sizes, blocks = unpacked(data.as_buffer()), {}, [], [], []
+                for t in text_column(own, text):
+                    shingles = shingle_set(t, n, words)
+                    key = set_id(shingles) if len(shingles) else None
+                    keys.append(key)
+                    sizes.append(len(shingles))
+                    blocks.append(block_counts(shingles).tobytes())
+                    if key is not None:
+                        sets.setdefault(key, shingles)
+                k = len(own)
+                rows = [pa.array([pack] * k, kinds[0]), pa.array(range(k), kinds[1]), own.column(id), pa.array(sizes, kinds[3]), pa.array(blocks, kinds[4]), pa.array(keys, kinds[5])]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(k, t) for t in kinds[6:])], names=names)
+                columns, of = np.unique(np.concatenate([NO_COLUMN, *sets.values()]), return_inverse=True)
+                shared, frequent = marks(found.as_py(), bucket_of(columns, buckets), 2)[:, of]
+                parts, at = [], 0
+                for key, shingles in sets.items():
+                    both, late = shared[at : at + len(shingles)], frequent[at : at + len(shingles)]
+                    at += len(shingles)
+                    first = first_places(shingles, late, prefix_length(len(shingles), percent))
+                    keep = np.flatnonzero(both[first])
+                    if len(keep):
+                        parts.append((np.full(len(keep), key), shingles[first[keep]].view(np.int64), np.full(len(keep), len(shingles)), keep, np.full(len(keep), late.sum())))
+                if parts:
+                    entries = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), kinds[5:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(entries[0]), t) for t in kinds[:5]), *entries], names=names)
+
+    return packs.mapInArrow(sent, f"pack long, at int, `{id}` {id_type.simpleString()}, n_shingles long, blocks binary, sid long, column long, size int, place int, weight int")
+
+
+def first_places(shingles: np.ndarray, late: np.ndarray, length: int) -> np.ndarray:
+    """Where the first ``length`` columns of a set lie; frequent columns come last."""
+    early = np.flatnonzero(~late)
+    first = early[first_columns(shingles[early], length)]
+    if len(first) < length:
+        rest = np.flatnonzero(late)
+        first = np.concatenate((first, rest[first_columns(shingles[rest], length - len(first))]))
+    return first
 
 
 def first_columns(shingles: np.ndarray, length: int) -> np.ndarray:
-    """The first ``length`` columns in an order of all columns that has nothing to do with their buckets."""
-    place = shingles * np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so no two columns have one place
-    if length < len(place):
-        some = np.argpartition(place, length - 1)[:length] if length else np.empty(0, np.int64)
-        return shingles[some[np.argsort(place[some])]]
-    return shingles[np.argsort(place)]
+    """Places of the first ``length`` columns in an order of all columns that has nothing to do with their buckets."""
+    order = shingles * np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so no two columns have one place
+    if length < len(order):
+        some = np.argpartition(order, length - 1)[:length] if length else np.empty(0, np.int64)
+        return some[np.argsort(order[some])]
+    return np.argsort(order)
 
 
 def block_counts(shingles: np.ndarray) -> np.ndarray:
@@ -248,131 +220,89 @@ def bounded(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "pa", "pb").mapInArrow(kept, "a long, b long")
 
 
-def shared_columns(post: DataFrame) -> DataFrame:
-    """The postings of columns that two sets or more hold, merged: (bucket, column, sid, size, place, length, hub).
+def shared_columns(entries: DataFrame) -> DataFrame:
+    """Entries of columns that two sets or more hold: (column, sid, size, place, length, hub).
 
-    length is the number of the column's sets; hub is its set with most frequent
-    columns for its size, and null on its own row.
+    length is the number of the column's sets; hub is its set (sid, size, place) with most frequent
+    columns for its size.  Counts and hubs are partial aggregates, joined back by column; Spark
+    splits a hot column's rows.
     """
+    once = entries.groupBy("column", "sid").agg(*[F.first(c).alias(c) for c in ("size", "place", "weight")])  # a set that several packs sent
+    once = stage(once, "entries")
+    central = F.max_by(F.struct("sid", "size", "place"), F.struct(F.col("weight") / F.col("size"), "sid"))
+    of = once.groupBy("column").agg(F.count("*").alias("length"), central.alias("hub")).filter("length > 1")
+    return once.drop("weight").join(of, "column")
 
-    def merged(key: tuple, group: pa.Table) -> pa.Table:
-        column, sid, count, place, weight = _unpacked(group)
-        order = np.lexsort((sid, -(weight / count), column))
-        column, sid, count, place = column[order], sid[order], count[order], place[order]
-        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        lengths = np.diff(np.append(starts, len(column)))
-        hub, many = np.repeat(starts, lengths), np.repeat(lengths > 1, lengths)
-        keep = np.flatnonzero(many)
-        return pa.table({
-            "bucket": pa.array(np.full(len(keep), key[0].as_py(), np.int32)), "column": pa.array(column[keep].view(np.int64)), "sid": pa.array(sid[keep]),
-            "size": pa.array(count[keep]), "place": pa.array(place[keep]), "length": pa.array(np.repeat(lengths, lengths)[keep].astype(np.int32)), "hub": pa.array(sid[hub[keep]], mask=keep == hub[keep]),
-            "hub_size": pa.array(count[hub[keep]]), "hub_place": pa.array(place[hub[keep]]),
-        })
 
-    return post.groupBy("bucket").applyInArrow(merged, "bucket int, column long, sid long, size int, place int, length int, hub long, hub_size int, hub_place int")
+def _need(a: Column, b: Column, percent: int) -> Column:
+    return F.ceil((a + b) * percent / (100 + percent))
 
 
-def _unpacked(group: pa.Table) -> list[np.ndarray]:
-    kinds = zip(PARTS, (np.uint64, np.int64, np.int32, np.int32, np.int32), strict=True)
-    parts = [np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)]) for name, kind in kinds]
-    order = np.lexsort((parts[1], parts[0]))
-    parts = [p[order] for p in parts]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (parts[0][1:] != parts[0][:-1]) | (parts[1][1:] != parts[1][:-1])  # a set that several partitions sent
-    return [p[fresh] for p in parts]
+def _possible(a: tuple[str, str], b: tuple[str, str], percent: int) -> Column:
+    """Whether (size, place) of two entries of one column leave enough overlap for a link."""
+    (size, place), (other, there) = map(F.col, a), map(F.col, b)
+    need = _need(size, other, percent)
+    return (F.least(size - place, other - there) >= need) & (F.least(size, other) >= need)
 
 
-def _possible(a: np.ndarray, b: np.ndarray, count: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of entries of one column whose sizes and places leave enough overlap."""
-    ca, cb = count[a].astype(np.int64), count[b].astype(np.int64)
-    need = needed(ca, cb, percent)
-    return (np.minimum(ca - place[a], cb - place[b]) >= need) & (np.minimum(ca, cb) >= need)
+def _pair() -> list[Column]:
+    return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
 
 def hub_pairs(columns: DataFrame, percent: int) -> DataFrame:
     """(a, b): every set of a long column with the column's hub, where sizes and places allow a link."""
-    need = F.ceil((F.col("size") + F.col("hub_size")) * percent / (100 + percent))
-    left = F.least(F.col("size") - F.col("place"), F.col("hub_size") - F.col("hub_place"))
-    return columns.filter((F.col("length") > SHORT) & F.col("hub").isNotNull() & (left >= need)).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    rows = columns.filter((F.col("length") > SHORT) & (F.col("sid") != F.col("hub.sid"))).filter(_possible(("size", "place"), ("hub.size", "hub.place"), percent))
+    return rows.select(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).select(*_pair()).distinct()
 
 
-def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def short_pairs(columns: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all possible pairs of sets of one column of at most SHORT."""
+    rows = columns.filter(F.col("length") <= SHORT)
+    one = rows.select("column", F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
+    two = rows.select("column", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    both = one.join(two, "column").filter((F.col("a") < F.col("b")) & _possible(("size_a", "place_a"), ("size_b", "place_b"), percent))
+    return both.select("a", "b").distinct()
 
 
-def cross_pairs(columns: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): all possible pairs of sets of one column whose components differ.
+def long_pairs(columns: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all possible pairs of sets of one long column whose components differ.
 
-    Without labels: of the short columns, each set a component of its own.  With
-    labels: of the long ones.
+    One of the two is outside the column's largest component, so those rows meet all rows of the
+    column, a block of at most about BLOCK_ROWS of the one with a block of the other.
     """
+    rows = columns.filter(F.col("length") > SHORT).select("column", "sid", "size", "place").join(labels, "sid", "left")
+    rows = stage(rows.withColumn("label", F.coalesce("label", "sid")), "labelled")
+    each = rows.groupBy("column", "label").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("column").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("long")
+    mixed = mixed.select("column", "top", blocks(F.col("n")).alias("right"), blocks(F.col("n") - F.col("most")).alias("left"))
+    rows = rows.join(mixed, "column")
+    block = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outside = rows.filter("label <> top").select(
+        "column", F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), F.col("label").alias("label_a"), block("left", 1).alias("x"), upto("right").alias("y")
+    )
+    inside = rows.select(
+        "column", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("label").alias("label_b"), block("right", 2).alias("y"), upto("left").alias("x")
+    )
+    both = outside.join(inside, ["column", "x", "y"]).filter((F.col("label_a") != F.col("label_b")) & _possible(("size_a", "place_a"), ("size_b", "place_b"), percent))
+    return both.select(*_pair()).distinct()
 
-    def paired(key: tuple, group: pa.Table) -> pa.Table:
-        column, sid, count, place, component = (group.column(c).to_numpy() for c in ("column", "sid", "size", "place", "label"))
-        order = np.argsort(column, kind="stable")
-        column, sid, count, place, component = (x[order] for x in (column, sid, count, place, component))
-        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        differ = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-        keep = np.flatnonzero(np.repeat(differ, np.diff(np.append(starts, len(column)))))
-        keep = keep[np.lexsort((count[keep], column[keep]))]
-        column, sid, count, place, component = (x[keep] for x in (column, sid, count, place, component))
-        size = count.astype(np.int64)
-        a, b, held, first, lag = [], [], 0, np.arange(len(column)), 0
-        while len(first):  # each entry with the next, the one after it, ..., as far as column and sizes allow
-            lag += 1
-            first = first[first + lag < len(column)]
-            first = first[(column[first] == column[first + lag]) & (100 * size[first] >= percent * size[first + lag])]
-            other = first + lag
-            ok = (component[first] != component[other]) & _possible(first, other, count, place, percent)
-            x, y = sid[first[ok]], sid[other[ok]]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-            held += len(x)
-            if held > 2_000_000:
-                done = _distinct(a, b)
-                a, b = [done.column("a").to_numpy()], [done.column("b").to_numpy()]
-                held = 0
-        return _distinct(a, b)
-
-    fields = ("bucket", "column", "sid", "size", "place")
-    if labels is None:
-        known = columns.filter(F.col("length") <= SHORT).select(*fields, F.col("sid").alias("label"))
-    else:
-        known = columns.filter(F.col("length") > SHORT).join(labels, "sid", "left").select(*fields, F.coalesce("label", "sid").alias("label"))
-    return known.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
-
-
-def candidate_sets(docs: DataFrame, n: int, text: str, sids: DataFrame, buckets: int = 64) -> DataFrame:
-    """(sid, shingles): the sets of the given ids, found again in the texts."""
-    def made(key: tuple, group: pa.Table) -> pa.Table:
-        h = _sid_hash(group.column("sid").to_numpy())
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([HashFilter.segment(rest_of(h, buckets), buckets)], pa.binary())})
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sid = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(_sid_hash(sid), buckets)), batch.column(0)], names=["bucket", "sid"])
 
-    segments = sids.mapInArrow(placed, "bucket int, sid long").groupBy("bucket").applyInArrow(made, "bucket int, bits binary")
-    shared = docs.sparkSession.sparkContext.broadcast(HashFilter.gathered(((r["bucket"], r["bits"]) for r in segments.toLocalIterator()), buckets))
+def candidate_sets(packs: DataFrame, n: int, text: str, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles): the sets of the rows (sid, pack, at), found again in their packs."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, wanted = WordHashes(), shared.value
+        words = WordHashes()
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
-            for value in batch.column(0):
-                shingles = shingle_set(value.as_py(), n, words)
-                if len(shingles) and (key := set_id(shingles)) not in seen and wanted.maybe(_sid_hash(np.array([key])))[0]:
-                    seen[key] = shingles
-            yield binary_rows(["sid", "shingles"], [pa.int64(), pa.binary()], [(k, v.tobytes()) for k, v in seen.items()])
-
-    sets = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(found, "sid long, shingles binary")
-    return sets.groupBy("sid").agg(F.first("shingles").alias("shingles"))
+            for data, rows in zip(*batch.columns, strict=True):
+                own = unpacked(data.as_buffer())
+                rows = rows.as_py()
+                texts = text_column(own.take(pa.array([r["at"] for r in rows], pa.int64())), text)
+                yield binary_rows(["sid", "shingles"], [pa.int64(), pa.binary()], [(r["sid"], shingle_set(t, n, words).tobytes()) for r, t in zip(rows, texts, strict=True)])
 
-
-def _sid_hash(sid: np.ndarray) -> np.ndarray:
-    return mixed(sid.astype(np.int64).view(np.uint64))
+    each = wanted.groupBy("pack").agg(F.collect_list(F.struct("sid", "at")).alias("rows"))  # at most the rows of a pack
+    return packs.join(each, "pack").select("data", "rows").mapInArrow(found, "sid long, shingles binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -412,32 +342,63 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_classes(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80
-) -> DataFrame:
-    """(id, n_shingles, sid, component_id): each row with the smallest id of its class of linked texts.
+def classes(docs: DataFrame, id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The packs of ``docs``, and (pack, at, id, n_shingles, sid, label, component_id, first): each row with its class.
 
-    sid names the row's set of n-grams (null when it is empty).
+    first is the place of the row that stands for the class: of the smallest id, nulls last,
+    then the earliest.  sid names the row's set of n-grams (null when it is empty).
     """
-    buckets = power_of_two(approximate_words(docs, text) / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 10))
-    once = stage(read_once(docs, n, percent, id, text, buckets, column_filters(docs, n, text, buckets)), "incidence")
-    columns = stage(shared_columns(once.filter("bucket is not null").select("bucket", *PARTS)), "columns")
-    counts = stage(once.filter("sid is not null and bucket is null").groupBy("sid").agg(F.first("blocks").alias("blocks")), "counts")
-
-    pairs = stage(bounded(cross_pairs(columns, None, percent).union(hub_pairs(columns, percent)).distinct(), counts, percent), "pairs")
+    packs = packed(docs, text)
+    buckets = buckets_for(packs)
+    found = stage(column_marks(packs, n, text, buckets), "marks")
+    with_marks = packs.join(by_pack(found), "pack", "left").select("pack", "data", "marks")
+    once = stage(read_once(with_marks, n, percent, id, text, docs.schema[id].dataType, buckets), "incidence")
+    columns = stage(shared_columns(once.filter("column is not null").select("column", "sid", "size", "place", "weight")), "columns")
+    rows = once.filter("column is null").select("pack", "at", id, "n_shingles", "sid", "blocks")
+    one = rows.filter("sid is not null").groupBy("sid")
+    one = stage(one.agg(F.min(F.struct("pack", "at")).alias("r"), F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "pack", "at")).alias("first"), F.first("blocks").alias("blocks")), "sets")
+
+    counts = one.select("sid", "blocks")
+    pairs = stage(bounded(short_pairs(columns, percent).union(hub_pairs(columns, percent)).distinct(), counts, percent), "pairs")
     # the second round's pairs are of long columns; with their sets fetched now, the texts are read once for both
-    sids = pairs.select("a").union(pairs.select("b")).union(columns.filter(F.col("length") > SHORT).select("sid")).toDF("sid")
-    sets = stage(candidate_sets(docs, n, text, stage(sids.distinct(), "candidates")), "sets")
+    sids = pairs.select("a").union(pairs.select("b")).union(columns.filter(F.col("length") > SHORT).select("sid")).toDF("sid").distinct()
+    sets = stage(candidate_sets(packs, n, text, one.join(sids, "sid", "left_semi").select("sid", "r.pack", "r.at")), "candidates")
     labels = components(stage(linked(pairs, sets, percent), "links"))
-    pairs = stage(bounded(cross_pairs(columns, labels, percent), counts, percent), "pairs")
+    pairs = stage(bounded(long_pairs(columns, labels, percent), counts, percent), "pairs")
     if not pairs.isEmpty():
         more = stage(linked(pairs, sets, percent), "links")
         if not more.isEmpty():
             labels = components(labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).filter("a <> b").union(more))
-    rows = once.filter("bucket is null").select(id, "n_shingles", "sid")
     # one row for each class of equal sets, then one for each component: both summed before they are sent
-    first = rows.filter("sid is not null").groupBy("sid").agg(F.min(id).alias("first"))
-    first = first.join(labels, "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
-    least = first.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = first.join(least, "label").select("sid", "component_id")
-    return rows.join(known, "sid", "left").select(id, "n_shingles", "sid", F.expr(f"if(sid is null, `{id}`, component_id)").alias("component_id"))
+    known = one.select("sid", "first").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    least = known.groupBy("label").agg(F.min("first").alias("first"))
+    known = stage(known.select("sid", "label").join(least, "label"), "classes")
+    return packs, rows.drop("blocks").join(known, "sid", "left")
+
+
+def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, sid, component_id): each row with the smallest id of its class of linked texts.
+
+    sid names the row's set of n-grams (null when it is empty).
+    """
+    _, rows = classes(docs.select(id, text), id, text, n, percent)
+    return rows.select(id, "n_shingles", "sid", F.expr(f"if(sid is null, `{id}`, first.id)").alias("component_id"))
+
+
+def single_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without copies: of each class of linked texts one row stays, with its columns as they are.
+
+    It is that of the smallest id, null ids last; of rows that repeat an id, one.  Texts without words are no class.
+    """
+    packs, rows = classes(docs, id, text, n, percent)
+    copies = rows.filter("sid is not null and (pack <> first.pack or at <> first.at)").groupBy("pack").agg(F.collect_list("at").alias("copies"))  # at most the rows of a pack
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, gone in zip(*batch.columns, strict=True):
+                own = unpacked(data.as_buffer())
+                keep = np.ones(len(own), bool)
+                keep[gone.as_py() or []] = False
+                yield own.filter(pa.array(keep))
+
+    return packs.join(copies, "pack", "left").select("data", "copies").mapInArrow(kept, docs.schema)

@@ -6,202 +6,198 @@ window that covers it also starts in a document with a smaller id.
 1. *Index and probe.*  Every reference text is cut into non-overlapping blocks of
    ``(width + 1) // 2`` words; any window holds exactly one or more whole
    blocks.  The blocks are the index; every rolling window of block length of
-   every text probes it.  Each partition sends each of its block hashes once
-   (4 bytes and a mark for indexed ones); where a hash meets, it is a hit if it
-   is indexed and occurs more than once.  Hits become a filter of fixed size.
+   every text probes it.  A pack of texts (see ``packs``) asks once for each of its
+   block hashes (4 bytes and a mark for indexed ones); where a hash meets, it is a hit
+   if it is indexed and occurs more than once, and each pack gets its hits back as bits.
 2. *Extend.*  Around each hit the text is extended to all windows of ``width``
-   words that hold it.  Their 64-bit hashes meet once more, and the smallest
-   document id of each decides.  Overlapping windows together cover the maximal
-   exact repeats, which ``repeats`` returns as spans.
+   words that hold it.  A pack sends each of them once, with the smallest id of its
+   own documents that hold it; where the minima meet, each pack learns which windows
+   start in a smaller document elsewhere.  Overlapping windows together cover the
+   maximal exact repeats, which ``repeats`` returns as spans.
 
-A passage that a third of all documents share costs one entry a document and
-never a pair of documents.  There is no cap on hits.
+A window that a third of all documents share is one entry a pack, and never a pair
+of documents.  There is no cap on hits, nothing is broadcast and nothing is gathered on
+the driver.  Windows are compared by 64 bits of one hash and the bucket's bits of
+another, so the more texts, the more bits: 81 at 100 TB.
 
 Edge cases: a null or short text has no windows and keeps all its words; rows
 that repeat an id are one document each with equal results for equal texts, and
 an id is never smaller than itself; a null id is smaller than none, and such a
-row loses nothing; an empty table gives an empty result; further columns are
-ignored by name.
+row loses nothing; a very long text is a pack of its own, read as a whole; an empty
+table gives an empty result; further columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherscape.llm.common import (
-    FILTER_BITS,
-    HashFilter,
-    WordHashes,
-    approximate_words,
-    binary_rows,
-    by_bucket,
-    power_of_two,
-    rest_of,
-    stage,
-    windows,
-)
-
-#: Words gathered before a partition sends what it has.
-PACK = 1_500_000
-#: Hashes a bucket meets, about, up to 2**17 buckets; 100 TB of text fill those with 1 GB each.
-PER_BUCKET = 4_000_000
+from cipherscape.llm.common import SECOND, WordHashes, binary_rows, bucket_of, stage
+from cipherscape.llm.packs import ANSWER, Words, answers, buckets_for, by_pack, marks, packed, planes_of, short_hashes, text_column, unpacked
 
 
 def block_length(width: int) -> int:
     return (width + 1) // 2
 
 
-def anchor_filter(docs: DataFrame, width: int, text: str, buckets: int) -> HashFilter:
-    """A filter of the block hashes that are indexed and occur more than once anywhere."""
-    block = block_length(width)
+@dataclass
+class Blocks:
+    """The rolling blocks of a pack: distinct hashes in order, and for each block its place and hash."""
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, marks, size = WordHashes(), [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            h, mark = np.concatenate(held), np.concatenate(marks)
-            order = np.argsort(h, kind="stable")
-            h, mark = h[order], mark[order]
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            several = np.diff(np.append(starts, len(h))) > 1
-            indexed = np.logical_or.reduceat(mark, starts)
-            h = h[starts]
-            return binary_rows(
-                ["bucket", "hashes", "flags"],
-                [pa.int32(), pa.binary(), pa.binary()],
-                [(b, rest_of(h[s], buckets).tobytes(), np.packbits(np.stack((indexed[s], several[s]))).tobytes()) for b, s in by_bucket(h, buckets)],
-            )
+    hashes: np.ndarray
+    of: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def read(cls, words: Words, width: int) -> Blocks:
+        found, at = words.windows(block_length(width))
+        hashes, of = np.unique(found, return_inverse=True)
+        return cls(hashes, of, at)
+
+    def indexed(self, words: Words, width: int) -> np.ndarray:
+        """Of the distinct hashes, those of a block on its text's grid."""
+        out = np.zeros(len(self.hashes), bool)
+        out[self.of[(self.at - words.starts[words.doc[self.at]]) % block_length(width) == 0]] = True
+        return out
+
+
+def anchor_hits(packs: DataFrame, width: int, text: str, buckets: int) -> DataFrame:
+    """(pack, bucket, bits): the blocks of each pack that are indexed and occur more than once anywhere."""
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for value in batch.column(0):
-                h = windows(words.of((value.as_py() or b"").split()), block)
-                if not len(h):
-                    continue
-                mark = np.zeros(len(h), bool)
-                mark[::block] = True
-                held.append(h)
-                marks.append(mark)
-                size += len(h)
-                if size >= PACK:
-                    yield packed()
-                    held, marks, size = [], [], 0
-        if held:
-            yield packed()
+            for pack, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = Words(text_column(unpacked(data.as_buffer()), text), known)
+                blocks = Blocks.read(words, width)
+                indexed, several = blocks.indexed(words, width), np.bincount(blocks.of, minlength=len(blocks.hashes)) > 1
+                rows = [(pack, b, h, np.packbits(np.stack((indexed[s], several[s]))).tobytes()) for b, s, h in short_hashes(blocks.hashes, buckets)]
+                yield binary_rows(["pack", "bucket", "hashes", "flags"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
 
     def met(key: tuple, group: pa.Table) -> pa.Table:
-        parts, flags = [], []
-        for x, y in zip(group.column("hashes"), group.column("flags"), strict=True):
-            part = np.frombuffer(x.as_py(), np.uint32)
-            parts.append(part)
-            flags.append(np.unpackbits(np.frombuffer(y.as_py(), np.uint8))[: 2 * len(part)].reshape(2, -1).astype(bool))
-        h, flag = np.concatenate(parts), np.concatenate(flags, 1)
-        order = np.argsort(h, kind="stable")
-        h, flag = h[order], flag[:, order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        several = (np.diff(np.append(starts, len(h))) > 1) | np.logical_or.reduceat(flag[1], starts)
-        hit = several & np.logical_or.reduceat(flag[0], starts)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "hits": pa.array([HashFilter.segment(h[starts][hit], buckets)], pa.binary())})
-
-    rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(sent, "bucket int, hashes binary, flags binary")
-    found = rows.groupBy("bucket").applyInArrow(met, "bucket int, hits binary")
-    # as many bytes as the filter has, whatever the input
-    return HashFilter.gathered(((r["bucket"], r["hits"]) for r in found.toLocalIterator()), buckets)
-
-
-def extended(h: np.ndarray, width: int, hits: HashFilter) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of ``width`` words that hold a hit, each different one once: (hashes, first places)."""
-    block = block_length(width)
-    whole = windows(h, width)
-    if not len(whole):
-        return whole, np.empty(0, np.int64)
-    hit = hits.maybe(windows(h, block))
-    before = np.concatenate(([0], np.cumsum(hit)))
-    at = np.arange(len(whole))
-    held = before[at + width - block + 1] > before[at]
-    unique, first = np.unique(whole[held], return_index=True)
-    return unique, at[held][first]
-
-
-def repeated_windows(docs: DataFrame, hits: HashFilter, width: int, id: str, text: str, buckets: int) -> DataFrame:
-    """(id, text_hash, places): windows of a document that also start in one with a smaller id.
-
-    places holds the first place of each such window as 32-bit integers.
+        parts = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("hashes")]
+        sizes = [len(p) for p in parts]
+        flags = np.concatenate([planes_of(y.as_py(), n, 2) for y, n in zip(group.column("flags"), sizes, strict=True)], 1)
+        _, of, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        indexed = np.bincount(of[flags[0]], minlength=len(count)) > 0
+        several = (count > 1) | (np.bincount(of[flags[1]], minlength=len(count)) > 0)
+        return answers(group.column("pack").to_pylist(), key[0].as_py(), sizes, (indexed & several)[of])
+
+    asked = packs.select("pack", "data").mapInArrow(sent, "pack long, bucket int, hashes binary, flags binary")
+    return asked.groupBy("bucket").applyInArrow(met, ANSWER)
+
+
+@dataclass
+class Entries:
+    """The windows of a pack that hold a hit.
+
+    ``at`` and ``doc`` are a window's first word and text, ``of`` its entry.  An entry is a distinct
+    window: its bucket, hash and the smallest id in the pack, in order of bucket and document.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hits)
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = WordHashes(), [], 0
-
-        def packed() -> pa.RecordBatch:
-            counts = [len(x[2]) for x in held]
-            h = np.concatenate([x[2] for x in held])
-            place = np.concatenate([x[3] for x in held]).astype(np.uint32)
-            doc = np.repeat(np.arange(len(held)), counts)
-            ids, keys = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-            order = np.argsort(h, kind="stable")
-            h, place, doc = h[order], place[order], doc[order]
-            rows = []
-            for b, s in by_bucket(h, buckets):
-                again = np.lexsort((place[s], doc[s]))  # by document and place, whose differences compress
-                own, count = np.unique(doc[s], return_counts=True)
-                rows.append((b, h[s][again].tobytes(), place[s][again].tobytes(), ids[own].tobytes(), keys[own].tobytes(), count.astype(np.uint32).tobytes()))
-            return binary_rows(["bucket", "hashes", "places", "ids", "keys", "counts"], [pa.int32()] + [pa.binary()] * 5, rows)
+    at: np.ndarray
+    doc: np.ndarray
+    of: np.ndarray
+    bucket: np.ndarray
+    hash: np.ndarray
+    least: np.ndarray
+
+    @classmethod
+    def read(cls, words: Words, blocks: Blocks, hit: np.ndarray, ids: np.ndarray, valid: np.ndarray, width: int, buckets: int) -> Entries:
+        found, at = words.windows(width)
+        starts = np.zeros(len(words.hashes) + 2, np.int32)
+        starts[blocks.at[hit[blocks.of]] + 1] = 1
+        before = np.cumsum(starts)
+        doc = words.doc[at]
+        held = np.flatnonzero((before[at + width - block_length(width) + 1] > before[at]) & valid[doc])
+        at, doc, found = at[held], doc[held], found[held]
+        bucket = bucket_of(words.windows(width, SECOND)[0][held], buckets)
+        order = np.lexsort((ids[doc], found))
+        new = np.ones(len(order), bool)
+        new[1:] = (found[order][1:] != found[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+        first = order[new]  # the smallest id comes first
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        sent = np.argsort((bucket[first].astype(np.int64) << 32) | doc[first], kind="stable")  # equal ids in a row compress
+        place = np.empty(len(sent), np.int64)
+        place[sent] = np.arange(len(sent))
+        first = first[sent]
+        return cls(at, doc, place[of], bucket[first], found[first], ids[doc[first]])
+
+
+@dataclass
+class Reader:
+    """How a pack is read; what a task needs to know."""
+
+    width: int
+    id: str
+    text: str
+    buckets: int
+
+    def entries(self, batch: pa.RecordBatch, hits: list[dict] | None, known: WordHashes) -> tuple[Words, Entries, np.ndarray]:
+        """The words of a pack, its entries and its ids."""
+        words = Words(text_column(batch, self.text), known)
+        blocks = Blocks.read(words, self.width)
+        hit = marks(hits, bucket_of(blocks.hashes, self.buckets))[0]
+        column = batch.column(self.id)
+        ids, valid = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+        return words, Entries.read(words, blocks, hit, ids, valid, self.width, self.buckets), ids
+
+    def gone(self, batch: pa.RecordBatch, hits: list[dict] | None, earlier: list[dict] | None, known: WordHashes) -> list[np.ndarray | None]:
+        """For each row which of its words go; None if none does."""
+        if not hits:
+            return [None] * len(batch)
+        words, entries, ids = self.entries(batch, hits, known)
+        start = entries.at[marks(earlier, entries.bucket)[0][entries.of] | (ids[entries.doc] > entries.least[entries.of])]
+        edge = np.zeros(len(words.hashes) + 1, np.int32)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + self.width, -1)
+        covered = np.cumsum(edge[:-1]) > 0
+        hurt = np.bincount(words.doc[start], minlength=len(batch)) > 0
+        return [covered[s : s + n] if h else None for s, n, h in zip(words.starts, words.counts, hurt, strict=True)]
+
+
+def earlier_windows(packs: DataFrame, hits: DataFrame, reader: Reader) -> DataFrame:
+    """(pack, bucket, bits): the entries of each pack that also start in a document with a smaller id than the pack has."""
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for i, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h, place = extended(words.of((value.as_py() or b"").split()), width, shared.value)
-                if len(h):
-                    held.append((i, key, h, place))
-                    size += len(h)
-                    if size >= PACK:
-                        yield packed()
-                        held, size = [], 0
-        if held:
-            yield packed()
+            for pack, data, hit in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                _, entries, _ = reader.entries(unpacked(data.as_buffer()), hit.as_py(), known)
+                cuts = np.flatnonzero(np.diff(entries.bucket, prepend=-1)).tolist()
+                rows = [
+                    (pack, int(entries.bucket[s]), entries.hash[s:e].tobytes(), entries.least[s:e].tobytes())
+                    for s, e in zip(cuts, [*cuts[1:], len(entries.bucket)][: len(cuts)], strict=True)
+                ]
+                yield binary_rows(["pack", "bucket", "hashes", "least"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
 
     def judged(key: tuple, group: pa.Table) -> pa.Table:
-        def column(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)])
-
-        counts = column("counts", np.uint32)
-        h, place = column("hashes", np.uint64), column("places", np.uint32)
-        ids, keys = column("ids", np.int64), column("keys", np.int64)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        order = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-        least = np.minimum.reduceat(ids[doc][order], starts)
-        smallest = np.empty(len(h), np.int64)
-        smallest[order] = np.repeat(least, np.diff(np.append(starts, len(h))))
-        gone = smallest < ids[doc]
-        doc, place = doc[gone], place[gone]
-        own, first = np.unique(doc, return_index=True)
-        ends = np.append(first[1:], len(doc))
-        return pa.table({
-            id: pa.array(ids[own], pa.int64()),
-            "text_hash": pa.array(keys[own], pa.int64()),
-            "places": pa.array([place[s:e].tobytes() for s, e in zip(first, ends, strict=True)], pa.binary()),
-        })
-
-    rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long"), F.xxhash64(text).alias("k"), F.col(text).cast("binary").alias("t"))
-    rows = rows.mapInArrow(sent, "bucket int, hashes binary, places binary, ids binary, keys binary, counts binary")
-    return rows.groupBy("bucket").applyInArrow(judged, f"`{id}` long, text_hash long, places binary")
-
-
-def covered(h: np.ndarray, width: int, places: np.ndarray) -> np.ndarray:
-    """The words that the windows equal to those at ``places`` cover."""
-    gone = np.zeros(len(h) + 1, np.int64)
-    whole = windows(h, width)
-    if len(places) and len(whole):
-        start = np.flatnonzero(np.isin(whole, whole[places]))
-        np.add.at(gone, start, 1)
-        np.add.at(gone, start + width, -1)
-    return np.cumsum(gone[:-1]) > 0
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("hashes")]
+        least = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("least")])
+        _, of, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(of, kind="stable")
+        smallest = np.minimum.reduceat(least[order], np.cumsum(count) - count)
+        return answers(group.column("pack").to_pylist(), key[0].as_py(), [len(p) for p in parts], smallest[of] < least)
+
+    asked = packs.select("pack", "data").join(by_pack(hits, "hits"), "pack").select("pack", "data", "hits")
+    return asked.mapInArrow(sent, "pack long, bucket int, hashes binary, least binary").groupBy("bucket").applyInArrow(judged, ANSWER)
+
+
+def with_answers(docs: DataFrame, width: int, id: str, text: str) -> tuple[DataFrame, Reader]:
+    """(data, hits, earlier) of every pack of ``docs``, and the reader that finds a pack's repeats in them."""
+    packs = packed(docs, text)
+    reader = Reader(width, id, text, buckets_for(packs))
+    hits = stage(anchor_hits(packs, width, text, reader.buckets), "hits")
+    earlier = stage(earlier_windows(packs, hits, reader), "earlier")
+    found = packs.join(by_pack(hits, "hits"), "pack", "left").join(by_pack(earlier, "earlier"), "pack", "left")
+    return found.select("data", "hits", "earlier"), reader
 
 
 def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
@@ -209,67 +205,51 @@ def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def with_repeats(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (its columns untouched) and __places, one binary for each bucket that found some."""
-    words = approximate_words(docs, text)
-    anchors = power_of_two(words / PER_BUCKET, least=16, most=1 << (FILTER_BITS - 10))
-    hits = anchor_filter(docs, width, text, anchors)
-    found = stage(repeated_windows(docs, hits, width, id, text, power_of_two(words / 2 / PER_BUCKET, least=16)), "windows")
-    # one short row for each document and bucket
-    places = found.groupBy(F.col(id).alias("__id"), F.col("text_hash").alias("__key")).agg(F.collect_list("places").alias("__places"))
-    return docs.join(places, (docs[id] == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__key")), "left").drop("__id", "__key")
+def _kept(text: bytes, gone: np.ndarray) -> bytes:
+    return b" ".join([w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g])
 
 
 def substring_digest(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, repeats): what stays of each text, and the spans of words that go."""
+    rows, reader = with_answers(docs.select(id, text), width, id, text)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            rows = []
-            for value, lists in zip(batch.column(1), batch.column(2), strict=True):
-                words = (value.as_py() or b"").split()
-                gone = _gone(hashes, words, lists.as_py(), width)
-                kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]) if gone is not None else b" ".join(words)
-                spans = [] if gone is None else _spans(gone)
-                rows.append((len(words), sum(e - s for s, e in spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in spans]))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), strict=True))],
-                names=[id, "n_words", "n_removed", "kept_sha256", "repeats"],
-            )
+        known = WordHashes()
+        for packs in batches:
+            for data, hits, earlier in zip(*packs.columns, strict=True):
+                batch, out = unpacked(data.as_buffer()), []
+                for value, gone in zip(text_column(batch, text), reader.gone(batch, hits.as_py(), earlier.as_py(), known), strict=True):
+                    words = value.split()
+                    spans = [] if gone is None else _spans(gone)
+                    kept = b" ".join(words) if gone is None else _kept(value, gone)
+                    out.append((len(words), sum(e - s for s, e in spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in spans]))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(id), *columns], names=[id, "n_words", "n_removed", "kept_sha256", "repeats"])
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = with_repeats(docs.select(id, text), width, id, text).select(id, F.col(text).cast("binary").alias("t"), "__places")
     return rows.mapInArrow(digest, f"`{id}` {kind}, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,stop:int>>")
 
 
-def _gone(hashes: WordHashes, words: list[bytes], lists: list[bytes] | None, width: int) -> np.ndarray | None:
-    if not lists:
-        return None
-    return covered(hashes.of(words), width, np.concatenate([np.frombuffer(x, np.uint32) for x in lists]).astype(np.int64))
-
-
 def without_repeats(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated words cut from ``text``.
 
     A text that loses nothing stays as it is; of the others the kept words are
     joined by one space, and a text that loses every word becomes empty.
     """
-    columns = docs.columns
-
-    @F.pandas_udf("string")
-    def cut(texts, places):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        hashes, out = WordHashes(), []
-        for value, lists in zip(texts, places, strict=True):
-            if lists is None or not len(lists):
-                out.append(value)
-                continue
-            words = value.encode().split()
-            gone = _gone(hashes, words, list(lists), width)
-            out.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode())
-        return pd.Series(out, dtype=object)
-
-    return with_repeats(docs, width, id, text).withColumn(text, cut(F.col(text), F.col("__places"))).select(*columns)
+    (rows, reader), place = with_answers(docs, width, id, text), docs.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for packs in batches:
+            for data, hits, earlier in zip(*packs.columns, strict=True):
+                batch = unpacked(data.as_buffer())
+                gone = reader.gone(batch, hits.as_py(), earlier.as_py(), known)
+                if any(g is not None for g in gone):
+                    texts = [t.as_py() if g is None else _kept(t.as_py().encode(), g).decode() for t, g in zip(batch.column(place), gone, strict=True)]
+                    columns = batch.columns
+                    columns[place] = pa.array(texts, batch.schema.field(place).type)
+                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                yield batch
+
+    return rows.mapInArrow(cut, docs.schema)

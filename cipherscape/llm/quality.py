@@ -7,19 +7,23 @@ long texts weigh as short ones.  Weights follow the regularised leader: per-plac
 learning rates, an L1 threshold that keeps the model sparse, L2 shrinkage.
 
 Training reads at most ``rows`` labelled texts (those with the smallest hashes of
-their ids), a documented bound; scoring reads every whole text and is a sparse
-dot product with the broadcast weights, whose size is fixed by ``bits``.
+their ids) and ``places`` features of each, documented bounds, in one task; scoring reads
+every whole text and is a sparse dot product with the broadcast weights, whose size is
+bounded by ``bits``.
 
 Edge cases: a null or wordless text has no features and scores the intercept;
 labels without a text, null labels and repeated labels train nothing twice (a
 repeated id trains once, with its largest label); without any labelled row the
-score is 0.5; an empty table gives an empty result; further columns stay.
+score is 0.5; a very long text is scored as a whole and weighs as a short one; equal texts
+have equal scores; a null id is never held out; an empty table gives an empty result;
+further columns stay, but for those named held_out, score and predicted.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 
 #: The most labelled texts that training reads.
 TRAIN_ROWS = 4000
+#: The most features of a text that training reads, the largest; scoring reads all.
+TRAIN_PLACES = 4096
 BITS = 20
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-z\xdf-\xff]{2,}"), re.compile(r"[a-z\xdf-\xff]+"), re.compile(r"\d+")
@@ -106,61 +112,91 @@ class Ftrl:
         self.bias -= 0.1 * gb / np.sqrt(1e-9 + self.bias_n)
 
 
+@dataclass
+class Model:
+    """The weights that aren't 0, by place, and the intercept."""
+
+    bits: int
+    places: np.ndarray
+    weights: np.ndarray
+    bias: float = 0.0
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << self.bits, np.float32)
+        out[self.places] = self.weights
+        return out
+
+
+def fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, passes: int) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of (label, places, values) rows, both classes weighing the same."""
+    y = np.array([r[0] for r in rows], int)
+    share = np.bincount(np.clip(y, 0, 1), minlength=2)
+    if not share.all():
+        return np.zeros(1 << bits, np.float32), 0.0 if not len(y) else (4.0 if share[1] else -4.0)
+    balance, model = len(y) / (2 * share), Ftrl(bits)
+    order = np.random.default_rng(7)
+    for _ in range(passes):
+        for i in order.permutation(len(y)):
+            model.learn(rows[i][1], rows[i][2].astype(float), int(y[i]), float(balance[y[i]]))
+    return model.weights().astype(np.float32), float(model.bias)
+
+
 def trained(
-    docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, bits: int = BITS, passes: int = 6
-) -> tuple[np.ndarray, float]:
-    """(weights, intercept) from the texts of at most ``rows`` labels, both classes weighing the same.
+    docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, bits: int = BITS, passes: int = 6, places: int = TRAIN_PLACES
+) -> Model:
+    """The model of the texts of at most ``rows`` labels, of which each gives its ``places`` largest features.
 
-    The labels are chosen before any text is read, and their number is the bound of
-    what is broadcast, so no text is shuffled.
+    Labels without a text don't count towards the bound.  It is the bound of what is broadcast, so no text
+    is shuffled; vectors meet, one a label, in one task of at most rows * places * 8 bytes, and the driver
+    gets the weights.
     """
-    chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64(key), key).limit(rows)
+    known = docs.filter(F.col(text).isNotNull()).select(key)
+    chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    chosen = chosen.join(known, key, "left_semi").orderBy(F.xxhash64(key), key).limit(rows)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            found = [features.of(v.as_py()) for v in batch.column(1)]
-            columns = [[x.astype(kind).tobytes() for x in part] for part, kind in zip(zip(*found, strict=True), (np.int32, np.float32), strict=True)] if found else [[], []]
+            found = []
+            for v in batch.column(1):
+                at, share = features.of(v.as_py())
+                if len(at) > places:
+                    most = np.sort(np.lexsort((at, -share))[:places])
+                    at, share = at[most], share[most]
+                found.append((at.astype(np.int32).tobytes(), share.astype(np.float32).tobytes()))
+            columns = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in columns)], names=[key, "y", "places", "shares"])
 
-    # the driver gets vectors and no texts
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if found:
+            weights, bias = fitted([(y, np.frombuffer(p, np.int32), np.frombuffer(s, np.float32)) for _, y, p, s in found], bits, passes)
+            at = np.flatnonzero(weights)
+            columns = [pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([weights[at].tobytes()], pa.binary()), pa.array([bias])]
+            yield pa.RecordBatch.from_arrays(columns, names=["places", "weights", "bias"])
+
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).cast("binary").alias("t"))
-    made = texts.join(F.broadcast(chosen), key).select(key, "t", F.col("y").cast("int")).mapInArrow(vectors, f"`{key}` {kind}, y int, places binary, shares binary")
-    once = {r[0]: r[1:] for r in sorted(map(tuple, made.collect()), reverse=True)}  # of a repeated id, the least
-    rows_of = [once[k] for k in sorted(once)]
-    y = np.array([r[0] for r in rows_of], int)
-    ends = np.cumsum([0, *(len(r[1]) // 4 for r in rows_of)])
-    places = np.frombuffer(b"".join(bytes(r[1]) for r in rows_of), np.int32)
-    shares = np.frombuffer(b"".join(bytes(r[2]) for r in rows_of), np.float32)
-    del once, rows_of
-    share = np.bincount(np.clip(y, 0, 1), minlength=2)
-    if not share.all():
-        bias = 0.0 if not len(y) else (4.0 if share[1] else -4.0)
-        return np.zeros(1 << bits, np.float32), bias
-    balance, model = len(y) / (2 * share), Ftrl(bits)
-    order = np.random.default_rng(7)
-    for _ in range(passes):
-        for i in order.permutation(len(y)):
-            own = slice(ends[i], ends[i + 1])
-            model.learn(places[own], shares[own].astype(float), int(y[i]), float(balance[y[i]]))
-    return model.weights().astype(np.float32), float(model.bias)
+    made = texts.join(F.broadcast(chosen), key).select(key, "t", "y").mapInArrow(vectors, f"`{key}` {kind}, y int, places binary, shares binary")
+    once = made.groupBy(key).agg(F.min(F.struct("y", "places", "shares")).alias("v")).select(key, "v.*")  # of a repeated id, the least
+    model = once.repartition(1).mapInArrow(fit, "places binary, weights binary, bias double").first()
+    if model is None:
+        return Model(bits, np.empty(0, np.int32), np.empty(0, np.float32))
+    return Model(bits, np.frombuffer(model["places"], np.int32), np.frombuffer(model["weights"], np.float32), model["bias"])
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> Column:
+def scored(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """The score column, for use in ``docs.withColumn``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    bits = len(model[0]).bit_length() - 1
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        weights, bias = shared.value
-        features = Features(bits)
+        model = shared.value
+        weights, features = model.dense(), Features(model.bits)
         for batch in batches:
             out = np.empty(len(batch))
             for k, value in enumerate(batch):
                 places, n = features.places(value.as_py())
-                out[k] = weights[places].sum(dtype=float) / max(n, 1) + bias
+                out[k] = weights[places].sum(dtype=float) / max(n, 1) + model.bias
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     # annotations name the kind of function to Spark

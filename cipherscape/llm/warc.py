@@ -4,7 +4,8 @@
 are found with a partial aggregate; all but one become revisit records, which
 carry the digest and length and no payload.  A Python data source writes each
 record as a gzip member of its own, in archives of bounded size, in the folder
-given by any URI that pyarrow knows; only files named in the commit count.
+given by any URI that pyarrow knows (``s3a`` is read as ``s3``).  A write owns only the
+files of its own name: it removes what its failed tasks left, and no archive of another write.
 
 *Reading.*  Spark lists and reads the archives as binary files.  In each the reader
 checks a record's member, version line, length and block digest; a member may hold
@@ -15,8 +16,10 @@ are logged as a gap with the reason.  Nothing is guessed from damaged bytes.
 
 Edge cases: a null payload is empty, an empty payload is a record with no bytes;
 a null url or key writes an empty field and reads back as null; repeated rows
-each make a record, and all rows of the chosen key stay responses; an empty
-table makes no archive and reads as no record; further columns are ignored.
+each make a record, and all rows of the chosen key stay responses; a very long payload is
+one record, in memory once, and a member of more than ``most`` bytes (1 GB unless said) is
+a gap with the reason 'member too large'; an empty table makes no archive and reads as no
+record; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,17 +77,16 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path, self.date = options["path"], options.get("date", "2000-01-01T00:00:00Z")
         self.most = int(options.get("maxbytes", 32 << 20))
+        self.own = f"part-{uuid.uuid4().hex}-"  # made once, on the driver: the names of this write's files begin with it
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = file_system(self.path)
         store.create_dir(root, recursive=True)
         names, out, size = [], None, 0
         for batch in iterator:
             for row in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
                 if out is None:
-                    names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                    names.append(f"{self.own}{uuid.uuid4().hex}.warc.gz")
                     out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 key, url, kind, payload, n, sha1, refers_to = (x.as_py() for x in row)
                 pack = zlib.compressobj(3, zlib.DEFLATED, 31)
@@ -99,7 +101,7 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Files that no commit names are left-overs of failed tasks; they go."""
+        """Files of this write that no commit names are left-overs of failed tasks; they go."""
         self._keep({n for m in messages if m is not None for n in m.files})
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -108,12 +110,18 @@ class WarcWriter(DataSourceArrowWriter):
     def _keep(self, names: set[str]) -> None:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = file_system(self.path)
         for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if info.base_name.startswith("part-") and info.base_name not in names:
+            if info.base_name.startswith(self.own) and info.base_name not in names:
                 store.delete_file(info.path)
 
 
+def file_system(path: str):  # noqa: ANN201
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
 class WarcDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -161,16 +169,28 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4 - at
 
 
-def member_at(data: bytes, at: int) -> tuple[bytes, int]:
+#: Bytes decompressed at a time, and the most that a member may hold.
+CHUNK, MOST = 1 << 16, 1 << 30
+
+
+def member_at(data: bytes, at: int, most: int = MOST) -> tuple[bytes, int]:
     """(content, length in the file) of the gzip member that starts at ``at``."""
-    unpack = zlib.decompressobj(31)
+    unpack, view, out, size, end = zlib.decompressobj(31), memoryview(data), [], 0, at
     try:
-        whole = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and end < len(data):
+            out.append(unpack.decompress(view[end : end + CHUNK], most + 1 - size))
+            end += CHUNK
+            size += len(out[-1])
+            while unpack.unconsumed_tail and size <= most:
+                out.append(unpack.decompress(unpack.unconsumed_tail, most + 1 - size))
+                size += len(out[-1])
+            if size > most:
+                raise Damaged("member too large")
     except zlib.error as e:
         raise Damaged("member") from e
     if not unpack.eof:
         raise Damaged("member cut short")
-    return whole, len(data) - at - len(unpack.unused_data)
+    return b"".join(out), min(end, len(data)) - at - len(unpack.unused_data)
 
 
 def bare_record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:

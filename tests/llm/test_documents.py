@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -270,6 +271,55 @@ def test_quality_separates_held_out_rows(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def _plain_ftrl(rows, bits, passes, alpha=2.0, beta=1.0, l1=0.02, l2=0.02):
+    """The same learner a feature at a time."""
+    z, n, bias, bias_n = collections.defaultdict(float), collections.defaultdict(float), 0.0, 0.0
+    share = collections.Counter(y for y, *_ in rows)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(passes):
+        for k in order.permutation(len(rows)):
+            y, places, values = rows[k]
+            w = {i: weight(i) for i in places}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(places, values, strict=True)) - bias))
+            c = len(rows) / (2 * share[y]) * (p - y)
+            for i, v in zip(places, values, strict=True):
+                g = c * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+            bias_n += c * c
+            bias -= 0.1 * c / math.sqrt(1e-9 + bias_n)
+    return {i: weight(i) for i in z}, bias
+
+
+def test_scores_equal_those_of_a_plain_learner(spark):
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choices(["alpha", "beta", "Gamma", "x1", "!!"] if k % 3 else ["delta", "beta", "EPS"], k=r.randint(1, 30)))) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (70, rows[0][1] * 500), (71, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)] + [(500, 1)], "doc_id long, quality int")
+    features, used = quality.Features(12), sorted(k for k, _ in rows)
+    read = [(int(k % 3 > 0), *features.of(rows[k][1].encode())) for k in used]
+    read = [(y, p.tolist(), v.astype(np.float32).tolist()) for y, p, v in read]
+    weights, bias = _plain_ftrl(read, 12, 6)
+    model = quality.trained(docs, labels, "quality", bits=12)
+    got = {x.doc_id: x.s for x in docs.withColumn("s", quality.scored(docs, model)).collect()}
+    for k, t in [*rows, (70, rows[0][1] * 500), (71, None)]:
+        places, values = features.of((t or "").encode())
+        want = 1 / (1 + math.exp(-sum(weights.get(i, 0.0) * v for i, v in zip(places.tolist(), values.tolist(), strict=True)) - bias))
+        assert got[k] == pytest.approx(want, abs=1e-4)
+
+
+def test_training_is_bounded_by_labels_that_have_a_text(spark):
+    docs = spark.createDataFrame([(k % 50, ("good words here " if k % 50 % 2 else "BAD !! STUFF ") * (1 + k % 50)) for k in range(400)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(1000 + k, 0) for k in range(500)] + [(99, 1)], "doc_id long, quality int")
+    model = quality.trained(docs, labels, "quality", rows=40, places=3)
+    got = docs.filter("text is not null").withColumn("s", quality.scored(docs, model)).collect()
+    assert all((x.s >= 0.5) == (x.doc_id % 2 == 1) for x in got)
+
+
 def test_mixing_meets_targets(spark):
     r = random.Random(2)
     sources = ["a", "b", "B", "é", None]

@@ -146,6 +146,45 @@ def test_a_member_of_several_records_is_read(spark, tmp_path):
     ]
 
 
+def test_writes_keep_the_archives_of_other_writes(spark, tmp_path):
+    pages, rows = _pages(spark)
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(pages, path, "page_id", "url", "html")
+    warc.write_archives(pages, path, "page_id", "url", "html")
+    assert warc.read_archives(spark, path).count() == 2 * len(rows)
+    before = sorted(p.name for p in (tmp_path / "archives").iterdir())
+    failed = warc.WarcWriter({"path": path})
+    (tmp_path / "archives" / f"{failed.own}x.warc.gz").write_bytes(b"left by a failed task")
+    failed.abort([])
+    assert sorted(p.name for p in (tmp_path / "archives").iterdir()) == before
+    with pytest.raises(Exception, match="no such"):
+        broken = pages.selectExpr("page_id", "url", "if(page_id = 7, raise_error('no such'), html) as html")
+        warc.write_archives(broken, path, "page_id", "url", "html")
+    assert sorted(p.name for p in (tmp_path / "archives").iterdir()) == before
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        data = b"".join(_archive(60) * (n // 60))
+        began = time.process_time()
+        assert sum(kind == "record" for _, _, kind, _ in warc.salvaged(data)) == n // 60 * 60
+        return time.process_time() - began
+
+    seconds(600)
+    assert seconds(24000) < 8 * seconds(6000)
+
+
+def test_large_members_are_gaps():
+    bomb = gzip.compress(b"WARC/1.1\r\n" + b"\0" * 3_000_000)
+    with pytest.raises(warc.Damaged, match="too large"):
+        warc.member_at(bomb, 0, most=1_000_000)
+    assert warc.member_at(bomb + b"rest", 0) == (gzip.decompress(bomb), len(bomb))
+    many = gzip.compress(random.Random(3).randbytes(300_000))  # over several chunks
+    assert warc.member_at(many + many, 0)[1] == len(many) and warc.member_at(many + many, len(many))[1] == len(many)
+
+
 # -- top-k -----------------------------------------------------------------------------
 
 

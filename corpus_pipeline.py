@@ -1,7 +1,16 @@
 """The corpus pipeline: documents filtered, deduplicated, mixed and packed in stages.
 
 Each stage is written as Parquet and read again as the next one's documents; all
-but the last return the columns of documents.  ``run`` applies them in order.
+but the last return the columns of documents.  ``run`` applies them in order, and
+removes what a stage's operator wrote on its way once the stage itself is written.
+
+Edge cases, in every stage: a null or empty text has no n-grams and no passages, and is a copy of
+nothing; the quality classifier scores it by its intercept alone, the mix takes it with 0 words,
+and packing makes it one piece, the end mark.  A null id is like any other; of a class
+of copies the smallest id stays, null ids last, and of rows that repeat an id and its text one.  Ties
+fall to the smaller id, then the earlier row.  A very long text is read as a whole.  An empty
+table gives an empty result.  Further columns stay up to the last stage, whatever their names; the last one
+returns the columns of ``packing.packed``.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherscape.llm import jaccard, mixing, packing, quality, substring
-from cipherscape.llm.common import stage, table
+from cipherscape.llm.common import scratch, stage, table
 from cipherscape.llm.queries import vocabulary
 
 
@@ -23,14 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked texts, the one with the smallest id; texts without words are no class."""
-    classes = jaccard.jaccard_classes(docs).select("doc_id", "sid", "component_id").distinct()
-    dropped = classes.filter("sid is not null and doc_id <> component_id").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    # rows that repeat an id and its text are copies too
-    again = kept.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    single = kept.join(again, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).select(*docs.columns)
+    return jaccard.single_documents(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +65,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = keep(stage(step(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,32 +1,34 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A score is the sum of the partial scores that ``slices`` slices of the dimensions
-give, as if each slice were a node of its own.  Candidates lie in blocks; queries
-meet them in blocks, never pair by pair.
-
-1. *Gather.*  In each block every slice lists its best candidates for a query; their
-   whole scores are summed up.  The k-th best of all lists' scores is a safe
-   cutoff: k candidates reach it.
-2. *Broadcast and collect.*  The cutoff goes back to the blocks with the queries.
-   Whoever reaches it must, in one slice at least, exceed the slice's least partial
-   score by an equal share of what the cutoff exceeds all least scores by.  Only
-   such entries are collected.
-3. *Resolve.*  Their remaining partial scores are added, exactly; those that reach
-   the cutoff, at most k a query and block, are ranked.
-
-Scores are integers; products that could exceed 2**53 are taken in 64-bit integers
-instead of doubles.
+give.  Each slice is a node of its own: its rows hold the slice of a block of candidates and
+no other dimension.  Queries meet them in blocks, never pair by pair.
+
+1. *Gather.*  For a query every slice lists its best candidates of each block.  Their
+   whole scores are resolved; the k-th best of all is a safe cutoff: k candidates reach it.
+2. *Send the cutoff, collect.*  The cutoff goes back to the nodes with the queries.  Whoever
+   reaches it must exceed, in one slice at least, the slice's own level by an equal share
+   of what the cutoff exceeds all levels by.  Each slice sends only such entries; a candidate
+   whose slice is too short to reach the share (Cauchy-Schwarz) is not multiplied at all.
+3. *Resolve.*  The entries of a block's slices meet, the partial scores that are still missing
+   are computed for these entries alone, and those that reach the cutoff, at most k a
+   query and block, are ranked.
+
+``work`` counts what was multiplied and sent.  Scores are integers; products that could exceed
+2**53 are taken in 64-bit integers instead of doubles.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; a query meets vectors of its own length only; rows with the query's id are
 never its candidates, so a repeated row does not find itself; repeated candidate
 rows are candidates each; ties go to the smaller id; with fewer than k candidates
-all are returned; an empty table gives an empty result; a null id takes no part.
+all are returned; very long vectors make smaller blocks; an empty table gives an empty
+result; a null id takes no part; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 
 from cipherscape.llm.common import stage
 
-#: Vectors of a block of candidates, and of queries.
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors of a block of candidates, and of queries; a block's matrix has at most BLOCK_BYTES.
+BLOCK, QUERY_BLOCK, BLOCK_BYTES = 8192, 1024, 32 << 20
+#: Blocks of candidates that a block of queries is sent to at once.
+SPREAD = 1024
 
 
 def integer_vectors(rows: DataFrame, id: str, vector: str, scale: float) -> DataFrame:
@@ -47,8 +51,11 @@ def integer_vectors(rows: DataFrame, id: str, vector: str, scale: float) -> Data
     return kept.select(F.col(id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
 
 
-def packed(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (id, v[, cutoff]) in blocks of one vector length: (dim, ids, matrix, cutoffs)."""
+def blocked(rows: DataFrame, block: int, slices: int) -> DataFrame:
+    """Rows (id, v[, cutoff, levels]) in blocks of one vector length: (number, dim, ids, parts, cutoffs, levels), written.
+
+    parts holds the matrix of each slice.
+    """
     with_cutoff = "cutoff" in rows.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,121 +65,194 @@ def packed(rows: DataFrame, block: int) -> DataFrame:
             part = held.pop(dim)
             ids = np.array([p[0] for p in part], np.int64)
             matrix = np.stack([p[1] for p in part])
-            cut = np.array([np.iinfo(np.int64).min if p[2] is None else p[2] for p in part], np.int64)
+            cut = np.array([LOWEST if p[2] is None else p[2] for p in part], np.int64)
+            levels = np.array([p[3] or [0] * slices for p in part], np.int64)
+            parts = [np.ascontiguousarray(matrix[:, s::slices]).tobytes() for s in range(min(slices, dim))]
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, matrix, cut))], names=["dim", "ids", "matrix", "cutoffs"]
+                [pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([parts], pa.list_(pa.binary())), *(pa.array([x.tobytes()], pa.binary()) for x in (cut, levels))],
+                names=["dim", "ids", "parts", "cutoffs", "levels"],
             )
 
         for batch in batches:
-            vectors = batch.column(1)
-            cuts = batch.column(2).to_pylist() if with_cutoff else [None] * len(batch)
-            for i, v, c in zip(batch.column(0).to_pylist(), vectors, cuts, strict=True):
+            more = (batch.column(2).to_pylist(), batch.column(3).to_pylist()) if with_cutoff else ([None] * len(batch),) * 2
+            for i, v, c, low in zip(batch.column(0).to_pylist(), batch.column(1), *more, strict=True):
                 values = v.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                held.setdefault(len(values), []).append((i, values, c))
-                if len(held[len(values)]) >= block:
+                held.setdefault(len(values), []).append((i, values, c, low))
+                if len(held[len(values)]) >= min(block, max(1, BLOCK_BYTES // (8 * len(values)))):
                     yield out(len(values))
         for dim in list(held):
             yield out(dim)
 
-    return rows.mapInArrow(pack, "dim int, ids binary, matrix binary, cutoffs binary")
+    found = rows.mapInArrow(pack, "dim int, ids binary, parts array<binary>, cutoffs binary, levels binary")
+    return stage(found.select(F.monotonically_increasing_id().alias("number"), "*"), "blocks")
 
 
-def _matrix(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(data, np.int64).reshape(len(i), -1)
+#: Of a query for which fewer than k candidates were gathered.
+LOWEST = -(1 << 62)
 
 
-def _parts(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
-    """Partial scores, a matrix for each slice; exact."""
-    safe = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**53
-    kind = np.float64 if safe else np.int64
-    return [q[:, s::slices].astype(kind) @ c[:, s::slices].astype(kind).T for s in range(min(slices, q.shape[1]))]
+def sliced(blocks: DataFrame, *columns: str) -> DataFrame:
+    """A row for each slice of each block."""
+    return blocks.select("number", "dim", "ids", *columns, F.posexplode("parts").alias("slice", "matrix"))
 
 
-def met(candidates: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every block of queries with every block of candidates of its dimension, by the candidates' number."""
-    blocks = candidates.select("dim", "number").withColumnRenamed("number", "n")
-    spread = queries.join(blocks, "dim").select("n", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "cutoffs")
-    return candidates.select("number", "ids", "matrix").join(spread, F.col("number") == F.col("n")).select("ids", "matrix", "q_ids", "q_matrix", "cutoffs")
+def met(candidates: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
+    """Every slice of a block of queries with that slice of every block of candidates of its length."""
+    groups = -(-blocks // SPREAD) or 1
+    numbers = candidates.select("dim", F.col("number").alias("c"), F.pmod(F.xxhash64("number"), F.lit(groups)).alias("g"))
+    asked = sliced(queries, "levels", "cutoffs").select(
+        "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("number").alias("q"), "slice", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "cutoffs", "levels"
+    )
+    asked = asked.join(numbers, ["dim", "g"]).drop("dim", "g")
+    own = sliced(candidates).select(F.col("number").alias("c"), "slice", "ids", "matrix")
+    return own.join(asked, ["c", "slice"]).select("q", "c", "slice", "ids", "matrix", "q_ids", "q_matrix", "cutoffs", "levels")
 
 
-def gathered(pairs: DataFrame, slices: int, length: int) -> DataFrame:
-    """(query_id, scores): whole scores of each block's best entries of each slice."""
+def _matrix(ids: np.ndarray, data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_py(), np.int64).reshape(len(ids), -1)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(batch.column(k) for k in range(4)), strict=True):
-                ids, c = _matrix(row[0].as_py(), row[1].as_py())
-                q_ids, q = _matrix(row[2].as_py(), row[3].as_py())
-                parts = _parts(q, c, slices)
-                total = sum(parts)
-                own = q_ids[:, None] == ids[None, :]
-                chosen = np.zeros(total.shape, bool)
-                for p in parts:
-                    p = np.where(own, -np.inf if p.dtype == float else np.iinfo(np.int64).min, p)
-                    m = min(length, p.shape[1])
-                    np.put_along_axis(chosen, np.argpartition(-p if p.dtype == float else ~p, m - 1, axis=1)[:, :m], True, axis=1)
-                chosen &= ~own
-                scores = [np.sort(total[k][chosen[k]].astype(np.int64))[::-1].tolist() for k in range(len(q_ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(scores, pa.list_(pa.int64()))], names=["query_id", "scores"])
 
-    return pairs.select("ids", "matrix", "q_ids", "q_matrix").mapInArrow(gather, "query_id long, scores array<long>")
+def _kind(q: np.ndarray, c: np.ndarray) -> type:
+    """Of numbers in which the products are exact."""
+    return np.float64 if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**53 else np.int64
+
+
+ENTRIES = "q long, c long, slice int, q_at binary, c_at binary, partial binary, levels binary, multiplied long, sent long"
+
 
+def _entries(q: int, c: int, slice: int, a: np.ndarray, b: np.ndarray, partial: np.ndarray, levels: np.ndarray, multiplied: int) -> pa.RecordBatch:
+    blobs = [x.astype(kind).tobytes() for x, kind in ((a, np.int32), (b, np.int32), (partial, np.int64), (levels, np.int64))]
+    columns = [pa.array([x], t) for x, t in ((q, pa.int64()), (c, pa.int64()), (slice, pa.int32()))] + [pa.array([x], pa.binary()) for x in blobs]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([multiplied], pa.int64()), pa.array([len(a)], pa.int64())], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
-def cutoffs(lists: DataFrame, k: int) -> DataFrame:
-    """(query_id, cutoff): the k-th best gathered score; merged in two steps, so no task holds all blocks' lists."""
 
-    def best(column: str) -> Column:
-        return F.slice(F.sort_array(F.flatten(F.collect_list(column)), asc=False), 1, k)
+def gathered(pairs: DataFrame, length: int) -> DataFrame:
+    """ENTRIES: each slice's ``length`` best of a block for each query; levels has its least partial scores."""
 
-    some = lists.withColumn("part", F.pmod(F.xxhash64("scores"), F.lit(64))).groupBy("query_id", "part").agg(best("scores").alias("scores"))
-    return some.groupBy("query_id").agg(best("scores").alias("scores")).select("query_id", F.get("scores", F.lit(k - 1)).alias("cutoff"))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                ids, q_ids = (np.frombuffer(row[k].as_py(), np.int64) for k in (3, 5))
+                c, q = _matrix(ids, row[4]), _matrix(q_ids, row[6])
+                kind = _kind(q, c)
+                p = q.astype(kind) @ c.astype(kind).T
+                low = p.min(axis=1)
+                own = q_ids[:, None] == ids[None, :]
+                p[own] = -np.inf if kind is np.float64 else LOWEST
+                m = min(length, p.shape[1])
+                b = np.argpartition(p, p.shape[1] - m, axis=1)[:, p.shape[1] - m :]
+                a = np.repeat(np.arange(len(q)), m)
+                keep = ~own[a, b.ravel()]
+                a, b = a[keep], b.ravel()[keep]
+                yield _entries(row[0].as_py(), row[1].as_py(), row[2].as_py(), a, b, p[a, b], low, p.size)
+
+    return pairs.mapInArrow(gather, ENTRIES)
 
 
-def collected(pairs: DataFrame, slices: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of entries that reach the cutoff, at most k for each query and block."""
+def collected(pairs: DataFrame, slices: int) -> DataFrame:
+    """ENTRIES: those that exceed their slice's level by the uniform share."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(n) for n in range(5)), strict=True):
-                ids, c = _matrix(row[0].as_py(), row[1].as_py())
-                q_ids, q = _matrix(row[2].as_py(), row[3].as_py())
-                cut = np.frombuffer(row[4].as_py(), np.int64)
-                parts = _parts(q, c, slices)
-                least = [p.min(axis=1) for p in parts]
-                # cutoffs so low that no list was full let everything through
-                share = (np.maximum(cut.astype(float), -(2.0**62)) - sum(x.astype(float) for x in least)) / len(parts)
-                enough = np.zeros(parts[0].shape, bool)
-                for p, low in zip(parts, least, strict=True):
-                    enough |= p >= (low + share - 1e-6 * np.abs(share))[:, None]
-                enough &= q_ids[:, None] != ids[None, :]
-                a, b = np.nonzero(enough)
-                score = sum(p[a, b].astype(np.int64) for p in parts)
+            for row in zip(*batch.columns, strict=True):
+                ids, q_ids, cut = (np.frombuffer(row[k].as_py(), np.int64) for k in (3, 5, 7))
+                c, q = _matrix(ids, row[4]), _matrix(q_ids, row[6])
+                levels = np.frombuffer(row[8].as_py(), np.int64).reshape(len(q), slices)
+                nodes = min(slices, int(row[9].as_py()))
+                share = (cut.astype(float) - levels[:, :nodes].astype(float).sum(1)) / nodes
+                least = levels[:, row[2].as_py()] + share - 1e-6 * np.abs(share) - 1e-6
+                # no partial score is above the product of the two lengths
+                long, reach = np.sqrt((c.astype(float) ** 2).sum(1)), np.sqrt((q.astype(float) ** 2).sum(1))
+                asked = np.divide(least, reach, out=np.where(least > 0, np.inf, 0.0), where=(least > 0) & (reach > 0))
+                wanted = np.flatnonzero(long * (1 + 1e-9) >= asked.min())
+                c, kind = c[wanted], _kind(q, c)
+                p = q.astype(kind) @ c.astype(kind).T
+                a, b = np.nonzero((p >= least[:, None]) & (q_ids[:, None] != ids[wanted][None, :]))
+                yield _entries(row[0].as_py(), row[1].as_py(), row[2].as_py(), a, wanted[b], p[a, b], np.empty(0), p.size)
+
+    return pairs.mapInArrow(collect, ENTRIES)
+
+
+def resolved(entries: DataFrame, candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): whole scores of the entries, at most k a query and block, from its cutoff up.
+
+    The entries of a block's slices meet, and only the partial scores that they lack are computed.
+    """
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lists, ids, parts, q_ids, q_parts, cut in zip(*batch.columns, strict=True):
+                ids, q_ids, cut = (np.frombuffer(x.as_py(), np.int64) for x in (ids, q_ids, cut))
+                found = [(r["slice"], np.frombuffer(r["q_at"], np.int32).astype(np.int64) * len(ids) + np.frombuffer(r["c_at"], np.int32), np.frombuffer(r["partial"], np.int64)) for r in lists.as_py()]
+                key = np.unique(np.concatenate([f[1] for f in found]))
+                a, b, score = key // len(ids), key % len(ids), np.zeros(len(key), np.int64)
+                for s, (x, y) in enumerate(zip(parts, q_parts, strict=True)):
+                    missing = np.ones(len(key), bool)
+                    for slice, own, partial in found:
+                        if slice == s:
+                            at = np.searchsorted(key, own)
+                            score[at] += partial
+                            missing[at] = False
+                    c, q, at = _matrix(ids, x), _matrix(q_ids, y), np.flatnonzero(missing)
+                    for some in np.array_split(at, len(at) * c.shape[1] // (1 << 21) + 1):
+                        score[some] += np.einsum("ij,ij->i", q[a[some]], c[b[some]])
                 keep = score >= cut[a]
                 a, b, score = a[keep], b[keep], score[keep]
                 order = np.lexsort((ids[b], -score, a))
                 a, b, score = a[order], b[order], score[order]
-                first = np.searchsorted(a, np.arange(len(q_ids)))
-                keep = np.arange(len(a)) - first[a] < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"]
-                )
+                keep = np.arange(len(a)) - np.searchsorted(a, np.arange(len(q_ids)))[a] < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(collect, "query_id long, vec_id long, score long")
+    lists = entries.groupBy("q", "c").agg(F.collect_list(F.struct("slice", "q_at", "c_at", "partial")).alias("lists"))  # one a slice
+    rows = lists.join(candidates.select(F.col("number").alias("c"), "ids", "parts"), "c")
+    rows = rows.join(queries.select(F.col("number").alias("q"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"), "cutoffs"), "q")
+    return rows.select("lists", "ids", "parts", "q_ids", "q_parts", "cutoffs").mapInArrow(resolve, "query_id long, vec_id long, score long")
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, slices: int = 2) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best candidates of each row for which ``is_query`` holds."""
-    vectors = integer_vectors(rows, id, vector, scale)
-    candidates = stage(packed(vectors, BLOCK).withColumn("number", F.monotonically_increasing_id()), "candidates")
+def cutoffs(scores: DataFrame, k: int) -> DataFrame:
+    """(id, cutoff): the k-th best of a query's scores; null with fewer."""
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    kth = scores.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    return kth.groupBy(F.col("query_id").alias("id")).agg(F.max(F.when(F.col("n") == k, F.col("score"))).alias("cutoff"))
+
+
+def levels(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, levels): each slice's least partial score for a query.  The share is right with any levels."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, low, ids in zip(*batch.columns, strict=True):
+                q = np.frombuffer(ids.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), s.as_py(), np.int32)), pa.array(np.frombuffer(low.as_py(), np.int64))], names=["id", "slice", "low"])
+
+    rows = entries.select("q", "slice", "levels").join(queries.select(F.col("number").alias("q"), "ids"), "q").select("slice", "levels", "ids")
+    least = rows.mapInArrow(opened, "id long, slice int, low long").groupBy("id", "slice").agg(F.min("low").alias("low"))
+    return least.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slice", "low"))), lambda x: x["low"]).alias("levels"))
+
+
+def phases(rows: DataFrame, is_query: Column, k: int, id: str, vector: str, scale: float, slices: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(what phase 1 gathered, what phase 2 collected, what phase 3 resolved)."""
+    candidates = blocked(integer_vectors(rows, id, vector, scale), BLOCK, slices)
     # a repeated query id asks once, with its least vector
-    asked = integer_vectors(rows.filter(is_query), id, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
-    asked = stage(asked, "queries")
+    asked = stage(integer_vectors(rows.filter(is_query), id, vector, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    first = blocked(asked, QUERY_BLOCK, slices)
     blocks = candidates.count()
-    length = min(k, max(2, -(-4 * k // max(blocks, 1))))
-    lists = gathered(met(candidates, packed(asked, QUERY_BLOCK)), slices, length)
-    cut = stage(cutoffs(lists, k), "cutoffs").withColumnRenamed("query_id", "id")
-    ranked = packed(asked.join(cut, "id", "left").select("id", "v", "cutoff"), QUERY_BLOCK)
-    found = collected(met(candidates, ranked), slices, k)
+    best = stage(gathered(met(candidates, first, blocks), min(k, max(2, -(-4 * k // max(blocks, 1))))), "gathered")
+    cut = cutoffs(resolved(best, candidates, first, k), k)
+    low = levels(best, first).withColumn("levels", F.expr(f"transform(sequence(0, {slices - 1}), s -> coalesce(get(levels, s), 0))"))
+    second = blocked(asked.join(cut, "id", "left").join(low, "id", "left").select("id", "v", "cutoff", "levels"), QUERY_BLOCK, slices)
+    pairs = met(candidates, second, blocks).join(candidates.select(F.col("number").alias("c"), F.size("parts").alias("nodes")), "c")
+    found = stage(collected(pairs.select("q", "c", "slice", "ids", "matrix", "q_ids", "q_matrix", "cutoffs", "levels", "nodes"), slices), "collected")
+    return best, found, resolved(found, candidates, second, k)
+
+
+def work(gathered: DataFrame, collected: DataFrame) -> DataFrame:
+    """(phase, multiplied, sent): partial scores that were computed, and entries that were sent."""
+    return reduce(DataFrame.union, [f.groupBy().agg(F.lit(n).alias("phase"), F.sum("multiplied").alias("multiplied"), F.sum("sent").alias("sent")) for n, f in (("gather", gathered), ("collect", collected))])
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, slices: int = 2) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best candidates of each row for which ``is_query`` holds."""
+    *_, found = phases(rows, is_query, k, id, vector, scale, slices)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

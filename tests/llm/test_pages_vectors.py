@@ -219,3 +219,22 @@ def test_topk_of_nothing_and_of_few(spark):
     docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(docs, docs.vec_id % 20 == 0).collect()] == [(0, 1, 1, 2048)]
     assert topk.top_k(docs.limit(0), docs.vec_id == 0).count() == 0
+
+
+def test_topk_sends_and_multiplies_less_than_all(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    best, found, _ = topk.phases(rows, rows.vec_id % 20 == 0, 20, "vec_id", "embedding", 64.0, 2)
+    done = {r.phase: r for r in topk.work(best, found).collect()}
+    n, q = rows.count(), rows.filter("vec_id % 20 = 0").count()
+    assert done["gather"].multiplied == 2 * n * q  # each slice its own dimensions, once
+    assert done["collect"].sent < 0.2 * 2 * n * q and done["collect"].multiplied <= 2 * n * q
+    print(done)
+
+
+def test_short_vectors_are_not_multiplied(spark):
+    r = random.Random(1)
+    rows = [(k, [r.gauss(0, 1) * (10 if k < 60 else 0.01) for _ in range(6)]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best, found, _ = topk.phases(docs, docs.vec_id == 0, 20, "vec_id", "embedding", 64.0, 2)
+    done = {x.phase: x.multiplied for x in topk.work(best, found).collect()}
+    assert done["collect"] < 0.5 * done["gather"]

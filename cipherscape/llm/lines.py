@@ -2,9 +2,10 @@
 
 Each text is read once for its own counts and the hashes of its normalised lines
 (words lower-cased, joined by one space).  For each host and line the distinct
-documents are counted, lines in more than ``max_docs`` of a host's documents are
-removed, and a document of which less than ``min_left`` of its words remain is
-rejected, as is one that fails the rules on its own text.
+documents are counted.  A line is removed that stands in more than ``max_docs`` of a host's
+documents and in more than ``max_share`` of them, so the limit grows with the host.  A document of
+which less than ``min_left`` of its words remain is rejected, as is one that fails the
+rules on its own text.
 
 Counting sums in each partition before it sends, and the lines found to be
 frequent join back to the documents' lines by (host, line); Spark splits a join's
@@ -12,8 +13,9 @@ hot key.  There is no cap.
 
 Edge cases: a null or wordless text has no lines and fails the rule on words; a
 null host is a host of its own; repeated rows of one id count once for a line
-and get equal verdicts; a null id counts as one document; an empty table gives
-an empty result; further columns are ignored by name.
+and get equal verdicts; a null id counts as one document; a line exactly at a limit
+stays; a very long text is read as a whole, and its lines are one array; an empty table gives
+an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,16 +87,20 @@ def line_rules(
     id: str = "doc_id",
     text: str = "text",
     host: str = "source",
-    max_docs: int = 100,
-    min_left: float = 0.3,
+    max_docs: int = 2,
+    max_share: float = 0.02,
+    min_left: float = 0.5,
     min_words: int = 10,
     max_repeated: float = 0.2,
 ) -> DataFrame:
     """(id, counts, removed_words, base_failed, kept) for each document."""
     rows = stage(measured(docs, id, text, host).withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = rows.select("row", F.col(id).alias("doc"), "host", F.explode("lines").alias("l")).select("row", "doc", "host", "l.line", "l.words")
-    frequent = lines.groupBy("host", "line").agg(F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit("")), F.col("doc").isNull()).alias("n"))
-    frequent = frequent.filter(F.col("n") > max_docs).select(F.col("host").alias("h"), F.col("line").alias("k"))
+    documents = F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit("")), F.col("doc").isNull())
+    hosts = rows.select("host", F.col(id).alias("doc")).groupBy("host").agg(documents.alias("all"))
+    frequent = lines.groupBy("host", "line").agg(documents.alias("n")).filter(F.col("n") > max_docs)  # few are left to join
+    frequent = frequent.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > max_share * F.col("all"))
+    frequent = frequent.select("h", F.col("line").alias("k"))
     removed = lines.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k")), "left_semi")
     removed = removed.groupBy("row").agg(F.sum("words").alias("removed_words"))
     found = rows.drop("lines", "host").join(removed, "row", "left").fillna(0, ["removed_words"])

@@ -108,13 +108,14 @@ _OP9 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS
  l AS (SELECT doc_id, source, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
  n AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS norm FROM l WHERE len(lw) > 0),
  same AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n GROUP BY doc_id),
- often AS (SELECT source, norm FROM n GROUP BY source, norm HAVING count(DISTINCT doc_id) > 100),
+ hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+ often AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS c FROM n GROUP BY source, norm) f WHERE c > 2 AND c > 0.02 * (SELECT docs FROM hosts h WHERE h.source IS NOT DISTINCT FROM f.source)),
  gone AS (SELECT doc_id, sum(len(lw)) AS n FROM n WHERE EXISTS (SELECT 1 FROM often o WHERE o.norm = n.norm AND o.source IS NOT DISTINCT FROM n.source) GROUP BY doc_id),
  b AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(same.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN again USING (doc_id) LEFT JOIN same USING (doc_id) LEFT JOIN gone USING (doc_id))
  SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, removed_words,
- NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= n_words * 0.3 AND n_words > removed_words AS kept FROM b"""
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= n_words * 0.5 AND n_words > removed_words AS kept FROM b"""
 
 _OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
  g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d)),

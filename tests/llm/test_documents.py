@@ -167,12 +167,13 @@ def test_null_ids_lose_nothing(spark):
 
 
 def test_lines_equal_brute_force(docs, rows, empty):
-    got = lines.line_rules(docs, max_docs=2, min_left=0.5).collect()
+    got = lines.line_rules(docs).collect()  # the registered query's own limits
     assert len(got) == len(rows)
     texts = _texts(rows)
     host = {i: s for i, _, _, s, *_ in rows}
     norm = lambda line: " ".join(WORD.findall(line.lower()))
     count = collections.Counter((host[i], n) for i, t in texts.items() for n in {norm(x) for x in t.split("\n")} if n)
+    hosts = collections.Counter(host.values())
     for r in got:
         t = texts[r.doc_id]
         w = WORD.findall(t)
@@ -184,13 +185,24 @@ def test_lines_equal_brute_force(docs, rows, empty):
         grams = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         covered = {j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
-        gone = sum(len(WORD.findall(x)) for x in t.split("\n") if count[(host[r.doc_id], norm(x))] > 2)
+        gone = sum(len(WORD.findall(x)) for x in t.split("\n") if count[(host[r.doc_id], norm(x))] > max(2, 0.02 * hosts[host[r.doc_id]]))
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), same, len(covered))
         assert (r.base_failed, r.removed_words) == (failed, gone)
         assert r.kept == (not failed and len(w) - gone >= 0.5 * len(w))
+    assert any(r.removed_words for r in got) and any(not r.kept and not r.base_failed for r in got)
     assert lines.line_rules(empty).count() == 0
 
 
+def test_line_limits_grow_with_the_host(spark):
+    own = lambda k: "\n".join(f"w{k} line {j} of its own" for j in range(3))
+    rows = [(k, own(k) + ("\nseen in two of a hundred" if k < 2 else "") + ("\nseen in five of a hundred" if k < 5 else ""), "big") for k in range(200)]
+    rows += [(1000 + k, own(1000 + k) + "\nseen in three", "small") for k in range(3)] + [(2000, "seen in three\nseen in five of a hundred\n" + own(2000), "third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.removed_words for r in lines.line_rules(docs).collect()}
+    assert {k: n for k, n in got.items() if n} == {k: 6 for k in range(5)} | {1000 + k: 3 for k in range(3)}
+    assert not any(r.removed_words for r in lines.line_rules(docs.filter("doc_id < 3 or doc_id between 10 and 999")).collect())  # 3 of 193 are no 50th
+
+
 def test_repeated_rows_are_one_document_for_lines(spark):
     text = "a line of words that many share\n" + " ".join(f"w{k}" for k in range(20))
     rows = spark.createDataFrame([(1, text, "h")] * 5 + [(2, text, "h"), (3, text, None)], "doc_id long, text string, source string")

@@ -409,3 +409,67 @@ def test_lines_and_paragraphs_of_a_text(spark):
     rows = spark.createDataFrame([("a b\n\n--\nc\nb x a\n",), ("",), ("\n\na",)], "text string")
     got = [[(u.start, u.line, u.n, u.paragraph, u.ngrams) for u in r[0]] for r in rows.select(licenses.units(F.col("text"), ["a", "b"], ["a"])).collect()]
     assert got == [[(0, 0, 1, "a b", ["a", "b", "a b"]), (3, 4, 1, "b x a", ["b", "a"]), (3, 3, 2, "c b x a", ["b", "a"])], [], [(2, 2, 1, "a", ["a"])]]
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.trained(spark)
+
+
+def _plain_scores(model, text):
+    """Probabilities of a line, n-gram by n-gram."""
+    tokens = [w for w in re.split(r"[^\w]+|_+", text.lower()) if w]
+    grams = {" ".join(tokens[k : k + n]) for n in (1, 2, 3) for k in range(len(tokens) - n + 1)}
+    score = {f: b + sum(model.fit.weights.get((g, f), 0.0) for g in grams) for f, b in model.fit.bias.items()}
+    top = max(score.values())
+    powers = {f: math.exp((x - top) / model.temperature) for f, x in score.items()}
+    return {f: x / sum(powers.values()) for f, x in powers.items()}
+
+
+# wordings that no fit, calibration or template has
+UNSEEN = {
+    "MIT": ("This package is made available under the MIT license", "mit licensed, see the file LICENSE", "Distributed under the MIT License, for any use"),
+    "Apache-2.0": ("The library is available under the Apache License 2.0", "Code is under the Apache license, version 2.0", "This project is Apache 2.0 licensed"),
+    "GPL-3.0": ("This tool is distributed under the GNU General Public License version 3", "The source is covered by the GPL v3", "GNU GPL version 3 or any later version"),
+    "GPL-2.0": ("This module is distributed under the GNU General Public License version 2", "The driver is under GPL v2", "GNU GPL version 2 only"),
+    "LGPL": ("This library is under the GNU Lesser General Public License", "Linked under the LGPL, version 2.1", "may be used under the terms of the GNU LGPL"),
+    "BSD": ("Distributed under the 3-clause BSD license", "This code is available under a BSD license", "BSD licensed; redistribution in source and binary forms is permitted"),
+    "MPL-2.0": ("Made available under the Mozilla Public License 2.0", "Files here are under the MPL, v. 2.0", "Subject to the Mozilla Public License"),
+    "CC-BY-SA": ("Content is under a Creative Commons Attribution-ShareAlike licence", "Photos are CC BY-SA 4.0", "shared under creativecommons.org/licenses/by-sa/4.0"),
+    "CC-BY-NC": ("Content is under a Creative Commons Attribution-NonCommercial licence", "Photos are CC BY-NC 4.0", "shared under creativecommons.org/licenses/by-nc/4.0"),
+    "CC0": ("The data set is released under CC0", "placed in the public domain with CC0 1.0", "The author waived all copyright under CC0"),
+}
+NO_LICENCE = (
+    "The minister said that the general public would be consulted", "A version of the text was found in the public library", "Version 2 of the engine has a larger tank", "They licensed the bar to sell beer until midnight",
+    "Warranty claims must be sent in writing within thirty days", "Copies of the minutes are available from the clerk", "The court held that the contract was void under applicable law", "The software crashed and the file was lost",
+    "Free admission for any person under twelve", "The buyer accepts the terms and conditions of sale", "The holder of the permit shall carry it at all times", "Rights of way across the field are disputed",
+    "Commons debated the international treaty on Tuesday", "Creative writing is taught in the second term", "The source of the river lies in the hills", "The foundation stone was laid in June 1991",
+    "Notice is hereby given that the meeting is postponed", "Distribution of food began at dawn", "An open letter to the publisher was printed", "The mozilla of the story is a lizard",
+)
+
+
+def test_licence_wordings_never_fitted(spark, licence_model):
+    m = licence_model
+    assert m.precision >= 0.95 and m.unknown_kept >= 0.95, (m.precision, m.recall, m.unknown_kept)
+    seen = {t.lower() for ts in licenses.TEMPLATES.values() for t in ts}
+    rows = [(f, t) for f, ts in UNSEEN.items() for t in ts] + [(licenses.UNKNOWN, t) for t in NO_LICENCE]
+    assert not seen.intersection(t.lower() for _, t in rows)
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    said = {r.doc_id: r.family for r in licenses.scan(docs, model=m).collect()}
+    right = sum(said.get(k) == f for k, (f, _) in enumerate(rows) if f != licenses.UNKNOWN)
+    print("licences:", m.temperature, m.threshold, m.precision, m.recall, m.unknown_kept, right, len(said), {t: said.get(k) for k, (f, t) in enumerate(rows) if said.get(k, licenses.UNKNOWN) != f})
+    assert right >= 0.9 * len(said) and right >= 0.7 * (len(rows) - len(NO_LICENCE))
+    assert sum(k in said for k, (f, _) in enumerate(rows) if f == licenses.UNKNOWN) <= 1
+
+
+def test_licence_scores_equal_brute_force(spark, licence_model):
+    lines = [t for ts in licenses.TEMPLATES.values() for t in ts] + [t for ts in UNSEEN.values() for t in ts] + list(NO_LICENCE) + ["", "x " * 3000 + "licensed under the MIT license"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)] + [(-1, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs, model=licence_model).collect()}
+    for k, t in enumerate(lines):
+        p = _plain_scores(licence_model, t)
+        best = max(p, key=lambda f: (p[f], f))
+        if best != licenses.UNKNOWN and abs(p[best] - licence_model.threshold) > 1e-6:
+            assert (k in got) == (p[best] >= licence_model.threshold), t
+        if k in got:
+            assert got[k].family == best and got[k].probability == pytest.approx(p[best]), t

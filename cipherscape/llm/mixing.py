@@ -12,7 +12,8 @@ so a large document is settled at once and the residual that remains is small:
 a source ends within about one small document of its target.  The residuals of all blocks
 meet in blocks again: a reduction tree whose every level has a ``block``-th of the
 rows before, so a source that holds a third of the corpus is many small tasks.
-Random numbers are hashes of the document, so reruns agree.
+Random numbers are hashes of the document's id and text, so reruns agree; rows that repeat
+both are numbered and lie in blocks of their own.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn; a
 target stops at ``most`` times its source's size and the excess is shared out by
@@ -20,15 +21,17 @@ weight until none is above.
 
 Edge cases: a null or empty text has size 0, and is taken as often as its source's
 whole part says, with 0 words; an empty source has target 0; repeated rows are rounded
-each for itself; null ids and sources are values like others; an empty table
-gives an empty result; further columns are ignored by name.
+each for itself; ties in size are broken by the random number; null ids and sources are values
+like others; a very long text is one document, whose source ends within about its size of the
+target if it is the only one; an empty table gives an empty result; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherscape.llm.common import dense_ids, stage
@@ -142,6 +145,21 @@ def rounded(rows: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows (row, key, ...) with keys that no two rows share: of equal keys each but the first gets its number mixed in.
+
+    Numbers count up within a partition of the input and on from what the partitions before it hold, so no task
+    sees all rows of a key, and the keys don't depend on how the rows are dealt.
+    """
+    again = rows.groupBy("key").count().filter("count > 1").select("key")
+    own = Window.partitionBy("key", "part").orderBy("row")
+    some = rows.select("row", "key", F.shiftright("row", 33).alias("part")).join(again, "key", "left_semi").withColumn("n", F.row_number().over(own))
+    sizes = some.groupBy("key", "part").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("key").orderBy("part")) - F.col("size"))  # a row for each partition
+    numbered = some.join(before, ["key", "part"]).select("row", (F.col("before") + F.col("n") - 1).alias("n"))
+    return rows.join(numbered, "row", "left").withColumn("key", F.when(F.col("n") > 0, F.xxhash64("key", "n")).otherwise(F.col("key"))).drop("n")
+
+
 def mixed(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, row: str | None = None
 ) -> DataFrame:
@@ -150,14 +168,14 @@ def mixed(
     ``row`` names a column that numbers the rows; without it they are numbered here.
     """
     row = F.col(row) if row else F.monotonically_increasing_id()
-    rows = stage(docs.select(row.alias("row"), F.col(id), F.col(source).cast("string").alias("source"), text_size(text).alias("size")), "sizes")
+    rows = stage(docs.select(row.alias("row"), F.col(id), F.col(source).cast("string").alias("source"), text_size(text).alias("size"), F.xxhash64(id, text).alias("key")), "sizes")
     targets = stage(source_targets(rows, weights, share, most), "targets")
     named = targets.withColumnRenamed("source", "s").drop("n")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     dealt = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
     dealt = stage(dealt, "rates")
-    open_rows = dealt.filter("p > 0 and size > 0").select("row", "source", F.xxhash64(id, "size").alias("key"), F.col("size").cast("double").alias("size"), "p")
-    extra = rounded(open_rows, seed)
+    open_rows = dealt.filter("p > 0 and size > 0").select("row", "source", "key", F.col("size").cast("double").alias("size"), "p")
+    extra = rounded(stage(apart(open_rows), "open"), seed)
     return dealt.join(extra, "row", "left").select(
         "row", id, "size", "source", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")
     )

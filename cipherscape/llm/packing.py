@@ -7,20 +7,21 @@ no sequence crosses documents, none needs padding, and batches of one bucket
 have one shape.  Sequences are numbered bucket by bucket.
 
 Tokenising is the cost: a vocabulary file's ids of a text are those of its words
-one after another (nothing in it reaches over white space), so each worker keeps
-the ids of the words it has met and encodes only new ones, in batches.  Spark uses
-its workers again for other work, so a worker lets the words go once it is idle.
+one after another if nothing in it reaches over white space.  That is tried on the driver, and
+another kind of vocabulary is an error.  A task keeps the ids of the words it has met, up to a
+bound, and encodes only new ones, in batches; nothing is kept from task to task but the
+vocabulary itself.
 
 Edge cases: a null or empty text is one piece, the end mark alone; repeated rows
 are packed once each; a null id is packed like any other; a very long text is
-read as a whole; an empty table gives an empty result; further columns are
-ignored by name.
+read as a whole; ties in the numbering are broken by id, place and checksum; an empty table
+gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 import re
-import threading
 import zlib
 from collections.abc import Iterator
 
@@ -30,48 +31,38 @@ from pyspark.sql import functions as F
 
 from cipherscape.llm.common import dense_ids, stage
 
-#: Words whose ids a worker keeps; at this number the half met longest ago goes.
+#: Words whose ids a task keeps; at this number the half met longest ago goes.
 KEPT_WORDS = 1_500_000
-#: Seconds without a packing task after which a worker drops its words.
-IDLE_SECONDS = 20.0
 
-_encoders: dict[tuple[str, str], WordIds] = {}
+_tokenizers: dict = {}
 
 
-class WordIds:
-    """Little-endian 32-bit ids of words, found by a vocabulary file of the ``tokenizers`` library."""
-
-    def __init__(self, vocabulary: str):
-        import os
-
+def tokenizer(vocabulary: str):  # noqa: ANN201
+    """A process's own tokenizer for a vocabulary file of the ``tokenizers`` library."""
+    if vocabulary not in _tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary)
+    return _tokenizers[vocabulary]
+
+
+def cuts_at_white_space(vocabulary: str) -> bool:
+    """Whether a text's ids are those of its words one after another, tried on words between all kinds of white space."""
+    known = tokenizer(vocabulary)
+    words = ["The", "cat's", "naïve", "42nd", "(end).", "中文", "don't", "e.g.", "x_y", "--", "A" * 40, "ﬁ"]
+    apart = [i for w in words for i in known.encode(w, add_special_tokens=False).ids]
+    joints = [" ", "  ", "\t", "\n", "\r\n", "\n\n", " \x0b ", "\x0c"]
+    return all(known.encode(a + j.join(words) + b, add_special_tokens=False).ids == apart for j in joints for a, b in (("", ""), (j, ""), ("", j)))
+
+
+class WordIds:
+    """Little-endian 32-bit ids of words."""
+
+    def __init__(self, known):  # noqa: ANN001
+        self.tokenizer = known
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.lock, self.timer, self.tasks = threading.Lock(), None, 0
-
-    def __enter__(self) -> WordIds:
-        with self.lock:
-            self.tasks += 1
-            if self.timer is not None:
-                self.timer.cancel()
-                self.timer = None
-        return self
-
-    def __exit__(self, *error: object) -> None:
-        with self.lock:
-            self.tasks -= 1
-            if not self.tasks:
-                self.timer = threading.Timer(IDLE_SECONDS, self.forget)
-                self.timer.daemon = True
-                self.timer.start()
-
-    def forget(self) -> None:
-        with self.lock:
-            if not self.tasks:
-                self.new, self.old = {}, {}
 
     def text_ids(self, text: bytes) -> bytes:
         words = text.split()
@@ -83,7 +74,7 @@ class WordIds:
                     self.new[w] = ids
                 else:
                     fresh.append(w)
-            coded = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
             for w, e in zip(fresh, coded, strict=True):
                 self.new[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
         out = b"".join(map(self.new.__getitem__, words))
@@ -92,14 +83,6 @@ class WordIds:
         return out
 
 
-def encoder(vocabulary: str) -> WordIds:
-    """A worker's own encoder, kept from task to task."""
-    key = (vocabulary, "words")
-    if key not in _encoders:
-        _encoders[key] = WordIds(vocabulary)
-    return _encoders[key]
-
-
 def pieces(n: int, longest: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of n ids; longest is a power of two."""
     start = 0
@@ -124,29 +107,30 @@ def packed(
     """
     if not re.fullmatch("10*", f"{longest:b}"):
         raise ValueError("longest must be a power of two")
+    if not cuts_at_white_space(vocabulary):
+        raise ValueError(f"{vocabulary} has ids that reach over white space")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = end.to_bytes(4, "little")
-        with encoder(vocabulary) as words:
-            for batch in batches:
-                row, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, value in enumerate(batch.column(1)):
-                    blob = words.text_ids(value.as_py() or b"") + mark
-                    n = len(blob) // 4
-                    for s, m in pieces(n, longest):
-                        part = blob[4 * s : 4 * (s + m)]
-                        row.append(k)
-                        start.append(s)
-                        length.append(m)
-                        crc.append(zlib.crc32(part))
-                        total.append(n)
-                        if with_ids:
-                            ids.append(memoryview(part).cast("I").tolist())
-                columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))]
-                names = [id, "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        mark, words = end.to_bytes(4, "little"), WordIds(tokenizer(vocabulary))
+        for batch in batches:
+            row, start, length, crc, total, ids = [], [], [], [], [], []
+            for k, value in enumerate(batch.column(1)):
+                blob = words.text_ids(value.as_py() or b"") + mark
+                n = len(blob) // 4
+                for s, m in pieces(n, longest):
+                    part = blob[4 * s : 4 * (s + m)]
+                    row.append(k)
+                    start.append(s)
+                    length.append(m)
+                    crc.append(zlib.crc32(part))
+                    total.append(n)
+                    if with_ids:
+                        ids.append(memoryview(part).cast("I").tolist())
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))]
+            names = [id, "start", "length", "ids_crc32", "doc_tokens"]
+            if with_ids:
+                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id].dataType.simpleString()
     cuts = docs.select(id, F.col(text).cast("binary").alias("t")).mapInArrow(

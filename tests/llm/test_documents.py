@@ -55,6 +55,11 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.trained(spark)
+
+
 def _texts(rows):
     return {i: t or "" for i, t, *_ in rows}
 
@@ -243,22 +248,20 @@ def test_pieces():
 
 def test_word_ids_forget_without_harm(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 4)
-    words = packing.WordIds(vocabulary())
+    words = packing.WordIds(packing.tokenizer(vocabulary()))
     text = b"one two three four five one two Six"
     assert words.text_ids(text) == words.text_ids(text) and len(words.new) <= 8
 
 
-def test_idle_workers_drop_their_words(monkeypatch):
-    monkeypatch.setattr(packing, "IDLE_SECONDS", 0.05)
-    words = packing.WordIds(vocabulary())
-    with words:
-        first = words.text_ids(b"one two three")
-        words.forget()
-        assert len(words.new) == 3  # not while a task runs
-    words.timer.join()
-    assert not words.new and not words.old
-    with words:
-        assert words.text_ids(b"one two three") == first
+def test_vocabularies_that_reach_over_white_space_are_refused(spark, tmp_path):
+    import json
+
+    whole = json.load(open(vocabulary()))
+    whole["pre_tokenizer"], whole["normalizer"] = None, None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(whole))
+    with pytest.raises(ValueError, match="white space"):
+        packing.packed(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(path))
 
 
 def test_quality_separates_held_out_rows(spark):
@@ -363,18 +366,28 @@ def test_mixing_meets_targets(spark):
     assert sum(abs(taken[s] - target[s]) for s in order) < 0.05 * budget
     key = lambda rows: sorted((str(x.doc_id), str(x.source), x.copies) for x in rows)
     assert key(mixing.mixed(docs.repartition(7)).collect()) == key(got)  # reruns agree
+    same = spark.createDataFrame([(7, "a b c", "s")] * 900 + [(None, f"x y {k}", "s") for k in range(300)], "doc_id long, text string, source string")
+    agree = [sorted((str(x.doc_id), x.copies) for x in mixing.mixed(same.repartition(n), share=0.7).collect()) for n in (3, 5)]
+    assert agree[0] == agree[1]
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(x.copies for x in got)
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_lie_in_many_blocks(spark):
+    rows = spark.createDataFrame([(k, 5 if k < 3000 else k) for k in range(4000)], "row long, key long").repartition(6).select(F.monotonically_increasing_id().alias("row"), "key")
+    keys = [r.key for r in mixing.apart(rows).collect()]
+    assert len(keys) == 4000 and len(set(keys)) == 4000
+    assert set(keys) == {r.key for r in mixing.apart(rows.repartition(3).select(F.monotonically_increasing_id().alias("row"), "key")).collect()}
+
+
 def test_rounding_is_unbiased(spark):
     rows = spark.createDataFrame([(k, f"s{k // 5}", k * 7919 + 1, float(1 + k % 5), 0.3) for k in range(5000)], "row long, source string, key long, size double, p double")
     got = mixing.rounded(rows, block=4).join(rows, "row").groupBy("size").agg(F.avg("extra").alias("m"), F.count("*").alias("n")).collect()
     assert sum(r.n for r in got) == 5000 and all(abs(r.m - 0.3) < 0.06 for r in got)
 
 
-def test_licences_are_found_and_lookalikes_are_not(spark):
+def test_licences_are_found_and_lookalikes_are_not(spark, licence_model):
     good = {
         1: ("MIT", "Some words.\nReleased under the MIT License."), 2: ("Apache-2.0", "Licensed under the Apache License, Version 2.0.\nmore"),
         3: ("GPL-3.0", "x\n\nThis work is licensed under the GNU General Public License, version 3."), 4: ("CC-BY-NC", "Licensed under CC BY-NC 4.0."), 5: ("Proprietary", "a\nAll rights reserved."),
@@ -382,13 +395,13 @@ def test_licences_are_found_and_lookalikes_are_not(spark):
     other = {6: "She was granted a license to practise medicine", 7: "The driver showed his licence.\nAll the seats were reserved.", 8: None, 9: "", 10: "the public works\nversion 3 of the plan " * 200}
     rows = [(k, t, "x") for k, (_, t) in good.items()] + [(k, t, "x") for k, t in other.items()] + [(1, good[1][1], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, family string")
-    got = licenses.scan(docs).collect()
+    got = licenses.scan(docs, model=licence_model).collect()
     assert {(r.doc_id, r.family, r.confirmed) for r in got if r.confirmed} == {(k, f, True) for k, (f, _) in good.items()}
     assert sum(r.doc_id == 1 for r in got) == 2 and {r.line for r in got if r.doc_id == 3} == {2}
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def test_wrapped_licences_are_found_whole(spark):
+def test_wrapped_licences_are_found_whole(spark, licence_model):
     import textwrap
 
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use and copy"
@@ -400,7 +413,7 @@ def test_wrapped_licences_are_found_whole(spark):
         rows += [(10 * k, "\n".join(["Some words.", "", *wrapped[80], "", "more words"])), (10 * k + 1, "\n".join(wrapped[60]))]
         rows += [(10 * k + 2, "/*\n * A title\n *\n" + "".join(f" * {x}\n" for x in wrapped[80]) + " */\r\n\r\ncode = 1"), (10 * k + 3, notice)]
         want |= {(10 * k, 2, family), (10 * k + 1, 0, family), (10 * k + 2, 3, family), (10 * k + 3, 0, family)}
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=licence_model).collect()
     assert {(r.doc_id, r.line, r.family) for r in got if r.confirmed} == want and len(got) == len(want)
     assert {r.paragraph for r in got if r.doc_id % 10 == 1} == {mit, gpl, bsd}
 
@@ -411,11 +424,6 @@ def test_lines_and_paragraphs_of_a_text(spark):
     assert got == [[(0, 0, 1, "a b", ["a", "b", "a b"]), (3, 4, 1, "b x a", ["b", "a"]), (3, 3, 2, "c b x a", ["b", "a"])], [], [(2, 2, 1, "a", ["a"])]]
 
 
-@pytest.fixture(scope="module")
-def licence_model(spark):
-    return licenses.trained(spark)
-
-
 def _plain_scores(model, text):
     """Probabilities of a line, n-gram by n-gram."""
     tokens = [w for w in re.split(r"[^\w]+|_+", text.lower()) if w]

@@ -118,7 +118,7 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
 class WordHashes(dict):
     """xxh3 of a word, kept for the words met so far; forgets all at ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

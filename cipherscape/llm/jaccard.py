@@ -49,7 +49,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from cipherscape.llm.common import WordHashes, ascii_lower, binary_rows, bucket_of, stage, windows
-from cipherscape.llm.packs import ANSWER, answers, buckets_for, by_pack, marks, packed, short_hashes, text_column, unpacked
+from cipherscape.llm.packs import ANSWER, answers, buckets_for, by_pack, freed, marks, packed, short_hashes, text_column, unpacked
 
 #: A column of more sets than this comes last in the order of columns.
 FREQUENT = 12
@@ -105,7 +105,7 @@ def column_marks(packs: DataFrame, n: int, text: str, buckets: int) -> DataFrame
         total = np.bincount(of, np.concatenate(counts))[of]
         return answers(group.column("pack").to_pylist(), key[0].as_py(), [len(c) for c in columns], total > 1, total > FREQUENT)
 
-    asked = packs.select("pack", "data").mapInArrow(sent, "pack long, bucket int, columns binary, more binary, counts binary")
+    asked = packs.select("pack", "data").mapInArrow(lambda batches: freed(sent(batches)), "pack long, bucket int, columns binary, more binary, counts binary")
     return asked.groupBy("bucket").applyInArrow(counted, ANSWER)
 
 
@@ -168,7 +168,7 @@ def read_once(packs: DataFrame, n: int, percent: int, id: str, text: str, id_typ
                     entries = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), kinds[5:], strict=True)]
                     yield pa.RecordBatch.from_arrays([*(pa.nulls(len(entries[0]), t) for t in kinds[:5]), *entries], names=names)
 
-    return packs.mapInArrow(sent, f"pack long, at int, `{id}` {id_type.simpleString()}, n_shingles long, blocks binary, sid long, column long, size int, place int, weight int")
+    return packs.mapInArrow(lambda batches: freed(sent(batches)), f"pack long, at int, `{id}` {id_type.simpleString()}, n_shingles long, blocks binary, sid long, column long, size int, place int, weight int")
 
 
 def first_places(shingles: np.ndarray, late: np.ndarray, length: int) -> np.ndarray:
@@ -217,7 +217,7 @@ def bounded(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(counts.toDF("a", "pa"), "a").join(counts.toDF("b", "pb"), "b")
-    return both.select("a", "b", "pa", "pb").mapInArrow(kept, "a long, b long")
+    return both.select("a", "b", "pa", "pb").mapInArrow(lambda batches: freed(kept(batches)), "a long, b long")
 
 
 def shared_columns(entries: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def candidate_sets(packs: DataFrame, n: int, text: str, wanted: DataFrame) -> Da
                 yield binary_rows(["sid", "shingles"], [pa.int64(), pa.binary()], [(r["sid"], shingle_set(t, n, words).tobytes()) for r, t in zip(rows, texts, strict=True)])
 
     each = wanted.groupBy("pack").agg(F.collect_list(F.struct("sid", "at")).alias("rows"))  # at most the rows of a pack
-    return packs.join(each, "pack").select("data", "rows").mapInArrow(found, "sid long, shingles binary")
+    return packs.join(each, "pack").select("data", "rows").mapInArrow(lambda batches: freed(found(batches)), "sid long, shingles binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -401,4 +401,4 @@ def single_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
                 keep[gone.as_py() or []] = False
                 yield own.filter(pa.array(keep))
 
-    return packs.join(copies, "pack", "left").select("data", "copies").mapInArrow(kept, docs.schema)
+    return packs.join(copies, "pack", "left").select("data", "copies").mapInArrow(lambda batches: freed(kept(batches)), docs.schema)

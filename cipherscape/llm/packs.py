@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from cipherscape.llm.common import FIRST, WordHashes, by_bucket, power_of_two, rest_of, stage, windows
 
-#: Bytes of text in a pack, about; a longer text is a pack of its own.
-PACK_BYTES = 8 << 20
+#: Bytes of text in a pack, about; a longer text is a pack of its own.  A task works on one pack at a time and
+#: needs some 40 times as much memory; larger packs ask less often for what their texts share.
+PACK_BYTES = 3 << 20
 #: Entries a bucket gets, about, up to 2**17 buckets.
 PER_BUCKET = 4_000_000
 MOST_BUCKETS = 1 << 17
@@ -58,7 +59,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
         if held:
             yield out()
 
-    rows = docs.mapInArrow(pack, "size long, data binary")
+    rows = docs.mapInArrow(lambda batches: freed(pack(batches)), "size long, data binary")
     return stage(rows.select(F.monotonically_increasing_id().alias("pack"), "size", "data"), "packs")
 
 
@@ -66,6 +67,12 @@ def unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
+def freed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows; what a task has freed goes back to the system at its end, as Spark keeps its workers."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+
+
 def text_column(batch: pa.RecordBatch, text: str) -> Iterator[bytes]:
     """The texts as UTF-8; a null one is empty."""
     for value in batch.column(text).cast(pa.binary()):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherscape.llm.common import SECOND, WordHashes, binary_rows, bucket_of, stage
-from cipherscape.llm.packs import ANSWER, Words, answers, buckets_for, by_pack, marks, packed, planes_of, short_hashes, text_column, unpacked
+from cipherscape.llm.packs import ANSWER, Words, answers, buckets_for, by_pack, freed, marks, packed, planes_of, short_hashes, text_column, unpacked
 
 
 def block_length(width: int) -> int:
@@ -89,7 +89,7 @@ def anchor_hits(packs: DataFrame, width: int, text: str, buckets: int) -> DataFr
         several = (count > 1) | (np.bincount(of[flags[1]], minlength=len(count)) > 0)
         return answers(group.column("pack").to_pylist(), key[0].as_py(), sizes, (indexed & several)[of])
 
-    asked = packs.select("pack", "data").mapInArrow(sent, "pack long, bucket int, hashes binary, flags binary")
+    asked = packs.select("pack", "data").mapInArrow(lambda batches: freed(sent(batches)), "pack long, bucket int, hashes binary, flags binary")
     return asked.groupBy("bucket").applyInArrow(met, ANSWER)
 
 
@@ -187,7 +187,7 @@ def earlier_windows(packs: DataFrame, hits: DataFrame, reader: Reader) -> DataFr
         return answers(group.column("pack").to_pylist(), key[0].as_py(), [len(p) for p in parts], smallest[of] < least)
 
     asked = packs.select("pack", "data").join(by_pack(hits, "hits"), "pack").select("pack", "data", "hits")
-    return asked.mapInArrow(sent, "pack long, bucket int, hashes binary, least binary").groupBy("bucket").applyInArrow(judged, ANSWER)
+    return asked.mapInArrow(lambda batches: freed(sent(batches)), "pack long, bucket int, hashes binary, least binary").groupBy("bucket").applyInArrow(judged, ANSWER)
 
 
 def with_answers(docs: DataFrame, width: int, id: str, text: str) -> tuple[DataFrame, Reader]:
@@ -228,7 +228,7 @@ def substring_digest(docs: DataFrame, width: int = 13, id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([batch.column(id), *columns], names=[id, "n_words", "n_removed", "kept_sha256", "repeats"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return rows.mapInArrow(digest, f"`{id}` {kind}, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,stop:int>>")
+    return rows.mapInArrow(lambda batches: freed(digest(batches)), f"`{id}` {kind}, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,stop:int>>")
 
 
 def without_repeats(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,4 +252,4 @@ def without_repeats(docs: DataFrame, width: int = 13, id: str = "doc_id", text:
                     batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
                 yield batch
 
-    return rows.mapInArrow(cut, docs.schema)
+    return rows.mapInArrow(lambda batches: freed(cut(batches)), docs.schema)

@@ -20,19 +20,23 @@ gives an empty result; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherscape.llm.common import dense_ids, stage
 
-#: Words whose ids a task keeps; at this number the half met longest ago goes.
-KEPT_WORDS = 1_500_000
+#: Words whose ids a task keeps; beyond it the task begins anew.
+KEPT_WORDS = 1_000_000
+#: Bytes of text looked up at a time.
+CHUNK_BYTES = 4 << 20
 
 _tokenizers: dict = {}
 
@@ -56,31 +60,61 @@ def cuts_at_white_space(vocabulary: str) -> bool:
     return all(known.encode(a + j.join(words) + b, add_special_tokens=False).ids == apart for j in joints for a, b in (("", ""), (j, ""), ("", j)))
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class WordIds:
-    """Little-endian 32-bit ids of words."""
+    """The ids of words, kept in one array; a word is looked up by its number."""
 
     def __init__(self, known):  # noqa: ANN001
         self.tokenizer = known
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def text_ids(self, text: bytes) -> bytes:
-        words = text.split()
-        missing = set(words).difference(self.new)
-        if missing:
-            fresh = []
-            for w in missing:
-                if (ids := self.old.get(w)) is not None:
-                    self.new[w] = ids
-                else:
-                    fresh.append(w)
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            for w, e in zip(fresh, coded, strict=True):
-                self.new[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        out = b"".join(map(self.new.__getitem__, words))
-        if len(self.new) > KEPT_WORDS // 2:
-            self.old, self.new = self.new, {}
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.numbers) > KEPT_WORDS:
+            self.forget()
+        numbers, at, counts = self.numbers, [], []
+        for text in texts:
+            words = text.split()
+            at.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            counts.append(len(words))
+        self._encode(list(itertools.islice(numbers, len(self.ends) - 1, None)))  # those met here first
+        at = np.concatenate([np.empty(0, np.int64), *at])
+        start, length = self.ends[at], self.ends[at + 1] - self.ends[at]
+        before = np.concatenate(([0], np.cumsum(length)))
+        ids = self.ids[np.repeat(start - before[:-1], length) + np.arange(before[-1])]
+        return np.split(ids, before[np.cumsum(counts)][:-1]) if texts else []
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Append the ids of new words."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        size, ends = int(self.ends[-1]), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.ends = np.concatenate((self.ends, size + ends))
+        if self.ends[-1] > len(self.ids):
+            self.ids = np.concatenate((self.ids[:size], np.empty(int(self.ends[-1]), np.uint32)))
+        self.ids[size : self.ends[-1]] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(self.ends[-1]) - size)
+
+
+def ids_of(column: pa.Array, words: WordIds) -> Iterator[np.ndarray]:
+    """The ids of each text, several texts looked up together."""
+    held, size = [], 0
+    for value in column:
+        held.append(value.as_py() or b"")
+        size += len(held[-1])
+        if size >= CHUNK_BYTES:
+            yield from words.of(held)
+            held, size = [], 0
+    yield from words.of(held)
 
 
 def pieces(n: int, longest: int) -> Iterator[tuple[int, int]]:
@@ -114,8 +148,8 @@ def packed(
         mark, words = end.to_bytes(4, "little"), WordIds(tokenizer(vocabulary))
         for batch in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, value in enumerate(batch.column(1)):
-                blob = words.text_ids(value.as_py() or b"") + mark
+            for k, found in enumerate(ids_of(batch.column(1), words)):
+                blob = found.astype("<u4").tobytes() + mark
                 n = len(blob) // 4
                 for s, m in pieces(n, longest):
                     part = blob[4 * s : 4 * (s + m)]

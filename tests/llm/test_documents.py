@@ -248,9 +248,13 @@ def test_pieces():
 
 def test_word_ids_forget_without_harm(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 4)
-    words = packing.WordIds(packing.tokenizer(vocabulary()))
-    text = b"one two three four five one two Six"
-    assert words.text_ids(text) == words.text_ids(text) and len(words.new) <= 8
+    known = packing.tokenizer(vocabulary())
+    words = packing.WordIds(known)
+    texts = [b"one two three four five one two Six", b"", "naïve, (don't) 中文 e\u0301 x\u00a0y <|end|> \u2028 z".encode(), b" \n "]
+    for _ in range(3):
+        got = [x.tolist() for x in words.of(texts)]
+        assert got == [known.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert len(words.numbers) <= 20 and words.of([]) == []
 
 
 def test_vocabularies_that_reach_over_white_space_are_refused(spark, tmp_path):

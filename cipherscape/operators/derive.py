@@ -26,9 +26,10 @@ HASHES = [
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at the ends, as Python has it."""
+    """Without white space at the ends, as Python has it; texts with a visible ASCII character at either end are as they are."""
     space = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-    return F.regexp_replace(text, f"^{space}|{space}$", "")
+    plain = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(plain, text).otherwise(F.regexp_replace(text, f"^{space}|{space}$", ""))
 
 
 def excerpt(lines: Column, start: Column, end: Column) -> Column:
@@ -42,7 +43,7 @@ def excerpt(lines: Column, start: Column, end: Column) -> Column:
 
 def role(primitive: Column, algorithm: Column, operation: Column) -> Column:
     """The cryptographic role; the first rule that holds decides."""
-    name = F.upper(stripped(algorithm))
+    name, primitive = F.upper(stripped(algorithm)), F.upper(stripped(primitive))
     generated = F.when(name.isin(*SIGNATURES), "DIGITAL_SIGNATURE").when(name.isin(*AGREEMENTS), "KEY_ESTABLISHMENT").otherwise("UNKNOWN")
     return (
         F.when(primitive == "HASH", "HASH")
@@ -78,6 +79,17 @@ def review_path(role: Column, algorithm: Column) -> Column:
     )
 
 
+def review_rationale(path: Column) -> Column:
+    """A sentence on why a review path was given."""
+    return (
+        F.when(path == "ML-DSA / SLH-DSA", "Its signatures rest on a problem that a quantum computer solves; look at a post-quantum signature scheme.")
+        .when(path == "ML-KEM", "Its key establishment rests on a problem that a quantum computer solves; look at a post-quantum key encapsulation.")
+        .when(path == "KEY / IMPLEMENTATION REVIEW", "A shared-key cipher stays usable; look at key lengths, modes and the implementation.")
+        .when(path == "HASH / POLICY REVIEW", "A digest stays usable if it is long enough; look at the policy that asks for it.")
+        .otherwise("The facts do not settle a path; a person must look.")
+    )
+
+
 def is_candidate(path: Column) -> Column:
     return path.isin("ML-DSA / SLH-DSA", "ML-KEM")
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +43,14 @@ def relations(found: DataFrame, scan: str = "snapshot_id") -> dict[str, DataFram
     return {"findings": findings, "evidence": evidence, "impact_nodes": nodes, "review_items": reviews, "audit_events": audit}
 
 
-def write(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables of one run; readers see the run once its marker row is there."""
-    run = uuid.uuid4().hex
+def write(tables: dict[str, DataFrame], root: str, run: str | None = None) -> str:
+    """Write all tables of one run; readers see the run once its marker row is there.
+
+    A run that is written again under its name replaces itself.
+    """
+    run = run or uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.parquet(f"{root}/{name}/run={run}")
+        df.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
     spark = next(iter(tables.values())).sparkSession
     spark.range(1).select(F.lit(run).alias("run"), F.lit(json.dumps(sorted(tables))).alias("tables")).write.mode("append").parquet(f"{root}/commits")
     return run
@@ -55,5 +62,34 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").join(F.broadcast(commits), "run", "left_semi").drop("run")
 
 
+_stored: dict[tuple[str, ...], str] = {}
+
+
+def written_once(spark: SparkSession, rows: Callable[[], DataFrame], *key: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, written when it is first asked for in an application.
+
+    Reads that follow prune columns and push filters into its scan, and derive nothing again.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/tables/{key[0]}/{uuid.uuid4().hex}"
+        rows().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on a local master where it is unset, a folder of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="cipherscape-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def append_audit(events: DataFrame, root: str) -> None:
     events.write.mode("append").parquet(f"{root}/audit_log")

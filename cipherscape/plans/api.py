@@ -6,12 +6,14 @@ visible once it is complete.  Reviews are a log of requests, folded when read.
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cipherscape import errors
@@ -21,8 +23,9 @@ from cipherscape.plans import read
 
 SCANS = (
     "id string, provider string, owner string, name string, commit_sha string, parser_version string, ruleset_version string, pqc_ruleset_version string, status string, "
-    "source_state string, file_count long, analyzed_file_count long, skipped_file_count long, finding_count long, created_at double"
+    "source_state string, file_count long, analyzed_file_count long, skipped_file_count long, finding_count long, created_at double, error_code string, error_message string, step long"
 )
+TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 REQUESTS = "review_id string, seq long, status string, assigned_to string, note string"
 
 
@@ -56,33 +59,65 @@ class Inventory:
         if not commit.startswith(wanted):
             raise errors.IngestionFailed("the resolved commit is another one")
         identity = ("github", owner, name, commit, vocab.PARSER_VERSION, vocab.RULESET_VERSION, vocab.PQC_VERSION)
-        same = " and ".join(f"{c} = '{v}'" for c, v in zip(lifecycle.IDENTITY, identity, strict=True))
-        old = self._read("scans", SCANS).filter(f"status = 'COMPLETED' and {same}").orderBy("created_at", "id").first()
+        same = [F.col(c) == F.lit(v) for c, v in zip(lifecycle.IDENTITY, identity, strict=True)]
+        old = self.scans().filter(reduce(Column.__and__, same, F.col("status") == "COMPLETED")).orderBy("created_at", "id").first()
         if old is not None:
-            self._audit(old.id, "SCAN_CREATED")
+            self._put(old, source_state="CACHED_REAL")
+            self._audit(old.id, "SCAN_CREATED", {"cached": True})
             return {"scan_id": old.id, "cached": True, "http_status": 200}
         scan = self.spark.range(1).select(derive.hashed(*map(F.lit, identity)).alias("id")).first().id
-        self._audit(scan, "SCAN_CREATED")
-        counts = self._analyse(scan, owner, name, self.fetch(owner, name, commit))
-        row = (scan, *identity, "COMPLETED", "LIVE", *counts, time.time())
-        self.spark.createDataFrame([row], SCANS).write.mode("append").parquet(f"{self.root}/scans")
-        self._audit(scan, "SCAN_COMPLETED")
+        before = self.scans().filter(F.col("id") == scan).first()  # a scan that failed or was cut off starts anew under its id
+        row = Row(id=scan, **dict(zip(lifecycle.IDENTITY, identity, strict=True)), status=None, source_state="UNAVAILABLE", step=before.step if before else -1)
+        row = self._put(row, status="QUEUED", created_at=time.time())
+        self._audit(scan, "SCAN_CREATED", {"cached": False})
+        self.execute(row)
         return {"scan_id": scan, "cached": False, "http_status": 202}
 
+    def execute(self, row: Row) -> None:
+        """Run a scan to its end; one that has ended is left alone.  An error leaves it FAILED, with a code and message that clients may see."""
+        if row.status in TERMINAL:
+            return
+        row = self._put(row, status="RUNNING")
+        self._audit(row.id, "SCAN_STARTED")
+        try:
+            counts = self._analyse(row.id, row.owner, row.name, self.fetch(row.owner, row.name, row.commit_sha))
+        except Exception as error:
+            code, message = errors.safe(error)
+            self._put(row, status="FAILED", error_code=code, error_message=message)
+            self._audit(row.id, "SCAN_FAILED", {"error_code": code})
+            raise
+        counts = dict(zip(("file_count", "analyzed_file_count", "skipped_file_count", "finding_count"), counts, strict=True))
+        self._put(row, status="COMPLETED", source_state="LIVE", **counts)
+        self._audit(row.id, "SCAN_COMPLETED", counts)
+
+    def scans(self) -> DataFrame:
+        """Every scan as it stands: its last step."""
+        rows = self._read("scans", SCANS)
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "step").alias("s"))
+        return last.select("id", "s.*")
+
+    def _put(self, row: Row, **changes: object) -> Row:
+        """Write a scan's next step."""
+        known = {c.split()[0]: None for c in SCANS.split(", ")} | row.asDict() | changes
+        known["step"] = row.step + 1
+        self.spark.createDataFrame([tuple(known.values())], SCANS).coalesce(1).write.mode("append").parquet(f"{self.root}/scans")
+        return Row(**known)
+
     def _analyse(self, scan: str, owner: str, name: str, files: DataFrame) -> tuple[int, int, int, int]:
         files = files.withColumn("snapshot_id", F.lit(scan))
         parsed = parse.parse_files(discovery.supported(files), ("imports", "symbols", "calls", "names", "assignments", "annotations")).persist()
         try:
             found = derive.findings(rules.matches(parsed), parsed, F.lit(f"github/{owner}/{name}"))
-            persist.write(persist.relations(found), self.root)
+            persist.write(persist.relations(found), self.root, run=scan)  # of its own name: written again, it replaces itself
             total = discovery.summary(discovery.classify(files)).first()
             n = self._table("findings").filter(F.col("scan_id") == scan).count()
             return (total.total_files, total.analyzed_files, total.skipped_files, n) if total else (0, 0, 0, 0)
         finally:
             parsed.unpersist()
 
-    def _audit(self, scan: str, event: str) -> None:
-        events = self.spark.createDataFrame([(scan, None, event, time.time())], "scan_id string, finding_id string, event_type string, created_at double")
+    def _audit(self, scan: str, event: str, metadata: dict | None = None) -> None:
+        fields = "scan_id string, finding_id string, event_type string, metadata string, created_at double"
+        events = self.spark.createDataFrame([(scan, None, event, json.dumps(metadata or {}), time.time())], fields)
         persist.append_audit(events, self.root)
 
     def update_review(self, review_id: str, status: str | None = None, assigned_to: str | None = None, note: str | None = None) -> DataFrame:
@@ -94,7 +129,7 @@ class Inventory:
             raise ValueError(status)
         if status not in (None, current.status) and (current.status, status) not in vocab.REVIEW_MOVES:
             raise errors.InvalidReviewTransition(f"{current.status} to {status}")
-        seq = self._read("review_requests", REQUESTS).filter(F.col("review_id") == review_id).count()
+        seq = time.time_ns()  # requests have an order of their own, also when two come at once
         self.spark.createDataFrame([(review_id, seq, status, assigned_to, note)], REQUESTS).write.mode("append").parquet(f"{self.root}/review_requests")
         return self.reviews().filter(F.col("id") == review_id)
 
@@ -109,7 +144,7 @@ class Inventory:
         return items.select("id", "finding_id", F.coalesce("_s", "status").alias("status"), F.coalesce("_a", "assigned_to").alias("assigned_to"), F.coalesce("_n", "note").alias("note"))
 
     def scan(self, scan_id: str) -> DataFrame:
-        found = self._read("scans", SCANS).filter(F.col("id") == scan_id)
+        found = self.scans().filter(F.col("id") == scan_id)
         if found.isEmpty():
             raise errors.ScanNotFound(scan_id)
         named = found.withColumn("repository_id", F.lit("r"))
@@ -117,14 +152,16 @@ class Inventory:
 
     def findings(self, scan_id: str, page: int = 1, size: int = read.PAGE_SIZE, **filters: str | None) -> read.Page:
         self.scan(scan_id)
-        return read.findings_page(self._table("findings"), scan_id, page, size, **filters)
+        return read.findings_page(self._table("findings"), scan_id, page, size, self.reviews(), **filters)
 
     def finding(self, finding_id: str) -> DataFrame:
         one = self._table("findings").filter(F.col("id") == finding_id)
         if one.isEmpty():
             raise errors.FindingNotFound(finding_id)
         mine = F.col("finding_id") == finding_id
-        return read.details(one, self._table("evidence").filter(mine), self._table("impact_nodes").filter(mine), self.reviews().filter(mine))
+        scans = self.scans().withColumn("repository_id", F.col("id"))
+        repositories = self.scans().select("id", "provider", "owner", "name")
+        return read.details(one, self._table("evidence").filter(mine), self._table("impact_nodes").filter(mine), self.reviews().filter(mine), scans, repositories)
 
     def queue(self, page: int = 1, size: int = read.PAGE_SIZE, **filters: str | None) -> read.Page:
         return read.queue_page(self.reviews(), self._table("findings"), page, size, **filters)

@@ -31,13 +31,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- the templated corpus ------------------------------------------------------------
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out anew where their table lies in fewer pieces than there are cores, as the work on each row is what costs here."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.corpus(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return templates.corpus(_dealt(_table(spark, sf_dir, "part").select("p_partkey")), "p_partkey")
 
 
 def _parsed(spark: SparkSession, sf_dir: str, *wanted: str, lines: bool = False) -> DataFrame:
-    """Parsed once and kept, as several joins read it."""
-    return parse.parse_files(discovery.supported(_files(spark, sf_dir)), wanted or ("imports", "symbols", "calls", "names", "assignments", "annotations"), lines).persist()
+    """Parsed and written once, as several joins read it."""
+    wanted = wanted or ("imports", "symbols", "calls", "names", "assignments", "annotations")
+    rows = lambda: parse.parse_files(discovery.supported(_files(spark, sf_dir)), wanted, lines)
+    return persist.written_once(spark, rows, sf_dir, "parsed", *wanted, str(lines))
 
 
 _PATH = "'pkg' || (p_partkey % 7) || '/mod_' || p_partkey || '.py'"
@@ -248,7 +256,7 @@ _OBSERVED = """SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS BIGI
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    _dealt(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).createOrReplaceTempView("lineitem")
     return spark.sql(_OBSERVED)
 
 
@@ -337,8 +345,9 @@ def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique findings with the columns of the persisted table."""
-    return _unique(spark, sf_dir).withColumn("id", persist.row_id("scan_id", "fingerprint")).withColumn("file_path", F.col("path")).withColumn("status", F.lit("ACTIVE"))
+    """Unique findings with the columns of the persisted table, written once; the reads below go to the written table."""
+    rows = lambda: _unique(spark, sf_dir).withColumn("id", persist.row_id("scan_id", "fingerprint")).withColumn("file_path", F.col("path")).withColumn("status", F.lit("ACTIVE"))
+    return persist.written_once(spark, rows, sf_dir, "findings")
 
 
 _STORED = f"SELECT *, sha256(concat_ws(chr(31), scan_id, fingerprint)) AS id, path AS file_path FROM ({_UNIQUE})"
@@ -401,6 +410,41 @@ def finding_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def finding_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the list of findings, all scans."""
+    findings = _stored(spark, sf_dir)
+    return read.list_items(findings, _reviews(findings)).select("id", "scan_id", "review_path", "is_migration_candidate", "review_status", "priority", "file_path", "start_line")
+
+
+def queue_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the review queue, all of them."""
+    findings = _stored(spark, sf_dir)
+    rows = read.queue_rows(_reviews(findings), findings)
+    return rows.select("review.id", "review.status", F.col("finding.id").alias("finding_id"), "finding.scan_id", "finding.review_path", "finding.is_migration_candidate", "finding.operation")
+
+
+def legacy_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = _stored(spark, sf_dir)
+    return read.legacy_queue(_reviews(findings), findings, "scan1", "OPEN").select("review_id", "finding_id", "priority", "file_path", "start_line")
+
+
+def scan_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scan with its repository and engine versions."""
+    _, scans, repositories = _cache_input(spark, sf_dir)
+    scans = scans.withColumns({c: F.lit(0).cast("long") for c in ("file_count", "analyzed_file_count", "skipped_file_count", "finding_count")})
+    return read.scan_details(scans, repositories).select("scan_id", "repository.owner", "repository.name", "status", "source_state", "engine.ruleset_version")
+
+
+def finding_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents of the engine's findings on the templated corpus."""
+    rows = read.engine_documents(_findings(spark, sf_dir))
+    return rows.select(
+        "id", F.col("observed.rule_id").alias("rule_id"), F.col("observed.location.start_line").cast("long").alias("line"), F.col("inference.role").alias("role"), F.col("migration.review_path").alias("review_path"),
+        F.col("priority.score").cast("long").alias("score"), F.size("impact.nodes").cast("long").alias("nodes"), F.size("impact.relationships").cast("long").alias("relationships"),
+        F.element_at("impact.nodes", 1)["node_type"].alias("first_node"), F.element_at("impact.nodes", -1)["node_type"].alias("last_node"),
+    )
+
+
 def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored(spark, sf_dir)
     return read.diff(rows.filter("scan_id = 'scan0'"), rows.filter("scan_id = 'scan1'")).groupBy("change").agg(F.count("*").alias("n"))
@@ -537,7 +581,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation,
         role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, page_meta,
-        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, findings_diff, job_claim, stale_reclaim, job_finish, job_retry, review_fold, review_transitions,
+        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, job_retry, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
     )
     return found | {f.__name__: f for f in own}
@@ -584,6 +628,14 @@ def oracle_sql() -> dict[str, str]:
         "engine_queue_ranks": f"""SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln) AS rank, k, ln, priority_score
  FROM ({_SCORED})""",
         "finding_detail": f"SELECT id AS finding_id, fn, cls, 'line ' || start_line AS excerpt, node_count::BIGINT - 1 AS node_count, {review_path}, review_status FROM ({_QUEUE})",
+        "finding_list": f"""SELECT id, scan_id, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_migration_candidate, review_status, priority, file_path, start_line
+ FROM (SELECT *, {review_path} FROM ({_QUEUE}))""",
+        "queue_row": f"""SELECT review_id AS id, review_status AS status, id AS finding_id, scan_id, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_migration_candidate, operation
+ FROM (SELECT *, {review_path} FROM ({_QUEUE}))""",
+        "legacy_queue": f"SELECT review_id, id AS finding_id, priority, file_path, start_line FROM ({_QUEUE}) WHERE scan_id = 'scan1' AND review_status = 'OPEN' ORDER BY {_RANK_P}, file_path, start_line, review_id",
+        "scan_detail": f"SELECT s.id AS scan_id, r.owner, r.name, s.status, s.source_state, s.ruleset_version FROM ({_SCANS}) s JOIN ({_REPOS}) r ON s.repository_id = r.id",
+        "finding_document": f"""{_DERIVED} SELECT {_fingerprint_sql("path", "fn", "cls")} AS id, rule_id, CAST(line AS BIGINT) AS line, role, review_path, CAST(priority_score AS BIGINT) AS score,
+ CAST(node_count AS BIGINT) AS nodes, CAST(node_count - 1 AS BIGINT) AS relationships, 'ALGORITHM' AS first_node, 'FILE' AS last_node FROM q""",
         "findings_diff": f"""SELECT CASE WHEN a.fingerprint IS NULL THEN 'NEW' WHEN b.fingerprint IS NULL THEN 'RESOLVED' ELSE 'UNCHANGED' END AS change, count(*) AS n
  FROM (SELECT fingerprint FROM {stored} WHERE scan_id = 'scan0') a FULL JOIN (SELECT fingerprint FROM {stored} WHERE scan_id = 'scan1') b ON a.fingerprint = b.fingerprint GROUP BY 1""",
         "job_claim": f"SELECT id, 'RUNNING' AS status, attempt_count::BIGINT + 1 AS attempt_count FROM ({_JOBS}) WHERE status = 'QUEUED' ORDER BY created_at, id LIMIT 1",

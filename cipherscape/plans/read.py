@@ -65,13 +65,61 @@ def paged(rows: DataFrame, order: list[Column], page: int = 1, size: int = PAGE_
     return Page(items, meta)
 
 
-def findings_page(findings: DataFrame, scan_id: str, page: int = 1, size: int = PAGE_SIZE, **filters: str | None) -> Page:
+def findings_page(findings: DataFrame, scan_id: str, page: int = 1, size: int = PAGE_SIZE, reviews: DataFrame | None = None, **filters: str | None) -> Page:
     rows = filtered(findings.filter(F.col("scan_id") == scan_id), **filters)
-    return paged(list_items(rows), findings_order(), page, size)
+    return paged(list_items(rows, reviews), findings_order(), page, size)
 
 
-def list_items(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("review_path", derive.review_path(F.col("role"), F.col("algorithm")))
+def list_items(findings: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Findings with their review path, whether they are candidates for migration, and the state of their first review."""
+    rows = findings.withColumn("review_path", derive.review_path(F.col("role"), F.col("algorithm"))).withColumn("is_migration_candidate", derive.is_candidate(F.col("review_path")))
+    if reviews is None:
+        return rows
+    first = lifecycle.oldest_review(_dated(reviews)).select(F.col("finding_id").alias("id"), F.col("status").alias("review_status"))
+    return rows.join(first, "id", "left")
+
+
+def _dated(reviews: DataFrame) -> DataFrame:
+    return reviews if "created_at" in reviews.columns else reviews.withColumn("created_at", F.lit(0))
+
+
+def queue_rows(reviews: DataFrame, findings: DataFrame) -> DataFrame:
+    """(review, finding): a review item and its finding, each as one struct."""
+    item = F.struct(F.col("review_id").alias("id"), "finding_id", F.col("review_status").alias("status"), "assigned_to", "note")
+    shown = ("fingerprint", "scan_id", "algorithm", "api", "operation", "role", "confidence", "priority", "review_path", "is_migration_candidate", "file_path", "start_line")
+    rows = review_queue(reviews, list_items(findings))
+    return rows.select(item.alias("review"), F.struct(F.col("finding_id").alias("id"), *shown).alias("finding"))
+
+
+def legacy_queue(reviews: DataFrame, findings: DataFrame, scan_id: str, status: str | None = None) -> DataFrame:
+    """A scan's review items in the older order."""
+    rows = filtered(review_queue(reviews, findings.filter(F.col("scan_id") == scan_id)), review_status=status)
+    return rows.orderBy(*legacy_queue_order())
+
+
+def engine_documents(found: DataFrame, scan: str = "snapshot_id") -> DataFrame:
+    """Derived findings as whole documents, before they are persisted: with score, reasons, nodes and edges."""
+    location = F.struct(F.col("path").alias("file_path"), "start_line", "end_line", "start_column", "end_column")
+    return found.select(
+        F.col("fingerprint").alias("id"), F.col(scan).alias("scan_id"), "repository",
+        F.struct(
+            "rule_id", "algorithm", "primitive", "library", "api", "operation", location.alias("location"), "source_excerpt", "enclosing_function", "enclosing_class", "parser_version", "ruleset_version",
+        ).alias("observed"),
+        F.struct("role", F.col("role_rationale").alias("rationale"), "confidence", "evidence_basis").alias("inference"),
+        F.struct("review_path", derive.review_rationale(F.col("review_path")).alias("rationale"), "is_migration_candidate", "pqc_ruleset_version").alias("migration"),
+        F.struct("node_count", F.col("impact_nodes").alias("nodes"), F.col("impact_edges").alias("relationships")).alias("impact"),
+        F.struct(F.col("priority").alias("level"), F.col("priority_score").alias("score"), F.col("priority_reasons").alias("reasons")).alias("priority"),
+    )
+
+
+def engine_summaries(found: DataFrame, scan: str = "snapshot_id") -> DataFrame:
+    """Derived findings as rows of a list."""
+    columns = ("algorithm", "api", "operation", "role", "confidence", "review_path", "is_migration_candidate", "priority", "priority_score")
+    return found.select(F.col("fingerprint").alias("id"), F.col(scan).alias("scan_id"), *columns, F.col("path").alias("file_path"), "start_line", "end_line")
+
+
+#: A finding's chain outwards, in which its nodes are shown.
+CHAIN = ["ALGORITHM", "API", "FUNCTION", "CLASS", "MODULE", "FILE"]
 
 
 def review_queue(reviews: DataFrame, findings: DataFrame) -> DataFrame:
@@ -111,21 +159,22 @@ def engine_ranks(found: DataFrame, scan: str = "scan_id") -> DataFrame:
 
 def details(findings: DataFrame, evidence: DataFrame, nodes: DataFrame, reviews: DataFrame, scans: DataFrame | None = None, repositories: DataFrame | None = None) -> DataFrame:
     """One nested document for each finding, its children summed up before they are joined."""
-    chain = F.struct("node_type", "label", "relationship", "confidence")
+    chain = F.struct(rank("node_type", CHAIN, len(CHAIN)).alias("place"), "node_type", "label", "relationship", "confidence")
     impact = nodes.groupBy("finding_id").agg(
-        F.array_sort(F.collect_list(chain)).alias("nodes"), F.count("*").alias("node_count"),
+        F.transform(F.array_sort(F.collect_list(chain)), lambda n: n.dropFields("place")).alias("nodes"), F.count("*").alias("node_count"),
         F.max(F.when(F.col("node_type") == "FUNCTION", F.col("label"))).alias("enclosing_function"), F.max(F.when(F.col("node_type") == "CLASS", F.col("label"))).alias("enclosing_class"),
     )
-    first = lifecycle.oldest_review(reviews.withColumn("created_at", F.lit(0)) if "created_at" not in reviews.columns else reviews)
+    first = lifecycle.oldest_review(_dated(reviews))
     first = first.select("finding_id", F.struct(F.col("id").alias("review_id"), "status", "assigned_to", "note").alias("review"))
     shown = evidence.select("finding_id", "source_excerpt", "rule_id", "parser_version", "ruleset_version")
     rows = findings.withColumnRenamed("id", "finding_id").join(shown, "finding_id", "left").join(impact, "finding_id", "left").join(first, "finding_id", "left")
     if scans is not None:
-        rows = rows.join(scans.select(F.col("id").alias("scan_id"), "repository_id", "commit_sha"), "scan_id", "left")
+        rows = rows.join(scans.select(F.col("id").alias("scan_id"), "repository_id", "commit_sha", "pqc_ruleset_version"), "scan_id", "left")
     if repositories is not None:
         rows = rows.join(repositories.select(F.col("id").alias("repository_id"), "provider", "owner", "name"), "repository_id", "left")
     path = derive.review_path(F.col("role"), F.col("algorithm"))
-    extra = [c for c in ("commit_sha", "provider", "owner", "name") if c in rows.columns]
+    version = F.col("pqc_ruleset_version") if "pqc_ruleset_version" in rows.columns else F.lit(vocab.PQC_VERSION)
+    extra = [F.struct("provider", "owner", "name").alias("repository")] * (repositories is not None) + ["commit_sha"] * (scans is not None)
     return rows.select(
         "finding_id", "fingerprint", "scan_id", *extra,
         F.struct(
@@ -133,7 +182,7 @@ def details(findings: DataFrame, evidence: DataFrame, nodes: DataFrame, reviews:
             F.coalesce("source_excerpt", F.lit("")).alias("source_excerpt"), F.coalesce("rule_id", F.lit("")).alias("rule_id"), F.lit(None).cast("string").alias("evidence_basis"),
         ).alias("observed"),
         F.struct("role", "confidence", derive.role_rationale(F.col("role")).alias("rationale")).alias("inference"),
-        F.struct(path.alias("review_path"), derive.is_candidate(path).alias("is_candidate")).alias("migration"),
+        F.struct(path.alias("review_path"), derive.review_rationale(path).alias("rationale"), derive.is_candidate(path).alias("is_candidate"), version.alias("pqc_ruleset_version")).alias("migration"),
         F.struct(F.coalesce("nodes", F.array().cast(rows.schema["nodes"].dataType)).alias("nodes"), F.coalesce("node_count", F.lit(0)).alias("node_count")).alias("impact"),
         F.struct(F.col("priority").alias("level"), F.lit(None).cast("int").alias("score"), F.array().cast("array<string>").alias("reasons")).alias("priority"), "review",
     )

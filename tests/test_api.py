@@ -38,6 +38,8 @@ def test_pages_and_details(store):
     assert page.meta.first().total == 3 and [r.priority for r in page.items.collect()] == ["HIGH"] * 3  # two signatures share an identity
     one = store.findings(scan, size=1).items.first()
     detail = store.finding(one.id).first()
+    assert detail.repository.owner == "own" and detail.commit_sha == SHA and detail.migration.rationale and one.review_status == "OPEN"
+    assert [n.node_type for n in detail.impact.nodes][-1] == "FILE" and [n.node_type for n in detail.impact.nodes][0] == "API"
     assert detail.observed.algorithm == one.algorithm and detail.observed.source_excerpt and detail.review.status == "OPEN"
     with pytest.raises(errors.ScanNotFound):
         store.findings("none")
@@ -59,6 +61,36 @@ def test_reviews_move_on(store):
         store.queue(priority="URGENT")
 
 
+def test_scans_have_a_life(spark, tmp_path):
+    attempts = []
+
+    def fetch(owner, name, commit):
+        attempts.append(name)
+        if name == "down":
+            raise errors.IngestionFailed("the host is away")
+        if name == "odd" and len(attempts) < 3:
+            raise RuntimeError("a secret path")
+        return templates.corpus(spark.range(4).withColumnRenamed("id", "k"), "k")
+
+    store = Inventory(spark, f"file://{tmp_path}/life", fetch)
+    with pytest.raises(errors.IngestionFailed):
+        store.submit("https://github.com/own/down", SHA)
+    with pytest.raises(RuntimeError):
+        store.submit("https://github.com/own/odd", SHA)
+    found = {r.name: r for r in store.scans().collect()}
+    assert (found["down"].status, found["down"].error_code, found["down"].error_message) == ("FAILED", "INGESTION_FAILED", "the host is away")
+    assert (found["odd"].status, found["odd"].error_code, found["odd"].error_message) == ("FAILED", "SCAN_EXECUTION_FAILED", "Scan execution failed.")
+    scan = store.submit("https://github.com/own/odd", SHA)["scan_id"]  # under the same id, and its findings once
+    n = store.findings(scan).meta.first().total
+    assert store.scan(scan).first().status == "COMPLETED" and n == store._table("findings").filter(F.col("scan_id") == scan).select("fingerprint").distinct().count() > 0
+    row = store.scans().filter(F.col("id") == scan).first()
+    store.execute(row)
+    assert len(attempts) == 3  # an ended scan is left alone
+    assert store.submit("https://github.com/own/odd", SHA)["cached"] and store.scan(scan).first().source_state == "CACHED_REAL"
+    events = [r.event_type for r in spark.read.parquet(f"{store.root}/audit_log").filter(F.col("scan_id") == scan).orderBy("created_at").collect()]
+    assert events == ["SCAN_CREATED", "SCAN_STARTED", "SCAN_FAILED", "SCAN_CREATED", "SCAN_STARTED", "SCAN_COMPLETED", "SCAN_CREATED"]
+
+
 def test_bad_requests(store):
     with pytest.raises(errors.InvalidRepositoryUrl):
         store.submit("http://github.com/a/b", SHA)

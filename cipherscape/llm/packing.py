@@ -9,8 +9,9 @@ have one shape.  Sequences are numbered bucket by bucket.
 Tokenising is the cost: a vocabulary file's ids of a text are those of its words
 one after another if nothing in it reaches over white space.  That is tried on the driver, and
 another kind of vocabulary is an error.  A task keeps the ids of the words it has met, up to a
-bound, and encodes only new ones, in batches; nothing is kept from task to task but the
-vocabulary itself.
+bound, and encodes only new ones, many at once, each closed by a token of the vocabulary's own
+(one by one from where a word holds that token); nothing is kept from task to task but
+the vocabulary itself.
 
 Edge cases: a null or empty text is one piece, the end mark alone; repeated rows
 are packed once each; a null id is packed like any other; a very long text is
@@ -73,6 +74,8 @@ class WordIds:
 
     def __init__(self, known):  # noqa: ANN001
         self.tokenizer = known
+        own = [(t.content, k) for k, t in known.get_added_tokens_decoder().items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark = own[-1] if own else None
         self.forget()
 
     def forget(self) -> None:
@@ -88,7 +91,10 @@ class WordIds:
             words = text.split()
             at.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
             counts.append(len(words))
-        self._encode(list(itertools.islice(numbers, len(self.ends) - 1, None)))  # those met here first
+        new = list(itertools.islice(numbers, len(self.ends) - 1, None))  # those met here first
+        if self.mark is not None and any(self.mark[0].encode() in w for w in new):
+            self.mark = None
+        self._encode(new)
         at = np.concatenate([np.empty(0, np.int64), *at])
         start, length = self.ends[at], self.ends[at + 1] - self.ends[at]
         before = np.concatenate(([0], np.cumsum(length)))
@@ -97,12 +103,23 @@ class WordIds:
 
     def _encode(self, words: list[bytes]) -> None:
         """Append the ids of new words."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size, ends = int(self.ends[-1]), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        self.ends = np.concatenate((self.ends, size + ends))
+        size, texts = int(self.ends[-1]), [w.decode() for w in words]
+        if self.mark is None:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths, ids = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+        else:  # many words a call, each closed by a token of its own, which no word holds
+            closing, number = self.mark
+            some = [closing.join(texts[k : k + 256]) + closing for k in range(0, len(texts), 256)]
+            whole = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            whole = np.concatenate([np.empty(0, np.uint32), *whole])
+            closed = np.flatnonzero(whole == number)
+            lengths, ids = np.diff(closed, prepend=-1) - 1, whole[whole != number]
+            if len(lengths) != len(texts):
+                raise ValueError("a word holds a token of the vocabulary's own")
+        self.ends = np.concatenate((self.ends, size + np.cumsum(lengths)))
         if self.ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids[:size], np.empty(int(self.ends[-1]), np.uint32)))
-        self.ids[size : self.ends[-1]] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(self.ends[-1]) - size)
+        self.ids[size : self.ends[-1]] = ids
 
 
 def ids_of(column: pa.Array, words: WordIds) -> Iterator[np.ndarray]:

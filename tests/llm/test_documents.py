@@ -255,6 +255,9 @@ def test_word_ids_forget_without_harm(monkeypatch):
         got = [x.tolist() for x in words.of(texts)]
         assert got == [known.encode(t.decode(), add_special_tokens=False).ids for t in texts]
     assert len(words.numbers) <= 20 and words.of([]) == []
+    texts = [b"plain words first", b"then x<|endoftext|>y <|startoftext|> <|ENDOFTEXT|>", b"and plain ones again <|endoftext|>"]
+    for some in (texts, texts[:1], texts[1:2], [b"other words"]):  # a word may hold the closing token
+        assert [x.tolist() for x in words.of(some)] == [known.encode(t.decode(), add_special_tokens=False).ids for t in some]
 
 
 def test_vocabularies_that_reach_over_white_space_are_refused(spark, tmp_path):

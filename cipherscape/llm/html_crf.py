@@ -252,8 +252,8 @@ def train(pages: list[tuple[list[list[str]], list[int]]], passes: int = 8, rate:
 
 
 def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
-    """(html, texts of the content blocks in order): pages from random layouts with known content."""
-    return [_page(random.Random(seed * 1_000_003 + k)) for k in range(count)]
+    """(html, texts of the content blocks in order): pages from random layouts with known content, every fourth without telling names."""
+    return [(_plain_page if k % 4 == 3 else _page)(random.Random(seed * 1_000_003 + k)) for k in range(count)]
 
 
 def _words(r: random.Random, low: int, high: int) -> str:
@@ -379,6 +379,74 @@ def _page(r: random.Random) -> tuple[str, list[str]]:
     return "".join(w.parts), w.content
 
 
+def _plain_page(r: random.Random) -> tuple[str, list[str]]:
+    """A page whose parts have no telling class or id: nested divs, tables, rows of links, lists of comments."""
+    w = _Writer(r)
+    w.parts.append(f"<html><head><title>{_words(r, 2, 8)}</title></head><body>")
+    table = r.random() < 0.3
+    if r.random() < 0.6:
+        _link_row(w)
+    if r.random() < 0.3:
+        tag = r.choice(["div", "h2", "h4"])
+        w.parts.append(f"<{tag}><a href='/'>{_words(r, 1, 4)}</a></{tag}>")
+    if r.random() < 0.2:
+        w.element("p", r.choice(["We use cookies ", "Please accept cookies "]) + _sentence(r, 2, 15), False)
+    if table:
+        w.parts.append("<table><tr><td>")
+        for _ in range(r.randint(2, 6)):
+            w.parts.append(f"<a href='/x'>{_words(r, 1, 3)}</a>" + r.choice(["<br>", "<br>", " "]))
+        w.parts.append("</td><td>")
+    opening, closing = ("", "") if table else r.choice([("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<section>", "</section>"), ("", "")])
+    w.parts.append(opening)
+    if r.random() < 0.85:
+        w.element(r.choice(["h1", "h1", "h2"]), _words(r, 1, 8), True)
+    for _ in range(r.randint(2, 6)):
+        kind = r.random()
+        if kind < 0.65:
+            w.element("p", _sentence(r, 2, 80), True)
+        elif kind < 0.75:  # cue words occur in main texts as well
+            w.element("p", " ".join([*r.sample(CUES, r.randint(1, 3)), _words(r, 1, 12)]).capitalize() + ".", True)
+        elif kind < 0.85:
+            w.element("h3", _words(r, 1, 4), True)
+        elif kind < 0.9:
+            terms = r.choice([["dt", "dd"], ["th", "td"]])
+            w.parts.append("<dl>" if terms[0] == "dt" else "<table><tr>")
+            for tag in terms * r.randint(1, 3):
+                w.element(tag, _words(r, 1, 9), True)
+            w.parts.append("</dl>" if terms[0] == "dt" else "</tr></table>")
+        elif kind < 0.95:
+            w.parts.append("<ul>")
+            for _ in range(r.randint(2, 4)):
+                w.element("li", _sentence(r, 1, 15), True)
+            w.parts.append("</ul>")
+        else:
+            _link_row(w)
+    w.parts.append(closing + ("</td></tr></table>" if table else ""))
+    if r.random() < 0.35:
+        w.element(r.choice(["h3", "h4", "p"]), f"{r.randint(1, 40)} comments", False)
+        w.parts.append("<ol>")
+        for _ in range(r.randint(1, 5)):
+            w.parts.append("<li>")
+            w.element(r.choice(["p", "div"]), _sentence(r, 3, 25), False)
+            w.parts.append("</li>")
+        w.parts.append("</ol>")
+    if r.random() < 0.6:
+        _link_row(w)
+    if r.random() < 0.5:
+        w.parts.append("<hr>")
+        w.element(r.choice(["div", "font", "p", "footer"]), r.choice(["Copyright ", "© "]) + _words(r, 1, 8), False)
+    w.parts.append("</body></html>")
+    return "".join(w.parts), w.content
+
+
+def _link_row(w: _Writer) -> None:
+    """Links in a row, a list or the cells of a table."""
+    kind = w.r.choice(["div", "div", "p", "ul", "table"])
+    before, after = {"ul": ("<li>", "</li>"), "table": ("<td>", "</td>")}.get(kind, ("", w.r.choice([" ", " | "])))
+    links = "".join(f"{before}<a href='/x'>{_words(w.r, 1, 4)}</a>{after}" for _ in range(w.r.randint(1, 7)))
+    w.parts.append(f"<{kind}>{'<tr>' * (kind == 'table')}{links}</{kind}>")
+
+
 def _notice(w: _Writer) -> None:
     w.parts.append(f"<div{_named(w.r, 'cookie-notice', 'notice', 'cookie-banner', 'consent', 'alert', 'gdpr', 'banner', 'popup modal')}>")
     w.element(w.r.choice(["p", "div", "span"]), w.r.choice(["We use cookies. ", "This site uses cookies ", "", "Please accept our terms. ", ""]) + _sentence(w.r, 3, 30), False)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import hand_pages
 import numpy as np
 import pytest
 
@@ -25,6 +26,17 @@ def test_held_out_pages_are_labelled_right():
     assert wrong <= 0.02 * total
 
 
+def test_pages_labelled_by_hand():
+    model, hits, ours, theirs = html_crf.default_model(), 0, 0, 0
+    for page, content in hand_pages.labelled():
+        blocks = html_crf.blocks(page)
+        labels = html_crf.labels_of(blocks, content)
+        assert sum(labels) == len(content)
+        found = model.viterbi(model.scores(html_crf.features(blocks)))
+        hits, ours, theirs = hits + sum(a and b for a, b in zip(labels, found, strict=True)), ours + sum(found), theirs + sum(labels)
+    assert 2 * hits >= 0.95 * (ours + theirs)
+
+
 def test_viterbi_is_the_best_of_all_sequences():
     r = np.random.default_rng(5)
     model = html_crf.Model(pair=r.normal(size=(2, 2)))

@@ -76,6 +76,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         for path in _scopes.pop():
             remove(spark, path)
+        if _scopes:  # what is kept here may go with the scope around it
+            _scopes[-1].extend(kept)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -112,6 +114,16 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
+def tree_sum(rows: DataFrame, length: int, depth: int = 3) -> np.ndarray:
+    """The sum of vectors of ``length`` 64-bit integers, one a row as bytes, added up in a tree: the driver gets a few of them."""
+
+    def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + b
+
+    vectors = rows.rdd.map(lambda row: np.frombuffer(row[0], np.int64))
+    return vectors.treeAggregate(np.zeros(length, np.int64), add, add, depth)
+
+
 # -- words and windows as numbers ------------------------------------------------
 
 

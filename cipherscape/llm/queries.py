@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherscape.llm import html_crf, jaccard, licenses, lines, mixing, packing, quality, substring, topk, warc
+from cipherscape.llm import codebooks, html_crf, importance, jaccard, licenses, lines, mixing, packing, quality, substring, topk, warc
 from cipherscape.llm.common import table
 
 
@@ -67,6 +67,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -79,6 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_line_rules": op9_line_rules,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_codebooks": op11_codebooks,
+        "op12_importance": op12_importance,
     }
 
 

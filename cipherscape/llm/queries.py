@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherscape.llm import codebooks, html_crf, importance, jaccard, licenses, lines, mixing, packing, quality, substring, topk, warc
+from cipherscape.llm import codebooks, html_crf, importance, jaccard, licenses, lines, mixing, packing, pii, quality, substring, topk, warc
 from cipherscape.llm.common import table
 
 
@@ -76,6 +76,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": op10_jaccard_join,
         "op11_codebooks": op11_codebooks,
         "op12_importance": op12_importance,
+        "op13_personal_data": op13_personal_data,
     }
 
 

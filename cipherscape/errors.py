@@ -14,9 +14,13 @@ def _error(name: str, code: str, status: int) -> type[InventoryError]:
     return type(name, (InventoryError,), {"code": code, "status": status, "__module__": __name__})
 
 
+#: Fixed value: what clients are shown of an unknown error.
+FAILED = "Scan execution failed."
+
+
 def safe(error: BaseException) -> tuple[str, str]:
     """(code, message) of a failed scan that a client may see; an unknown error shows nothing of its own."""
-    return (error.code, str(error)) if isinstance(error, InventoryError) else ("SCAN_EXECUTION_FAILED", "Scan execution failed.")
+    return (error.code, str(error)) if isinstance(error, InventoryError) else ("SCAN_EXECUTION_FAILED", FAILED)
 
 
 ScanNotFound = _error("ScanNotFound", "SCAN_NOT_FOUND", 404)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import shutil
 import tempfile
@@ -65,19 +66,45 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 _stored: dict[tuple[str, ...], str] = {}
 
 
-def written_once(spark: SparkSession, rows: Callable[[], DataFrame], *key: str) -> DataFrame:
-    """``rows`` as a table in the shared folder, written when it is first asked for in an application.
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and times of the files of tables: another one after any change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        top = jvm.org.apache.hadoop.fs.Path(path)
+        files = top.getFileSystem(conf).listFiles(top, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def written_once(spark: SparkSession, rows: Callable[[], DataFrame], *key: str, inputs: tuple[str, ...]) -> DataFrame:
+    """``rows`` as a table in the shared folder, written when it is first asked for in an application, and again once a file of ``inputs`` has changed.
 
     Reads that follow prune columns and push filters into its scan, and derive nothing again.
     """
-    key = (spark.sparkContext.applicationId, *key)
+    key = (spark.sparkContext.applicationId, *key, stamp(spark, *inputs))
     if key not in _stored:
-        path = f"{shared_folder(spark)}/tables/{key[0]}/{uuid.uuid4().hex}"
+        path = own_folder(spark)
         rows().write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what ``written_once`` has written in this application."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored.pop(key))
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; on a local master where it is unset, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from cipherscape.functions import vocab
 from cipherscape.operators import derive, discovery, lifecycle, parse, persist, resolve, rules
 from cipherscape.plans import read
-from cipherscape.sources import templates
+from cipherscape.sources import files as sources
+from cipherscape.sources import stores, templates
 from cipherscape.streaming import replay
 
 REPOSITORY = "github/Example/Repo"
@@ -45,7 +46,7 @@ def _parsed(spark: SparkSession, sf_dir: str, *wanted: str, lines: bool = False)
     """Parsed and written once, as several joins read it."""
     wanted = wanted or ("imports", "symbols", "calls", "names", "assignments", "annotations")
     rows = lambda: parse.parse_files(discovery.supported(_files(spark, sf_dir)), wanted, lines)
-    return persist.written_once(spark, rows, sf_dir, "parsed", *wanted, str(lines))
+    return persist.written_once(spark, rows, sf_dir, "parsed", *wanted, str(lines), inputs=(f"{sf_dir}/part.parquet",))
 
 
 _PATH = "'pkg' || (p_partkey % 7) || '/mod_' || p_partkey || '.py'"
@@ -189,6 +190,53 @@ def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.col("start_line").cast("long").alias("line"), "api", "source_excerpt", "truncated")
 
 
+# -- sources --------------------------------------------------------------------------
+
+_FILES = """SELECT 'a' || (k // 50) AS snapshot_id, CASE k % 6 WHEN 0 THEN 'pkg/__init__' || k || '.py' WHEN 1 THEN '_p/.hidden' || k || '.py' WHEN 2 THEN '.git/c' || k WHEN 3 THEN 'sp ace/ü%20#' || k || '.py'
+ WHEN 4 THEN 'd' || (k % 7) || '/_' || k || '.md' ELSE 'm' || k || '.py' END AS path, text FROM (SELECT p_partkey // 8 AS k, string_agg('# ' || p_name || ' = ' || p_partkey, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY 1)"""
+
+
+def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each eight rows of ``part``."""
+    line = F.concat(F.lit("# "), "p_name", F.lit(" = "), F.col("p_partkey").cast("string"))
+    rows = _table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 8).alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"))
+    rows = rows.select("k", F.array_join("l.line", "\n").alias("text")).withColumn("n", F.col("k").cast("string"))
+    names = {0: ("pkg/__init__", ".py"), 1: ("_p/.hidden", ".py"), 2: (".git/c", ""), 3: ("sp ace/ü%20#", ".py"), 5: ("m", ".py")}
+    path = F.concat(F.lit("d"), (F.col("k") % 7).cast("string"), F.lit("/_"), "n", F.lit(".md"))
+    for place, (before, after) in names.items():
+        path = F.when(F.col("k") % 6 == place, F.concat(F.lit(before), "n", F.lit(after))).otherwise(path)
+    return rows.select(F.concat(F.lit("a"), F.floor(F.col("k") / 50).cast("string")).alias("snapshot_id"), path.alias("path"), F.encode("text", "utf-8").alias("content"))
+
+
+def _shown_files(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files, written and read back."""
+    root = persist.own_folder(spark)
+    stores.write_tree(_source_files(spark, sf_dir), root)
+    return _shown_files(stores.tree(spark, root, max_files=1 << 30))
+
+
+def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of 50 files each, written and read back by ranges."""
+    root = persist.own_folder(spark)
+    stores.write_archives(_source_files(spark, sf_dir), root)
+    sources.register(spark)
+    return _shown_files(spark.read.format("source_zip").load(root))
+
+
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through Spark's own reader, members dealt out."""
+    root = persist.own_folder(spark)
+    stores.write_archives(_source_files(spark, sf_dir), root)
+    return _shown_files(stores.archives(spark, root))
+
+
+_SHOWN_FILES = f"SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256 FROM ({_FILES})"
+
+
 # -- discovery ------------------------------------------------------------------------
 
 _TREE = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'src/a' WHEN 1 THEN '.git/hooks' WHEN 2 THEN 'a-b' WHEN 3 THEN 'a' ELSE 'lib/_x' END || '/f' || p_partkey
@@ -347,7 +395,7 @@ def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique findings with the columns of the persisted table, written once; the reads below go to the written table."""
     rows = lambda: _unique(spark, sf_dir).withColumn("id", persist.row_id("scan_id", "fingerprint")).withColumn("file_path", F.col("path")).withColumn("status", F.lit("ACTIVE"))
-    return persist.written_once(spark, rows, sf_dir, "findings")
+    return persist.written_once(spark, rows, sf_dir, "findings", inputs=(f"{sf_dir}/lineitem.parquet",))
 
 
 _STORED = f"SELECT *, sha256(concat_ws(chr(31), scan_id, fingerprint)) AS id, path AS file_path FROM ({_UNIQUE})"
@@ -384,8 +432,8 @@ def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of one scan's queue; engine_queue_ranks has all of it."""
-    return read.engine_queue(_spans(spark, sf_dir).filter("scan_id = 'scan2'")).limit(200).select("k", "ln", "priority_score")
+    """One scan's whole queue, in order."""
+    return read.engine_queue(_spans(spark, sf_dir).filter("scan_id = 'scan2'")).select("k", "ln", "priority_score")
 
 
 def engine_queue_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -579,7 +627,7 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches(r) for r, _, _ in vocab.RULES}
     own = (
-        flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation,
+        flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation,
         role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, page_meta,
         review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, job_retry, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
@@ -599,6 +647,9 @@ def oracle_sql() -> dict[str, str]:
         "import_index": f"SELECT {_PATH} AS path, local_name, qualified_name FROM part JOIN {_INDEX} ON p_partkey % {N} = template",
         "bindings": f"SELECT {_PATH} AS path, rule_id, scope, name, kind, basis, confidence FROM part JOIN {_BOUND} ON p_partkey % {N} = template",
         "evidence_excerpt": f"SELECT {_PATH} AS path, CAST(line AS BIGINT) AS line, api, excerpt AS source_excerpt, false AS truncated FROM part JOIN {_excerpts()} ON p_partkey % {N} = template",
+        "tree_scan": _SHOWN_FILES,
+        "zip_scan": _SHOWN_FILES,
+        "zip_members": _SHOWN_FILES,
         "discover_files": f"""SELECT path, CASE WHEN skip_reason IN ('IGNORED_PATH', 'UNSUPPORTED_LANGUAGE') THEN NULL ELSE 'python' END AS language, size::BIGINT AS size, coalesce(skip_reason = 'BINARY_FILE', false) AS is_binary,
  skip_reason IS NULL AS is_supported, skip_reason FROM (SELECT *, {_SKIP} AS skip_reason FROM ({_TREE}))""",
         "skip_histogram": f"""WITH d AS (SELECT {_SKIP} AS skip_reason FROM ({_TREE})) SELECT t.*, skip_reason, n FROM (SELECT skip_reason, count(*) AS n FROM d WHERE skip_reason IS NOT NULL GROUP BY 1),
@@ -624,7 +675,7 @@ def oracle_sql() -> dict[str, str]:
         "review_queue_page": f"""SELECT review_id, id AS finding_id, review_status, priority, file_path, start_line FROM ({_QUEUE}) WHERE review_status = 'OPEN' AND algorithm = 'Ed25519'
  ORDER BY {_RANK_P}, {_RANK_C}, file_path, start_line, review_id LIMIT 100""",
         "queue_counts": f"SELECT scan_id, review_status, priority, count(*) AS n FROM ({_QUEUE}) GROUP BY ALL",
-        "engine_queue": f"SELECT k, ln, priority_score FROM ({_SCORED}) WHERE scan_id = 'scan2' ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln LIMIT 200",
+        "engine_queue": f"SELECT k, ln, priority_score FROM ({_SCORED}) WHERE scan_id = 'scan2' ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln",
         "engine_queue_ranks": f"""SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln) AS rank, k, ln, priority_score
  FROM ({_SCORED})""",
         "finding_detail": f"SELECT id AS finding_id, fn, cls, 'line ' || start_line AS excerpt, node_count::BIGINT - 1 AS node_count, {review_path}, review_status FROM ({_QUEUE})",

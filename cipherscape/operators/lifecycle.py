@@ -33,7 +33,7 @@ def claim(jobs: DataFrame, worker: str, now: Column) -> DataFrame:
         {
             "status": F.when(mine, "RUNNING").otherwise(F.col("status")), "attempt_count": F.col("attempt_count") + mine.cast("int"),
             "locked_at": F.when(mine, now).otherwise(F.col("locked_at")), "locked_by": F.when(mine, worker).otherwise(F.col("locked_by")),
-            "started_at": F.when(mine, F.coalesce("started_at", now)).otherwise(F.col("started_at")),
+            "started_at": F.when(mine, now).otherwise(F.col("started_at")),
         }.get(c, F.col(c)).alias(c)
         for c in jobs.columns
     ])
@@ -49,11 +49,34 @@ def finish(jobs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     new = {
         "status": status, "last_error": F.when(failed, F.col("_error")).otherwise(F.col("last_error")),
         "locked_at": F.when(~done, F.col("locked_at")), "locked_by": F.when(~done, F.col("locked_by")),
-        "completed_at": F.when(done & ~retry, now).otherwise(F.col("completed_at")),
+        "completed_at": F.when(done & ~retry, now).otherwise(F.col("completed_at")), "started_at": F.when(~retry, F.col("started_at")),
     }
     return rows.select(*[new.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 
+def settle(jobs: DataFrame, scans: DataFrame, outcomes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, scans, audit events) after running jobs ended with ``outcomes`` (id of the job, error_code, error): both move together.
+
+    A failure with attempts left queues the job and its scan again; the last one fails both, with a code and message.
+    """
+    error = F.coalesce("error", F.when(F.col("error_code").isNotNull(), F.lit("")))
+    after = finish(jobs, outcomes.select("id", error.alias("error")), now)
+    ended = jobs.filter("status = 'RUNNING'").select("id", "scan_id", F.col("attempt_count").alias("_n"), F.col("max_attempts").alias("_most"))
+    ended = ended.join(outcomes.select("id", "error_code", error.alias("_error")), "id")
+    failed = F.col("_error").isNotNull()
+    ended = ended.select("scan_id", "_n", "error_code", "_error", F.when(failed & (F.col("_n") < F.col("_most")), "QUEUED").when(failed, "FAILED").otherwise("COMPLETED").alias("_to"))
+    rows = scans.join(ended, scans["id"] == ended["scan_id"], "left")
+    last = F.coalesce(F.col("_to") == "FAILED", F.lit(False))
+    new = {
+        "status": F.coalesce("_to", scans["status"]), "started_at": F.when(F.col("_to").eqNullSafe("QUEUED"), None).otherwise(scans["started_at"]) if "started_at" in scans.columns else None,
+        "error_code": F.when(last, ended["error_code"]).otherwise(scans["error_code"]), "error_message": F.when(last, F.col("_error")).otherwise(scans["error_message"]),
+        "completed_at": F.when(F.col("_to").isin("FAILED", "COMPLETED"), now).otherwise(scans["completed_at"]) if "completed_at" in scans.columns else None,
+    }
+    moved = rows.select(*[(new[c] if new.get(c) is not None else scans[c]).alias(c) for c in scans.columns])
+    events = ended.filter("_to <> 'QUEUED'").select("scan_id", F.concat(F.lit("SCAN_"), "_to").alias("event_type"), F.when(F.col("_to") == "FAILED", F.to_json(F.struct("error_code", F.col("_n").alias("attempts")))).alias("metadata"))
+    return after, moved, events
+
+
 def stale(now: Column) -> Column:
     return (F.col("status") == "RUNNING") & F.col("locked_at").isNotNull() & (F.col("locked_at") < now - F.expr(STALE))
 
@@ -62,6 +85,7 @@ def reclaim(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs whose lock is too old are queued again; attempts and start stay."""
     old = F.coalesce(stale(now), F.lit(False))
     new = {"status": F.when(old, "QUEUED").otherwise(F.col("status")), "locked_at": F.when(~old, F.col("locked_at")), "locked_by": F.when(~old, F.col("locked_by"))}
+    new["last_error"] = F.when(old, "the worker's lock ran out").otherwise(F.col("last_error")) if "last_error" in jobs.columns else None
     return jobs.select(*[new.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 

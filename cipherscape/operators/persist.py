@@ -1,17 +1,22 @@
-"""The persisted relations of a scan, written with a commit marker, and read back."""
+"""The persisted relations of a scan, the store that they are committed to, and tables written once."""
 
 from __future__ import annotations
 
 import atexit
 import hashlib
 import json
+import os
+import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cipherscape.operators.derive import first_per_fingerprint
 
@@ -44,23 +49,189 @@ def relations(found: DataFrame, scan: str = "snapshot_id") -> dict[str, DataFram
     return {"findings": findings, "evidence": evidence, "impact_nodes": nodes, "review_items": reviews, "audit_events": audit}
 
 
-def write(tables: dict[str, DataFrame], root: str, run: str | None = None) -> str:
-    """Write all tables of one run; readers see the run once its marker row is there.
+# -- the store -----------------------------------------------------------------------
+
+
+class Conflict(RuntimeError):
+    """Someone else has written what a commit expected to find unchanged."""
+
+
+@dataclass
+class State:
+    """What a store holds after commit ``number``: for each table its schema and, by run, (folder, number of the commit that wrote it)."""
+
+    number: int = 0
+    tables: dict[str, dict[str, tuple[str, int]]] = field(default_factory=dict)
+    schemas: dict[str, str] = field(default_factory=dict)
+
+    def after(self, number: int, change: dict) -> State:
+        """The state after a commit, which adds runs, replaces them or takes them away."""
+        tables = {name: dict(runs) for name, runs in self.tables.items()}
+        for name, run, folder in change["runs"]:
+            if folder is None:
+                tables.get(name, {}).pop(run, None)
+            else:
+                tables.setdefault(name, {})[run] = (folder, number)
+        return State(number, tables, self.schemas | change["schemas"])
+
+
+class Store:
+    """Tables of runs below ``root``, whose commits are numbered files.
 
-    A run that is written again under its name replaces itself.
+    Rows are written to folders that nobody reads yet.  A commit is one small file that names them, created under the
+    next number or not at all: whoever comes second reads the other's commit, checks its own expectations again and takes the number after.
+    So all tables of a commit appear at once, a reader keeps the folders of the state that it began with, a writer that
+    is cut off leaves nothing that is seen, and the numbers put all that happened in one order.
+
+    Each FULL-th commit holds the whole state, so reading one takes few files.  On HDFS creation rests on a rename that fails
+    where the target exists, on local folders on a link; an object store needs one of the two.
     """
-    run = run or uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.range(1).select(F.lit(run).alias("run"), F.lit(json.dumps(sorted(tables))).alias("tables")).write.mode("append").parquet(f"{root}/commits")
+
+    FULL = 50
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._known = State()
+
+    # -- commits --
+
+    def state(self) -> State:
+        """The present state: what is known, and the commits since."""
+        names = self._names()
+        full = max((n for n in names if n % self.FULL == 0), default=0)
+        for number in sorted(n for n in names if n > self._known.number and n >= full):
+            text = json.loads(self._text(number))
+            if "state" in text:
+                whole = text["state"]
+                self._known = State(number, {t: {r: tuple(f) for r, f in runs.items()} for t, runs in whole["tables"].items()}, whole["schemas"])
+            else:
+                self._known = self._known.after(number, text)
+        return self._known
+
+    def stage(self, tables: dict[str, DataFrame]) -> dict[str, tuple[str, str]]:
+        """Write rows where no reader looks; (folder, schema) by table, for ``commit``."""
+        out = {}
+        for name, df in tables.items():
+            folder = f"attempt=a{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{name}/{folder}")
+            out[name] = (folder, df.schema.json())
+        return out
+
+    def staged(self, name: str, written: tuple[str, str]) -> DataFrame:
+        return self._rows(name, [written[0]], written[1]).drop("attempt")
+
+    def commit(self, runs: list[tuple[str, str, tuple[str, str] | None]], expected: dict[tuple[str, str], int | None] | None = None) -> int:
+        """Make runs (table, run, what ``stage`` gave; None takes the run away) visible, all at once; the commit's number.
+
+        ``expected``: the number that (table, run) must still have, None for a run that must not be there; otherwise Conflict.
+        """
+        change = {"runs": [(t, r, w and w[0]) for t, r, w in runs], "schemas": {t: w[1] for t, _, w in runs if w}}
+        while True:
+            now = self.state()
+            for (name, run), number in (expected or {}).items():
+                if now.tables.get(name, {}).get(run, (None, None))[1] != number:
+                    raise Conflict(f"{name}, {run}")
+            after = now.after(now.number + 1, change)
+            text = {"state": {"tables": after.tables, "schemas": after.schemas}} if after.number % self.FULL == 0 else change
+            if self._create(after.number, json.dumps(text)):
+                return after.number
+
+    # -- rows --
+
+    def read(self, name: str, schema: str | None = None, numbered: bool = False) -> DataFrame:
+        """A table's rows as they are now; with ``numbered`` also ``run`` and the ``number`` of the commit that wrote them.  ``schema`` is for a table never written."""
+        now = self.state()
+        runs = now.tables.get(name, {})
+        if not runs:
+            if name not in now.schemas and schema is None:
+                raise KeyError(name)
+            kind = StructType.fromJson(json.loads(now.schemas[name])) if name in now.schemas else StructType.fromDDL(schema)
+            rows = self.spark.createDataFrame([], kind)
+            return rows.withColumns({"run": F.lit(""), "number": F.lit(0).cast("long")}) if numbered else rows
+        rows = self._rows(name, [folder for folder, _ in runs.values()], now.schemas[name])
+        if not numbered:
+            return rows.drop("attempt")
+        known = self.spark.createDataFrame([(f.partition("=")[2], r, n) for r, (f, n) in runs.items()], "attempt string, run string, number long")  # a row for each run
+        return rows.join(known, "attempt").drop("attempt")
+
+    def _rows(self, name: str, folders: list[str], schema: str) -> DataFrame:
+        reader = self.spark.read.schema(StructType.fromJson(json.loads(schema))).option("basePath", f"{self.root}/{name}")
+        return reader.parquet(*[f"{self.root}/{name}/{f}" for f in folders])
+
+    def sweep(self, hours: float = 24) -> int:
+        """Delete folders that the present state doesn't name and that are ``hours`` old; the number deleted."""
+        system, path = self._system()
+        kept = {(name, f) for name, runs in self.state().tables.items() for f, _ in runs.values()}
+        before, gone = time.time() - hours * 3600, 0
+        for name in self.state().schemas:
+            for status in system.listStatus(path(f"{self.root}/{name}")):
+                if (name, status.getPath().getName()) not in kept and status.getModificationTime() / 1000 <= before:
+                    gone += system.delete(status.getPath(), True)
+        return gone
+
+    # -- files --
+
+    def _system(self) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _names(self) -> list[int]:
+        system, path = self._system()
+        folder = path(f"{self.root}/_log")
+        if not system.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(folder)]
+        return [int(n.removesuffix(".json")) for n in names if re.fullmatch(r"[0-9]+\.json", n)]
+
+    def _file(self, number: int) -> str:
+        return f"{self.root}/_log/{number:020}.json"
+
+    def _text(self, number: int) -> str:
+        system, path = self._system()
+        stream = system.open(path(self._file(number)))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _create(self, number: int, text: str) -> bool:
+        """Create a commit's file; False where it is there."""
+        target, draft = self._file(number), f"{self.root}/_log/.{uuid.uuid4().hex}"
+        if "://" not in self.root or self.root.startswith("file://"):
+            target, draft = target.removeprefix("file://"), draft.removeprefix("file://")
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(draft, "w", encoding="utf-8") as f:
+                f.write(text)
+            try:
+                os.link(draft, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(draft)
+            return True
+        system, path = self._system()
+        stream = system.create(path(draft))
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not system.exists(path(target)) and system.rename(path(draft), path(target)):
+            return True
+        system.delete(path(draft), False)
+        return False
+
+
+def write(tables: dict[str, DataFrame], root: str, run: str | None = None) -> str:
+    """Write all tables of one run, visible at once; a run that is written again under its name replaces itself."""
+    store, run = Store(next(iter(tables.values())).sparkSession, root), run or uuid.uuid4().hex
+    store.commit([(name, run, written) for name, written in store.stage(tables).items()])
     return run
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of all committed runs."""
-    commits = spark.read.parquet(f"{root}/commits").select("run")
-    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").join(F.broadcast(commits), "run", "left_semi").drop("run")
+    """A table of all runs."""
+    return Store(spark, root).read(name)
+
+
+# -- tables written once -----------------------------------------------------------
 
 
 _stored: dict[tuple[str, ...], str] = {}
@@ -116,7 +287,3 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(own)
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
-
-
-def append_audit(events: DataFrame, root: str) -> None:
-    events.write.mode("append").parquet(f"{root}/audit_log")

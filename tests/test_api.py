@@ -99,3 +99,56 @@ def test_bad_requests(store):
     with pytest.raises(errors.IngestionFailed):
         store.submit("https://github.com/a/b", "fffffff")
     assert store.spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_a_worker_retries_then_fails(spark, tmp_path):
+    attempts = []
+
+    def fetch(owner, name, commit):
+        attempts.append(name)
+        if name == "down" or len(attempts) < 3:
+            raise errors.IngestionFailed("the host is away")
+        return templates.corpus(spark.range(3).withColumnRenamed("id", "k"), "k")
+
+    store = Inventory(spark, f"file://{tmp_path}/jobs", fetch)
+    assert not store.run_once("w")
+    made = store.create("https://github.com/own/flaky", SHA)
+    assert store.create("https://github.com/own/flaky", SHA) == made and store.jobs().count() == 1  # it is on its way
+    for n in (1, 2):
+        assert store.run_once("w")
+        job, scan = store.jobs().first(), store.scans().first()
+        assert (job.status, job.attempt_count, job.locked_by, job.started_at, job.last_error) == ("QUEUED", n, None, None, "the host is away")
+        assert (scan.status, scan.started_at, scan.error_code) == ("QUEUED", None, None)
+    assert store.run_once("w") and not store.run_once("w")
+    job, scan = store.jobs().first(), store.scans().first()
+    assert (job.status, job.attempt_count, scan.status, scan.source_state) == ("COMPLETED", 3, "COMPLETED", "LIVE") and scan.completed_at >= scan.started_at
+    assert scan.finding_count == store._table("findings").count() == store._table("evidence").count() == store._table("review_items").count() > 0
+    events = [r.event_type for r in store.audit().orderBy("number").collect()]
+    assert events == ["SCAN_CREATED", *["SCAN_STARTED"] * 3, "SCAN_COMPLETED"]
+    down = store.create("https://github.com/own/down", SHA)["scan_id"]
+    for _ in range(3):
+        store.run_once("w")
+    scan = store.scans().filter(F.col("id") == down).first()
+    assert not store.run_once("w") and (scan.status, scan.error_code) == ("FAILED", "INGESTION_FAILED")
+    assert store.audit().filter("event_type = 'SCAN_FAILED'").first().metadata == '{"error_code": "INGESTION_FAILED", "attempts": 3}'
+    assert store._table("findings").filter(F.col("scan_id") == down).count() == 0
+
+
+def test_a_lost_worker_and_two_at_once(spark, tmp_path):
+    other = []
+
+    def fetch(owner, name, commit):
+        if not other:  # while this worker runs, its lock runs out and another finishes the job
+            other.append(1)
+            late = Inventory(spark, store.root, fetch)
+            assert late.reclaim(now=4e9) == 1 and late.run_once("second")
+        return templates.corpus(spark.range(3).withColumnRenamed("id", "k"), "k")
+
+    store = Inventory(spark, f"file://{tmp_path}/two", fetch)
+    store.create("https://github.com/own/repo", SHA)
+    assert store.run_once("first")
+    job = store.jobs().first()
+    assert (job.status, job.attempt_count) == ("COMPLETED", 2)
+    events = [r.event_type for r in store.audit().orderBy("number").collect()]
+    assert events == ["SCAN_CREATED", "SCAN_STARTED", "SCAN_STARTED", "SCAN_COMPLETED"]  # the first worker's results came too late
+    assert store._table("findings").groupBy("id").count().filter("count > 1").count() == 0

@@ -528,6 +528,45 @@ def job_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("status", "last_error", F.col("completed_at").isNotNull().alias("closed")).agg(F.count("*").alias("n"))
 
 
+_WORK = """SELECT id, 'scan' || id AS scan_id, status, CAST(CAST(id AS BIGINT) % 3 + 1 AS INT) AS attempt_count, max_attempts, locked_at, locked_by, started_at, completed_at, last_error, created_at FROM ({jobs})"""
+_WORK_SCANS = """SELECT 'scan' || id AS id, CASE status WHEN 'RUNNING' THEN 'RUNNING' ELSE 'QUEUED' END AS status, started_at, completed_at, CAST(NULL AS VARCHAR) AS error_code, CAST(NULL AS VARCHAR) AS error_message FROM ({jobs})"""
+
+
+def _settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    made = [spark.sql(q.format(jobs=_JOBS).replace("VARCHAR", "STRING")) for q in (_WORK, _WORK_SCANS)]
+    number = F.col("id").cast("long")
+    failed = number % 5 > 0
+    outcomes = made[0].filter(number % 7 < 6).select("id", F.when(failed, F.when(number % 2 == 0, "INGESTION_FAILED").otherwise("SCAN_EXECUTION_FAILED")).alias("error_code"), F.when(failed, "boom").alias("error"))
+    return lifecycle.settle(*made, outcomes, F.lit(_NOW).cast("timestamp"))
+
+
+_ENDED = f"""SELECT *, hit AND bad AND n < 3 AS again FROM (SELECT *, id::BIGINT % 3 + 1 AS n, status = 'RUNNING' AND id::BIGINT % 7 < 6 AS hit, id::BIGINT % 5 > 0 AS bad FROM ({_JOBS}))"""
+
+
+def retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs and their scans after running jobs ended: both completed, queued again, or failed."""
+    jobs, scans, _ = _settled(spark, sf_dir)
+    scans = scans.select(F.col("id").alias("scan_id"), F.col("status").alias("scan_status"), F.col("started_at").isNotNull().alias("scan_started"), F.col("completed_at").isNotNull().alias("scan_closed"), "error_code")
+    return jobs.join(scans, "scan_id").select("id", "status", F.col("locked_by").isNotNull().alias("locked"), F.col("started_at").isNotNull().alias("started"), "last_error", "scan_status", "scan_started", "scan_closed", "error_code")
+
+
+def failed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is logged of scans that ended."""
+    return _settled(spark, sf_dir)[2]
+
+
+def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings committed to a store, a run for each scan; one is first written wrong, and replaced."""
+    store = persist.Store(spark, persist.own_folder(spark))
+    rows = _stored(spark, sf_dir).select("id", "scan_id", "fingerprint", "priority", "start_line")
+    wrong = store.stage({"findings": rows.filter("scan_id = 'scan2'").withColumn("priority", F.lit("?"))})
+    store.commit([("findings", "scan2", wrong["findings"])])
+    parts = [(f"scan{k}", store.stage({"findings": rows.filter(F.col("scan_id") == f"scan{k}")})["findings"]) for k in range(4)]
+    store.commit([("findings", run, written) for run, written in parts])
+    return store.read("findings", numbered=True).select("id", "run", "fingerprint", "priority", "start_line", "number")
+
+
 _MOVES = """SELECT event_id, user_id AS key, CASE event_id % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'COMPLETED' ELSE 'QUEUED' END AS job_move,
  CASE event_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_REVIEW' WHEN 2 THEN 'REVIEWED' END AS review_move, CASE WHEN event_id % 3 = 0 THEN 'a' || (event_id % 7) END AS who, CASE WHEN event_id % 5 = 0 THEN 'n' || (event_id % 9) END AS note FROM events"""
 
@@ -629,7 +668,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation,
         role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, page_meta,
-        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, job_retry, review_fold, review_transitions,
+        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
     )
     return found | {f.__name__: f for f in own}
@@ -695,6 +734,12 @@ def oracle_sql() -> dict[str, str]:
         "job_finish": f"""SELECT status, last_error, closed, count(*) AS n FROM (SELECT CASE WHEN NOT hit THEN status WHEN bad AND attempt_count < max_attempts THEN 'QUEUED' WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END AS status,
  CASE WHEN hit AND bad THEN 'boom' END AS last_error, hit AND NOT (bad AND attempt_count < max_attempts) AS closed
  FROM (SELECT *, status = 'RUNNING' AND id::BIGINT % 5 < 3 AS hit, id::BIGINT % 5 > 0 AS bad FROM ({_JOBS}))) GROUP BY ALL""",
+        "retry_decision": f"""SELECT id, CASE WHEN NOT hit THEN status WHEN again THEN 'QUEUED' WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END AS status, NOT hit AND locked_by IS NOT NULL AS locked, NOT again AND started_at IS NOT NULL AS started,
+ CASE WHEN hit AND bad THEN 'boom' END AS last_error, CASE WHEN again THEN 'QUEUED' WHEN hit AND bad THEN 'FAILED' WHEN hit THEN 'COMPLETED' WHEN status = 'RUNNING' THEN 'RUNNING' ELSE 'QUEUED' END AS scan_status,
+ NOT again AND started_at IS NOT NULL AS scan_started, hit AND NOT again AS scan_closed, CASE WHEN hit AND bad AND NOT again THEN CASE WHEN id::BIGINT % 2 = 0 THEN 'INGESTION_FAILED' ELSE 'SCAN_EXECUTION_FAILED' END END AS error_code FROM ({_ENDED})""",
+        "failed_scan": f"""SELECT 'scan' || id AS scan_id, CASE WHEN bad THEN 'SCAN_FAILED' ELSE 'SCAN_COMPLETED' END AS event_type,
+ CASE WHEN bad THEN '{{"error_code":"' || CASE WHEN id::BIGINT % 2 = 0 THEN 'INGESTION_FAILED' ELSE 'SCAN_EXECUTION_FAILED' END || '","attempts":' || n || '}}' END AS metadata FROM ({_ENDED}) WHERE hit AND NOT again""",
+        "stored_findings": f"SELECT id, scan_id AS run, fingerprint, priority, start_line, 2::BIGINT AS number FROM {stored}",
         "job_retry": _JOB_FOLD,
         "review_fold": _REVIEW_FOLD,
         "review_transitions": f"""SELECT current, wanted, current = wanted OR current || '>' || wanted IN ('OPEN>IN_REVIEW','IN_REVIEW>REVIEWED','IN_REVIEW>OPEN','REVIEWED>IN_REVIEW') AS is_valid, count(*) AS n

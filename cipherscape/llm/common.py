@@ -86,6 +86,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that no column has, whatever the case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of literals that the driver holds."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{schema}>>"))))

@@ -13,6 +13,9 @@ Text rules: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined by one space in page order.  Scripts,
 styles, comments, the head, form fields and the like never are blocks.
 
+A page is read in one pass: an attribute's quote that is never closed ends its tag at the next '<' or '>', and
+an end tag without a start, an element without an end or a comment without one costs no second reading.
+
 Edge cases: null or empty html and pages without text give an empty text; unclosed
 and stray tags are taken as browsers mostly do; a very long page is one sequence,
 read whole; repeated rows give equal results; an empty table gives an empty
@@ -24,6 +27,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,7 +49,12 @@ CLOSES = {
 #: What an implied end never crosses.
 SCOPES = frozenset("ul ol table div section article main aside header footer nav form body blockquote dl figure".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Tags that features name.
+TOLD = frozenset("article main li td nav aside footer form header".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_HEADING = re.compile("h[1-6]|pre")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -54,70 +63,190 @@ _WORD = re.compile(r"[a-z]+")
 class Block:
     text: str
     linked: int
-    tags: tuple[str, ...]
+    tags: frozenset[str]
     names: frozenset[str]
     own: str
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
+class _Scanner:
+    """Finds tags in one pass forward.  What is looked for in vain is not looked for again, so no part of a page is read over and over."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()  # what doesn't come any more
+        self.plain = False  # a tag ran to the end of the page: quotes mean nothing from there on
+
+    def find(self, what: str, at: int) -> int:
+        found = self.page.find(what, at) if what not in self.gone else -1
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end_of(self, at: int) -> int:
+        """Where the attributes that start at ``at`` end: at '>' outside of quotes; in a tag that never ends so, at the next '<' or '>'."""
+        pos = at
+        while not self.plain:
+            pos = _PLAIN.match(self.page, pos).end()
+            if pos >= len(self.page):
+                break
+            if self.page[pos] == ">":
+                return pos
+            pos = self.find(self.page[pos], pos + 1) + 1
+            if not pos:
+                break
+        self.plain = True
+        ends = [e for e in (self.find(">", at), self.find("<", at)) if e >= 0]
+        return min(ends, default=len(self.page))
+
+    def close_of(self, tag: str, at: int) -> int | None:
+        """The end of the next end tag of ``tag``, None where none comes."""
+        if f"</{tag}" in self.gone:
+            return None
+        found = re.compile(rf"</{tag}\b", re.I).search(self.page, at)
+        if found is None:
+            self.gone.add(f"</{tag}")
+            return None
+        return self.find(">", found.end()) + 1 or len(self.page)
+
+
+class _Open:
+    """The open elements.  Counts by tag answer at once whether an end tag has anything to end, so a stray one costs nothing."""
+
+    def __init__(self, known_tags: frozenset[str] | None, known_names: frozenset[str] | None):
+        self.known_tags, self.known_names = known_tags, known_names
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.own: list[str] = ["body"]
+        self.count: Counter[str] = Counter()
+        self.frames: list[Counter[str]] = [Counter()]  # since the last element that an implied end doesn't cross
+        self.named: Counter[str] = Counter()
+        self.tags: frozenset[str] | None = frozenset()
+        self.names: frozenset[str] | None = frozenset()
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        if self.known_names is not None:
+            names &= self.known_names
+        self.stack.append((tag, names))
+        self.count[tag] += 1
+        if tag not in INLINE:
+            self.own.append(tag)
+        if tag in SCOPES:
+            self.frames.append(Counter())
+        else:
+            self.frames[-1][tag] += 1
+        if self.count[tag] == 1:
+            self.tags = None
+        for w in names:
+            self.named[w] += 1
+            if self.named[w] == 1:
+                self.names = None
+
+    def pop(self) -> str:
+        tag, names = self.stack.pop()
+        self.count[tag] -= 1
+        if tag not in INLINE:
+            self.own.pop()
+        if tag in SCOPES:
+            self.frames.pop()
+        else:
+            self.frames[-1][tag] -= 1
+        if not self.count[tag]:
+            del self.count[tag]
+            self.tags = None
+        for w in names:
+            self.named[w] -= 1
+            if not self.named[w]:
+                del self.named[w]
+                self.names = None
+        return tag
+
+    def end(self, tag: str) -> None:
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+        else:
+            del self.count[tag]
+
+    def imply(self, ends: set[str], all_of_them: bool) -> None:
+        """End the nearest element of ``ends``, or all of them, up to a scope."""
+        while any(self.frames[-1][t] for t in ends):
+            while self.pop() not in ends:
+                pass
+            if not all_of_them:
+                return
+
+    def around(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Tags and names of all open elements; made anew only when one came or went."""
+        if self.tags is None:
+            self.tags = frozenset(self.count if self.known_tags is None else self.count.keys() & self.known_tags)
+        if self.names is None:
+            self.names = frozenset(self.named)
+        return self.tags, self.names
+
+
+def blocks(page: str, known_tags: frozenset[str] | None = None, known_names: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order; of the tags and names around them those that are ``known``, or all."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
     held: list[str] = []
-    linked, anchors = 0, 0
+    scan, around = _Scanner(page), _Open(known_tags, known_names)
+    linked = 0
 
     def cut() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            tags = tuple(t for t, _ in stack)
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            own = next((t for t in reversed(tags) if t not in INLINE), "body")
-            out.append(Block(text, min(linked, len(text)), tags, names, own))
+            out.append(Block(text, min(linked, len(text)), *around.around(), around.own[-1]))
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal anchors
-        while len(stack) > upto:
-            anchors -= stack.pop()[0] == "a"
-
     def add(raw: str) -> None:
         nonlocal linked
         held.append(raw)
-        if anchors:
+        if "a" in around.count:
             linked += len(raw.strip())
 
     at, n = 0, len(page)
     while at < n:
-        found = _TOKEN.search(page, at)
-        if found is None:
+        start = scan.find("<", at)
+        if start < 0:
             add(page[at:])
             break
-        if found.start() > at:
-            add(page[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
+        found = _TAG.match(page, start)
+        if found is None:
+            if page.startswith("<!--", start):
+                end = scan.find("-->", start + 4) + 3
+                end = end if end > 2 else n
+            elif page.startswith(("<!", "<?"), start):
+                end = scan.find(">", start) + 1
+            else:
+                end = 0
+            if start > at:
+                add(page[at:start])
+            if not end:  # a sign like any other
+                add("<")
+                end = start + 1
+            at = end
             continue
-        tag = name.lower()
+        if start > at:
+            add(page[at:start])
+        tag, stop = found[2].lower(), scan.end_of(found.end())
+        attributes = page[found.end() : stop]
+        at = stop + 1 if page[stop : stop + 1] == ">" else stop
         if found[1]:  # an end tag
             if tag in SKIPPED:
                 continue
             if tag not in INLINE:
                 cut()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            around.end(tag)
             continue
         if tag in SKIPPED:
-            if not found[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if not attributes.endswith("/"):
+                end = scan.close_of(tag, at)
                 if end is not None:
-                    at = end.end()
-                elif tag in ("head",):
-                    body = re.compile(r"<body\b", re.I).search(page, at)
+                    at = end
+                elif tag == "head":
+                    body = None if "<body" in scan.gone else re.compile(r"<body\b", re.I).search(page, at)
+                    if body is None:
+                        scan.gone.add("<body")
                     at = body.start() if body else at
                 elif tag in ("script", "style", "textarea"):
                     at = n
@@ -130,22 +259,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             cut()
-            implied = CLOSES.get(tag) or ({"p"} if tag in SCOPES or re.fullmatch("h[1-6]|pre", tag) else None)
+            implied = CLOSES.get(tag) or ({"p"} if tag in SCOPES or _HEADING.fullmatch(tag) else None)
             if implied:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in implied:
-                        close(k)
-                        if tag not in ("tr",):
-                            break
-                    elif stack[k][0] in SCOPES:
-                        break
-        attributes = found[3]
+                around.imply(implied, tag == "tr")
         names = frozenset()
         if "=" in attributes:
             names = frozenset(w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
         if not attributes.endswith("/"):
-            stack.append((tag, names))
-            anchors += tag == "a"
+            around.push(tag, names)
     cut()
     return out
 
@@ -155,6 +276,8 @@ CUES = (
     "menu search privacy terms contact related read follow email consent accept promo"
 ).split()  # fixed values
 
+_CUES = frozenset(CUES)
+
 
 def _grade(n: float, steps: tuple[float, ...]) -> int:
     return sum(n >= s for s in steps)
@@ -162,16 +285,19 @@ def _grade(n: float, steps: tuple[float, ...]) -> int:
 
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the binary features that hold for each block."""
-    out = []
+    out, told = [], {}
     for k, b in enumerate(page):
         words = b.text.split()
         size, link = _grade(len(words), (2, 4, 8, 15, 30, 60)), _grade(b.linked / max(1, len(b.text)), (0.05, 0.3, 0.6, 0.95))
-        lower = {w.strip(".,:;!?()").lower() for w in words[:60]}
-        tags = set(b.tags) - INLINE - {"html", "body"}
+        lower = {w.strip(".,:;!?()").lower() for w in words}
         f = ["1", f"own:{b.own}", f"size:{size}", f"link:{link}", f"size:{size},link:{link}", f"end:{b.text[-1] in '.!?:;'}", f"own:{b.own},size:{size}"]
-        f += [f"in:{t}" for t in tags] + [f"name:{w}" for w in b.names] + [f"cue:{c}" for c in CUES if c in lower]
-        f += [f"in:{t},link:{link}" for t in tags & {"article", "main", "li", "td"}]
-        f.append(f"wrapped:{'article' in tags or 'main' in tags},{bool(tags & {'nav', 'aside', 'footer', 'form', 'header'})}")
+        around = (b.tags, b.names, link)
+        if around not in told:
+            tags = b.tags - INLINE - {"html", "body"}
+            told[around] = [f"in:{t}" for t in tags] + [f"name:{w}" for w in b.names] + [f"in:{t},link:{link}" for t in tags & {"article", "main", "li", "td"}]
+            told[around].append(f"wrapped:{'article' in tags or 'main' in tags},{bool(tags & {'nav', 'aside', 'footer', 'form', 'header'})}")
+        f += told[around]
+        f += [f"cue:{c}" for c in CUES if c in lower] if not lower.isdisjoint(_CUES) else []
         f += ["copy"] * ("©" in b.text) + ["first"] * (k == 0) + ["last"] * (k == len(page) - 1)
         f.append(f"stops:{_grade(sum(map(b.text.count, '.,')), (1, 3, 8))}")
         out.append(f)
@@ -187,8 +313,11 @@ class Model:
     pair: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
     def scores(self, named: list[list[str]]) -> np.ndarray:
-        get = self.index.get
-        return np.array([self.state[[i for i in map(get, f) if i is not None]].sum(0) for f in named]) if named else np.zeros((0, 2))
+        get, met = self.index.get, {}  # blocks of a page are often alike
+        for f in map(tuple, named):
+            if f not in met:
+                met[f] = self.state[[i for i in map(get, f) if i is not None]].sum(0)
+        return np.array([met[tuple(f)] for f in named]) if named else np.zeros((0, 2))
 
     def viterbi(self, score: np.ndarray) -> list[int]:
         if not len(score):
@@ -544,17 +673,28 @@ def default_model(pages: int = 400) -> Model:
     return _model[pages]
 
 
-def main_text(page: str | None, model: Model) -> str:
-    found = blocks(page or "")
+def known(model: Model) -> tuple[frozenset[str], frozenset[str]]:
+    """The tags and names that a model, or a feature, knows."""
+    told = {"in": set(TOLD), "name": set()}
+    for name in model.index:
+        kind, _, what = name.partition(":")
+        if kind in told:
+            told[kind].add(what.partition(",")[0])
+    return frozenset(told["in"]), frozenset(told["name"])
+
+
+def main_text(page: str | None, model: Model, seen: tuple[frozenset[str], frozenset[str]] | None = None) -> str:
+    found = blocks(page or "", *(seen or known(model)))
     return " ".join(b.text for b, label in zip(found, model.viterbi(model.scores(features(found))), strict=True) if label == CONTENT)
 
 
 def extracted(pages: DataFrame, column: str = "html", model: Model | None = None) -> Column:
     """The column of main texts, for use in ``pages.withColumn``."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
+    model = model or default_model()
+    seen = known(model)
 
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([main_text(v.as_py(), shared.value) for v in batch], pa.string())
+            yield pa.array([main_text(v.as_py(), model, seen) for v in batch], pa.string())
 
     return F.arrow_udf(extract, "string")(F.col(column))

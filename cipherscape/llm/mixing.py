@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherscape.llm.common import dense_ids, stage
+from cipherscape.llm.common import dense_ids, free, stage
 
 #: Documents that meet in one block.
 BLOCK = 64
@@ -184,6 +184,7 @@ def mixed(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The rows of ``docs``, each as often as the mix takes it."""
     columns = docs.columns
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    copies = mixed(rows, row="__row", **options).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
-    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)
+    row, times, copy = (free(name, columns) for name in ("row", "times", "copy"))
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = mixed(rows, row=row, **options).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    return rows.join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*columns)

@@ -7,7 +7,7 @@ long texts weigh as short ones.  Weights follow the regularised leader: per-plac
 learning rates, an L1 threshold that keeps the model sparse, L2 shrinkage.
 
 Training reads at most ``rows`` labelled texts (those with the smallest hashes of
-their ids) and ``places`` features of each, documented bounds, in one task; scoring reads
+their ids) and ``held`` bytes of their features, documented bounds, in one task; a text is taken whole or not at all.  Scoring reads
 every whole text and is a sparse dot product with the broadcast weights, whose size is
 bounded by ``bits``.
 
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 #: The most labelled texts that training reads.
 TRAIN_ROWS = 4000
-#: The most features of a text that training reads, the largest; scoring reads all.
-TRAIN_PLACES = 4096
+#: The most bytes of their features that training holds: it takes texts, whole, in the order of their ids' hashes until the next would exceed it.
+TRAIN_BYTES = 128 << 20
 BITS = 20
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-z\xdf-\xff]{2,}"), re.compile(r"[a-z\xdf-\xff]+"), re.compile(r"\d+")
 
 
 def shape(word: str) -> str:
-    return _LOWER.sub("a", _UPPER.sub("AA", _DIGIT.sub("0", word)))[:12]
+    return _LOWER.sub("a", _UPPER.sub("AA", _DIGIT.sub("0", word)))
 
 
 class _Words(dict):
@@ -142,13 +142,12 @@ def fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, passes: in
 
 
 def trained(
-    docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, bits: int = BITS, passes: int = 6, places: int = TRAIN_PLACES
+    docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, bits: int = BITS, passes: int = 6, held: int = TRAIN_BYTES
 ) -> Model:
-    """The model of the texts of at most ``rows`` labels, of which each gives its ``places`` largest features.
+    """The model of the texts of at most ``rows`` labels, as many of them as ``held`` bytes of features hold.
 
     Labels without a text don't count towards the bound.  It is the bound of what is broadcast, so no text
-    is shuffled; vectors meet, one a label, in one task of at most rows * places * 8 bytes, and the driver
-    gets the weights.
+    is shuffled; vectors meet, one a label, in one task, and the driver gets the weights.
     """
     known = docs.filter(F.col(text).isNotNull()).select(key)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
@@ -160,15 +159,19 @@ def trained(
             found = []
             for v in batch.column(1):
                 at, share = features.of(v.as_py())
-                if len(at) > places:
-                    most = np.sort(np.lexsort((at, -share))[:places])
-                    at, share = at[most], share[most]
                 found.append((at.astype(np.int32).tobytes(), share.astype(np.float32).tobytes()))
             columns = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in columns)], names=[key, "y", "places", "shares"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found, size = [], 0
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                row = tuple(v.as_py() for v in row)
+                size += len(row[2]) + len(row[3])
+                if size <= held:
+                    found.append(row)
+        found.sort()
         if found:
             weights, bias = fitted([(y, np.frombuffer(p, np.int32), np.frombuffer(s, np.float32)) for _, y, p, s in found], bits, passes)
             at = np.flatnonzero(weights)
@@ -179,7 +182,7 @@ def trained(
     texts = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).cast("binary").alias("t"))
     made = texts.join(F.broadcast(chosen), key).select(key, "t", "y").mapInArrow(vectors, f"`{key}` {kind}, y int, places binary, shares binary")
     once = made.groupBy(key).agg(F.min(F.struct("y", "places", "shares")).alias("v")).select(key, "v.*")  # of a repeated id, the least
-    model = once.repartition(1).mapInArrow(fit, "places binary, weights binary, bias double").first()
+    model = once.repartition(1).sortWithinPartitions(F.xxhash64(key), key).mapInArrow(fit, "places binary, weights binary, bias double").first()
     if model is None:
         return Model(bits, np.empty(0, np.int32), np.empty(0, np.float32))
     return Model(bits, np.frombuffer(model["places"], np.int32), np.frombuffer(model["weights"], np.float32), model["bias"])

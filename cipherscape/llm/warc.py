@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from cipherscape.llm.common import shared_dir
+from cipherscape.llm.common import remove, shared_dir, stage
 
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -169,8 +169,8 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4 - at
 
 
-#: Bytes decompressed at a time, and the most that a member may hold.
-CHUNK, MOST = 1 << 16, 1 << 30
+#: Bytes decompressed at a time; the most that a member may hold unless said otherwise, which is what one value of a column holds; and the longest header of a bare record.
+CHUNK, MOST, HEADER = 1 << 16, (1 << 31) - 1, 1 << 20
 
 
 def member_at(data: bytes, at: int, most: int = MOST) -> tuple[bytes, int]:
@@ -193,9 +193,9 @@ def member_at(data: bytes, at: int, most: int = MOST) -> tuple[bytes, int]:
     return b"".join(out), min(end, len(data)) - at - len(unpack.unused_data)
 
 
-def bare_record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+def bare_record_at(data: bytes, at: int, header: int = HEADER) -> tuple[dict[str, str], bytes, int]:
     """As parse, for the bare record that starts at ``at``; takes no more than its header says."""
-    head = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    head = data.find(b"\r\n\r\n", at, at + header)
     size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at : head + 4]) if head >= 0 else None
     return parse(data[at : head + 8 + int(size[1])] if size else data[at : at + 16])
 
@@ -223,17 +223,18 @@ def inside(whole: bytes) -> Iterator[tuple[str, object]]:
         yield "gap", bad
 
 
-def salvaged(data: bytes) -> Iterator[tuple[int, int, str, object]]:
+def salvaged(data: bytes, most: int = MOST, header: int = HEADER) -> Iterator[tuple[int, int, str, object]]:
     """(offset, length, 'record', (fields, block)) and (offset, length, 'gap', reason) over a whole archive.
 
     Records and gaps of one gzip member all have the member's offset and length.  A
-    member without any valid record is no start: the search goes on behind its first byte.
+    member without any valid record is no start: the search goes on behind its first byte.  ``most`` bounds
+    what a member may hold, ``header`` the header of a bare record.
     """
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
             if data[at : at + 2] == b"\x1f\x8b":
-                whole, n = member_at(data, at)
+                whole, n = member_at(data, at, most)
                 found, head = inside(whole), []  # records come one after another and are not held
                 for x in found:
                     head.append(x)
@@ -243,7 +244,7 @@ def salvaged(data: bytes) -> Iterator[tuple[int, int, str, object]]:
                     raise Damaged(head[0][1] if head else "version line")
                 found = itertools.chain(head, found)
             else:
-                fields, block, n = bare_record_at(data, at)
+                fields, block, n = bare_record_at(data, at, header)
                 found = [("record", (fields, block))]
         except Damaged as e:
             if bad is None:
@@ -266,8 +267,8 @@ def _key(value: str | None) -> str | None:
     return found[1] or None if found else value
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records and gaps of all archives below ``path`` (READ_SCHEMA); payloads may be left out."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, most: int = MOST, header: int = HEADER) -> DataFrame:
+    """Records and gaps of all archives below ``path`` (READ_SCHEMA); payloads may be left out.  ``most`` and ``header`` as in ``salvaged``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
@@ -275,7 +276,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for file, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out, size = [], 0
-                for offset, n, kind, what in salvaged(value.as_py()):
+                for offset, n, kind, what in salvaged(value.as_py(), most, header):
                     if kind == "gap":
                         out.append((file, offset, n, kind, what, *[None] * 7))
                     else:
@@ -325,7 +326,9 @@ def write_archives(pages: DataFrame, path: str, key: str, url: str, payload: str
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000) -> DataFrame:
-    """Write archives of ``pages`` to the shared folder and read them back."""
+    """Write archives of ``pages`` to the shared folder and read them back; the archives go, what was read of them is written."""
     path = f"{shared_dir(pages.sparkSession)}/archives/{uuid.uuid4().hex}"
     write_archives(pages, path, key, url, payload, least)
-    return read_archives(pages.sparkSession, path, payloads=False)
+    found = stage(read_archives(pages.sparkSession, path, payloads=False), "records")
+    remove(pages.sparkSession, path)
+    return found

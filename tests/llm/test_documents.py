@@ -337,7 +337,7 @@ def test_scores_equal_those_of_a_plain_learner(spark):
 def test_training_is_bounded_by_labels_that_have_a_text(spark):
     docs = spark.createDataFrame([(k % 50, ("good words here " if k % 50 % 2 else "BAD !! STUFF ") * (1 + k % 50)) for k in range(400)] + [(99, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(1000 + k, 0) for k in range(500)] + [(99, 1)], "doc_id long, quality int")
-    model = quality.trained(docs, labels, "quality", rows=40, places=3)
+    model = quality.trained(docs, labels, "quality", rows=40, held=1 << 20)
     got = docs.filter("text is not null").withColumn("s", quality.scored(docs, model)).collect()
     assert all((x.s >= 0.5) == (x.doc_id % 2 == 1) for x in got)
 

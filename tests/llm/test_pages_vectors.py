@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import hand_pages
@@ -250,3 +251,60 @@ def test_short_vectors_are_not_multiplied(spark):
     best, found, _ = topk.phases(docs, docs.vec_id == 0, 20, "vec_id", "embedding", 64.0, 2)
     done = {x.phase: x.multiplied for x in topk.work(best, found).collect()}
     assert done["collect"] < 0.5 * done["gather"]
+
+
+HOSTILE = {
+    "open quotes": '<a "', "other quotes": "<p x='", "stray ends": "</x>", "stray div ends": "</div>", "unclosed divs": "<div>t", "inline ends": "</b><b>", "svg": "<svg>", "svg ends": "</svg ", "comments": "<!--",
+    "declarations": "<!x ", "signs": "<", "references": "&#", "lists": "<ul><li>x", "rows": "<tr><td>x", "anchors": "<a>x", "attributes": "<a class=", "plain": "word ",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(kind):
+    model = html_crf.default_model()
+    seen, took = html_crf.known(model), []
+    for size in (1 << 18, 1 << 20):
+        began = time.process_time()
+        html_crf.main_text(HOSTILE[kind] * (size // len(HOSTILE[kind])), model, seen)
+        took.append(time.process_time() - began)
+    assert took[1] < 20 and took[1] < 8 * took[0] + 1
+
+
+def test_many_tags_and_names_inside_each_other():
+    model = html_crf.default_model()
+    seen = html_crf.known(model)
+    for k in ("<div class=w{0}>t", "<x{0}>t", "<b><i>", "</p><p>"):
+        began = time.process_time()
+        html_crf.main_text("".join(k.format(i) for i in range(60_000)) + "<p>" * 60_000, model, seen)
+        assert time.process_time() - began < 20
+
+
+def test_broken_tags():
+    read = lambda page: [b.text for b in html_crf.blocks(page)]
+    assert read("<p>a</p><p class='x>b</p><p>c</p>") == ["a", "b", "c"]
+    assert read('<p title="1 > 0 < 2">a</p>') == ["a"] and read("2 < 3 and <p>b") == ["2 < 3 and", "b"]
+    assert read("a<!-- x <p>b") == ["a"] and read("<svg>a<p>b") == ["a", "b"] and read("</div></p>a</b>") == ["a"]
+    assert read("<table><tr><td>a<td>b<tr><td>c</table>d") == ["a", "b", "c", "d"]
+
+
+def test_cue_words_count_wherever_they_stand():
+    long = html_crf.blocks("<p>" + "word " * 500 + "newsletter</p>")
+    assert "cue:newsletter" in html_crf.features(long)[0]
+
+
+def test_members_and_headers_beyond_a_bound(tmp_path):
+    block = b"x" * 300_000
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nX-Long: " + b"y" * 3000 + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    for data, bound in ((gzip.compress(record), {"most": 100_000}), (record, {"header": 1000})):
+        assert [x[2] for x in warc.salvaged(data)] == ["record"]
+        assert [x[2] for x in warc.salvaged(data, **bound)] == ["gap"]
+
+
+def test_the_round_trip_leaves_no_archives(spark, sf_dir):
+    from cipherscape.llm import queries
+    from cipherscape.llm.common import shared_dir
+
+    assert queries.op6_warc(spark, sf_dir).count() > 0
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/archives")
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not system.exists(where) or len(system.listStatus(where)) == 0

@@ -115,3 +115,20 @@ def parse_repository(url: str) -> tuple[str, str]:
     if not plain or match is None or match[2] in ("", ".", "..", ".git"):
         raise ValueError("INVALID_REPOSITORY_URL")
     return match[1], match[2]
+
+
+def resolved(refs: DataFrame, commits: DataFrame, repository: str) -> DataFrame:
+    """``refs`` (repository, ref) with ``sha``, the one commit of the repository that the reference begins, and else ``problem``: INVALID, NOT_FOUND or AMBIGUOUS.
+
+    A full reference is taken as it is.  A short one has seven digits at least, and they are the key of the join.
+    """
+    asked = refs.withColumn("_want", commit_sha(F.col("ref"))).withColumn("_row", F.monotonically_increasing_id())
+    known = commits.select(F.col(repository).alias("_repo"), F.lower("sha").alias("_sha")).distinct()
+    short = asked.filter(~is_full_sha(F.col("_want"))).select(F.col("_row").alias("_id"), F.col(repository).alias("_r"), F.col("_want").alias("_short"))
+    near = (F.col("_r") == F.col("_repo")) & (F.substring("_short", 1, 7) == F.substring("_sha", 1, 7)) & F.expr("startswith(_sha, _short)")
+    found = short.join(known, near).groupBy("_id").agg(F.count("*").alias("_n"), F.min("_sha").alias("_one"))
+    rows = asked.join(found, F.col("_row") == F.col("_id"), "left")
+    full = F.coalesce(is_full_sha(F.col("_want")), F.lit(False))
+    sha = F.when(full, F.col("_want")).when(F.col("_n") == 1, F.col("_one"))
+    problem = F.when(F.col("_want").isNull(), "INVALID").when(full | (F.col("_n") == 1), None).when(F.col("_n").isNull(), "NOT_FOUND").otherwise("AMBIGUOUS")
+    return rows.select(*refs.columns, sha.alias("sha"), problem.alias("problem"))

@@ -6,6 +6,8 @@ Moves are checked against transition tables by a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,54 +91,79 @@ def reclaim(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.select(*[new.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 
+def _folded(events: DataFrame, key: str, order: str, fields: list[str], starts: list[Column], step: Callable, place: Callable, joined: Callable) -> DataFrame:
+    """(key, s): the state of each key after its events in order; ``starts`` has its first state at the front, then all others.
+
+    Events are range partitioned by key and order, so a key with a third of all events is many tasks.  What lies in one
+    partition of a key becomes a map: the state that each start leads to.  Of a partition's keys only
+    the first can have begun before it; the others fold from their first state alone.  ``joined`` puts a state
+    before a map's entry for it (the entry at ``place``), which is associative, so a key costs one small row a partition where it is combined.
+    """
+    placed = events.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_m", F.monotonically_increasing_id())
+    runs = placed.groupBy(key, F.shiftright("_m", 33).alias("_p")).agg(
+        F.array_sort(F.collect_list(F.struct(order, *fields))).alias("_steps"), (F.min("_m").bitwiseAND(F.lit((1 << 33) - 1)) == 0).alias("_head")
+    )
+    whole = F.transform(F.array(*starts), lambda s: F.aggregate("_steps", s, step))
+    runs = runs.select(key, "_p", F.when(F.col("_head"), whole).otherwise(F.array(F.aggregate("_steps", starts[0], step))).alias("_map"))
+    onward = lambda s, r: F.when(F.size(r["_map"]) == 1, r["_map"][0]).otherwise(joined(s, F.element_at(r["_map"], place(s))))
+    return runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "_map"))).alias("_runs")).select(key, F.aggregate("_runs", starts[0], onward).alias("s"))
+
+
 def replay_jobs(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """(job_id, status, attempt_count, rejected) after events (job_id, seq, wanted) in order.
 
-    A failure before max_attempts queues the job again; moves that the table does
-    not have are rejected.  A job's events fold in one expression.
+    A failure before max_attempts queues the job again; moves that the table does not have are rejected.
     """
-    steps = F.array_sort(F.collect_list(F.struct("seq", "wanted")))
     moves = [f"{a}>{b}" for a, b in vocab.JOB_MOVES]
-    start = F.struct(F.lit("QUEUED").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("rejected"))
 
-    def step(state: Column, event: Column) -> Column:
-        wanted = F.when((event["wanted"] == "FAILED") & (state["attempts"] < max_attempts), "QUEUED").otherwise(event["wanted"])
-        ok = F.concat_ws(">", state["status"], wanted).isin(*moves)
-        return F.struct(
-            F.when(ok, wanted).otherwise(state["status"]).alias("status"), (state["attempts"] + (ok & (wanted == "RUNNING")).cast("int")).alias("attempts"),
-            (state["rejected"] + (~ok).cast("int")).alias("rejected"),
-        )
+    def state(status: str | Column, used: int | Column, attempts: int | Column, rejected: int | Column) -> Column:
+        """``used``: attempts as far as they decide, ``max_attempts`` at most."""
+        column = lambda v, kind: (v if isinstance(v, Column) else F.lit(v)).cast(kind)
+        return F.struct(column(status, "string").alias("status"), column(used, "int").alias("used"), column(attempts, "long").alias("attempts"), column(rejected, "long").alias("rejected"))
+
+    def step(s: Column, event: Column) -> Column:
+        wanted = F.when((event["wanted"] == "FAILED") & (s["used"] < max_attempts), "QUEUED").otherwise(event["wanted"])
+        ok = F.coalesce(F.concat_ws(">", s["status"], wanted).isin(*moves), F.lit(False))
+        started = (ok & (wanted == "RUNNING")).cast("int")
+        return state(F.when(ok, wanted).otherwise(s["status"]), F.least(s["used"] + started, F.lit(max_attempts)), s["attempts"] + started, s["rejected"] + (~ok).cast("int"))
 
-    folded = events.groupBy("job_id").agg(steps.alias("steps")).withColumn("s", F.aggregate("steps", start, step))
+    def place(s: Column) -> Column:
+        return ((F.array_position(F.array(*map(F.lit, vocab.JOB_STATUSES)), s["status"]) - 1) * (max_attempts + 1) + s["used"] + 1).cast("int")
+
+    def joined(s: Column, t: Column) -> Column:
+        return state(t["status"], t["used"], s["attempts"] + t["attempts"], s["rejected"] + t["rejected"])
+
+    starts = [state(status, used, 0, 0) for status in vocab.JOB_STATUSES for used in range(max_attempts + 1)]  # the first: queued, none used
+    folded = _folded(events, "job_id", "seq", ["wanted"], starts, step, place, joined)
     return folded.select("job_id", "s.status", F.col("s.attempts").alias("attempt_count"), "s.rejected")
 
 
 def replay_reviews(requests: DataFrame) -> DataFrame:
-    """(review_id, status, assigned_to, note, rejected, audit) after requests in order of seq.
+    """(review_id, status, assigned_to, note, rejected, started, completed) after requests in order of seq.
 
-    A null field leaves the value alone; a rejected request changes nothing; entering
-    IN_REVIEW or REVIEWED is audited.
+    A null field leaves the value alone; a rejected request changes nothing; ``started`` and ``completed`` count how often
+    IN_REVIEW and REVIEWED were entered, which is audited.
     """
-    steps = F.array_sort(F.collect_list(F.struct("seq", "status", "assigned_to", "note")))
     moves = [f"{a}>{b}" for a, b in vocab.REVIEW_MOVES]
-    none = F.lit(None).cast("string")
-    start = F.struct(
-        F.lit("OPEN").alias("status"), none.alias("assigned_to"), none.alias("note"), F.lit(0).alias("rejected"), F.array().cast("array<string>").alias("audit")
-    )
+    names = ("status", "assigned_to", "note", "rejected", "started", "completed")
+
+    def state(*values: Column) -> Column:
+        return F.struct(*[v.cast("string" if n in names[:3] else "long").alias(n) for n, v in zip(names, values, strict=True)])
+
+    def step(s: Column, event: Column) -> Column:
+        wanted = F.coalesce(event["status"], s["status"])
+        same = wanted == s["status"]
+        ok = same | F.concat_ws(">", s["status"], wanted).isin(*moves)
+        kept = [F.when(ok, F.coalesce(event[n], s[n])).otherwise(s[n]) for n in names[1:3]]
+        entered = [s[n] + (ok & ~same & (wanted == to)).cast("int") for n, to in (("started", "IN_REVIEW"), ("completed", "REVIEWED"))]
+        return state(F.when(ok, wanted).otherwise(s["status"]), *kept, s["rejected"] + (~ok).cast("int"), *entered)
+
+    def joined(s: Column, t: Column) -> Column:
+        return state(t["status"], *[F.coalesce(t[n], s[n]) for n in names[1:3]], *[s[n] + t[n] for n in names[3:]])
 
-    def step(state: Column, event: Column) -> Column:
-        wanted = F.coalesce(event["status"], state["status"])
-        same = wanted == state["status"]
-        ok = same | F.concat_ws(">", state["status"], wanted).isin(*moves)
-        entry = F.when(ok & ~same & (wanted == "IN_REVIEW"), F.array(F.lit("REVIEW_STARTED"))).when(ok & ~same & (wanted == "REVIEWED"), F.array(F.lit("REVIEW_COMPLETED")))
-        return F.struct(
-            F.when(ok, wanted).otherwise(state["status"]).alias("status"), F.when(ok, F.coalesce(event["assigned_to"], state["assigned_to"])).otherwise(state["assigned_to"]).alias("assigned_to"),
-            F.when(ok, F.coalesce(event["note"], state["note"])).otherwise(state["note"]).alias("note"), (state["rejected"] + (~ok).cast("int")).alias("rejected"),
-            F.concat(state["audit"], F.coalesce(entry, F.array().cast("array<string>"))).alias("audit"),
-        )
-
-    folded = requests.groupBy("review_id").agg(steps.alias("steps")).withColumn("s", F.aggregate("steps", start, step))
-    return folded.select("review_id", "s.*")
+    starts = [state(F.lit(status), F.lit(None), F.lit(None), *[F.lit(0)] * 3) for status in vocab.REVIEW_STATUSES]  # the first: open
+    place = lambda s: F.array_position(F.array(*map(F.lit, vocab.REVIEW_STATUSES)), s["status"]).cast("int")
+    return _folded(requests, "review_id", "seq", ["status", "assigned_to", "note"], starts, step, place, joined).select("review_id", "s.*")
 
 
 def cache_hits(requests: DataFrame, scans: DataFrame, repositories: DataFrame) -> DataFrame:

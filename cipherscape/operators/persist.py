@@ -250,15 +250,15 @@ def stamp(spark: SparkSession, *paths: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def written_once(spark: SparkSession, rows: Callable[[], DataFrame], *key: str, inputs: tuple[str, ...]) -> DataFrame:
-    """``rows`` as a table in the shared folder, written when it is first asked for in an application, and again once a file of ``inputs`` has changed.
+def written_once(spark: SparkSession, rows: Callable[[], DataFrame], *key: str, inputs: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
+    """``rows`` as a table in the shared folder, written when it is first asked for in an application, and again once a file of ``inputs`` has changed; in folders ``by`` columns.
 
     Reads that follow prune columns and push filters into its scan, and derive nothing again.
     """
     key = (spark.sparkContext.applicationId, *key, stamp(spark, *inputs))
     if key not in _stored:
         path = own_folder(spark)
-        rows().write.parquet(path)
+        rows().write.partitionBy(*by or []).parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 

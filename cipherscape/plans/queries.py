@@ -10,6 +10,7 @@ query's meaning in its own words.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -284,6 +285,19 @@ def repo_url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir).withColumn("r", discovery.repository_columns(F.col("url"))).select("c_custkey", "r.owner", "r.name", "r.canonical_url")
 
 
+_COMMITS = "SELECT o_custkey % 7 AS repo, sha1('c' || (o_orderkey % 4000)) AS sha FROM orders UNION SELECT 3, 'abc1def0' || CAST(100000000000 + o_orderkey AS VARCHAR) || repeat('0', 20) FROM orders WHERE o_orderkey < 20"
+_SHORT = """SELECT c_custkey, c_custkey % 7 AS repo, CASE c_custkey % 6 WHEN 0 THEN ' ' || upper(substr(sha1('c' || (c_custkey % 5000)), 1, 9)) WHEN 1 THEN substr(sha1('c' || (c_custkey % 5000)), 1, 7) WHEN 2 THEN sha1('z' || c_custkey)
+ WHEN 3 THEN 'abc1def' WHEN 4 THEN 'nonsense' ELSE substr(sha1('c' || (c_custkey % 5000)), 1, 20) END AS ref FROM customer"""
+
+
+def short_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short commit references resolved against the commits of their repository."""
+    for name in ("customer", "orders"):
+        _table(spark, sf_dir, name).createOrReplaceTempView(name)
+    refs, commits = (spark.sql(q.replace("VARCHAR", "STRING")) for q in (_SHORT, _COMMITS))
+    return discovery.resolved(refs, commits, "repo").select("c_custkey", "sha", "problem")
+
+
 def sha_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _refs(spark, sf_dir).withColumn("sha", discovery.commit_sha(F.col("ref")))
     full = F.lit("abcdef0123" + "0" * 30)
@@ -407,6 +421,18 @@ def findings_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.findings_page(_stored(spark, sf_dir), "scan1", page=2, size=50, confidence="HIGH").items.select("fingerprint", "file_path", "start_line", "priority", "review_path")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lambda: read.page_index(_stored(spark, sf_dir).select("id", "scan_id", "fingerprint", "file_path", "start_line", "priority", "confidence"))
+    return persist.written_once(spark, rows, sf_dir, "pages", inputs=(f"{sf_dir}/lineitem.parquet",), by=["block"])
+
+
+def findings_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A late page of each scan, by its places in the index."""
+    index = _index(spark, sf_dir)
+    pages = [read.indexed_page(index, f"scan{k}", page, 200) for k, page in ((0, 5), (1, 3), (2, 4), (3, 999))]
+    return reduce(DataFrame.unionByName, [p.items for p in pages]).select("scan_id", "place", "fingerprint", "file_path", "start_line")
+
+
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = read.findings_page(_stored(spark, sf_dir), "scan1", page=1, size=50, role="HASH").meta
     return meta.select(F.col("page").cast("long").alias("page"), F.col("page_size").cast("long").alias("page_size"), "total", "pages")
@@ -583,7 +609,7 @@ def job_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _moves(spark, sf_dir).select(F.col("key").alias("review_id"), F.col("event_id").alias("seq"), F.col("review_move").alias("status"), F.col("who").alias("assigned_to"), "note")
-    return lifecycle.replay_reviews(requests).select("review_id", "status", "assigned_to", "note", F.col("rejected").cast("long").alias("rejected"), F.size("audit").cast("long").alias("audited"))
+    return lifecycle.replay_reviews(requests).select("review_id", "status", "assigned_to", "note", F.col("rejected").cast("long").alias("rejected"), (F.col("started") + F.col("completed")).alias("audited"))
 
 
 def review_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -666,8 +692,8 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches(r) for r, _, _ in vocab.RULES}
     own = (
-        flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation,
-        role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, page_meta,
+        flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
+        role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, findings_deep_page, page_meta,
         review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
     )
@@ -697,6 +723,9 @@ def oracle_sql() -> dict[str, str]:
  count(*) AS file_count FROM part GROUP BY 1""",
         "repo_url_parse": f"""SELECT c_custkey, o AS owner, n AS name, 'https://github.com/' || o || '/' || n AS canonical_url FROM (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'own' || c_custkey WHEN 1 THEN 'a-b' WHEN 7 THEN 'O' || c_custkey END AS o,
  CASE c_custkey % 8 WHEN 0 THEN 're.po' WHEN 1 THEN 'c_d' WHEN 7 THEN 'R' END AS n FROM ({_URLS}))""",
+        "short_refs": f"""WITH c AS (SELECT DISTINCT repo, sha FROM ({_COMMITS})), r AS (SELECT *, CASE WHEN regexp_full_match(lower(trim(ref)), '[0-9a-f]{{7,40}}') THEN lower(trim(ref)) END AS want FROM ({_SHORT})),
+ f AS (SELECT c_custkey, any_value(want) AS want, count(c.sha) AS n, min(c.sha) AS sha FROM r LEFT JOIN c ON c.repo = r.repo AND starts_with(c.sha, r.want) GROUP BY c_custkey)
+ SELECT c_custkey, CASE WHEN length(want) = 40 THEN want WHEN n = 1 THEN sha END AS sha, CASE WHEN want IS NULL THEN 'INVALID' WHEN length(want) = 40 OR n = 1 THEN NULL WHEN n = 0 THEN 'NOT_FOUND' ELSE 'AMBIGUOUS' END AS problem FROM f""",
         "sha_validation": f"""SELECT c_custkey, sha, coalesce(length(sha) = 40, false) AS is_full, coalesce(starts_with('abcdef0123' || repeat('0', 30), sha), false) AS matches
  FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 2, 4) THEN lower(trim(ref)) END AS sha FROM ({_URLS}))""",
         "role_classification": f"SELECT k, ln, role FROM ({_ROLES})",
@@ -710,6 +739,8 @@ def oracle_sql() -> dict[str, str]:
         "dedup_findings": f"SELECT scan_id, fingerprint, k, ln, start_line FROM ({_UNIQUE})",
         "duplicate_counts": f"SELECT scan_id, count(*) AS observations, count(DISTINCT fingerprint) AS unique_findings, count(*) - count(DISTINCT fingerprint) AS duplicates FROM ({_IDENTIFIED}) GROUP BY 1",
         "findings_page": f"SELECT fingerprint, file_path, start_line, priority, {review_path} FROM {stored} WHERE scan_id = 'scan1' AND confidence = 'HIGH' ORDER BY {_RANK_P}, {_RANK_C}, file_path, start_line, fingerprint LIMIT 50 OFFSET 50",
+        "findings_deep_page": f"""SELECT scan_id, place, fingerprint, file_path, start_line FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {_RANK_P}, {_RANK_C}, file_path, start_line, fingerprint) AS place FROM {stored})
+ WHERE (scan_id = 'scan0' AND place BETWEEN 801 AND 1000) OR (scan_id = 'scan1' AND place BETWEEN 401 AND 600) OR (scan_id = 'scan2' AND place BETWEEN 601 AND 800)""",
         "page_meta": f"SELECT 1::BIGINT AS page, 50::BIGINT AS page_size, count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM {stored} WHERE scan_id = 'scan1' AND role = 'HASH'",
         "review_queue_page": f"""SELECT review_id, id AS finding_id, review_status, priority, file_path, start_line FROM ({_QUEUE}) WHERE review_status = 'OPEN' AND algorithm = 'Ed25519'
  ORDER BY {_RANK_P}, {_RANK_C}, file_path, start_line, review_id LIMIT 100""",

@@ -141,20 +141,49 @@ def engine_queue(found: DataFrame) -> DataFrame:
     return found.orderBy(*engine_order())
 
 
-def engine_ranks(found: DataFrame, scan: str = "scan_id") -> DataFrame:
-    """Every finding with its place (rank, from 1) in the engine's queue of its scan.
+def places(rows: DataFrame, scan: str, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, 3 ... in order within each scan.
 
-    Rows are range partitioned, so no task sees all rows of a scan; a row's rank is
-    its place in its partition and the scan's rows in the partitions before.
+    Rows are range partitioned, so no task sees all rows of a scan; a row's place is its number in its
+    partition and the scan's rows in the partitions before.
     """
-    order = [F.col(scan).asc(), *engine_order()]
-    placed = found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist()  # numbered once
+    sort = [F.col(scan).asc(), *order]
+    placed = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33)
     parts = placed.groupBy(F.col(scan).alias("_scan"), part.alias("_p")).agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))  # a scan's rows are neighbours
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_scan").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("_before", before)
-    rows = placed.join(parts, F.col(scan).eqNullSafe(F.col("_scan")) & (part == F.col("_p")))
-    return rows.withColumn("rank", F.col("_before") + F.col("_m") - F.col("_first") + 1).select(*found.columns, "rank")
+    joined = placed.join(parts.withColumn("_before", before), F.col(scan).eqNullSafe(F.col("_scan")) & (part == F.col("_p")))
+    return joined.withColumn(name, F.col("_before") + F.col("_m") - F.col("_first") + 1).select(*rows.columns, name)
+
+
+def engine_ranks(found: DataFrame, scan: str = "scan_id") -> DataFrame:
+    """Every finding with its place (rank, from 1) in the engine's queue of its scan."""
+    return places(found, scan, engine_order(), "rank")
+
+
+#: Places of a scan in a block of the index.
+BLOCK = 10_000
+
+
+def page_index(rows: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Rows with their ``place`` in the pages of their scan, and its ``block``: to be written in folders by block.
+
+    A page is then a range of places in one or two blocks, however deep it lies.
+    """
+    ranked = places(rows, "scan_id", order or findings_order(), "place")
+    return ranked.withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("int")).repartition("block", F.hash("scan_id") % 16).sortWithinPartitions("block", "scan_id", "place")
+
+
+def indexed_page(index: DataFrame, scan_id: str, page: int = 1, size: int = PAGE_SIZE) -> Page:
+    """One page of a written index, as ``paged`` gives it for all rows of a scan."""
+    if page < 1 or not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError("page or page_size out of range")
+    first, last = (page - 1) * size + 1, page * size
+    mine = index.filter(F.col("scan_id") == scan_id)
+    blocks = list(range((first - 1) // BLOCK, (last - 1) // BLOCK + 1))
+    items = mine.filter(F.col("block").isin(blocks) & F.col("place").between(first, last)).orderBy("place")
+    meta = mine.agg(F.coalesce(F.max("place"), F.lit(0)).alias("total")).select(F.lit(page).alias("page"), F.lit(size).alias("page_size"), "total", F.ceil(F.col("total") / size).cast("long").alias("pages"))
+    return Page(items, meta)
 
 
 def details(findings: DataFrame, evidence: DataFrame, nodes: DataFrame, reviews: DataFrame, scans: DataFrame | None = None, repositories: DataFrame | None = None) -> DataFrame:

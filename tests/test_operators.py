@@ -165,7 +165,7 @@ def test_three_failing_attempts_fail_a_job(spark):
 def test_reviews_are_audited_and_guarded(spark):
     asked = [("r", 0, "REVIEWED", "x", None), ("r", 1, "IN_REVIEW", "me", None), ("r", 2, None, None, "n"), ("r", 3, "REVIEWED", None, None), ("r", 4, "REVIEWED", None, None)]
     row = lifecycle.replay_reviews(spark.createDataFrame(asked, "review_id string, seq long, status string, assigned_to string, note string")).first()
-    assert (row.status, row.assigned_to, row.note, row.rejected, row.audit) == ("REVIEWED", "me", "n", 1, ["REVIEW_STARTED", "REVIEW_COMPLETED"])
+    assert (row.status, row.assigned_to, row.note, row.rejected, row.started, row.completed) == ("REVIEWED", "me", "n", 1, 1, 1)
 
 
 def test_evidence_guard_raises(spark):

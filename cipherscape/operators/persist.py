@@ -234,7 +234,7 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 # -- tables written once -----------------------------------------------------------
 
 
-_stored: dict[tuple[str, ...], str] = {}
+_stored: dict[tuple[str, ...], tuple[str, str | None]] = {}
 
 
 def stamp(spark: SparkSession, *paths: str) -> str:
@@ -250,17 +250,26 @@ def stamp(spark: SparkSession, *paths: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def written_once(spark: SparkSession, rows: Callable[[], DataFrame], *key: str, inputs: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
-    """``rows`` as a table in the shared folder, written when it is first asked for in an application, and again once a file of ``inputs`` has changed; in folders ``by`` columns.
+def written_once(
+    spark: SparkSession, rows: Callable[[], DataFrame], *key: str, inputs: tuple[str, ...], by: list[str] | None = None, buckets: tuple[str, ...] = (), count: int | None = None
+) -> DataFrame:
+    """``rows`` as a table in the shared folder, written when it is first asked for in an application, and again once a file of ``inputs`` has changed.
 
-    Reads that follow prune columns and push filters into its scan, and derive nothing again.
+    Reads that follow prune columns and push filters into its scan, and derive nothing again.  ``by``: columns that make folders.
+    ``buckets``: columns whose rows lie together in one of ``count`` files, so joins and groups by them, or by them and
+    more, need no exchange.
     """
     key = (spark.sparkContext.applicationId, *key, stamp(spark, *inputs))
     if key not in _stored:
-        path = own_folder(spark)
-        rows().write.partitionBy(*by or []).parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        path, name = own_folder(spark), f"stored_{uuid.uuid4().hex}"
+        if buckets:
+            n = count or 2 * spark.sparkContext.defaultParallelism
+            rows().repartition(n, *buckets).write.bucketBy(n, *buckets).option("path", path).saveAsTable(name)
+        else:
+            rows().write.partitionBy(*by or []).parquet(path)
+        _stored[key] = (path, name if buckets else None)
+    path, name = _stored[key]
+    return spark.table(name) if name else spark.read.parquet(path)
 
 
 def own_folder(spark: SparkSession) -> str:
@@ -272,7 +281,10 @@ def forget(spark: SparkSession) -> None:
     """Delete what ``written_once`` has written in this application."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored.pop(key))
+        folder, name = _stored.pop(key)
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -28,6 +28,8 @@ class Context:
 
     def __init__(self, parsed: DataFrame):
         self.spark = parsed.sparkSession
+        # every key begins with the file: tables that lie by file need no exchange for keys that go on after it
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.files = resolve.with_index(parsed)
         self.calls = resolve.calls(self.files)
         self.candidates = resolve.candidates(self.files)

@@ -47,7 +47,7 @@ def _parsed(spark: SparkSession, sf_dir: str, *wanted: str, lines: bool = False)
     """Parsed and written once, as several joins read it."""
     wanted = wanted or ("imports", "symbols", "calls", "names", "assignments", "annotations")
     rows = lambda: parse.parse_files(discovery.supported(_files(spark, sf_dir)), wanted, lines)
-    return persist.written_once(spark, rows, sf_dir, "parsed", *wanted, str(lines), inputs=(f"{sf_dir}/part.parquet",))
+    return persist.written_once(spark, rows, sf_dir, "parsed", *wanted, str(lines), inputs=(f"{sf_dir}/part.parquet",), buckets=("snapshot_id", "path"))
 
 
 _PATH = "'pkg' || (p_partkey % 7) || '/mod_' || p_partkey || '.py'"

@@ -97,3 +97,13 @@ def test_tables_written_once_follow_their_inputs(spark, tmp_path):
     assert 0 < new < old and new == queries.dedup_findings(spark, str(tmp_path)).count()
     persist.forget(spark)
     assert not [k for k in persist._stored if k[0] == spark.sparkContext.applicationId]
+
+
+def test_findings_need_few_exchanges(spark, sf_dir):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.all_findings(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") <= 10  # 50 where the parsed files don't lie by file

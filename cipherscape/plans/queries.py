@@ -481,9 +481,33 @@ def finding_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select(
         "finding_id", F.col("observed.enclosing_function").alias("fn"), F.col("observed.enclosing_class").alias("cls"), F.col("observed.source_excerpt").alias("excerpt"),
         F.col("impact.node_count").alias("node_count"), F.col("migration.review_path").alias("review_path"), F.col("review.status").alias("review_status"),
+        "impact.scope", F.array_join("impact.nodes.id", " ").alias("node_ids"), F.size("impact.relationships").cast("long").alias("edges"), F.col("migration.rationale").isNotNull().alias("has_rationale"),
+        F.col("priority.score").cast("long").alias("score"), F.size("priority.reasons").cast("long").alias("reasons"), "observed.evidence_basis",
     )
 
 
+def _reviewed_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The engine's findings, once each, and reviews of two thirds of them."""
+    path = derive.review_path(F.col("role"), F.col("algorithm"))
+    found = _unique(spark, sf_dir).withColumns({"start_column": F.lit(0), "end_line": F.col("k"), "end_column": F.col("ln"), "review_path": path}).withColumn("is_migration_candidate", derive.is_candidate(F.col("review_path")))
+    status = F.when(F.col("k") % 3 == 0, "OPEN").otherwise("IN_REVIEW")
+    reviews = found.filter("k % 3 < 2").select("scan_id", "fingerprint", persist.row_id("scan_id", "fingerprint", F.lit("review")).alias("review_id"), status.alias("status"), F.lit("me").alias("assigned_to"), F.lit(None).cast("string").alias("note"), F.lit(0).alias("updated_at"))
+    return found, reviews
+
+
+def engine_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read.engine_page(*_reviewed_findings(spark, sf_dir), "scan_id")
+    return rows.select("id", "scan_id", "operation", "review_path", "is_migration_candidate", "priority_score", "file_path", "end_line", "review_status", "place", "total")
+
+
+def engine_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read.engine_review_queue(*_reviewed_findings(spark, sf_dir), "scan_id")
+    return rows.select("review_id", "finding_id", "scan_id", "role", "priority", "priority_score", "status", "assigned_to", "note", "file_path", "start_line", "place", "total")
+
+
+_REVIEWED = f"""SELECT *, CASE k % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_REVIEW' END AS review_status, sha256(concat_ws(chr(31), scan_id, fingerprint, 'review')) AS review_id, {_PQC} AS review_path FROM ({_UNIQUE})"""
+
+
 def finding_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the list of findings, all scans."""
     findings = _stored(spark, sf_dir)
@@ -694,7 +718,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
         role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, findings_deep_page, page_meta,
-        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, review_fold, review_transitions,
+        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, engine_page, engine_review_queue, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
     )
     return found | {f.__name__: f for f in own}
@@ -748,7 +772,13 @@ def oracle_sql() -> dict[str, str]:
         "engine_queue": f"SELECT k, ln, priority_score FROM ({_SCORED}) WHERE scan_id = 'scan2' ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln",
         "engine_queue_ranks": f"""SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln) AS rank, k, ln, priority_score
  FROM ({_SCORED})""",
-        "finding_detail": f"SELECT id AS finding_id, fn, cls, 'line ' || start_line AS excerpt, node_count::BIGINT - 1 AS node_count, {review_path}, review_status FROM ({_QUEUE})",
+        "finding_detail": f"""SELECT id AS finding_id, fn, cls, 'line ' || start_line AS excerpt, node_count::BIGINT - 1 AS node_count, {review_path}, review_status,
+ 'STATICALLY_OBSERVED' AS scope, concat_ws(' ', 'API:' || api, 'FUNCTION:' || fn, 'CLASS:' || cls, 'MODULE:' || module, 'FILE:' || path) AS node_ids, 0::BIGINT AS edges, true AS has_rationale,
+ NULL::BIGINT AS score, 0::BIGINT AS reasons, NULL::VARCHAR AS evidence_basis FROM ({_QUEUE})""",
+        "engine_page": f"""SELECT fingerprint AS id, scan_id, operation, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_migration_candidate, priority_score, path AS file_path, k AS end_line, review_status,
+ row_number() OVER (PARTITION BY scan_id ORDER BY path, start_line, rule_id, api, operation, k, ln) AS place, count(*) OVER (PARTITION BY scan_id) AS total FROM ({_REVIEWED})""",
+        "engine_review_queue": f"""SELECT review_id, fingerprint AS finding_id, scan_id, role, priority, priority_score, review_status AS status, 'me' AS assigned_to, NULL::VARCHAR AS note, path AS file_path, start_line,
+ row_number() OVER (PARTITION BY scan_id ORDER BY priority_score DESC, path, start_line, rule_id, api, operation, k, ln) AS place, count(*) OVER (PARTITION BY scan_id) AS total FROM ({_REVIEWED}) WHERE review_status IS NOT NULL""",
         "finding_list": f"""SELECT id, scan_id, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_migration_candidate, review_status, priority, file_path, start_line
  FROM (SELECT *, {review_path} FROM ({_QUEUE}))""",
         "queue_row": f"""SELECT review_id AS id, review_status AS status, id AS finding_id, scan_id, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_migration_candidate, operation

@@ -107,17 +107,45 @@ def engine_documents(found: DataFrame, scan: str = "snapshot_id") -> DataFrame:
         ).alias("observed"),
         F.struct("role", F.col("role_rationale").alias("rationale"), "confidence", "evidence_basis").alias("inference"),
         F.struct("review_path", derive.review_rationale(F.col("review_path")).alias("rationale"), "is_migration_candidate", "pqc_ruleset_version").alias("migration"),
-        F.struct("node_count", F.col("impact_nodes").alias("nodes"), F.col("impact_edges").alias("relationships")).alias("impact"),
+        F.struct(F.lit(SCOPE).alias("scope"), "node_count", F.col("impact_nodes").alias("nodes"), F.col("impact_edges").alias("relationships")).alias("impact"),
         F.struct(F.col("priority").alias("level"), F.col("priority_score").alias("score"), F.col("priority_reasons").alias("reasons")).alias("priority"),
     )
 
 
-def engine_summaries(found: DataFrame, scan: str = "snapshot_id") -> DataFrame:
-    """Derived findings as rows of a list."""
+def engine_summaries(found: DataFrame, scan: str = "snapshot_id", *more: str) -> DataFrame:
+    """Derived findings as rows of a list, with ``more`` of their columns."""
     columns = ("algorithm", "api", "operation", "role", "confidence", "review_path", "is_migration_candidate", "priority", "priority_score")
-    return found.select(F.col("fingerprint").alias("id"), F.col(scan).alias("scan_id"), *columns, F.col("path").alias("file_path"), "start_line", "end_line")
+    return found.select(F.col("fingerprint").alias("id"), F.col(scan).alias("scan_id"), *columns, F.col("path").alias("file_path"), "start_line", "end_line", *more)
 
 
+def _reviewed(found: DataFrame, scan: str, reviews: DataFrame, how: str) -> DataFrame:
+    """Findings with the reviews (scan_id, fingerprint, review_id, status, assigned_to, note, updated_at) that name them."""
+    named = reviews.select(F.col("scan_id").alias("_scan"), F.col("fingerprint").alias("_finding"), "review_id", F.col("status").alias("review_status"), "assigned_to", "note", "updated_at")
+    return found.join(named, (F.col(scan) == F.col("_scan")) & (F.col("fingerprint") == F.col("_finding")), how).drop("_scan", "_finding")
+
+
+def _counted(rows: DataFrame, scan: str) -> DataFrame:
+    totals = rows.groupBy(F.col(scan).alias("_scan")).agg(F.count("*").alias("total"))  # a row for each scan
+    return rows.join(totals, F.col(scan).eqNullSafe(F.col("_scan"))).drop("_scan")
+
+
+def engine_page(found: DataFrame, reviews: DataFrame, scan: str = "snapshot_id") -> DataFrame:
+    """The page of all findings of each scan: rows of a list with their ``place``, the scan's ``total`` and the status of their review."""
+    placed = places(found, scan, engine_order()[1:], "place")
+    return engine_summaries(_counted(_reviewed(placed, scan, reviews, "left"), scan), scan, "review_status", "place", "total")
+
+
+def engine_review_queue(found: DataFrame, reviews: DataFrame, scan: str = "snapshot_id") -> DataFrame:
+    """The review queue of each scan: a row for each review, with its ``place`` by falling score and the scan's ``total``."""
+    placed = _counted(places(_reviewed(found, scan, reviews, "inner"), scan, engine_order(), "place"), scan)
+    return placed.select(
+        "review_id", F.col("fingerprint").alias("finding_id"), F.col(scan).alias("scan_id"), "algorithm", "api", "role", "review_path", "priority", "priority_score",
+        F.col("review_status").alias("status"), "assigned_to", "note", F.col("path").alias("file_path"), "start_line", "updated_at", "place", "total",
+    )
+
+
+#: What impact covers: what static analysis has seen (a fixed value).
+SCOPE = "STATICALLY_OBSERVED"
 #: A finding's chain outwards, in which its nodes are shown.
 CHAIN = ["ALGORITHM", "API", "FUNCTION", "CLASS", "MODULE", "FILE"]
 
@@ -188,7 +216,7 @@ def indexed_page(index: DataFrame, scan_id: str, page: int = 1, size: int = PAGE
 
 def details(findings: DataFrame, evidence: DataFrame, nodes: DataFrame, reviews: DataFrame, scans: DataFrame | None = None, repositories: DataFrame | None = None) -> DataFrame:
     """One nested document for each finding, its children summed up before they are joined."""
-    chain = F.struct(rank("node_type", CHAIN, len(CHAIN)).alias("place"), "node_type", "label", "relationship", "confidence")
+    chain = F.struct(rank("node_type", CHAIN, len(CHAIN)).alias("place"), F.concat_ws(":", "node_type", "label").alias("id"), "node_type", "label", "relationship", "confidence")
     impact = nodes.groupBy("finding_id").agg(
         F.transform(F.array_sort(F.collect_list(chain)), lambda n: n.dropFields("place")).alias("nodes"), F.count("*").alias("node_count"),
         F.max(F.when(F.col("node_type") == "FUNCTION", F.col("label"))).alias("enclosing_function"), F.max(F.when(F.col("node_type") == "CLASS", F.col("label"))).alias("enclosing_class"),
@@ -212,7 +240,10 @@ def details(findings: DataFrame, evidence: DataFrame, nodes: DataFrame, reviews:
         ).alias("observed"),
         F.struct("role", "confidence", derive.role_rationale(F.col("role")).alias("rationale")).alias("inference"),
         F.struct(path.alias("review_path"), derive.review_rationale(path).alias("rationale"), derive.is_candidate(path).alias("is_candidate"), version.alias("pqc_ruleset_version")).alias("migration"),
-        F.struct(F.coalesce("nodes", F.array().cast(rows.schema["nodes"].dataType)).alias("nodes"), F.coalesce("node_count", F.lit(0)).alias("node_count")).alias("impact"),
+        F.struct(
+            F.lit(SCOPE).alias("scope"), F.coalesce("nodes", F.array().cast(rows.schema["nodes"].dataType)).alias("nodes"), F.coalesce("node_count", F.lit(0)).alias("node_count"),
+            F.array().cast("array<struct<source:string,target:string,relationship:string>>").alias("relationships"),  # edges aren't kept
+        ).alias("impact"),
         F.struct(F.col("priority").alias("level"), F.lit(None).cast("int").alias("score"), F.array().cast("array<string>").alias("reasons")).alias("priority"), "review",
     )
 

@@ -143,6 +143,49 @@ _OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda
  SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, m.r) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(r) AS r FROM c GROUP BY v) m ON m.v = d.doc_id"""
 
 
+def _op11() -> str:
+    """Every distance of every round; the rounds are spelled out one after another."""
+    near = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(codebooks.ROUNDS + 1):
+        steps.append(f"d{k} AS MATERIALIZED (SELECT p.id, p.part, c.entry, CAST({near} AS BIGINT) AS d FROM p JOIN c{k} c ON p.part = c.part)")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{k} GROUP BY id, part)")
+        if k < codebooks.ROUNDS:
+            steps.append(f"s{k} AS (SELECT part, entry, pos, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT a.part, a.entry, unnest(p.x) AS v, generate_subscripts(p.x, 1) AS pos FROM a{k} a JOIN p ON p.id = a.id AND p.part = a.part) GROUP BY part, entry, pos)")
+            steps.append(f"m{k} AS (SELECT part, entry, list((s - (s % n + n) % n) // n ORDER BY pos) AS x FROM s{k} GROUP BY part, entry)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry)")
+    last = codebooks.ROUNDS
+    return f"""WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codebooks.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, e) AS id FROM w),
+ p AS MATERIALIZED (SELECT id, part, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] AS x FROM v, range(4) r(part)),
+ c0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x FROM p WHERE id <= {codebooks.ENTRIES}),
+ {", ".join(steps)},
+ h AS (SELECT sha256(string_agg(CAST(t AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(x) AS t, generate_subscripts(x, 1) AS pos FROM c{last})),
+ f AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY id)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (id), h"""
+
+
+def _op12() -> str:
+    """Features as text; the CRC of each different one by its bytes, through a table of what a byte does."""
+    steps = "[" + ", ".join(str(int(c)) for c in importance.Shifts().short[1, 0]) + "]"
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    runs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+    n = importance.BUCKETS
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents), e AS (SELECT {words} AS w FROM benchmark),
+ g AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest({runs}) AS f FROM d) GROUP BY doc_id, f), gb AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest({runs}) AS f FROM e) GROUP BY f),
+ x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM g UNION SELECT f FROM gb)),
+ y AS (SELECT f, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)) AS b FROM x),
+ k AS MATERIALIZED (SELECT f, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % {n} AS bucket FROM y, (SELECT {steps}::BIGINT[] AS t)),
+ s AS (SELECT bucket, sum(n) AS s FROM g JOIN k USING (f) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM gb JOIN k USING (f) GROUP BY bucket),
+ z AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + {n}) AS DOUBLE) / CAST((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + {n}) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+ f AS (SELECT doc_id, sum(n) AS n, sum(n * gain) AS weight FROM g JOIN k USING (f) JOIN z USING (bucket) GROUP BY doc_id),
+ r AS (SELECT doc_id, len(w) >= {importance.LEAST_WORDS} AS long, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('{importance.SEED}:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN f USING (doc_id)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY long ORDER BY score DESC, doc_id) AS place FROM r)
+ SELECT doc_id, n_features, weight, score, CASE WHEN long AND place <= {importance.PERCENT} * (SELECT count(*) FROM r WHERE long) // 100 THEN place END AS rank FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL expresses; the other operators are compared with brute force, round trips and held-out labels."""
-    return {"op2_topk": _OP2, "op3_substring_dedup": _OP3, "op6_warc": _OP6, "op9_line_rules": _OP9, "op10_jaccard_join": _OP10}
+    return {"op2_topk": _OP2, "op3_substring_dedup": _OP3, "op6_warc": _OP6, "op9_line_rules": _OP9, "op10_jaccard_join": _OP10, "op11_codebooks": _op11(), "op12_importance": _op12()}

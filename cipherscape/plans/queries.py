@@ -238,6 +238,27 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHOWN_FILES = f"SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256 FROM ({_FILES})"
 
 
+#: Sources of each kind that parsing can meet: content, error, its line, attributes, and the constants of the calls.
+_KINDS = [
+    (b"x = 1\n", None, None, 0, None),
+    (b"\xff\xfe", "READ_ERROR", None, 0, None),
+    (b"a = 2\ndef f(:\n", "SYNTAX_ERROR", 2, 0, None),
+    (b"y = " + b"-" * 12_000 + b"1\n", "SOURCE_TOO_COMPLEX", None, 0, None),
+    (b"import a\na.b.c(1, 'two', k=None)\nd.e = a.g\n", None, None, 4, "int 1,str two,NoneType None"),
+    (b"f('" + b"z" * 300 + b"', b'q', 2.5, True)\r\ndel h.i\n", None, None, 1, "-,bytes b'q',float 2.5,bool True"),
+]
+
+
+def parse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of error that parsing reports, attributes, and constants of arguments, over the keys of ``part``."""
+    content = F.element_at(F.array(*[F.lit(k[0]) for k in _KINDS]), (F.col("p_partkey") % len(_KINDS) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("k"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), content.alias("content"))
+    shown = F.transform(F.flatten("calls.args"), lambda a: F.coalesce(F.concat_ws(" ", a["constant"]["type"], a["constant"]["value"]), F.lit("")))
+    constants = F.array_join(F.transform(shown, lambda c: F.when(c == "", "-").otherwise(c)), ",")
+    parsed = parse.parse_files(rows, ("attributes", "calls"), False)
+    return parsed.select("path", F.col("error.error_type").alias("error_type"), F.col("error.line").cast("long").alias("line"), F.size("attributes").cast("long").alias("attributes"), F.when(F.size("calls") > 0, constants).alias("constants"))
+
+
 # -- discovery ------------------------------------------------------------------------
 
 _TREE = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'src/a' WHEN 1 THEN '.git/hooks' WHEN 2 THEN 'a-b' WHEN 3 THEN 'a' ELSE 'lib/_x' END || '/f' || p_partkey
@@ -716,7 +737,7 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches(r) for r, _, _ in vocab.RULES}
     own = (
-        flagship, all_findings, parse_summary, parse_shapes, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
+        flagship, all_findings, parse_summary, parse_shapes, parse_kinds, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
         role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, findings_deep_page, page_meta,
         review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, engine_page, engine_review_queue, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
@@ -733,6 +754,7 @@ def oracle_sql() -> dict[str, str]:
  {_fingerprint_sql("path", "fn", "cls")} AS fingerprint, {_BAND} AS priority, CAST(priority_score AS BIGINT) AS priority_score, CAST(node_count AS BIGINT) AS node_count FROM q""",
         "parse_summary": f"SELECT count_if(error_type IS NULL) AS parsed_files, count_if(error_type IS NOT NULL) AS failed_files, count(*) AS total_files, count(*) AS analyzed_files, 0::BIGINT AS skipped_files FROM part JOIN {_SHAPES} ON p_partkey % {N} = template",
         "parse_shapes": f"SELECT {_PATH} AS path, 'pkg' || (p_partkey % 7) || '.mod_' || p_partkey AS module_path, error_type, imports::BIGINT AS imports, symbols::BIGINT AS symbols, calls::BIGINT AS calls FROM part JOIN {_SHAPES} ON p_partkey % {N} = template",
+        "parse_kinds": f"SELECT 'k' || p_partkey || '.py' AS path, error_type, CAST(line AS BIGINT) AS line, attributes::BIGINT AS attributes, constants FROM part JOIN {_values([(k, *kind[1:]) for k, kind in enumerate(_KINDS)], 'template, error_type, line, attributes, constants')} ON p_partkey % {len(_KINDS)} = template",
         "import_index": f"SELECT {_PATH} AS path, local_name, qualified_name FROM part JOIN {_INDEX} ON p_partkey % {N} = template",
         "bindings": f"SELECT {_PATH} AS path, rule_id, scope, name, kind, basis, confidence FROM part JOIN {_BOUND} ON p_partkey % {N} = template",
         "evidence_excerpt": f"SELECT {_PATH} AS path, CAST(line AS BIGINT) AS line, api, excerpt AS source_excerpt, false AS truncated FROM part JOIN {_excerpts()} ON p_partkey % {N} = template",

@@ -263,7 +263,7 @@ def written_once(
     if key not in _stored:
         path, name = own_folder(spark), f"stored_{uuid.uuid4().hex}"
         if buckets:
-            n = count or 2 * spark.sparkContext.defaultParallelism
+            n = count or spark.sparkContext.defaultParallelism
             rows().repartition(n, *buckets).write.bucketBy(n, *buckets).option("path", path).saveAsTable(name)
         else:
             rows().write.partitionBy(*by or []).parquet(path)

@@ -20,6 +20,7 @@ from cipherscape.operators import derive, discovery, lifecycle, parse, persist,
 from cipherscape.plans import read
 from cipherscape.sources import files as sources
 from cipherscape.sources import stores, templates
+from cipherscape.streaming import jobs as job_stream
 from cipherscape.streaming import replay
 
 REPOSITORY = "github/Example/Repo"
@@ -191,6 +192,22 @@ def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.col("start_line").cast("long").alias("line"), "api", "source_excerpt", "truncated")
 
 
+_CALLED = [("asymmetric import rsa", "rsa.generate_private_key"), ("import hashes", "hashes.SHA256"), ("ciphers.algorithms import AES", "AES"), ("asymmetric import x25519", "x25519.X25519PrivateKey.generate")]
+
+
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of calls of four rules that reach over 1 to 60 lines, at most 40 of them, over the keys of ``part``."""
+    key, kind = F.col("p_partkey"), (F.col("p_partkey") % len(_CALLED) + 1).cast("int")
+    pick = lambda place: F.element_at(F.array(*[F.lit(c[place]) for c in _CALLED]), kind)
+    many = lambda text, n: F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int")), lambda k: F.when(k > 0, F.lit(text)).otherwise("")), "")
+    text = F.concat(F.lit(templates.P + "."), pick(0), F.lit("\n"), many("x = 1\n", key % 6), F.lit("k = "), pick(1), F.lit("("), many("\n    1,", key % 60), F.lit(")\ny = 2\n"))
+    text = F.regexp_replace(text, r"primitives\.import", "primitives import")
+    rows = _table(spark, sf_dir, "part").select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("x"), key.cast("string"), F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content"))
+    parsed = parse.parse_files(rows, ("imports", "symbols", "calls", "names", "assignments", "annotations"), True)
+    found = derive.findings(rules.matches(parsed), parsed, F.lit(REPOSITORY))
+    return found.select("path", "rule_id", F.col("start_line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "source_excerpt", "truncated")
+
+
 # -- sources --------------------------------------------------------------------------
 
 _FILES = """SELECT 'a' || (k // 50) AS snapshot_id, CASE k % 6 WHEN 0 THEN 'pkg/__init__' || k || '.py' WHEN 1 THEN '_p/.hidden' || k || '.py' WHEN 2 THEN '.git/c' || k WHEN 3 THEN 'sp ace/ü%20#' || k || '.py'
@@ -374,6 +391,20 @@ def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("k", "ln", "priority_score", "priority", F.size("p.reasons").cast("long").alias("reasons"))
 
 
+def priority_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of a finding's priority, in order."""
+    rows = _scored(spark, sf_dir).select("k", "ln", F.posexplode("p.reasons").alias("place", "reason"))
+    return rows.withColumn("place", F.col("place").cast("long"))
+
+
+_REASONS = """CASE WHEN {modern} THEN [upper(algorithm) || ' is post-quantum already.', 'Review how it is used; it need not be replaced.'] ELSE list_filter([
+ confidence || ' confidence by CLASS_IMPORT.',
+ upper(algorithm) || CASE upper(algorithm) WHEN 'SHA-1' THEN ' is a hash that is weak already.' WHEN 'SHA-256' THEN ' is a hash; its length matters.' WHEN 'AES' THEN ' is symmetric; its key length matters.'
+  WHEN 'FOO' THEN ' is in no known family.' WHEN 'BLAKE2B' THEN ' is a hash; its length matters.' ELSE ' is a public-key algorithm that a quantum computer breaks.' END,
+ CASE WHEN operation IN ('SIGN', 'VERIFY', 'KEY_GENERATION', 'KEY_ESTABLISHMENT') THEN operation || '.' WHEN role IN ('DIGITAL_SIGNATURE', 'KEY_ESTABLISHMENT') THEN operation || ' in the role ' || role || '.' ELSE operation || '.' END,
+ CASE WHEN role <> 'UNKNOWN' THEN 'Its role is ' || role || '.' END, CASE WHEN node_count >= 5 THEN 'It reaches ' || node_count || ' elements.' END], lambda r: r IS NOT NULL) END"""
+
+
 def impact_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _nodes(_observed(spark, sf_dir)).select("k", "ln", F.posexplode("nodes").alias("place", "n"))
     return rows.select("k", "ln", F.col("place").cast("long").alias("place"), "n.id", "n.relationship")
@@ -657,6 +688,25 @@ def review_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.replay_reviews(requests).select("review_id", "status", "assigned_to", "note", F.col("rejected").cast("long").alias("rejected"), (F.col("started") + F.col("completed")).alias("audited"))
 
 
+def job_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with locks that run out, as a stateful stream over two spans of time; the second goes on from the first's checkpoint.
+
+    A last event without a job, a day after all others, moves the watermark past them.
+    """
+    rows = _moves(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "event_id")
+    rows = rows.select(F.col("key").cast("string").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("job_move").alias("wanted"))
+    seconds = F.unix_timestamp("ts")
+    first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
+    middle = ((first or 0) + (last or 0)) // 2
+    tick = spark.range(1).select(F.lit(None).cast("string").alias("job_id"), F.timestamp_seconds(F.lit((last or 0) + 86_400)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("wanted"))
+    root = persist.own_folder(spark)
+    for part in (rows.filter(seconds < middle), rows.filter(seconds >= middle).unionByName(tick)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        job_stream.write_changes(job_stream.job_changes(stream, "8 hours"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return job_stream.jobs_table(spark, f"{root}/out").select("job_id", "status", "attempt_count", "rejected", "reclaimed")
+
+
 def review_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _moves(spark, sf_dir).filter("review_move is not null")
     current = F.when(F.col("key") % 3 == 0, "OPEN").when(F.col("key") % 3 == 1, "IN_REVIEW").otherwise("REVIEWED")
@@ -675,6 +725,18 @@ _JOB_FOLD = _FOLD.format(
  FROM s JOIN e ON e.key = s.key AND e.rn = s.pos + 1)""",
     result="SELECT key AS job_id, arg_max(status, pos) AS status, max(attempts) AS attempt_count, max(rejected) AS rejected FROM s GROUP BY key",
 )
+_LOCK_FOLD = _FOLD.format(
+    moves=f"SELECT m.*, ts FROM ({_MOVES}) m JOIN events USING (event_id)",
+    start="SELECT DISTINCT key, 0::BIGINT AS pos, 'QUEUED' AS status, 0::BIGINT AS attempts, 0::BIGINT AS rejected, 0::BIGINT AS reclaimed, NULL::TIMESTAMP AS held FROM e",
+    step="""SELECT key, pos + 1, CASE WHEN ok THEN wanted ELSE status END, attempts + (CASE WHEN ok AND wanted = 'RUNNING' THEN 1 ELSE 0 END), rejected + (CASE WHEN ok THEN 0 ELSE 1 END), reclaimed,
+ CASE WHEN ok AND wanted = 'RUNNING' THEN ts WHEN NOT ok THEN held END FROM (
+ SELECT *, status || '>' || wanted IN ('QUEUED>RUNNING','QUEUED>CANCELLED','RUNNING>COMPLETED','RUNNING>FAILED','RUNNING>QUEUED','RUNNING>CANCELLED') AS ok FROM (
+ SELECT s.key, s.pos, e.ts, attempts, rejected, CASE WHEN e.job_move = 'FAILED' AND attempts < 3 THEN 'QUEUED' ELSE e.job_move END AS wanted,
+ CASE WHEN e.ts - held > INTERVAL 8 HOURS THEN 'QUEUED' ELSE status END AS status, reclaimed + (CASE WHEN e.ts - held > INTERVAL 8 HOURS THEN 1 ELSE 0 END) AS reclaimed,
+ CASE WHEN e.ts - held <= INTERVAL 8 HOURS THEN held END AS held FROM s JOIN e ON e.key = s.key AND e.rn = s.pos + 1))""",
+    result="""SELECT CAST(key AS VARCHAR) AS job_id, CASE WHEN held IS NULL THEN status ELSE 'QUEUED' END AS status, attempts AS attempt_count, rejected, reclaimed + (CASE WHEN held IS NULL THEN 0 ELSE 1 END) AS reclaimed
+ FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1""",
+).replace("ORDER BY event_id", "ORDER BY ts, event_id")
 _REVIEW_FOLD = _FOLD.format(
     moves=_MOVES,
     start="SELECT DISTINCT key, 0::BIGINT AS pos, 'OPEN' AS status, NULL::VARCHAR AS assigned_to, NULL::VARCHAR AS note, 0::BIGINT AS rejected, 0::BIGINT AS audited FROM e",
@@ -737,9 +799,9 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches(r) for r, _, _ in vocab.RULES}
     own = (
-        flagship, all_findings, parse_summary, parse_shapes, parse_kinds, import_index, bindings, evidence_excerpt, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
-        role_classification, pqc_review_path, priority_score, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, findings_deep_page, page_meta,
-        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, engine_page, engine_review_queue, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, review_fold, review_transitions,
+        flagship, all_findings, parse_summary, parse_shapes, parse_kinds, import_index, bindings, evidence_excerpt, excerpts, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
+        role_classification, pqc_review_path, priority_score, priority_reasons, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, findings_deep_page, page_meta,
+        review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, engine_page, engine_review_queue, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, job_locks, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
     )
     return found | {f.__name__: f for f in own}
@@ -758,6 +820,10 @@ def oracle_sql() -> dict[str, str]:
         "import_index": f"SELECT {_PATH} AS path, local_name, qualified_name FROM part JOIN {_INDEX} ON p_partkey % {N} = template",
         "bindings": f"SELECT {_PATH} AS path, rule_id, scope, name, kind, basis, confidence FROM part JOIN {_BOUND} ON p_partkey % {N} = template",
         "evidence_excerpt": f"SELECT {_PATH} AS path, CAST(line AS BIGINT) AS line, api, excerpt AS source_excerpt, false AS truncated FROM part JOIN {_excerpts()} ON p_partkey % {N} = template",
+        "excerpts": """SELECT path, rule_id, first AS line, first + n AS end_line, CASE WHEN n >= 40 THEN call || repeat(chr(10) || '    1,', 39) ELSE call || repeat(chr(10) || '    1,', n) || ')' END AS source_excerpt, n >= 40 AS truncated FROM (
+ SELECT 'x' || p_partkey || '.py' AS path, CAST(p_partkey % 6 + 2 AS BIGINT) AS first, CAST(p_partkey % 60 AS BIGINT) AS n,
+ 'PY-CRYPTO-' || CASE p_partkey % 4 WHEN 0 THEN 'RSA' WHEN 1 THEN 'HASH' WHEN 2 THEN 'AES' ELSE 'X25519' END AS rule_id,
+ 'k = ' || CASE p_partkey % 4 WHEN 0 THEN 'rsa.generate_private_key' WHEN 1 THEN 'hashes.SHA256' WHEN 2 THEN 'AES' ELSE 'x25519.X25519PrivateKey.generate' END || '(' AS call FROM part)""",
         "tree_scan": _SHOWN_FILES,
         "zip_scan": _SHOWN_FILES,
         "zip_members": _SHOWN_FILES,
@@ -777,6 +843,7 @@ def oracle_sql() -> dict[str, str]:
         "role_classification": f"SELECT k, ln, role FROM ({_ROLES})",
         "pqc_review_path": f"SELECT algorithm, role, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_candidate, count(*) AS n FROM (SELECT *, {review_path} FROM ({_ROLES})) GROUP BY ALL",
         "priority_score": f"""SELECT k, ln, priority_score, priority, CAST(CASE WHEN {_MODERN} THEN 2 ELSE 3 + (CASE WHEN role = 'UNKNOWN' THEN 0 ELSE 1 END) + (CASE WHEN node_count >= 5 THEN 1 ELSE 0 END) END AS BIGINT) AS reasons FROM ({_SCORED})""",
+        "priority_reasons": f"SELECT k, ln, generate_subscripts(r, 1)::BIGINT - 1 AS place, unnest(r) AS reason FROM (SELECT k, ln, {_REASONS.format(modern=_MODERN)} AS r FROM ({_SCORED}))",
         "impact_nodes": f"SELECT k, ln, place::BIGINT AS place, x.id AS id, x.rel AS relationship FROM ({_CHAIN})",
         "impact_edges": f"""SELECT k, ln, CASE WHEN x.kind = 'FILE' THEN nodes[place].id ELSE x.id END AS source, CASE WHEN x.kind = 'FILE' THEN x.id ELSE nodes[place].id END AS target, x.rel AS relationship
  FROM ({_CHAIN}) WHERE place > 0""",
@@ -824,6 +891,7 @@ def oracle_sql() -> dict[str, str]:
  CASE WHEN bad THEN '{{"error_code":"' || CASE WHEN id::BIGINT % 2 = 0 THEN 'INGESTION_FAILED' ELSE 'SCAN_EXECUTION_FAILED' END || '","attempts":' || n || '}}' END AS metadata FROM ({_ENDED}) WHERE hit AND NOT again""",
         "stored_findings": f"SELECT id, scan_id AS run, fingerprint, priority, start_line, 2::BIGINT AS number FROM {stored}",
         "job_retry": _JOB_FOLD,
+        "job_locks": _LOCK_FOLD,
         "review_fold": _REVIEW_FOLD,
         "review_transitions": f"""SELECT current, wanted, current = wanted OR current || '>' || wanted IN ('OPEN>IN_REVIEW','IN_REVIEW>REVIEWED','IN_REVIEW>OPEN','REVIEWED>IN_REVIEW') AS is_valid, count(*) AS n
  FROM (SELECT CASE key % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_REVIEW' ELSE 'REVIEWED' END AS current, review_move AS wanted FROM ({_MOVES}) WHERE review_move IS NOT NULL) GROUP BY ALL""",

@@ -39,8 +39,8 @@ from cipherscape.llm.common import stage
 
 #: Vectors of a block of candidates, and of queries; a block's matrix has at most BLOCK_BYTES.
 BLOCK, QUERY_BLOCK, BLOCK_BYTES = 8192, 1024, 32 << 20
-#: Blocks of candidates that a block of queries is sent to at once.
-SPREAD = 1024
+#: Blocks of queries that a cell of the grid holds, and of candidates that it reads one after another; either on average.
+HELD, READ = 16, 16
 
 
 def integer_vectors(rows: DataFrame, id: str, vector: str, scale: float) -> DataFrame:
@@ -91,21 +91,57 @@ def blocked(rows: DataFrame, block: int, slices: int) -> DataFrame:
 LOWEST = -(1 << 62)
 
 
-def sliced(blocks: DataFrame, *columns: str) -> DataFrame:
-    """A row for each slice of each block."""
-    return blocks.select("number", "dim", "ids", *columns, F.posexplode("parts").alias("slice", "matrix"))
+CELL = ["dim", "row", "col", "slice"]
 
 
-def met(candidates: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
-    """Every slice of a block of queries with that slice of every block of candidates of its length."""
-    groups = -(-blocks // SPREAD) or 1
-    numbers = candidates.select("dim", F.col("number").alias("c"), F.pmod(F.xxhash64("number"), F.lit(groups)).alias("g"))
-    asked = sliced(queries, "levels", "cutoffs").select(
-        "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("number").alias("q"), "slice", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "cutoffs", "levels"
-    )
-    asked = asked.join(numbers, ["dim", "g"]).drop("dim", "g")
-    own = sliced(candidates).select(F.col("number").alias("c"), "slice", "ids", "matrix")
-    return own.join(asked, ["c", "slice"]).select("q", "c", "slice", "ids", "matrix", "q_ids", "q_matrix", "cutoffs", "levels")
+def cells(candidates: DataFrame, queries: DataFrame, slices: int, entries: DataFrame | None = None) -> DataFrame:
+    """The grid in which blocks meet, sorted so that a cell's queries come first.
+
+    Blocks of queries are dealt to rows and go to all columns, blocks of candidates to columns and to all rows, so a block of
+    candidates is sent once for some HELD blocks of queries, and no row holds two matrices.  A task keeps a cell's queries
+    and reads its candidates one by one.  Each slice has cells of its own; with ``entries`` blocks stay whole, and a
+    candidate is followed by its entries, by query.
+    """
+    asks, blocks = queries.count(), candidates.count()
+    rows = -(-asks // HELD) or 1
+    spread = -(-queries.sparkSession.sparkContext.defaultParallelism // (rows * slices))
+    cols = max(-(-blocks // READ), min(blocks, spread), 1)
+    place = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast("long")
+    asked = queries.select("dim", place("number", rows).alias("row"), every(cols).alias("col"), F.lit(0).alias("side"), none.alias("c"), F.col("number").alias("q"), "ids", "parts", "cutoffs", "levels")
+    own = candidates.select("dim", every(rows).alias("row"), place("number", cols).alias("col"), F.lit(1).alias("side"), F.col("number").alias("c"), none.alias("q"), "ids", "parts")
+    both = asked.unionByName(own, allowMissingColumns=True)
+    if entries is None:
+        fields = [c for c in both.columns if c != "parts"]
+        both = both.select(*fields, F.size("parts").alias("nodes"), F.posexplode("parts").alias("slice", "matrix"))
+        return both.repartition(*CELL).sortWithinPartitions(*CELL, "side", "c", "q")
+    found = entries.select("dim", place("q", rows).alias("row"), place("c", cols).alias("col"), F.lit(1).alias("side"), "c", "q", "slice", "q_at", "c_at", "partial")
+    return both.unionByName(found, allowMissingColumns=True).repartition(*CELL[:3]).sortWithinPartitions(*CELL[:3], "side", "c", "q", "slice")  # nulls, the blocks, come first
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            yield dict(zip(batch.schema.names, row, strict=True))
+
+
+def _kept(row: dict) -> dict:
+    """A copy, as a value of a batch keeps the whole batch."""
+    return {name: pa.scalar(value.as_py(), value.type) for name, value in row.items()}
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
+    """(query block, candidate block) of each cell."""
+    cell, held = None, []
+    for row in _columns(batches):
+        here = tuple(row[c].as_py() for c in CELL)
+        if here != cell:
+            cell, held = here, []
+        if row["side"].as_py() == 0:
+            held.append(_kept(row))
+        else:
+            yield from ((q, row) for q in held)
 
 
 def _matrix(ids: np.ndarray, data: pa.Scalar) -> np.ndarray:
@@ -117,96 +153,109 @@ def _kind(q: np.ndarray, c: np.ndarray) -> type:
     return np.float64 if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**53 else np.int64
 
 
-ENTRIES = "q long, c long, slice int, q_at binary, c_at binary, partial binary, levels binary, multiplied long, sent long"
+ENTRIES = "dim int, q long, c long, slice int, q_at binary, c_at binary, partial binary, levels binary, multiplied long, sent long"
 
 
-def _entries(q: int, c: int, slice: int, a: np.ndarray, b: np.ndarray, partial: np.ndarray, levels: np.ndarray, multiplied: int) -> pa.RecordBatch:
+def _entries(q: dict, c: dict, a: np.ndarray, b: np.ndarray, partial: np.ndarray, levels: np.ndarray, multiplied: int) -> pa.RecordBatch:
     blobs = [x.astype(kind).tobytes() for x, kind in ((a, np.int32), (b, np.int32), (partial, np.int64), (levels, np.int64))]
-    columns = [pa.array([x], t) for x, t in ((q, pa.int64()), (c, pa.int64()), (slice, pa.int32()))] + [pa.array([x], pa.binary()) for x in blobs]
+    columns = [pa.array([x.as_py()], t) for x, t in ((c["dim"], pa.int32()), (q["q"], pa.int64()), (c["c"], pa.int64()), (c["slice"], pa.int32()))] + [pa.array([x], pa.binary()) for x in blobs]
     return pa.RecordBatch.from_arrays([*columns, pa.array([multiplied], pa.int64()), pa.array([len(a)], pa.int64())], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
 
-def gathered(pairs: DataFrame, length: int) -> DataFrame:
+def gathered(grid: DataFrame, length: int) -> DataFrame:
     """ENTRIES: each slice's ``length`` best of a block for each query; levels has its least partial scores."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                ids, q_ids = (np.frombuffer(row[k].as_py(), np.int64) for k in (3, 5))
-                c, q = _matrix(ids, row[4]), _matrix(q_ids, row[6])
-                kind = _kind(q, c)
-                p = q.astype(kind) @ c.astype(kind).T
-                low = p.min(axis=1)
-                own = q_ids[:, None] == ids[None, :]
-                p[own] = -np.inf if kind is np.float64 else LOWEST
-                m = min(length, p.shape[1])
-                b = np.argpartition(p, p.shape[1] - m, axis=1)[:, p.shape[1] - m :]
-                a = np.repeat(np.arange(len(q)), m)
-                keep = ~own[a, b.ravel()]
-                a, b = a[keep], b.ravel()[keep]
-                yield _entries(row[0].as_py(), row[1].as_py(), row[2].as_py(), a, b, p[a, b], low, p.size)
-
-    return pairs.mapInArrow(gather, ENTRIES)
-
-
-def collected(pairs: DataFrame, slices: int) -> DataFrame:
+        for asked, own in _meetings(batches):
+            ids, q_ids = (np.frombuffer(x["ids"].as_py(), np.int64) for x in (own, asked))
+            c, q = _matrix(ids, own["matrix"]), _matrix(q_ids, asked["matrix"])
+            kind = _kind(q, c)
+            p = q.astype(kind) @ c.astype(kind).T
+            low = p.min(axis=1)
+            same = q_ids[:, None] == ids[None, :]
+            p[same] = -np.inf if kind is np.float64 else LOWEST
+            m = min(length, p.shape[1])
+            b = np.argpartition(p, p.shape[1] - m, axis=1)[:, p.shape[1] - m :]
+            a = np.repeat(np.arange(len(q)), m)
+            keep = ~same[a, b.ravel()]
+            a, b = a[keep], b.ravel()[keep]
+            yield _entries(asked, own, a, b, p[a, b], low, p.size)
+
+    return grid.mapInArrow(gather, ENTRIES)
+
+
+def collected(grid: DataFrame, slices: int) -> DataFrame:
     """ENTRIES: those that exceed their slice's level by the uniform share."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                ids, q_ids, cut = (np.frombuffer(row[k].as_py(), np.int64) for k in (3, 5, 7))
-                c, q = _matrix(ids, row[4]), _matrix(q_ids, row[6])
-                levels = np.frombuffer(row[8].as_py(), np.int64).reshape(len(q), slices)
-                nodes = min(slices, int(row[9].as_py()))
-                share = (cut.astype(float) - levels[:, :nodes].astype(float).sum(1)) / nodes
-                least = levels[:, row[2].as_py()] + share - 1e-6 * np.abs(share) - 1e-6
-                # no partial score is above the product of the two lengths
-                long, reach = np.sqrt((c.astype(float) ** 2).sum(1)), np.sqrt((q.astype(float) ** 2).sum(1))
-                asked = np.divide(least, reach, out=np.where(least > 0, np.inf, 0.0), where=(least > 0) & (reach > 0))
-                wanted = np.flatnonzero(long * (1 + 1e-9) >= asked.min())
-                c, kind = c[wanted], _kind(q, c)
-                p = q.astype(kind) @ c.astype(kind).T
-                a, b = np.nonzero((p >= least[:, None]) & (q_ids[:, None] != ids[wanted][None, :]))
-                yield _entries(row[0].as_py(), row[1].as_py(), row[2].as_py(), a, wanted[b], p[a, b], np.empty(0), p.size)
-
-    return pairs.mapInArrow(collect, ENTRIES)
-
-
-def resolved(entries: DataFrame, candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        for asked, own in _meetings(batches):
+            ids, q_ids, cut = (np.frombuffer(x.as_py(), np.int64) for x in (own["ids"], asked["ids"], asked["cutoffs"]))
+            c, q = _matrix(ids, own["matrix"]), _matrix(q_ids, asked["matrix"])
+            levels = np.frombuffer(asked["levels"].as_py(), np.int64).reshape(len(q), slices)
+            nodes = min(slices, own["nodes"].as_py())
+            share = (cut.astype(float) - levels[:, :nodes].astype(float).sum(1)) / nodes
+            least = levels[:, own["slice"].as_py()] + share - 1e-6 * np.abs(share) - 1e-6
+            # no partial score is above the product of the two lengths
+            long, reach = np.sqrt((c.astype(float) ** 2).sum(1)), np.sqrt((q.astype(float) ** 2).sum(1))
+            wanted = np.divide(least, reach, out=np.where(least > 0, np.inf, 0.0), where=(least > 0) & (reach > 0))
+            wanted = np.flatnonzero(long * (1 + 1e-9) >= wanted.min())
+            c, kind = c[wanted], _kind(q, c)
+            p = q.astype(kind) @ c.astype(kind).T
+            a, b = np.nonzero((p >= least[:, None]) & (q_ids[:, None] != ids[wanted][None, :]))
+            yield _entries(asked, own, a, wanted[b], p[a, b], np.empty(0), p.size)
+
+    return grid.mapInArrow(collect, ENTRIES)
+
+
+def resolved(entries: DataFrame, candidates: DataFrame, queries: DataFrame, slices: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): whole scores of the entries, at most k a query and block, from its cutoff up.
 
-    The entries of a block's slices meet, and only the partial scores that they lack are computed.
+    The entries of a block's slices meet in the grid, and only the partial scores that they lack are computed.
     """
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lists, ids, parts, q_ids, q_parts, cut in zip(*batch.columns, strict=True):
-                ids, q_ids, cut = (np.frombuffer(x.as_py(), np.int64) for x in (ids, q_ids, cut))
-                found = [(r["slice"], np.frombuffer(r["q_at"], np.int32).astype(np.int64) * len(ids) + np.frombuffer(r["c_at"], np.int32), np.frombuffer(r["partial"], np.int64)) for r in lists.as_py()]
-                key = np.unique(np.concatenate([f[1] for f in found]))
-                a, b, score = key // len(ids), key % len(ids), np.zeros(len(key), np.int64)
-                for s, (x, y) in enumerate(zip(parts, q_parts, strict=True)):
-                    missing = np.ones(len(key), bool)
-                    for slice, own, partial in found:
-                        if slice == s:
-                            at = np.searchsorted(key, own)
-                            score[at] += partial
-                            missing[at] = False
-                    c, q, at = _matrix(ids, x), _matrix(q_ids, y), np.flatnonzero(missing)
-                    for some in np.array_split(at, len(at) * c.shape[1] // (1 << 21) + 1):
-                        score[some] += np.einsum("ij,ij->i", q[a[some]], c[b[some]])
-                keep = score >= cut[a]
-                a, b, score = a[keep], b[keep], score[keep]
-                order = np.lexsort((ids[b], -score, a))
-                a, b, score = a[order], b[order], score[order]
-                keep = np.arange(len(a)) - np.searchsorted(a, np.arange(len(q_ids)))[a] < k
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
-
-    lists = entries.groupBy("q", "c").agg(F.collect_list(F.struct("slice", "q_at", "c_at", "partial")).alias("lists"))  # one a slice
-    rows = lists.join(candidates.select(F.col("number").alias("c"), "ids", "parts"), "c")
-    rows = rows.join(queries.select(F.col("number").alias("q"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"), "cutoffs"), "q")
-    return rows.select("lists", "ids", "parts", "q_ids", "q_parts", "cutoffs").mapInArrow(resolve, "query_id long, vec_id long, score long")
+        def scored(asked: dict, own: dict, found: list[dict]) -> pa.RecordBatch:
+            ids, q_ids, cut = (np.frombuffer(x.as_py(), np.int64) for x in (own["ids"], asked["ids"], asked["cutoffs"]))
+            lists = [(r["slice"].as_py(), *(np.frombuffer(r[n].as_py(), t) for n, t in (("q_at", np.int32), ("c_at", np.int32), ("partial", np.int64)))) for r in found]
+            lists = [(s, a.astype(np.int64) * len(ids) + b, partial) for s, a, b, partial in lists]
+            key = np.unique(np.concatenate([x[1] for x in lists]))
+            a, b, score = key // len(ids), key % len(ids), np.zeros(len(key), np.int64)
+            for s, (x, y) in enumerate(zip(own["parts"], asked["parts"], strict=True)):
+                missing = np.ones(len(key), bool)
+                for slice, pairs, partial in lists:
+                    if slice == s:
+                        at = np.searchsorted(key, pairs)
+                        score[at] += partial
+                        missing[at] = False
+                c, q, at = _matrix(ids, x), _matrix(q_ids, y), np.flatnonzero(missing)
+                for some in np.array_split(at, len(at) * c.shape[1] // (1 << 21) + 1):
+                    score[some] += np.einsum("ij,ij->i", q[a[some]], c[b[some]])
+            keep = score >= cut[a]
+            a, b, score = a[keep], b[keep], score[keep]
+            order = np.lexsort((ids[b], -score, a))
+            a, b, score = a[order], b[order], score[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, np.arange(len(q_ids)))[a] < k
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+        cell, held, own, found = None, {}, None, []
+        for row in _columns(batches):
+            here = tuple(row[c].as_py() for c in CELL[:3])
+            c, q = row["c"].as_py(), row["q"].as_py()
+            if found and (here, c, q) != (cell, found[0]["c"].as_py(), found[0]["q"].as_py()):
+                yield scored(held[found[0]["q"].as_py()], own, found)
+                found = []
+            if here != cell:
+                cell, held = here, {}
+            if row["side"].as_py() == 0:
+                held[q] = _kept(row)
+            elif q is None:
+                own = row
+            else:
+                found.append(row)
+        if found:
+            yield scored(held[found[0]["q"].as_py()], own, found)
+
+    return cells(candidates, queries, slices, entries.filter("sent > 0")).mapInArrow(resolve, "query_id long, vec_id long, score long")
 
 
 def cutoffs(scores: DataFrame, k: int) -> DataFrame:
@@ -237,13 +286,12 @@ def phases(rows: DataFrame, is_query: Column, k: int, id: str, vector: str, scal
     asked = stage(integer_vectors(rows.filter(is_query), id, vector, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
     first = blocked(asked, QUERY_BLOCK, slices)
     blocks = candidates.count()
-    best = stage(gathered(met(candidates, first, blocks), min(k, max(2, -(-4 * k // max(blocks, 1))))), "gathered")
-    cut = cutoffs(resolved(best, candidates, first, k), k)
+    best = stage(gathered(cells(candidates, first, slices), min(k, max(2, -(-4 * k // max(blocks, 1))))), "gathered")
+    cut = cutoffs(resolved(best, candidates, first, slices, k), k)
     low = levels(best, first).withColumn("levels", F.expr(f"transform(sequence(0, {slices - 1}), s -> coalesce(get(levels, s), 0))"))
     second = blocked(asked.join(cut, "id", "left").join(low, "id", "left").select("id", "v", "cutoff", "levels"), QUERY_BLOCK, slices)
-    pairs = met(candidates, second, blocks).join(candidates.select(F.col("number").alias("c"), F.size("parts").alias("nodes")), "c")
-    found = stage(collected(pairs.select("q", "c", "slice", "ids", "matrix", "q_ids", "q_matrix", "cutoffs", "levels", "nodes"), slices), "collected")
-    return best, found, resolved(found, candidates, second, k)
+    found = stage(collected(cells(candidates, second, slices), slices), "collected")
+    return best, found, resolved(found, candidates, second, slices, k)
 
 
 def work(gathered: DataFrame, collected: DataFrame) -> DataFrame:

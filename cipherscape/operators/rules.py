@@ -6,11 +6,13 @@ full is never matched a second time through its receiver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from cipherscape.functions import vocab
 from cipherscape.operators import resolve
@@ -111,6 +113,45 @@ def hash_rule(context: Context) -> DataFrame:
     return direct(context, [vocab.HASH])
 
 
+#: What a rule in code says of a call.
+_SAID = ["algorithm", "api", "operation", "confidence", "evidence_basis"]
+
+
+def in_code(rule_id: str, code: Callable[[list[Row]], Iterable[tuple]]) -> Callable[[Context], DataFrame]:
+    """A rule written in Python, as a table function over calls, partitioned by file.
+
+    ``code`` gets a file's calls in order (call, chain, attribute, scope, levels, resolved, arg_calls, arg_names, fn, cls,
+    loc, ...) and yields (call, algorithm, api, operation, confidence, evidence_basis) for those it finds; any number
+    for a call.  Its schema is that of the calls with these columns, so columns added to calls reach rules unasked.  A file's
+    calls are held by one task, no more.
+    """
+
+    class Rule:
+        @staticmethod
+        def analyze(calls: AnalyzeArgument) -> AnalyzeResult:
+            schema = StructType(list(calls.dataType.fields))
+            for name in _SAID:
+                schema = schema.add(name, StringType())
+            return AnalyzeResult(schema, partitionBy=[PartitioningColumn(c) for c in FILE], orderBy=[OrderingColumn("call")])
+
+        def __init__(self):
+            self.calls: list[Row] = []
+
+        def eval(self, calls: Row) -> None:
+            self.calls.append(calls)
+
+        def terminate(self) -> Iterator[tuple]:
+            own = {c["call"]: c for c in self.calls}
+            for call, *said in code(self.calls):
+                yield (*own[call], *said)
+
+    def rule(context: Context) -> DataFrame:
+        found = F.udtf(Rule)(context.calls.asTable())
+        return match(found, rule_id, F.col("algorithm"), F.col("api"), F.col("operation"), F.col("confidence"), F.col("evidence_basis"))
+
+    return rule
+
+
 #: The rules by id; a rule is a function of Context that returns matches.
 REGISTRY: dict[str, Callable[[Context], DataFrame]] = {
     vocab.AES: aes_rule,

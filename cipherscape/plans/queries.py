@@ -9,10 +9,10 @@ query's meaning in its own words.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cipherscape.functions import vocab
@@ -66,6 +66,23 @@ def _matches(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _hash_calls(calls: list[Row]) -> Iterator[tuple]:
+    """The hash rule in Python."""
+    known = {r[0]: r[2:] for r in vocab.direct_rows() if r[1] == vocab.HASH}
+    for call in calls:
+        if call.resolved in known:
+            algorithm, api, operation, basis = known[call.resolved]
+            yield call.call, algorithm, api, operation, "HIGH", basis
+
+
+def rule_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.in_code(vocab.HASH, _hash_calls)(rules.Context(_parsed(spark, sf_dir)))
+    return found.select(
+        "path", F.col("loc.start_line").cast("long").alias("line"), "algorithm", "primitive", "api", "operation", "confidence", "evidence_basis",
+        F.col("enclosing_function").alias("fn"), F.col("enclosing_class").alias("cls"),
+    )
+
+
 def _matches_sql(rule: str) -> str:
     return f"SELECT path, CAST(line AS BIGINT) AS line, algorithm, api, operation, confidence, evidence_basis, fn, cls FROM ({_EXPECTED}) WHERE rule_id = '{rule}'"
 
@@ -799,7 +816,7 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches(r) for r, _, _ in vocab.RULES}
     own = (
-        flagship, all_findings, parse_summary, parse_shapes, parse_kinds, import_index, bindings, evidence_excerpt, excerpts, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
+        rule_in_code, flagship, all_findings, parse_summary, parse_shapes, parse_kinds, import_index, bindings, evidence_excerpt, excerpts, tree_scan, zip_scan, zip_members, discover_files, skip_histogram, content_hash, repo_url_parse, sha_validation, short_refs,
         role_classification, pqc_review_path, priority_score, priority_reasons, impact_nodes, impact_edges, fingerprints, scan_identity, dedup_findings, duplicate_counts, findings_page, findings_deep_page, page_meta,
         review_queue_page, queue_counts, engine_queue, engine_queue_ranks, finding_detail, engine_page, engine_review_queue, finding_list, queue_row, legacy_queue, scan_detail, finding_document, findings_diff, job_claim, stale_reclaim, job_finish, retry_decision, failed_scan, stored_findings, job_retry, job_locks, review_fold, review_transitions,
         scan_cache_hit, create_scan, get_or_create, integrity_guard, cascade_delete, windowed_events,
@@ -811,6 +828,7 @@ def oracle_sql() -> dict[str, str]:
     stored = f"({_STORED})"
     review_path = f"{_PQC} AS review_path"
     return {f"rule_{r.rsplit('-', 1)[1].lower()}": _matches_sql(r) for r, _, _ in vocab.RULES} | {
+        "rule_in_code": f"SELECT *, 'HASH' AS primitive FROM ({_matches_sql(vocab.HASH)})",
         "flagship": f"{_DERIVED} SELECT algorithm, role, review_path, count(*) AS n FROM q GROUP BY ALL",
         "all_findings": f"""{_DERIVED} SELECT path, rule_id, CAST(line AS BIGINT) AS line, api, role, review_path, review_path IN ('ML-KEM', 'ML-DSA / SLH-DSA') AS is_migration_candidate,
  {_fingerprint_sql("path", "fn", "cls")} AS fingerprint, {_BAND} AS priority, CAST(priority_score AS BIGINT) AS priority_score, CAST(node_count AS BIGINT) AS node_count FROM q""",

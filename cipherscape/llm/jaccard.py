@@ -49,7 +49,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from cipherscape.llm.common import WordHashes, ascii_lower, binary_rows, bucket_of, stage, windows
-from cipherscape.llm.packs import ANSWER, answers, buckets_for, by_pack, freed, marks, packed, short_hashes, text_column, unpacked
+from cipherscape.llm.packs import answers, buckets_for, by_pack, exchanged, freed, marks, packed, short_hashes, text_column, unpacked
 
 #: A column of more sets than this comes last in the order of columns.
 FREQUENT = 12
@@ -81,7 +81,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def column_marks(packs: DataFrame, n: int, text: str, buckets: int) -> DataFrame:
-    """(pack, bucket, bits): of each pack's columns, those that two sets or more hold, and those that over FREQUENT hold."""
+    """ANSWER rows: of each pack's columns, those that two sets or more hold, and those that over FREQUENT hold."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -105,8 +105,7 @@ def column_marks(packs: DataFrame, n: int, text: str, buckets: int) -> DataFrame
         total = np.bincount(of, np.concatenate(counts))[of]
         return answers(group.column("pack").to_pylist(), key[0].as_py(), [len(c) for c in columns], total > 1, total > FREQUENT)
 
-    asked = packs.select("pack", "data").mapInArrow(lambda batches: freed(sent(batches)), "pack long, bucket int, columns binary, more binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(counted, ANSWER)
+    return exchanged(packs.select("pack", "data"), sent, ["columns", "more", "counts"], counted, buckets)
 
 
 NO_COLUMN = np.empty(0, np.uint64)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherscape.llm.common import SECOND, WordHashes, binary_rows, bucket_of, stage
-from cipherscape.llm.packs import ANSWER, Words, answers, buckets_for, by_pack, freed, marks, packed, planes_of, short_hashes, text_column, unpacked
+from cipherscape.llm.packs import Words, answers, buckets_for, by_pack, exchanged, freed, marks, packed, planes_of, short_hashes, text_column, unpacked
 
 
 def block_length(width: int) -> int:
@@ -68,7 +68,7 @@ class Blocks:
 
 
 def anchor_hits(packs: DataFrame, width: int, text: str, buckets: int) -> DataFrame:
-    """(pack, bucket, bits): the blocks of each pack that are indexed and occur more than once anywhere."""
+    """ANSWER rows: the blocks of each pack that are indexed and occur more than once anywhere."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -89,8 +89,7 @@ def anchor_hits(packs: DataFrame, width: int, text: str, buckets: int) -> DataFr
         several = (count > 1) | (np.bincount(of[flags[1]], minlength=len(count)) > 0)
         return answers(group.column("pack").to_pylist(), key[0].as_py(), sizes, (indexed & several)[of])
 
-    asked = packs.select("pack", "data").mapInArrow(lambda batches: freed(sent(batches)), "pack long, bucket int, hashes binary, flags binary")
-    return asked.groupBy("bucket").applyInArrow(met, ANSWER)
+    return exchanged(packs.select("pack", "data"), sent, ["hashes", "flags"], met, buckets)
 
 
 @dataclass
@@ -164,7 +163,7 @@ class Reader:
 
 
 def earlier_windows(packs: DataFrame, hits: DataFrame, reader: Reader) -> DataFrame:
-    """(pack, bucket, bits): the entries of each pack that also start in a document with a smaller id than the pack has."""
+    """ANSWER rows: the entries of each pack that also start in a document with a smaller id than the pack has."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -186,8 +185,8 @@ def earlier_windows(packs: DataFrame, hits: DataFrame, reader: Reader) -> DataFr
         smallest = np.minimum.reduceat(least[order], np.cumsum(count) - count)
         return answers(group.column("pack").to_pylist(), key[0].as_py(), [len(p) for p in parts], smallest[of] < least)
 
-    asked = packs.select("pack", "data").join(by_pack(hits, "hits"), "pack").select("pack", "data", "hits")
-    return asked.mapInArrow(lambda batches: freed(sent(batches)), "pack long, bucket int, hashes binary, least binary").groupBy("bucket").applyInArrow(judged, ANSWER)
+    asking = packs.select("pack", "data").join(by_pack(hits, "hits"), "pack").select("pack", "data", "hits")
+    return exchanged(asking, sent, ["hashes", "least"], judged, reader.buckets)
 
 
 def with_answers(docs: DataFrame, width: int, id: str, text: str) -> tuple[DataFrame, Reader]:

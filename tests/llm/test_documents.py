@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cipherscape.llm import jaccard, licenses, lines, mixing, packing, quality, substring
+from cipherscape.llm import jaccard, licenses, lines, mixing, packing, packs, quality, substring
 from cipherscape.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,6 +105,48 @@ def test_jaccard_equals_brute_force(docs, rows, short, monkeypatch):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
 
 
+def test_many_buckets_by_way_of_parts(docs, rows, monkeypatch):
+    """The way of a corpus with more buckets than a pack sends rows: the same results."""
+    docs = docs.repartition(5).persist()
+    want = [sorted(f(docs).collect(), key=str) for f in (jaccard.jaccard_classes, substring.substring_digest)]
+    monkeypatch.setattr(packs, "PARTS", 4)
+    monkeypatch.setattr(packs, "PER_BUCKET", 100)
+    monkeypatch.setattr(packs, "PLACE_BUCKETS", 64)
+    monkeypatch.setattr(packs, "BUNDLE_BYTES", 4096)
+    assert [sorted(f(docs).collect(), key=str) for f in (jaccard.jaccard_classes, substring.substring_digest)] == want
+    docs.unpersist()
+
+
+def test_rows_follow_entries_not_packs_times_buckets(spark, docs, monkeypatch):
+    """With a row a bucket each pack's rows grow with the buckets; in two steps those of a bundle do."""
+    made, buckets = packs.packed(docs.repartition(12), "text"), 64
+    monkeypatch.setattr(packs, "PARTS", 4)
+    seen = {}
+
+    def sent(batches):
+        for batch in batches:
+            for pack in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([pack] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array([b"%d" % pack] * buckets)], names=["pack", "bucket", "of"])
+
+    def met(key, group):
+        own = [int(v) for v in group.column("of").to_pylist()]
+        assert own == group.column("pack").to_pylist()
+        return packs.answers(own, key[0].as_py(), [1] * len(own), np.array([p % 3 == 0 for p in own]))
+
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(packs, "BUNDLE_BYTES", most)
+        got = packs.by_pack(packs.exchanged(made.select("pack"), sent, ["of"], met, buckets)).collect()
+        seen[most] = {r["pack"]: sorted(m.bucket for m in r.marks) for r in got}
+    ids = [r["pack"] for r in made.select("pack").collect()]
+    assert len(ids) == 12 and seen[1] == seen[1 << 20] == {p: list(range(buckets)) for p in ids if p % 3 == 0}
+    parts = [b for p in ids for b in packs.in_parts(sent([pa.record_batch({"pack": pa.array([p], pa.int64())})]), 4)]
+    assert sum(len(b) for b in parts) == 12 * 4
+    by_part = [b.slice(k, 1) for k in range(4) for b in parts]
+    one, many = (list(packs.bundles(iter(by_part), most)) for most in (1 << 20, 1))
+    assert sum(len(b) for b in one) == buckets and sum(len(b) for b in many) == 12 * buckets
+    assert all(len(v) == 12 for b in one for v in b.column("pack").to_pylist())
+
+
 def test_jaccard_bounds():
     for a in range(1, 60):
         for b in range(a, 60):

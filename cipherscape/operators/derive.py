@@ -204,7 +204,7 @@ def findings(found: DataFrame, parsed: DataFrame, repository: Column) -> DataFra
     ).drop("p")
 
 
-def first_per_fingerprint(rows: DataFrame, order: list[str], scan: str = "snapshot_id") -> DataFrame:
+def first_per_fingerprint(rows: DataFrame, order: list[str | Column], scan: str = "snapshot_id") -> DataFrame:
     """Of findings with one identity in a scan, the first in order."""
     place = Window.partitionBy(scan, "fingerprint").orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n")

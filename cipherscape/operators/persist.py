@@ -272,6 +272,14 @@ def written_once(
     return spark.table(name) if name else spark.read.parquet(path)
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read from there, where several reads must see the same run."""
+    path = own_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    _stored[(rows.sparkSession.sparkContext.applicationId, path)] = (path, None)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def own_folder(spark: SparkSession) -> str:
     """A new folder below the shared one."""
     return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

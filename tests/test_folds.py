@@ -98,3 +98,24 @@ def test_short_references(spark):
     assert [(r.sha, r.problem) for r in rows] == [
         (a, None), (a, None), ("f" * 40, None), (a, None), (None, "AMBIGUOUS"), (b, None), (None, "NOT_FOUND"), ("ef" * 20, None), (None, "INVALID"), (None, "INVALID"), (None, "INVALID"), (None, "NOT_FOUND"), (a, None),
     ]
+
+
+def test_places_are_of_one_run(spark):
+    """Rows that come in another order each time give other ranges; numbers of rows and counts of partitions must be of one run."""
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(random.sample(range(batch.num_rows), batch.num_rows))
+
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("scan"), F.xxhash64("id").alias("x"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = read.places(rows.mapInArrow(shuffled, rows.schema), "scan", [F.col("x")], "place").select("scan", "x", "text", "place").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for scan in range(3):
+        mine = sorted((r.x, r.place) for r in got if r.scan == scan)
+        assert [p for _, p in mine] == list(range(1, 20_001))

@@ -56,8 +56,14 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parsed(spark: SparkSession, sf_dir: str, *wanted: str, lines: bool = False) -> DataFrame:
     """Parsed and written once, as several joins read it."""
     wanted = wanted or ("imports", "symbols", "calls", "names", "assignments", "annotations")
-    rows = lambda: parse.parse_files(discovery.supported(_files(spark, sf_dir)), wanted, lines)
-    return persist.written_once(spark, rows, sf_dir, "parsed", *wanted, str(lines), inputs=(f"{sf_dir}/part.parquet",), buckets=("snapshot_id", "path"))
+    return _parsed_once(spark, sf_dir, lambda: discovery.supported(_files(spark, sf_dir)), "parsed", wanted, lines)
+
+
+def _parsed_once(spark: SparkSession, sf_dir: str, files: Callable[[], DataFrame], name: str, wanted: tuple[str, ...], lines: bool) -> DataFrame:
+    """Files made of ``part``, parsed and written in buckets by file, the more the more files there are."""
+    rows = lambda: parse.parse_files(files(), wanted, lines)
+    pieces = _pieces(_table(spark, sf_dir, "part"), EACH_FILES)
+    return persist.written_once(spark, rows, sf_dir, name, *wanted, str(lines), inputs=(f"{sf_dir}/part.parquet",), buckets=("snapshot_id", "path"), count=pieces)
 
 
 _PATH = "'pkg' || (p_partkey % 7) || '/mod_' || p_partkey || '.py'"
@@ -151,7 +157,7 @@ _DERIVED = f"""WITH m AS ({_EXPECTED}), r AS (SELECT *, {_ROLE.format(p="CASE WH
 
 def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    return parse.parse_summary(_parsed(spark, sf_dir), discovery.classify(files))
+    return parse.parse_summary(_parsed(spark, sf_dir, "imports"), discovery.classify(files))
 
 
 def parse_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +234,9 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = lambda text, n: F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int")), lambda k: F.when(k > 0, F.lit(text)).otherwise("")), "")
     text = F.concat(F.lit(templates.P + "."), pick(0), F.lit("\n"), many("x = 1\n", key % 6), F.lit("k = "), pick(1), F.lit("("), many("\n    1,", key % 60), F.lit(")\ny = 2\n"))
     text = F.regexp_replace(text, r"primitives\.import", "primitives import")
-    rows = _table(spark, sf_dir, "part").select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("x"), key.cast("string"), F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content"))
-    parsed = parse.parse_files(rows, ("imports", "symbols", "calls", "names", "assignments", "annotations"), True)
+    columns = F.lit("s").alias("snapshot_id"), F.concat(F.lit("x"), key.cast("string"), F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content")
+    rows = lambda: _dealt(_table(spark, sf_dir, "part").select("p_partkey"), EACH_FILES).select(*columns)
+    parsed = _parsed_once(spark, sf_dir, rows, "excerpts", ("imports", "symbols", "calls", "names", "assignments", "annotations"), True)
     found = derive.findings(rules.matches(parsed), parsed, F.lit(REPOSITORY))
     return found.select("path", "rule_id", F.col("start_line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "source_excerpt", "truncated")
 
@@ -295,7 +302,7 @@ _KINDS = [
 def parse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of error that parsing reports, attributes, and constants of arguments, over the keys of ``part``."""
     content = F.element_at(F.array(*[F.lit(k[0]) for k in _KINDS]), (F.col("p_partkey") % len(_KINDS) + 1).cast("int"))
-    rows = _table(spark, sf_dir, "part").select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("k"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), content.alias("content"))
+    rows = _dealt(_table(spark, sf_dir, "part").select("p_partkey"), EACH_FILES).select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("k"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), content.alias("content"))
     shown = F.transform(F.flatten("calls.args"), lambda a: F.coalesce(F.concat_ws(" ", a["constant"]["type"], a["constant"]["value"]), F.lit("")))
     constants = F.array_join(F.transform(shown, lambda c: F.when(c == "", "-").otherwise(c)), ",")
     parsed = parse.parse_files(rows, ("attributes", "calls"), False)

@@ -152,3 +152,20 @@ def test_a_lost_worker_and_two_at_once(spark, tmp_path):
     events = [r.event_type for r in store.audit().orderBy("number").collect()]
     assert events == ["SCAN_CREATED", "SCAN_STARTED", "SCAN_STARTED", "SCAN_COMPLETED"]  # the first worker's results came too late
     assert store._table("findings").groupBy("id").count().filter("count > 1").count() == 0
+
+
+def test_reasons_are_derived_once(spark, sf_dir):
+    """No filter below the explode works out priorities a second time."""
+    from cipherscape.plans import queries
+
+    plan = queries.priority_reasons(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("quantum computer breaks") == 1
+
+
+def test_findings_are_derived_of_those_that_stay(spark, sf_dir):
+    """Of an identity's observations all but the first go before priorities and nodes are derived, so no sort holds those."""
+    from cipherscape.plans import queries
+
+    plan = queries._unique(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "quantum computer breaks" in plan.partition("Window [row_number()")[0]
+    assert "quantum computer breaks" not in plan.partition("Window [row_number()")[2]

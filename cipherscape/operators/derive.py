@@ -25,11 +25,13 @@ HASHES = [
 ]
 
 
+#: What Python's str.strip takes away.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
-    """Without white space at the ends, as Python has it; texts with a visible ASCII character at either end are as they are."""
-    space = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-    plain = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
-    return F.when(plain, text).otherwise(F.regexp_replace(text, f"^{space}|{space}$", ""))
+    """Without white space at the ends, as Python has it."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def excerpt(lines: Column, start: Column, end: Column) -> Column:

@@ -196,3 +196,11 @@ def test_every_finding_has_its_place_in_the_queue(spark):
         own = sorted((r for r in rows if r[0] == scan), key=lambda r: (-r[1], *r[2:]))
         want |= {(*r, place) for place, r in enumerate(own, 1)}
     assert len(got) == len(rows) and set(map(tuple, got)) == want
+
+
+def test_stripped_is_what_python_strips(spark):
+    """All of Unicode's spaces at either end, texts of nothing else."""
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [f"{a}x {a}é{b}" for a, b in zip(spaces, spaces[::-1], strict=True)] + ["", " ", "".join(spaces), "\u200bx\u200b", "a\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", derive.stripped(F.col("t")).alias("s"))
+    assert all(r.s == (r.t and r.t.strip()) for r in rows.collect())

@@ -188,11 +188,21 @@ def scan_identity(provider: Column, owner: Column, name: Column, commit: Column,
 
 def findings(found: DataFrame, parsed: DataFrame, repository: Column) -> DataFrame:
     """Matches with all that is derived; a match whose source can't be shown is dropped."""
-    shown = parsed.filter("error is null").select(*FILE, "lines")
-    rows = found.join(shown, FILE).withColumn("e", excerpt(F.col("lines"), F.col("loc.start_line"), F.col("loc.end_line"))).drop("lines").filter("e is not null")
-    rows = rows.select(*[c for c in rows.columns if c not in ("loc", "e")], "loc.*", "e.*").withColumn("repository", repository)
+    return derived(shown(found, parsed), repository)
+
+
+def shown(found: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Matches with their source and what follows from it and the match alone, whatever file they lie in."""
+    lines = parsed.filter("error is null").select(*FILE, "lines")
+    rows = found.join(lines, FILE).withColumn("e", excerpt(F.col("lines"), F.col("loc.start_line"), F.col("loc.end_line"))).drop("lines").filter("e is not null")
+    rows = rows.select(*[c for c in rows.columns if c not in ("loc", "e")], "loc.*", "e.*")
     rows = rows.withColumn("role", role(F.col("primitive"), F.col("algorithm"), F.col("operation"))).withColumn("role_rationale", role_rationale(F.col("role")))
-    rows = rows.withColumn("review_path", review_path(F.col("role"), F.col("algorithm"))).withColumn("is_migration_candidate", is_candidate(F.col("review_path")))
+    return rows.withColumn("review_path", review_path(F.col("role"), F.col("algorithm"))).withColumn("is_migration_candidate", is_candidate(F.col("review_path")))
+
+
+def derived(rows: DataFrame, repository: Column) -> DataFrame:
+    """Shown matches with what follows from their file too: impact, priority, identity."""
+    rows = rows.withColumn("repository", repository)
     rows = rows.withColumn(
         "impact_nodes", impact_nodes(*[F.col(c) for c in ("algorithm", "api", "enclosing_function", "enclosing_class", "module_path", "path", "confidence")])
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cipherscape.functions import vocab
-from cipherscape.operators import derive, discovery, lifecycle, parse, persist, resolve, rules
+from cipherscape.operators import copies, derive, discovery, lifecycle, parse, persist, resolve, rules
 from cipherscape.plans import read
 from cipherscape.sources import files as sources
 from cipherscape.sources import stores, templates
@@ -53,26 +53,41 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.corpus(_dealt(_table(spark, sf_dir, "part").select("p_partkey"), EACH_FILES), "p_partkey")
 
 
-def _parsed(spark: SparkSession, sf_dir: str, *wanted: str, lines: bool = False) -> DataFrame:
-    """Parsed and written once, as several joins read it."""
-    wanted = wanted or ("imports", "symbols", "calls", "names", "assignments", "annotations")
-    return _parsed_once(spark, sf_dir, lambda: discovery.supported(_files(spark, sf_dir)), "parsed", wanted, lines)
+def _parsed(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """Every file parsed and written once, in buckets by file, the more the more files there are."""
+    return _parsed_once(spark, sf_dir, discovery.supported(_files(spark, sf_dir)), "parsed", wanted or _RELATIONS, False, _pieces(_table(spark, sf_dir, "part"), EACH_FILES))
 
 
-def _parsed_once(spark: SparkSession, sf_dir: str, files: Callable[[], DataFrame], name: str, wanted: tuple[str, ...], lines: bool) -> DataFrame:
-    """Files made of ``part``, parsed and written in buckets by file, the more the more files there are."""
-    rows = lambda: parse.parse_files(files(), wanted, lines)
-    pieces = _pieces(_table(spark, sf_dir, "part"), EACH_FILES)
+#: What the rules read of a file.
+_RELATIONS = ("imports", "symbols", "calls", "names", "assignments", "annotations")
+
+
+def _parsed_once(spark: SparkSession, sf_dir: str, files: DataFrame, name: str, wanted: tuple[str, ...], lines: bool, pieces: int) -> DataFrame:
+    """Files made of ``part``, parsed and written in buckets, as several joins read them."""
+    rows = lambda: parse.parse_files(files, wanted, lines)
     return persist.written_once(spark, rows, sf_dir, name, *wanted, str(lines), inputs=(f"{sf_dir}/part.parquet",), buckets=("snapshot_id", "path"), count=pieces)
 
 
+def _contents(spark: SparkSession, sf_dir: str, files: DataFrame, name: str = "corpus") -> DataFrame:
+    """Each content of files made of ``part`` parsed, in buckets, the more the more contents there are."""
+    apart = persist.written_once(spark, lambda: copies.contents(files), sf_dir, name, "contents", inputs=(f"{sf_dir}/part.parquet",))
+    return _parsed_once(spark, sf_dir, _dealt(apart, EACH_FILES), name, _RELATIONS, True, _pieces(apart, EACH_FILES))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The supported files, and their contents parsed."""
+    files = discovery.supported(_files(spark, sf_dir))
+    return files, _contents(spark, sf_dir, files)
+
+
 _PATH = "'pkg' || (p_partkey % 7) || '/mod_' || p_partkey || '.py'"
 _EXPECTED = f"SELECT {_PATH} AS path, 'pkg' || (p_partkey % 7) || '.mod_' || p_partkey AS module, e.* FROM part JOIN {templates.expected_sql()} ON p_partkey % {N} = e.template"
 
 
 def _matches(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = rules.REGISTRY[rule](rules.Context(_parsed(spark, sf_dir)))
+        files, parsed = _corpus(spark, sf_dir)
+        found = copies.shared_out(rules.REGISTRY[rule](rules.Context(parsed)), files)
         return found.select(
             "path", F.col("loc.start_line").cast("long").alias("line"), "algorithm", "api", "operation", "confidence", "evidence_basis",
             F.col("enclosing_function").alias("fn"), F.col("enclosing_class").alias("cls"),
@@ -91,7 +106,8 @@ def _hash_calls(calls: list[Row]) -> Iterator[tuple]:
 
 
 def rule_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.in_code(vocab.HASH, _hash_calls)(rules.Context(_parsed(spark, sf_dir)))
+    files, parsed = _corpus(spark, sf_dir)
+    found = copies.shared_out(rules.in_code(vocab.HASH, _hash_calls)(rules.Context(parsed)), files)
     return found.select(
         "path", F.col("loc.start_line").cast("long").alias("line"), "algorithm", "primitive", "api", "operation", "confidence", "evidence_basis",
         F.col("enclosing_function").alias("fn"), F.col("enclosing_class").alias("cls"),
@@ -103,8 +119,10 @@ def _matches_sql(rule: str) -> str:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir, lines=True)
-    return derive.findings(rules.matches(parsed), parsed, F.lit(REPOSITORY))
+    """Findings of all files; what is shown of each content is written first, so the files are joined with a table of known size."""
+    files, parsed = _corpus(spark, sf_dir)
+    shown = persist.written_once(spark, lambda: derive.shown(rules.matches(parsed), parsed), sf_dir, "shown", inputs=(f"{sf_dir}/part.parquet",))
+    return derive.derived(copies.shared_out(shown, files), F.lit(REPOSITORY))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +212,8 @@ _INDEX = _values([(_PLACE[t], n, q if q == "cryptography" else vocab.ROOT + q) f
 
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What names provably hold, after annotations, constructors, derivations and aliases."""
-    context = rules.Context(_parsed(spark, sf_dir))
-    return context.bindings.select("path", "rule_id", "scope", "name", "kind", "basis", "confidence")
+    files, parsed = _corpus(spark, sf_dir)
+    return copies.shared_out(rules.Context(parsed).bindings, files).select("path", "rule_id", "scope", "name", "kind", "basis", "confidence")
 
 
 _BINDINGS = [
@@ -219,8 +237,8 @@ _BOUND = _values([(_PLACE[b[0]], "PY-CRYPTO-" + b[1], *b[2:]) for b in _BINDINGS
 
 def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source shown for hash observations."""
-    parsed = _parsed(spark, sf_dir, lines=True)
-    found = derive.findings(rules.hash_rule(rules.Context(parsed)), parsed, F.lit(REPOSITORY))
+    files, parsed = _corpus(spark, sf_dir)
+    found = copies.shared_out(derive.shown(rules.hash_rule(rules.Context(parsed)), parsed), files)
     return found.select("path", F.col("start_line").cast("long").alias("line"), "api", "source_excerpt", "truncated")
 
 
@@ -235,9 +253,9 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit(templates.P + "."), pick(0), F.lit("\n"), many("x = 1\n", key % 6), F.lit("k = "), pick(1), F.lit("("), many("\n    1,", key % 60), F.lit(")\ny = 2\n"))
     text = F.regexp_replace(text, r"primitives\.import", "primitives import")
     columns = F.lit("s").alias("snapshot_id"), F.concat(F.lit("x"), key.cast("string"), F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content")
-    rows = lambda: _dealt(_table(spark, sf_dir, "part").select("p_partkey"), EACH_FILES).select(*columns)
-    parsed = _parsed_once(spark, sf_dir, rows, "excerpts", ("imports", "symbols", "calls", "names", "assignments", "annotations"), True)
-    found = derive.findings(rules.matches(parsed), parsed, F.lit(REPOSITORY))
+    files = _dealt(_table(spark, sf_dir, "part").select("p_partkey"), EACH_FILES).select(*columns)
+    parsed = _contents(spark, sf_dir, files, "excerpts")
+    found = copies.shared_out(derive.shown(rules.matches(parsed), parsed), files)
     return found.select("path", "rule_id", F.col("start_line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "source_excerpt", "truncated")
 
 

@@ -284,7 +284,8 @@ def _shown_files(rows: DataFrame) -> DataFrame:
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of files, written and read back."""
     root = persist.own_folder(spark)
-    stores.write_tree(_source_files(spark, sf_dir), root)
+    pieces = _pieces(_table(spark, sf_dir, "part"), 8 * EACH_FILES)  # a file for each eight rows
+    stores.write_tree(_source_files(spark, sf_dir).repartition(pieces, "path"), root)
     return _shown_files(stores.tree(spark, root, max_files=1 << 30))
 
 

@@ -1,9 +1,12 @@
 """Source trees and ZIP archives on whatever file system Spark reads, as DataFrames of (snapshot_id, path, size, content).
 
-``tree`` lists a folder through Hadoop's file systems and reads it with Spark's own reader of binary files, which packs files into
-partitions by bytes, leaves the content out where it isn't asked for and pushes filters on the length down.  That reader passes over
-names that start with '_' or '.', such as ``__init__.py``; so the files are named through a view of the
-store in which every name has a prefix: a regular-expression mount of Hadoop's ViewFs, one setting for a tree.
+``tree`` of a local folder, or on another store that pyarrow reads, is listed and read by tasks: each level of folders is a table, whose
+folders are dealt out to be listed, and the files found are dealt out to be read.  The driver sees two numbers a level, no name.
+``listing`` is the same without contents.
+
+On other stores ``tree`` lists a folder through Hadoop's file systems, on the driver, and reads it with Spark's own reader of binary files, which packs
+files into partitions by bytes, leaves the content out where it isn't asked for and pushes filters on the length down.  That reader passes over
+names that start with '_' or '.', such as ``__init__.py``; so the files are named through a view of the store in which every name has a prefix: a regular-expression mount of Hadoop's ViewFs, one setting for a tree.
 
 ``archives`` reads ZIP archives of any store.  One task checks an archive's directory and cuts its members
 out, still compressed; these rows are dealt out by bytes, so many tasks inflate and parse one archive.  For archives larger than one binary value, use the
@@ -14,8 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
+import os
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -23,8 +29,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cipherscape.operators import persist
 from cipherscape.sources import files
 
+#: Files that a task reads or writes, at most about so many.
+DEALT_FILES = 20_000
+#: Rows and bytes that a task passes on at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Compressed bytes of members that a task is to inflate.
 DEALT_BYTES = 8 << 20
 
@@ -58,8 +69,107 @@ def _view(spark: SparkSession, root: str) -> str:
     return f"viewfs://{mount}/t"
 
 
+def _local(root: str) -> str | None:
+    """The folder that a path or URI without a host means, None on another store."""
+    if "://" not in root:
+        return root.removeprefix("file:")
+    return root.removeprefix("file://") if root.startswith("file:///") else None
+
+
+def _target(root: str) -> tuple[fs.FileSystem, str]:
+    local = _local(root)
+    return (fs.LocalFileSystem(), local) if local is not None else fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """A folder's URI, where a path without a scheme lies on the default file system."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString()
+
+
+def _entries(root: str, folder: str) -> Iterator[tuple[str, int | None]]:
+    """(path below the root, bytes) of what a folder holds, without bytes for folders; links and devices are passed over."""
+    local, below = _local(root), f"{folder}/" if folder else ""
+    if local is not None:
+        with os.scandir(f"{local}/{folder}") as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield below + entry.name, None
+                elif entry.is_file(follow_symlinks=False):
+                    yield below + entry.name, entry.stat(follow_symlinks=False).st_size
+        return
+    system, top = _target(root)
+    for info in system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/"))):
+        if info.type in (fs.FileType.Directory, fs.FileType.File):
+            yield below + info.base_name, None if info.type == fs.FileType.Directory else info.size
+
+
+def _listing(spark: SparkSession, root: str, max_files: int) -> tuple[DataFrame, int, int]:
+    """(path, size) of every regular file, their number and bytes."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                held = _entries(root, folder)
+                while rows := list(itertools.islice(held, BATCH_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["path", "size"])
+
+    folders, levels, number, total = spark.createDataFrame([("",)], "path string"), [], 0, 0
+    while True:
+        levels.append(persist.written(folders.mapInArrow(entries, "path string, size long")))
+        held, size, deeper = levels[-1].agg(F.count("size"), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size").isNull())).first()
+        number, total = number + held, total + size
+        if number > max_files:
+            raise files.ArchiveTooLarge("files")
+        if not deeper:
+            return reduce(DataFrame.unionByName, levels).filter("size is not null"), number, total
+        folders = levels[-1].filter("size is null").select("path").repartition(min(deeper, 4 * spark.sparkContext.defaultParallelism), "path")
+
+
+def listing(spark: SparkSession, root: str, snapshot: str = "s", max_files: int = files.MAX_FILES) -> DataFrame:
+    """(snapshot_id, path, size) of every regular file below ``root``, listed by tasks; for local folders and stores that pyarrow reads."""
+    return _listing(spark, _qualified(spark, root), max_files)[0].select(F.lit(snapshot).alias("snapshot_id"), "path", "size")
+
+
+def _read(spark: SparkSession, root: str, snapshot: str, max_files: int) -> DataFrame:
+    found, number, total = _listing(spark, root, max_files)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-number // DEALT_FILES), -(-total // files.PARTITION_BYTES))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = _target(root)
+
+        def passed(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            paths, contents = zip(*held, strict=True)
+            columns = [pa.array([snapshot] * len(held)), pa.array(paths), pa.array(list(map(len, contents)), pa.int64()), pa.array(contents, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["snapshot_id", "path", "size", "content"])
+
+        for batch in batches:
+            held, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with system.open_input_file(f"{top}/{path}") as f:
+                    content = f.read()
+                if held and (len(held) >= BATCH_ROWS or size + len(content) > BATCH_BYTES):
+                    yield passed(held)
+                    held, size = [], 0
+                held.append((path, content))
+                size += len(content)
+            if held:
+                yield passed(held)
+
+    return found.select("path").repartition(tasks, "path").mapInArrow(read, files.SCHEMA)
+
+
 def tree(spark: SparkSession, root: str, snapshot: str = "s", max_files: int = files.MAX_FILES) -> DataFrame:
     """Every regular file below ``root``, empty ones and names with '_' and '.' included."""
+    whole = _qualified(spark, root)
+    try:
+        _target(whole)
+    except (pa.ArrowInvalid, OSError):  # a store that only Hadoop's file systems know
+        return _tree_by_hadoop(spark, root, snapshot, max_files)
+    return _read(spark, whole, snapshot, max_files)
+
+
+def _tree_by_hadoop(spark: SparkSession, root: str, snapshot: str, max_files: int) -> DataFrame:
     found, view = listed(spark, root, max_files), _view(spark, root)
     paths = []
     for name, size in found:
@@ -81,8 +191,12 @@ def write_tree(rows: DataFrame, root: str) -> int:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _target(root)
         for batch in batches:
+            made = set()
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                system.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                folder = f"{top}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(f"{top}/{path}") as f:
                     f.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
@@ -108,10 +222,6 @@ def write_archives(rows: DataFrame, root: str) -> int:
     return rows.groupBy("snapshot_id").applyInArrow(write, "n long").count()
 
 
-def _target(root: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1) if "://" in root else f"file://{root}")
-
-
 def archives(spark: SparkSession, path: str, max_files: int = files.MAX_FILES, max_bytes: int = files.MAX_EXTRACTED, max_archive: int = files.MAX_ARCHIVE) -> DataFrame:
     """The members of ZIP archives (a file, a folder of ``*.zip`` or a pattern); the archive's name is the snapshot."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)

@@ -159,6 +159,29 @@ def test_a_tree_on_any_store(spark, store):
     assert stores.tree(spark, f"{uri}/nothing").collect() == []
 
 
+def test_a_tree_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver names no file, and tasks grow in number with the files."""
+    root = tmp_path / "a b%20c"
+    want = {f"d{k % 3}/_e/x{k}.py" if k % 2 else f"y{k}.py": b"k" * (k % 7) for k in range(300)}
+    for name, content in {**want, **{n: b"" for n in NAMES}}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    (root / "nothing").mkdir()
+    (root / "link.py").symlink_to(root / "a.py")
+    (root / "loop").symlink_to(root)
+    monkeypatch.setattr(stores, "listed", None)
+    monkeypatch.setattr(stores, "DEALT_FILES", 20)
+    monkeypatch.setattr(stores, "BATCH_ROWS", 7)
+    for name in (str(root), f"file://{root}/"):
+        found = stores.tree(spark, name, "s", 315)
+        assert {(r.path, r.size, bytes(r.content)) for r in found.collect()} == {(n, len(c), c) for n, c in want.items()} | {(n, 0, b"") for n in NAMES}
+        assert found.rdd.getNumPartitions() >= 15
+    assert stores.listing(spark, str(root)).agg(F.count("*"), F.sum("size"), F.min("snapshot_id")).first() == (315, sum(map(len, want.values())), "s")
+    with pytest.raises(files.ArchiveTooLarge):
+        stores.tree(spark, str(root), max_files=314)
+    assert stores.tree(spark, str(root / "nothing")).collect() == []
+
+
 def test_archives_on_any_store(spark, store):
     uri, folder = store
     entries = {f"t/f{k}.py": b"y = %d\n" % k * 50 for k in range(300)}

@@ -289,6 +289,21 @@ def test_pieces():
         assert len(cut) == n // 32 + (n % 32).bit_count()
 
 
+def test_stems_are_encoded_once_and_ids_stay(monkeypatch):
+    """Words that differ in case, commas or digits share pieces; ids are those of the whole text, with and without pieces."""
+    known = packing.tokenizer(vocabulary())
+    words = packing.WordIds(known)
+    stems = [f"{a}ó{b}ñ" for a in ("canta", "ELLO", "x'Sy", "I'll") for b in "abcdefgh"]
+    text = " ".join(f(s) for s in stems for f in (str, str.upper, "({}),".format, "{}.".format, "{}42!".format)).encode()
+    hostile = ["İ'S <|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> </w> a</w>", "H\u0331 e\u0301, ſ'S ŉ Ĳ Ÿ ª µ × ÷ n't'd 1a2 ..! ''s", "\x1cx a\x7fb \u0085 \u0338> Ⱥ Σς 中文, x\u0338 <\u0338", "..." * 99]
+    texts = [text, *[h.encode() for h in hostile], b""]
+    want = [known.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in words.of(texts)] == want
+    assert len(words.numbers) > 160 > 100 > len(words.pieces.numbers)
+    monkeypatch.setattr(packing.Pieces, "suit", lambda known: False)
+    assert [x.tolist() for x in packing.WordIds(known).of(texts)] == want
+
+
 def test_word_ids_forget_without_harm(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 4)
     known = packing.tokenizer(vocabulary())
